@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundtable.llm.exact_dedup import exact_dedup
+from groundtable.llm.mixing import mix_sources
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,10 +31,56 @@ SELECT doc_id,
 FROM normal
 """
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source weights 5, 2, 1."""
+    mixed = mix_sources(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         (('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source
+), limits AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM totals
+), weighed AS (
+  SELECT *, [5, 2, 1][place % 3 + 1] AS weight, source_size * 3 AS cap FROM limits
+), levels AS (
+  SELECT *, row_number() OVER o AS rank,
+         CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+         / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, place)
+), targets AS (
+  SELECT source, source_size,
+         coalesce(least(CAST(cap AS DOUBLE), (SELECT arg_min(level, rank) FROM levels WHERE level * weight <= cap) * weight), CAST(cap AS DOUBLE)) AS target
+  FROM levels
+), expected AS (
+  SELECT s.*, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN least(t.target / CAST(t.source_size AS DOUBLE), 3.0) ELSE 0.0 END AS e
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), ranked AS (
+  SELECT *, floor(e) AS certain, e - floor(e) AS p,
+         CASE WHEN e - floor(e) > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS rank
+  FROM expected
+), passed AS (
+  SELECT *, target - sum(certain * size) OVER (PARTITION BY source) AS lacking,
+         coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM ranked
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST((certain + CASE WHEN rank IS NOT NULL AND before + size / 2.0 <= lacking THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM passed
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mix_sources": op4_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mix_sources": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
