@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from groundtable.llm.exact_dedup import exact_dedup
 from groundtable.llm.mixing import mix_sources
+from groundtable.llm.packing import pack_documents
 from groundtable.llm.toxicity import score_toxicity
 
 
@@ -20,6 +21,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learnt from the labels that are not held out."""
     return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -84,6 +90,7 @@ FROM passed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
 }
 
