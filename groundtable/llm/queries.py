@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundtable.llm.exact_dedup import exact_dedup
+from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
 from groundtable.llm.mixing import mix_sources
 from groundtable.llm.packing import pack_documents
 from groundtable.llm.toxicity import score_toxicity
@@ -16,6 +17,42 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    found = jaccard_components(_read(spark, sf_dir, "documents"), params=JaccardParams(words=3, num=90, den=100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, len(s) AS n_shingles FROM sets
+), entries AS (
+  SELECT doc_id, unnest(s) AS e FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM entries a JOIN entries b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 90 * (x.n_shingles + y.n_shingles - common)
+), reach AS (
+  SELECT b AS node, a AS root FROM links
+  UNION
+  SELECT a AS node, b AS root FROM links
+  UNION
+  SELECT r.node, l.root FROM reach r JOIN (SELECT b AS node, a AS root FROM links UNION ALL SELECT a, b FROM links) l ON r.root = l.node
+)
+SELECT s.doc_id, CAST(s.n_shingles AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(root), s.doc_id)) AS component_id
+FROM sizes s LEFT JOIN reach ON s.doc_id = node GROUP BY s.doc_id, s.n_shingles
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents, after white-space normalisation."""
     return exact_dedup(_read(spark, sf_dir, "documents"))
@@ -89,6 +126,7 @@ FROM passed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
@@ -96,5 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": OP4_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
