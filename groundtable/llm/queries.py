@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundtable.llm.exact_dedup import exact_dedup
 from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
 from groundtable.llm.mixing import mix_sources
 from groundtable.llm.packing import pack_documents
 from groundtable.llm.toxicity import score_toxicity
+from groundtable.llm.warc import archive_pages, payload_sha1
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -124,16 +126,48 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM passed
 """
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back; a response's figures come from its payload."""
+    records = archive_pages(_read(spark, sf_dir, "pages"))
+    response = F.col("record_type") == "response"
+    return records.select(
+        F.col("record_id").cast("long").alias("page_id"),
+        F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(response, payload_sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP10_SQL = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), firsts AS (
+  SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first_id FROM payloads
+), parts AS (
+  SELECT *, [CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT) FOR i IN range(8)] AS fives FROM firsts
+), chars AS (
+  SELECT *, flatten([[v >> 15, (v >> 10) & 31, (v >> 5) & 31, v & 31] FOR v IN fives]) AS digits FROM parts
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(c AS INTEGER) + 1, 1) FOR c IN digits], '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM chars
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op10_warc": OP10_SQL,
 }
