@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundtable.llm.exact_dedup import exact_dedup
 from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
+from groundtable.llm.language_id import identify_languages
 from groundtable.llm.mixing import mix_sources
 from groundtable.llm.packing import pack_documents
 from groundtable.llm.toxicity import score_toxicity
@@ -82,6 +83,11 @@ SELECT doc_id,
 FROM normal
 """
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the documents that are not held out."""
+    return identify_languages(_read(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source weights 5, 2, 1."""
     mixed = mix_sources(_read(spark, sf_dir, "documents"))
@@ -157,6 +163,7 @@ FROM chars
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
