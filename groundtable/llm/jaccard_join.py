@@ -13,9 +13,9 @@ link when ``den * intersection >= num * union``.  Links are found in this order:
 4. In tiles that still hold several components, each document outside the largest component is
    compared with all documents of other components.  Nothing is capped, so no component is split.
 
-A comparison first checks sizes and positions, then a 512-bit parity signature: bits in which two
-signatures differ come from shingles that only one set has, which bounds the overlap from above.
-Pairs that pass have their sorted arrays intersected.
+A comparison first checks sizes and the number of listed entries in common, then a 512-bit parity
+signature: bits in which two signatures differ come from shingles that only one set has.  Both bound
+the overlap from above.  Pairs that pass have their sorted arrays intersected.
 
 * Null text and texts without words have an empty set (size 0) and link with nothing.
 * Ties between ids do not arise; rows that repeat an id count as one document with one text.
@@ -132,13 +132,17 @@ def _entries(params: JaccardParams, common: Broadcast):
             sets = []
             for _, _, data, offsets in utf8_parts(batch.column("text")):
                 sets += _shingles(data, offsets, params.words)
-            listed = []
+            listed, last, late_last = [], [], []
             for s in sets:
                 need = -(-params.num * len(s) // params.den)  # the least overlap of any link
                 at = np.searchsorted(often, s)
                 late = often[np.minimum(at, len(often) - 1)] == s if len(often) else np.zeros(len(s), dtype=bool)
                 order = np.concatenate([s[~late], s[late]])
                 listed.append(order[: len(s) - need + 1].view(np.int64) if len(s) else s.view(np.int64))
+                at = len(listed[-1]) - 1
+                last.append(int(listed[-1][at]) ^ -(1 << 63) if at >= 0 else None)
+                rare = len(s) - int(late.sum())
+                late_last.append(at >= rare)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int32)
             flat = np.concatenate(listed) if listed else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -147,8 +151,10 @@ def _entries(params: JaccardParams, common: Broadcast):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_signature(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array(late_last, pa.bool_()),
+                    pa.array(last, pa.int64()),
                 ],
-                ["id", "n", "signature", "entries"],
+                ["id", "n", "signature", "entries", "last_common", "last_key"],
             )
 
     return entries
@@ -223,21 +229,34 @@ class _Links:
         """The least intersection of two linked sets of these sizes."""
         return F.ceil((n + m) * self.params.num / (self.params.num + self.params.den))
 
-    def may_link(self, n: str, i: str, m: str, j: str) -> Column:
-        """Sizes allow a link, and so does what follows a shared entry at these positions."""
-        sizes = (F.least(n, m) * self.params.den >= F.greatest(n, m) * self.params.num)
-        rest = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
-        return sizes & (rest >= self.least_overlap(F.col(n), F.col(m)))
+    def similar_sizes(self, n: str, m: str) -> Column:
+        return F.least(n, m) * self.params.den >= F.greatest(n, m) * self.params.num
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, by signature bound and then by exact intersection."""
-        side = self.nodes.select("id", "n", "signature")
-        left = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-        right = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+        """The pairs (a, b) that link; ``shared`` counts the listed entries that both have.
+
+        Of the two lists one ends first in the common order.  All its entries that the other set
+        holds are counted in ``shared``, so the overlap is at most ``shared`` plus what that set
+        has beyond its list.  Then follow the signature bound and the exact intersection.
+        """
+        side = self.nodes.select(
+            "id", "n", "signature", (F.col("n") - F.size("entries")).alias("beyond"), F.struct("last_common", "last_key").alias("last")
+        )
+        left = side.select(*[F.col(c).alias(c + "_a" if c != "id" else "a") for c in side.columns])
+        right = side.select(*[F.col(c).alias(c + "_b" if c != "id" else "b") for c in side.columns])
+        beyond = F.when(F.col("last_a") <= F.col("last_b"), F.col("beyond_a")).otherwise(F.col("beyond_b"))
+        need = self.least_overlap(F.col("n_a"), F.col("n_b"))
+        slim = ["n", "beyond", "last"]
+        counted = (
+            pairs.join(left.select("a", *[c + "_a" for c in slim]), "a")
+            .join(right.select("b", *[c + "_b" for c in slim]), "b")
+            .where(F.col("shared") + beyond >= need)
+            .select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
+        )
         bounded = (
-            pairs.join(left, "a")
-            .join(right, "b")
-            .withColumn("differ", _difference("sa", "sb"))
+            counted.join(left.select("a", "signature_a"), "a")
+            .join(right.select("b", "signature_b"), "b")
+            .withColumn("differ", _difference("signature_a", "signature_b"))
             .where((F.col("na") + F.col("nb") - F.col("differ")) / 2 >= self.least_overlap(F.col("na"), F.col("nb")))
         )
         near = spill(bounded.select("a", "b", "na", "nb"), "near")
@@ -278,23 +297,24 @@ def jaccard_components(
     classes = documents.where("n > 0").groupBy("high", "low", "n").agg(F.min("id").alias("class_id"))
     classes = spill(classes, "classes")
     listed = texts.mapInArrow(
-        _entries(params, spark.sparkContext.broadcast(often)), "id long, n long, signature binary, entries array<long>"
+        _entries(params, spark.sparkContext.broadcast(often)),
+        "id long, n long, signature binary, entries array<long>, last_common boolean, last_key long",
     )
     representatives = classes.select(F.col("class_id").alias("id"))
     nodes = spill(listed.join(representatives, "id", "left_semi").dropDuplicates(["id"]), "nodes")
     links = _Links(texts, nodes, params)
 
     band = F.floor(F.log(F.col("n")) / float(np.log(params.den / params.num))).cast("int")
-    tiles = nodes.select("id", "n", band.alias("band"), F.posexplode("entries").alias("place", "entry"))
+    tiles = nodes.select("id", "n", band.alias("band"), F.explode("entries").alias("entry"))
     seen = tiles.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1")
     tiles = spill(tiles.join(seen.select("entry"), "entry", "left_semi"), "tiles")
 
-    first = tiles.groupBy("entry", "band").agg(F.min(F.struct("id", "n", "place")).alias("first"))
+    first = tiles.groupBy("entry", "band").agg(F.min(F.struct("id", "n")).alias("first"))
     starred = tiles.join(first, ["entry", "band"]).select(
-        "id", "n", "place", F.col("first.id").alias("to"), F.col("first.n").alias("m"), F.col("first.place").alias("j")
+        "id", "n", F.col("first.id").alias("to"), F.col("first.n").alias("m")
     )
-    stars = starred.where("id != to").where(links.may_link("n", "place", "m", "j"))
-    edges = links.verified(stars.select(F.col("to").alias("a"), F.col("id").alias("b")).distinct())
+    stars = starred.where("id != to").where(links.similar_sizes("n", "m"))
+    edges = links.verified(stars.groupBy(F.col("to").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")))
     components = connected_components(edges)
 
     placed = tiles.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn(
@@ -309,17 +329,17 @@ def jaccard_components(
     )
     open_tiles = placed.join(mixed.select("entry", "main"), "entry")
     outer = open_tiles.where("component != main").select(
-        "entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca")
+        "entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")
     )
     inner = open_tiles.select(
-        "entry", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb")
+        "entry", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")
     )
     rest = (
         outer.join(inner, "entry")
         .where("ca != cb AND (cb = main OR a < b)")
-        .where(links.may_link("na", "pa", "nb", "pb"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .where(links.similar_sizes("na", "nb"))
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .agg(F.count("*").alias("shared"))
     )
     edges = edges.unionByName(links.verified(rest))
     components = connected_components(edges).withColumnRenamed("node", "class_id")
