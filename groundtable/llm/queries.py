@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundtable.llm.exact_dedup import exact_dedup
+from groundtable.llm.html_extract import extract_pages
 from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
 from groundtable.llm.language_id import identify_languages
 from groundtable.llm.mixing import mix_sources
@@ -20,6 +21,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     found = jaccard_components(_read(spark, sf_dir, "documents"), params=JaccardParams(words=3, num=90, den=100))
@@ -165,6 +171,7 @@ FROM chars
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
+    "op5_html_extract": op5_html_extract,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
