@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundtable.llm.embedding_dedup import near_vectors
 from groundtable.llm.exact_dedup import exact_dedup
 from groundtable.llm.html_extract import extract_pages
 from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
@@ -89,6 +90,11 @@ SELECT doc_id,
 FROM normal
 """
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.93 within a label."""
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from the documents that are not held out."""
     return identify_languages(_read(spark, sf_dir, "documents"))
@@ -169,6 +175,7 @@ FROM chars
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_html_extract": op5_html_extract,
