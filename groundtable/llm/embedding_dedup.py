@@ -33,10 +33,15 @@ from groundtable.plans.shared import shuffle_width, spill
 
 @dataclass(frozen=True)
 class CapParams:
-    """``miss`` is the modelled share of links at the least cosine that share no filter."""
+    """``miss`` is the modelled share of links at the least cosine that share no filter.
+
+    Filters of one code share codewords, so a vector's filters come in clumps; ``codes`` independent
+    codes, each with a rotation of its own, even that out.
+    """
 
     cosine: float = 0.93
-    miss: float = 0.002
+    miss: float = 0.0005
+    codes: int = 6
     rows_per_cap: int = 32
     tile_rows: int = 1024
     seed: int = 11
@@ -62,15 +67,18 @@ def plan_code(n: int, params: CapParams) -> CapCode:
     tail = np.array([0.5 * math.erfc((low - params.cosine * v) / spread / math.sqrt(2)) for v in x])
     both = np.trapezoid(np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * tail, x) / inside
     wanted = math.log(1 / params.miss) / both
-    return CapCode(math.ceil(math.sqrt(wanted / inside)), low)
+    return CapCode(math.ceil(math.sqrt(wanted / inside / params.codes)), low)
 
 
-def _codebook(dim: int, code: CapCode, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random rotation and the Gaussian codewords of both halves."""
+def _codebook(dim: int, words: int, codes: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The Gaussian codewords of both halves of each code, rotated back to the vectors' axes."""
     random = np.random.RandomState(seed)
-    rotation = np.linalg.qr(random.randn(dim, dim))[0]
     half = (dim + 1) // 2
-    return rotation, random.randn(half, code.words), random.randn(dim - half, code.words)
+    out = []
+    for _ in range(codes):
+        rotation = np.linalg.qr(random.randn(dim, dim))[0]
+        out.append((rotation[:, :half] @ random.randn(half, words), rotation[:, half:] @ random.randn(dim - half, words)))
+    return out
 
 
 def _decode(first: np.ndarray, second: np.ndarray, threshold: float) -> np.ndarray:
@@ -86,11 +94,11 @@ def _decode(first: np.ndarray, second: np.ndarray, threshold: float) -> np.ndarr
     return np.sort(np.repeat(some, counts) * len(second) + order[place])
 
 
-def _filters(code: CapCode, seed: int):
+def _filters(code: CapCode, params: CapParams):
     """Adds to each vector its unit form and the filters whose caps hold it."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[int, tuple] = {}
+        books: dict[int, list] = {}
         for batch in batches:
             units, lists = [], []
             for vector in batch.column("vector"):
@@ -98,11 +106,10 @@ def _filters(code: CapCode, seed: int):
                 v = v / np.abs(v).max()
                 v = v / math.sqrt(float(v @ v))
                 if len(v) not in books:
-                    books[len(v)] = _codebook(len(v), code, seed)
-                rotation, a, b = books[len(v)]
-                turned = v @ rotation
+                    books[len(v)] = _codebook(len(v), code.words, params.codes, params.seed)
                 units.append(v)
-                lists.append(_decode(turned[: len(a)] @ a, turned[len(a) :] @ b, code.threshold))
+                found = [_decode(v @ a, v @ b, code.threshold) + k * code.words**2 for k, (a, b) in enumerate(books[len(v)])]
+                lists.append(np.concatenate(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("id", "space", "copies")] + [pa.array(units, pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.int64()))],
                 ["id", "space", "copies", "unit", "filters"],
@@ -202,7 +209,7 @@ def near_vectors(
     largest = classes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
     code = plan_code(largest, params)
     decoded = classes.select("id", "space", "copies", "vector").mapInArrow(
-        _filters(code, params.seed), "id long, space long, copies long, unit array<double>, filters array<long>"
+        _filters(code, params), "id long, space long, copies long, unit array<double>, filters array<long>"
     )
     placed = spill(decoded, "caps")
     members = placed.select("*", F.explode("filters").alias("filter"))
