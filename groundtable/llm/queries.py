@@ -14,6 +14,7 @@ from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
 from groundtable.llm.language_id import identify_languages
 from groundtable.llm.mixing import mix_sources
 from groundtable.llm.packing import pack_documents
+from groundtable.llm.repeat_removal import remove_repeats
 from groundtable.llm.toxicity import score_toxicity
 from groundtable.llm.warc import archive_pages, payload_sha1
 
@@ -90,6 +91,11 @@ SELECT doc_id,
 FROM normal
 """
 
+def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that 200-byte repeats cover, and what remains."""
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.93 within a label."""
     return near_vectors(_read(spark, sf_dir, "embeddings"))
@@ -175,6 +181,7 @@ FROM chars
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeat_removal": op1_repeat_removal,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
