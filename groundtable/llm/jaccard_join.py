@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from groundtable.llm.byte_hash import IS_SPACE, LOWER_CODES, SpanHasher, mix, runs, utf8_parts
 from groundtable.llm.components import connected_components
+from groundtable.llm.id_filter import mark_ids, marked
 from groundtable.plans.shared import spill
 
 SIGNATURE_WORDS = 8  # of 64 bits
@@ -160,47 +161,25 @@ def _entries(params: JaccardParams, common: Broadcast):
     return entries
 
 
-def _whole_sets(words: int, bits: int, wanted: Broadcast):
+def _whole_sets(words: int, wanted: Broadcast):
     """The full sorted set of each document that the candidate filter lets through."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            slots = (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            rows = np.flatnonzero((wanted.value[slots >> 3] >> (slots & 7)) & 1)
-            texts = batch.column("text").take(pa.array(rows))
+            rows = pa.array(marked(batch.column("id"), wanted.value))
+            texts = batch.column("text").take(rows)
             sets = []
             for _, _, data, offsets in utf8_parts(texts):
                 sets += _shingles(data, offsets, words)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "entries"]
+                [batch.column("id").take(rows), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "entries"]
             )
 
     return whole
 
 
-def _filter_bits(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of ``2**bits`` bits marking the hashed ids; built from at most 2**(bits - 12) rows."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = mix(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(64 - bits)).astype(np.int64))], ["slot"])
-
-    pages = (
-        ids.select("id").mapInArrow(mark, "slot long")
-        .groupBy(F.shiftright("slot", 12).alias("page"))
-        .agg(F.collect_set((F.col("slot") % 4096).cast("int")).alias("slots"))
-    )
-    bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for page, slots in zip(*[c.to_pylist() for c in pages.toArrow().columns]):
-        at = np.array(slots, dtype=np.int64) + (page << 12)
-        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return bitmap
-
-
 @F.arrow_udf(T.IntegerType())
 def _difference(left: pa.Array, right: pa.Array) -> pa.Array:
     """Number of bits in which two signatures differ."""
@@ -261,9 +240,8 @@ class _Links:
         )
         near = spill(bounded.select("a", "b", "na", "nb"), "near")
         ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        bits = self.params.candidate_bits
-        wanted = self.texts.sparkSession.sparkContext.broadcast(_filter_bits(ids, bits))
-        whole = self.texts.mapInArrow(_whole_sets(self.params.words, bits, wanted), "id long, entries array<long>")
+        wanted = self.texts.sparkSession.sparkContext.broadcast(mark_ids(ids, self.params.candidate_bits))
+        whole = self.texts.mapInArrow(_whole_sets(self.params.words, wanted), "id long, entries array<long>")
         sets = spill(whole.join(ids, "id", "left_semi"), "sets")
         checked = (
             near.join(sets.select(F.col("id").alias("a"), F.col("entries").alias("ea")), "a")
