@@ -6,16 +6,18 @@ link when ``den * intersection >= num * union``.  Links are found in this order:
 
 1. Documents with equal sets form a class and one of them, the smallest id, stands for it.
 2. Each representative lists the rarest part of its set, just long enough that two linked documents
-   share an entry, so documents meet only in the tile of a shared entry.  Entries seen in very many
-   documents are listed last; any common order keeps this exact.
-3. In each tile, cut by size band, every document is compared with the tile's first one.  This joins
-   large groups of near copies with one comparison each instead of all pairs.
+   share an entry, so documents meet only in the tile of a shared entry.  Any common order of
+   entries keeps this exact; the one by document counts keeps tiles small.
+3. Every document is compared with one other: of the first documents of its tiles, cut by size
+   band, the one that it meets most often.  This joins large groups of near copies with one
+   comparison each instead of all pairs.
 4. In tiles that still hold several components, each document outside the largest component is
    compared with all documents of other components.  Nothing is capped, so no component is split.
 
-A comparison first checks sizes and the number of listed entries in common, then a 512-bit parity
-signature: bits in which two signatures differ come from shingles that only one set has.  Both bound
-the overlap from above.  Pairs that pass have their sorted arrays intersected.
+A comparison first checks sizes and the places of a shared entry in both lists, then parity
+signatures of 512 bits, more for large sets: bits in which two signatures differ come from shingles
+that only one set has.  Both bound the overlap from above.  Pairs that pass have their sorted arrays
+intersected.
 
 * Null text and texts without words have an empty set (size 0) and link with nothing.
 * Ties between ids do not arise; rows that repeat an id count as one document with one text.
@@ -40,23 +42,23 @@ from groundtable.llm.components import connected_components
 from groundtable.llm.id_filter import mark_ids, marked
 from groundtable.plans.shared import spill
 
-SIGNATURE_WORDS = 8  # of 64 bits
+SIGNATURE_BITS = 512
 
 
 @dataclass(frozen=True)
 class JaccardParams:
     """Links need ``den * intersection >= num * union`` over shingles of ``words`` words.
 
-    ``common_entries`` bounds the list of very common shingles that is broadcast; a shingle counts
-    as common from ``common_from`` documents on.  Both only change the order of entries.
+    ``rarity_bits`` sizes the table of document counts by hashed shingle that is broadcast, a byte a
+    slot; counts below ``common_from`` are not told apart.  Both only change the order of entries.
     ``candidate_bits`` is the fixed size, as a power of two, of the filter on candidate documents.
     """
 
     words: int = 5
     num: int = 80
     den: int = 100
-    common_entries: int = 1 << 16
-    common_from: int = 32
+    rarity_bits: int = 20
+    common_from: int = 16
     candidate_bits: int = 23
 
 
@@ -89,9 +91,12 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndar
 
 
 def _signature(entries: np.ndarray) -> bytes:
-    """Parity of the number of entries hashed to each of 512 bits."""
-    bits = np.bincount((entries & np.uint64(64 * SIGNATURE_WORDS - 1)).astype(np.int64), minlength=64 * SIGNATURE_WORDS)
-    return np.packbits((bits & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of entries hashed to each bit; the bits are half the set's size or more."""
+    bits = SIGNATURE_BITS
+    while bits * 2 < len(entries):
+        bits *= 2
+    counts = np.bincount((entries & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
 def _profile(words: int):
@@ -114,7 +119,7 @@ def _profile(words: int):
             entries = np.sort(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
             first = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1]])) if len(entries) else np.zeros(0, np.int64)
             counts = np.diff(np.append(first, len(entries)))
-            often = counts >= 4
+            often = counts >= 3
             found = entries[first[often]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.array(counts[often].astype(np.int64)), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64())],
@@ -124,26 +129,21 @@ def _profile(words: int):
     return profile
 
 
-def _entries(params: JaccardParams, common: Broadcast):
+def _entries(params: JaccardParams, rarity: Broadcast):
     """Each document's signature and the listed part of its set, rarest first."""
+    shift = np.uint64(64 - params.rarity_bits)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = common.value
+        table = rarity.value
         for batch in batches:
             sets = []
             for _, _, data, offsets in utf8_parts(batch.column("text")):
                 sets += _shingles(data, offsets, params.words)
-            listed, last, late_last = [], [], []
+            listed = []
             for s in sets:
                 need = -(-params.num * len(s) // params.den)  # the least overlap of any link
-                at = np.searchsorted(often, s)
-                late = often[np.minimum(at, len(often) - 1)] == s if len(often) else np.zeros(len(s), dtype=bool)
-                order = np.concatenate([s[~late], s[late]])
-                listed.append(order[: len(s) - need + 1].view(np.int64) if len(s) else s.view(np.int64))
-                at = len(listed[-1]) - 1
-                last.append(int(listed[-1][at]) ^ -(1 << 63) if at >= 0 else None)
-                rare = len(s) - int(late.sum())
-                late_last.append(at >= rare)
+                order = np.argsort(table[s >> shift], kind="stable")[: len(s) - need + 1] if len(s) else np.zeros(0, np.int64)
+                listed.append(s[order].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int32)
             flat = np.concatenate(listed) if listed else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -152,10 +152,8 @@ def _entries(params: JaccardParams, common: Broadcast):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_signature(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    pa.array(late_last, pa.bool_()),
-                    pa.array(last, pa.int64()),
                 ],
-                ["id", "n", "signature", "entries", "last_common", "last_key"],
+                ["id", "n", "signature", "entries"],
             )
 
     return entries
@@ -182,9 +180,16 @@ def _whole_sets(words: int, wanted: Broadcast):
 
 @F.arrow_udf(T.IntegerType())
 def _difference(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Number of bits in which two signatures differ."""
-    a, b = (np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE_WORDS) for x in (left, right))
-    return pa.array(np.bitwise_count(a ^ b).sum(axis=1).astype(np.int32))
+    """Number of bits in which two signatures differ; the longer one is folded to the shorter one's length."""
+    out = []
+    for x, y in zip(left, right):
+        a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+        while len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        while len(b) > len(a):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        out.append(int(np.bitwise_count(a ^ b).sum()))
+    return pa.array(out, pa.int32())
 
 
 @F.arrow_udf(T.LongType())
@@ -208,34 +213,22 @@ class _Links:
         """The least intersection of two linked sets of these sizes."""
         return F.ceil((n + m) * self.params.num / (self.params.num + self.params.den))
 
-    def similar_sizes(self, n: str, m: str) -> Column:
-        return F.least(n, m) * self.params.den >= F.greatest(n, m) * self.params.num
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link; ``shared`` counts the listed entries that both have.
+    def may_link(self, n: str, i: str, m: str, j: str) -> Column:
+        """Sizes allow a link, and so does what follows a shared entry at these places of both lists.
 
-        Of the two lists one ends first in the common order.  All its entries that the other set
-        holds are counted in ``shared``, so the overlap is at most ``shared`` plus what that set
-        has beyond its list.  Then follow the signature bound and the exact intersection.
+        It holds at the first shared entry of every linked pair.
         """
-        side = self.nodes.select(
-            "id", "n", "signature", (F.col("n") - F.size("entries")).alias("beyond"), F.struct("last_common", "last_key").alias("last")
-        )
-        left = side.select(*[F.col(c).alias(c + "_a" if c != "id" else "a") for c in side.columns])
-        right = side.select(*[F.col(c).alias(c + "_b" if c != "id" else "b") for c in side.columns])
-        beyond = F.when(F.col("last_a") <= F.col("last_b"), F.col("beyond_a")).otherwise(F.col("beyond_b"))
-        need = self.least_overlap(F.col("n_a"), F.col("n_b"))
-        slim = ["n", "beyond", "last"]
-        counted = (
-            pairs.join(left.select("a", *[c + "_a" for c in slim]), "a")
-            .join(right.select("b", *[c + "_b" for c in slim]), "b")
-            .where(F.col("shared") + beyond >= need)
-            .select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
-        )
+        sizes = F.least(n, m) * self.params.den >= F.greatest(n, m) * self.params.num
+        rest = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+        return sizes & (rest >= self.least_overlap(F.col(n), F.col(m)))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by signature bound and then by exact intersection."""
+        side = self.nodes.select("id", "n", "signature")
         bounded = (
-            counted.join(left.select("a", "signature_a"), "a")
-            .join(right.select("b", "signature_b"), "b")
-            .withColumn("differ", _difference("signature_a", "signature_b"))
+            pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
+            .join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")), "b")
+            .withColumn("differ", _difference("sa", "sb"))
             .where((F.col("na") + F.col("nb") - F.col("differ")) / 2 >= self.least_overlap(F.col("na"), F.col("nb")))
         )
         near = spill(bounded.select("a", "b", "na", "nb"), "near")
@@ -264,35 +257,37 @@ def jaccard_components(
         texts.mapInArrow(_profile(params.words), "kind int, id long, n long, high long, low long"), "profiles"
     )
     documents = profiles.where("kind = 0").select("id", "n", "high", "low")
-    common = (
-        profiles.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= params.common_from)
-        .orderBy(F.desc("n"), "id")
-        .limit(params.common_entries)
+    slot = F.shiftrightunsigned("id", 64 - params.rarity_bits)
+    counts = (
+        profiles.where("kind = 1").groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).where(F.col("n") >= params.common_from)
+        .select("slot", F.floor(F.log2("n")).cast("int").alias("class"))
+        .toArrow()  # at most 2**rarity_bits rows
     )
-    often = np.sort(common.select("id").toArrow()["id"].to_numpy().astype(np.int64).view(np.uint64))
+    rarity = np.zeros(1 << params.rarity_bits, dtype=np.uint8)
+    rarity[counts["slot"].to_numpy()] = counts["class"].to_numpy()
 
     classes = documents.where("n > 0").groupBy("high", "low", "n").agg(F.min("id").alias("class_id"))
     classes = spill(classes, "classes")
     listed = texts.mapInArrow(
-        _entries(params, spark.sparkContext.broadcast(often)),
-        "id long, n long, signature binary, entries array<long>, last_common boolean, last_key long",
+        _entries(params, spark.sparkContext.broadcast(rarity)),
+        "id long, n long, signature binary, entries array<long>",
     )
     representatives = classes.select(F.col("class_id").alias("id"))
     nodes = spill(listed.join(representatives, "id", "left_semi").dropDuplicates(["id"]), "nodes")
     links = _Links(texts, nodes, params)
 
     band = F.floor(F.log(F.col("n")) / float(np.log(params.den / params.num))).cast("int")
-    tiles = nodes.select("id", "n", band.alias("band"), F.explode("entries").alias("entry"))
+    tiles = nodes.select("id", "n", band.alias("band"), F.posexplode("entries").alias("place", "entry"))
     seen = tiles.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1")
     tiles = spill(tiles.join(seen.select("entry"), "entry", "left_semi"), "tiles")
 
-    first = tiles.groupBy("entry", "band").agg(F.min(F.struct("id", "n")).alias("first"))
+    first = tiles.groupBy("entry", "band").agg(F.min(F.struct("id", "n", "place")).alias("first"))
     starred = tiles.join(first, ["entry", "band"]).select(
-        "id", "n", F.col("first.id").alias("to"), F.col("first.n").alias("m")
+        "id", "n", "place", F.col("first.id").alias("to"), F.col("first.n").alias("m"), F.col("first.place").alias("j")
     )
-    stars = starred.where("id != to").where(links.similar_sizes("n", "m"))
-    edges = links.verified(stars.groupBy(F.col("to").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")))
+    stars = starred.where("id != to").where(links.may_link("n", "place", "m", "j")).groupBy("id", "to").agg(F.count("*").alias("shared"))
+    nearest = stars.groupBy("id").agg(F.max(F.struct("shared", (-F.col("to")).alias("to"))).alias("star"))
+    edges = links.verified(nearest.select((-F.col("star.to")).alias("a"), F.col("id").alias("b")))
     components = connected_components(edges)
 
     placed = tiles.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn(
@@ -307,17 +302,17 @@ def jaccard_components(
     )
     open_tiles = placed.join(mixed.select("entry", "main"), "entry")
     outer = open_tiles.where("component != main").select(
-        "entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")
+        "entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca")
     )
     inner = open_tiles.select(
-        "entry", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")
+        "entry", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb")
     )
     rest = (
         outer.join(inner, "entry")
         .where("ca != cb AND (cb = main OR a < b)")
-        .where(links.similar_sizes("na", "nb"))
-        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .agg(F.count("*").alias("shared"))
+        .where(links.may_link("na", "pa", "nb", "pb"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
     )
     edges = edges.unionByName(links.verified(rest))
     components = connected_components(edges).withColumnRenamed("node", "class_id")
