@@ -41,3 +41,13 @@ def spill(df: DataFrame, label: str) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """The session's shuffle partition count, for explicit repartitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of fewer rows, for tables of long texts, unless the session sets a size itself.
+
+    Python workers keep the memory of their largest batch, so its size bounds an executor's needs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
