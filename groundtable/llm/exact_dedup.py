@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundtable.plans.shared import shuffle_width, spill
+from groundtable.plans.shared import short_batches, shuffle_width, spill
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -140,6 +140,7 @@ def exact_groups(
     The directory is planned from at most ``2**max_depth`` prefix weights, whatever the input.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     body = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " ")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body"))
     keyed = rows.select("id", "body", F.xxhash64("body").alias("key"), F.unhex(F.sha2("body", 256)).alias("digest"))

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundtable.llm.dom import RAW_TEXT, Tree, parse
+from groundtable.plans.shared import short_batches
 
 # Groups of element names, and words in class, id and role that mark an element.
 GROUPS = {
@@ -232,6 +233,7 @@ def _extract(trees: list[Tree], model: np.ndarray) -> list[str]:
 
 def main_text(pages: DataFrame, model: np.ndarray, html_col: str = "html") -> Column:
     """The column of main texts of an html column under a trained model."""
+    short_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from groundtable.llm.byte_hash import IS_SPACE, LOWER_CODES, SpanHasher, mix, runs, utf8_parts
 from groundtable.llm.components import connected_components
 from groundtable.llm.id_filter import mark_ids, marked
-from groundtable.plans.shared import spill
+from groundtable.plans.shared import short_batches, spill
 
 SIGNATURE_BITS = 512
 
@@ -103,7 +103,20 @@ def _profile(words: int):
     """Rows of kind 0: a document's set size and fingerprint; of kind 1: a shingle's documents."""
     names = ["kind", "id", "n", "high", "low"]
 
+    def common(sets: list[np.ndarray]) -> pa.RecordBatch:
+        entries = np.sort(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1]])) if len(entries) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(first, len(entries)))
+        often = counts >= 3
+        found = entries[first[often]].view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.array(counts[often].astype(np.int64)), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64())],
+            names,
+        )
+
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             ids, sets = batch.column("id"), []
             for _, _, data, offsets in utf8_parts(batch.column("text")):
@@ -111,20 +124,16 @@ def _profile(words: int):
             prints = np.array(
                 [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64) for s in sets], dtype=np.int64
             ).reshape(-1, 2)
-            size = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(size, np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])],
-                names,
-            )
-            entries = np.sort(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1]])) if len(entries) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(first, len(entries)))
-            often = counts >= 3
-            found = entries[first[often]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.array(counts[often].astype(np.int64)), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64())],
+                [pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])],
                 names,
             )
+            held += sets
+            size += sum(len(x) for x in sets)
+            if size >= 4_000_000:
+                yield common(held)
+                held, size = [], 0
+        yield common(held)
 
     return profile
 
@@ -250,6 +259,7 @@ def jaccard_components(
 ) -> DataFrame:
     """One row per document: id, n_shingles, class_id (smallest id with an equal set), component_id."""
     spark = docs.sparkSession
+    short_batches(spark)
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundtable.plans.shared import short_batches
+
 
 @dataclass(frozen=True)
 class LanguageParams:
@@ -74,6 +76,7 @@ def classify_languages(
     docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", params: LanguageParams = LanguageParams()
 ) -> Column:
     """A struct column (lang_pred, score, margin, accepted) of a text column."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
 
     def encoders() -> list[zstandard.ZstdCompressor]:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundtable.llm.word_tokens import WordTokens
+from groundtable.plans.shared import short_batches
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -200,6 +201,7 @@ def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: PackingParams = PackingParams()
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    short_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.length(text).alias("n"))
     return rows.mapInArrow(_packer(params), PIECES).withColumnRenamed("id", id_col)

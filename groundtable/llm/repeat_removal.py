@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from groundtable.llm.byte_hash import SpanHasher, utf8_parts
 from groundtable.llm.id_filter import mark_ids, marked
 from groundtable.llm.run_index import repeated_windows
-from groundtable.plans.shared import shuffle_width, spill
+from groundtable.plans.shared import short_batches, shuffle_width, spill
 
 _SLICE = 8 << 20  # window starts of one slice of a very long text
 _PLACE = np.uint64((1 << 24) - 1)
@@ -198,6 +198,7 @@ def _match(params: RepeatParams):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: RepeatParams = RepeatParams()) -> DataFrame:
     """(id, start, end) byte ranges that repeat; ranges of a text may overlap and come in any order."""
     spark = docs.sparkSession
+    short_batches(spark)
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
     )

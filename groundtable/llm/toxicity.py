@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundtable.llm.byte_hash import IS_ALNUM, LOWER_CODES, SpanHasher, mix, runs, utf8_parts
+from groundtable.plans.shared import short_batches
 
 BITS = 20
 _SLOTS = 1 << BITS
@@ -135,6 +136,7 @@ def train_toxicity(
     params: FtrlParams = FtrlParams(),
 ) -> tuple[np.ndarray, np.ndarray]:
     """Learn from labelled rows that are not held out; returns (slots, weights), at most 2**20 of them."""
+    short_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
     sample = (
         known.where(F.col("label").isNotNull() & ~held_out(F.col("id")))
@@ -154,6 +156,7 @@ def train_toxicity(
 
 def toxicity_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> Column:
     """The column of scores in [0, 1] of a text column under a trained model."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
