@@ -1 +1,15 @@
-"""Materialisation and sizing helpers shared by multi-step jobs."""
+"""Registered queries of the library, and the helpers that multi-step jobs share."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+_MODULES = ("log_queries",)
+
+
+def all_queries() -> tuple[dict, dict]:
+    """(queries, SQL) of all modules of registered queries."""
+    for name in _MODULES:
+        import_module(f"groundtable.plans.{name}")
+    registry = import_module("groundtable.plans.registry")
+    return dict(registry.QUERIES), dict(registry.ORACLE_SQL)
