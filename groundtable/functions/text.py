@@ -160,8 +160,8 @@ def any_match(text: Column, patterns: list[str]) -> Column:
 
 
 def distinct_hits(text: Column, vocabulary: list[str]) -> Column:
-    """How many different words of a vocabulary a text has."""
-    pattern = "\\b(" + "|".join(vocabulary) + ")"
+    """How many different words of a vocabulary a text has; words begin after anything but ``a-z0-9_``."""
+    pattern = "(?<![a-z0-9_])(" + "|".join(vocabulary) + ")"
     return F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))))
 
 
