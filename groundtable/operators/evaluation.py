@@ -34,3 +34,115 @@ def retrieval_quality(listed: DataFrame, truth: DataFrame, k: int = 6) -> DataFr
         F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias("recall"),
         F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"),
     )
+
+
+def gate_audit(gated: DataFrame, truth: DataFrame) -> DataFrame:
+    """Wrong refusals of answerable questions, wrong passes of others, and how far scores separate."""
+    marked = gated.join(truth.select("question_id").distinct().withColumn("on_topic", F.lit(True)), "question_id", "left").withColumn(
+        "on_topic", F.coalesce("on_topic", F.lit(False))
+    )
+    on, passed = F.col("on_topic"), F.col("pass")
+    return marked.agg(
+        F.count("*").alias("questions"),
+        F.sum((on & ~passed).cast("long")).alias("false_negatives"),
+        F.sum((~on & passed).cast("long")).alias("false_positives"),
+        F.round(F.min(F.when(on, F.col("best_cosine"))), 6).alias("least_on_topic"),
+        F.round(F.max(F.when(~on, F.col("best_cosine"))), 6).alias("most_off_topic"),
+    )
+
+
+def source_routing(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """Whether the expected source, or a stand-in for it, is among a question's results."""
+    sources = results.groupBy("question_id").agg(F.collect_set("source_id").alias("found"))
+    routed = F.array_contains("found", F.col("source_id")) | F.arrays_overlap("found", "stand_ins")
+    return expected.join(sources, "question_id", "left").select("question_id", "source_id", F.coalesce(routed, F.lit(False)).alias("routed"))
+
+
+def publish_decision(audit: DataFrame, routing: DataFrame) -> DataFrame:
+    """One row; nothing is published while the gate or the routing fails anywhere."""
+    routes = routing.agg(F.bool_and("routed").alias("all_routed"))
+    return audit.join(F.broadcast(routes)).select(
+        (F.col("all_routed") & (F.col("false_negatives") == 0) & (F.col("false_positives") == 0)).alias("publish")
+    )
+
+
+def assemble_frames(frames: DataFrame) -> DataFrame:
+    """E5: (response_id, seq, event, data) frames to one row per response."""
+    piece = F.when(F.col("event") == "token", F.struct("seq", "data"))
+    return frames.groupBy("response_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["data"]), "").alias("answer"),
+        F.bool_or(F.col("event") == "done").alias("complete"),
+        F.max_by(F.when(F.col("event") == "meta", F.col("data")), F.when(F.col("event") == "meta", F.col("seq"))).alias("meta"),
+        F.count("*").alias("frames"),
+    )
+
+
+def structural_checks(responses: DataFrame) -> DataFrame:
+    """(case_id, status, failures) of recorded responses; describes structure, not truth.
+
+    Needs case_id, status, error, complete, degraded, refused, answer, required and cited (array of numbers).
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce("answer", F.lit("")), r"(?s)```.*?```", " "), r"`[^`]*`", " ")
+    marks = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(r"(?<!\w)\[(\d+(?:\s*,\s*\d+)*)\]"), F.lit(1)), lambda m: F.split(m, r"\s*,\s*")))
+    dangling = F.array_except(F.transform(marks, lambda m: m.cast("int")), F.coalesce("cited", F.array().cast("array<int>")))
+    found = F.array_compact(
+        F.array(
+            F.col("error"),
+            F.when(~F.col("complete"), "No terminal done event."),
+            F.when(F.col("degraded"), "Source-only fallback."),
+            F.when(F.col("refused"), "The scenario was refused."),
+            F.when(F.trim(F.coalesce("answer", F.lit(""))) == "", "No grounded answer text."),
+            F.when(F.col("required") & (F.size(F.coalesce("cited", F.array().cast("array<int>"))) == 0), "Required citations are absent."),
+        )
+    )
+    failures = F.concat(found, F.transform(dangling, lambda n: F.format_string("Citation [%d] has no source record.", n)))
+    made = responses.select("case_id", F.when(F.col("status") == "not-run", F.array(F.lit("No answer recorded."))).otherwise(failures).alias("failures"), F.col("status").alias("run"))
+    status = F.when(F.col("run") == "not-run", "not-run").when(F.size("failures") > 0, "failed").otherwise("ready-for-review")
+    return made.select("case_id", status.alias("status"), "failures")
+
+
+def score_judgments(checked: DataFrame, judgments: DataFrame) -> DataFrame:
+    """Review status of each case; only structurally ready ones are scored, human and model apart."""
+    joined = checked.join(judgments, "case_id", "left")
+    passed = F.least("correctness", "usefulness", "citation_support") >= 3
+    status = (
+        F.when(F.col("status") != "ready-for-review", F.col("status"))
+        .when(F.col("reviewer_type").isNull(), "awaiting-human-review")
+        .when(F.col("reviewer_type") == "human", F.when(passed, "passed").otherwise("failed-human-review"))
+        .otherwise(F.when(passed, "passed-model-review").otherwise("failed-model-review"))
+    )
+    ready = F.col("status") == "ready-for-review"
+    return joined.select(
+        "case_id", status.alias("review_status"), F.when(ready, F.col("reviewer_type")).alias("reviewer_type"),
+        *[F.when(ready, F.col(c)).alias(c) for c in ("correctness", "usefulness", "citation_support")],
+    )
+
+
+def run_summary(scored: DataFrame) -> DataFrame:
+    """Counts and means of a run; quality stands only if every case passed human review."""
+    human, model = F.col("reviewer_type") == "human", F.col("reviewer_type") == "model"
+    n = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
+    status = F.col("review_status")
+    made = scored.agg(
+        F.count("*").alias("total"), n(human).alias("human_reviewed"), n(model).alias("model_reviewed"), n(status == "passed").alias("passed"),
+        n(status == "passed-model-review").alias("model_passed"), n(status.isin("failed", "failed-human-review", "failed-model-review")).alias("failures"),
+        F.round(F.avg(F.when(human, F.col("correctness"))), 2).alias("human_correctness"), F.round(F.avg(F.when(model, F.col("correctness"))), 2).alias("model_correctness"),
+    )
+    return made.withColumn("quality_established", (F.col("total") > 0) & (F.col("passed") == F.col("total")))
+
+
+def run_integrity(records: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, problem) of repeated and unknown cases in a run."""
+    repeated = records.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1").select("case_id", F.lit("duplicate").alias("problem"))
+    unknown = records.join(cases.select("case_id"), "case_id", "left_anti").select("case_id", F.lit("unknown").alias("problem")).distinct()
+    return repeated.unionByName(unknown)
+
+
+def select_cases(cases: DataFrame, category: str | None = None, ids: list[int] | None = None, limit: int = 40) -> DataFrame:
+    """Cases by category or ids, at most ``limit`` (1 to 40) in the data set's order."""
+    chosen = cases
+    if category is not None:
+        chosen = chosen.where(F.col("category") == category)
+    if ids is not None:
+        chosen = chosen.where(F.col("case_id").isin(ids))
+    return chosen.orderBy("case_id").limit(max(1, min(40, limit)))
