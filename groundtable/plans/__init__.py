@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("log_queries", "retrieval_queries", "corpus_queries", "audit_queries")
+_MODULES = ("log_queries", "retrieval_queries", "corpus_queries", "audit_queries", "stream_queries")
 
 
 def all_queries() -> tuple[dict, dict]:

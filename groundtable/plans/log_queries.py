@@ -75,7 +75,11 @@ def l7(spark, sf_dir):
 
 
 def _usage(spark, sf_dir):
-    return _log(spark, sf_dir).select(
+    return _usage_columns(_log(spark, sf_dir))
+
+
+def _usage_columns(log):
+    return log.select(
         "ts",
         F.when(F.col("llm_called"), "answer").otherwise("plan").alias("kind"),
         F.when(F.col("k") % 5 != 0, F.col("k") * 10).alias("prompt"),
