@@ -66,6 +66,14 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_
     return final.select("source", "source_size", target.alias("target"))
 
 
+def _with_source(rows: DataFrame, per_source: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join a table of one row per source (named ``s``) to documents; a large source is dealt over salted keys."""
+    spread = per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("salt", "other_salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    match = F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("other_salt"))
+    return salted.join(spread, match, how).drop("s", "salt", "other_salt")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -95,7 +103,7 @@ def mix_sources(
         totals.select(F.col("source").alias("s"), "weighed"), F.col("t.source").eqNullSafe(F.col("s"))
     ).select(F.col("t.source").alias("s"), "source_size", "target", "weighed")
 
-    joined = sizes.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    joined = _with_source(sizes, per_source)
     if weight_col:
         expected = F.col("target") * F.col("share") / F.col("weighed")
     else:
@@ -128,7 +136,7 @@ def mix_sources(
         .agg(F.max(F.struct("bin", "before", "lacking")).alias("cut"))
         .select(F.col("source").alias("s"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"), F.col("cut.lacking").alias("lacking"))
     )
-    placed = ranked.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left")
+    placed = _with_source(ranked, cuts, "left")
     within = placed.where(F.col("bin") == F.col("cut_bin"))
     elsewhere = placed.where((F.col("bin") != F.col("cut_bin")) | F.col("cut_bin").isNull())
     order = Window.partitionBy("source", "bin").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
