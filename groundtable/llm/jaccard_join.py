@@ -15,7 +15,7 @@ link when ``den * intersection >= num * union``.  Links are found in this order:
    compared with all documents of other components.  Nothing is capped, so no component is split.
 
 A comparison first checks sizes and the places of a shared entry in both lists, then parity
-signatures of 512 bits, more for large sets: bits in which two signatures differ come from shingles
+signatures, folded to 256 bits and then of 512 bits, more for large sets: bits in which two signatures differ come from shingles
 that only one set has.  Both bound the overlap from above.  Pairs that pass have their sorted arrays
 intersected.
 
@@ -99,6 +99,14 @@ def _signature(entries: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _sketch(signature: bytes) -> np.ndarray:
+    """A signature folded to 256 bits, as four integers."""
+    bits = np.frombuffer(signature, dtype=np.int64)
+    while len(bits) > 4:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _profile(words: int):
     """Rows of kind 0: a document's set size and fingerprint; of kind 1: a shingle's documents."""
     names = ["kind", "id", "n", "high", "low"]
@@ -155,14 +163,16 @@ def _entries(params: JaccardParams, rarity: Broadcast):
                 listed.append(s[order].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int32)
             flat = np.concatenate(listed) if listed else np.zeros(0, dtype=np.int64)
+            signatures = [_signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_signature(s) for s in sets], pa.binary()),
+                    pa.array(signatures, pa.binary()),
+                    pa.array([_sketch(x) for x in signatures], pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
-                ["id", "n", "signature", "entries"],
+                ["id", "n", "signature", "sketch", "entries"],
             )
 
     return entries
@@ -231,6 +241,11 @@ class _Links:
         rest = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
         return sizes & (rest >= self.least_overlap(F.col(n), F.col(m)))
 
+    def near_sketches(self, n: str, a: str, m: str, b: str) -> Column:
+        """The sketches differ in no more bits than the sets of a link may differ in entries."""
+        differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(4)), F.lit(0))
+        return differ <= F.col(n) + F.col(m) - 2 * self.least_overlap(F.col(n), F.col(m))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by signature bound and then by exact intersection."""
         side = self.nodes.select("id", "n", "signature")
@@ -280,7 +295,7 @@ def jaccard_components(
     classes = spill(classes, "classes")
     listed = texts.mapInArrow(
         _entries(params, spark.sparkContext.broadcast(rarity)),
-        "id long, n long, signature binary, entries array<long>",
+        "id long, n long, signature binary, sketch array<long>, entries array<long>",
     )
     representatives = classes.select(F.col("class_id").alias("id"))
     nodes = spill(listed.join(representatives, "id", "left_semi").dropDuplicates(["id"]), "nodes")
@@ -310,17 +325,17 @@ def jaccard_components(
         .agg(F.count("*").alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main"))
         .where("parts > 1")
     )
-    open_tiles = placed.join(mixed.select("entry", "main"), "entry")
+    open_tiles = placed.join(mixed.select("entry", "main"), "entry").join(nodes.select("id", "sketch"), "id")
     outer = open_tiles.where("component != main").select(
-        "entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca")
+        "entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("sketch").alias("sa"), F.col("component").alias("ca")
     )
     inner = open_tiles.select(
-        "entry", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb")
+        "entry", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("sketch").alias("sb"), F.col("component").alias("cb")
     )
     rest = (
         outer.join(inner, "entry")
         .where("ca != cb AND (cb = main OR a < b)")
-        .where(links.may_link("na", "pa", "nb", "pb"))
+        .where(links.may_link("na", "pa", "nb", "pb") & links.near_sketches("na", "sa", "nb", "sb"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
