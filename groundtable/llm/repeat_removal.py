@@ -203,8 +203,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
     )
     scanned = texts.mapInArrow(_scan(params), OCCURRENCE)
-    again = scanned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = spill(scanned.join(again, "anchor", "left_semi"), "occurrences")
+    # stored first, so that the join has exchanges of its own and a very frequent anchor can be split
+    repeated = spill(scanned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    again = spill(scanned.join(repeated, "anchor", "left_semi"), "occurrences")
 
     classes = spill(
         again.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "low", "high")).alias("one")), "contexts"
