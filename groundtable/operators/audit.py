@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundtable.operators.chunking import strip
+
 # Words that say nothing about a claim, for citation overlap and for evidence.
 CLAIM_STOPWORDS = (
     "the a an and or but if then than that this these those is are was were be "
@@ -21,7 +23,7 @@ def without_code(text: Column) -> Column:
 def paragraphs(answers: DataFrame) -> DataFrame:
     """(answer_id, para, paragraph) of answers without fenced code."""
     parts = F.split(F.regexp_replace("answer_md", r"(?s)```.*?```", " "), r"\n\s*\n")
-    return answers.select("answer_id", F.posexplode(F.filter(F.transform(parts, F.trim), lambda p: p != "")).alias("para", "paragraph"))
+    return answers.select("answer_id", F.posexplode(F.filter(F.transform(parts, strip), lambda p: p != "")).alias("para", "paragraph"))
 
 
 def citation_marks(answers: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def split_beyond(text: Column) -> tuple[Column, Column]:
     """The grounded half and what follows the ``==BEYOND==`` mark."""
     clean = F.regexp_replace(text, r"^\s*==\s*GROUNDED\s*==\s*", "")
     parts = F.split(clean, r"\s*==\s*BEYOND\s*==\s*", 2)
-    return F.trim(F.element_at(parts, 1)), F.when(F.size(parts) > 1, F.trim(F.element_at(parts, -1))).otherwise("")
+    return strip(F.element_at(parts, 1)), F.when(F.size(parts) > 1, strip(F.element_at(parts, -1))).otherwise("")
 
 
 def drop_deflection(text: Column) -> Column:

@@ -23,6 +23,11 @@ class ChunkParams:
 DEFAULTS = ChunkParams()
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def heading_paths(sections: DataFrame, levels: int = DEFAULTS.levels) -> DataFrame:
     """Adds ``heading_path``, the titles of the open ancestors and the section's own.
 
@@ -46,7 +51,7 @@ def merge_thin(sections: DataFrame, params: ChunkParams = DEFAULTS) -> DataFrame
 
     The test looks at the body merged so far, so it is a fold over a document's ordered sections.
     """
-    ordered = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.trim("body").alias("body")))).alias("units"))
+    ordered = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", strip(F.col("body")).alias("body")))).alias("units"))
     empty = F.filter(F.transform("units", lambda u: F.struct(u["ord"].alias("ord"), u["body"].alias("body"))), lambda u: F.lit(False))
 
     def step(done: Column, u: Column) -> Column:
@@ -69,7 +74,7 @@ def atoms(body: Column) -> Column:
     fenced = F.split(body, r"(?m)^```")  # odd parts lie inside fences
 
     def part(p: Column, i: Column) -> Column:
-        prose = F.transform(F.split(p, r"\n[ \t]*(?:\n[ \t]*)+"), F.trim)
+        prose = F.transform(F.split(p, r"\n[ \t]*(?:\n[ \t]*)+"), strip)
         return F.when(i % 2 == 1, F.array(F.concat(F.lit("```"), p, F.lit("```")))).otherwise(F.filter(prose, lambda a: F.regexp_replace(a, r"\s", "") != ""))
 
     return F.flatten(F.transform(fenced, part))
