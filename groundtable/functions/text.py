@@ -200,3 +200,35 @@ def retrieval_query(question: Column, title: Column, section: Column) -> Column:
     """Short questions get the page's title and section in front."""
     words = F.size(F.filter(F.split(F.trim(question), r"\s+"), lambda w: w != ""))
     return F.when(words <= 8, F.concat_ws(" — ", title, section, question)).otherwise(question)
+
+
+def needs_depth(text: Column, turns: Column) -> Column:
+    """X11: code, an error, a comparison, several questions, length, or a long conversation."""
+    code = text.rlike(r"(?i)\b(code|java|kotlin|opmode|class|method)\b")
+    error = text.rlike(r"(?i)\b(error|exception|stack ?trace|crash)")
+    compares = text.rlike(r"(?i)\b(vs|versus|compare|difference between)\b")
+    many = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit(""))) > 1
+    return code | error | intent_class(text).isin("advice", "debug") & (F.length(text) > 120) | compares | many | (F.length(text) > 240) | (turns >= 4)
+
+
+def is_greeting(text: Column) -> Column:
+    """X11: nothing but a greeting."""
+    return text.rlike(r"(?i)^\s*(hi|hey|hello|yo|good (morning|afternoon|evening))[\s!.?]*$")
+
+
+def disposition() -> Column:
+    """What becomes of a question, in fixed order.
+
+    Reads valid, greeting, admitted, cached, unindexed_library, passed, topic and under_ceiling.
+    """
+    return (
+        F.when(~F.col("valid"), "invalid").when(F.col("greeting"), "greeting").when(~F.col("admitted"), "rate-limited").when(F.col("cached"), "cached")
+        .when(F.col("unindexed_library"), "unindexed library")
+        .when(F.col("passed") & F.col("under_ceiling"), "grounded").when(F.col("passed"), "degraded")
+        .when(F.col("topic") == "meta", "meta").when(F.col("topic") == "ftc", "uncovered").otherwise("off-topic")
+    )
+
+
+def missing_version(text: Column, library: str = "road ?runner|pedro ?path|ftclib|limelight") -> Column:
+    """A library's API is asked about and no version is named."""
+    return text.rlike(f"(?i)({library})") & text.rlike(r"(?i)\b(api|method|class|import|constructor|function)\b") & ~text.rlike(r"(?i)\bv?\d+\.\d+")

@@ -221,3 +221,11 @@ def upsert_answers(old: DataFrame, new: DataFrame) -> DataFrame:
 def loggable(log: DataFrame) -> DataFrame:
     """Rows asked with personal context are neither cached nor logged."""
     return log.where(~F.coalesce(F.col("private"), F.lit(False)))
+
+
+def section_summary(chunks: DataFrame) -> DataFrame:
+    """Per source and page title how much text there is, in page order; games are told by their title."""
+    return chunks.groupBy("source_id", "page_title").agg(
+        F.count("*").alias("sections"), F.sum("char_len").alias("chars"), F.min("ordinal").alias("first_ordinal"),
+        F.bool_or(F.col("page_title").rlike(r"(?i)\b(game|season)\b")).alias("game_published"),
+    )

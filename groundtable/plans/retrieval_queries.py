@@ -472,3 +472,50 @@ def e1(spark, sf_dir):
         found.select("question_id", F.lit("hybrid").alias("kind"), F.col("final").alias("rank"), "chunk_id")
     )
     return retrieval_quality(kinds, passage_truth(questions(spark, sf_dir), corpus(spark, sf_dir)))
+
+
+@query("X5_term_coverage", f"WITH {FUSED_SQL}, {COVERAGE_SQL} SELECT question_id, round(coverage, 6) AS coverage FROM coverage")
+def x5(spark, sf_dir):
+    return _round(gated(spark, sf_dir), "coverage").select("question_id", "coverage")
+
+
+@query("X11_flags", r"""SELECT conv_id, turn, regexp_matches(text, '(?i)^\s*(hi|hey|hello|yo|good (morning|afternoon|evening))[\s!.?]*$') AS greeting,
+  length(text) - length(replace(text, '?', '')) > 1 OR length(text) > 240 OR turn >= 4 OR regexp_matches(text, '(?i)\b(code|java|kotlin|opmode|class|method)\b')
+  OR regexp_matches(text, '(?i)\b(error|exception|stack ?trace|crash)') OR regexp_matches(text, '(?i)\b(vs|versus|compare|difference between)\b')
+  OR (length(text) > 120 AND """ + f"""CASE WHEN {_any_sql([T.RULE_PATTERN])} THEN 'lookup' WHEN {_any_sql(T.DEBUG_PATTERNS)} THEN 'debug'
+  WHEN {_any_sql(T.ADVICE_PATTERNS)} THEN 'advice' WHEN {_any_sql(T.LOOKUP_PATTERNS)} THEN 'lookup' ELSE 'advice' END IN ('advice', 'debug')) AS deep FROM conversations WHERE role = 'user'""")
+def x11(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select("conv_id", "turn", T.is_greeting(F.col("text")).alias("greeting"), T.needs_depth(F.col("text"), F.col("turn")).alias("deep"))
+
+
+@query("X15_missing_version", r"""SELECT doc_id, regexp_matches(t, '(?i)(road ?runner|pedro ?path|ftclib|limelight)') AND regexp_matches(t, '(?i)\b(api|method|class|import|constructor|function)\b')
+  AND NOT regexp_matches(t, '(?i)\bv?\d+\.\d+') AS ask FROM (SELECT doc_id, 'roadrunner class ' || substr(text, 1, 200) || CASE WHEN doc_id % 3 = 0 THEN ' 1.8' ELSE '' END AS t FROM documents WHERE text IS NOT NULL)""")
+def x15(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    text = F.concat(F.lit("roadrunner class "), F.substring("text", 1, 200), F.when(F.col("doc_id") % 3 == 0, " 1.8").otherwise(""))
+    return docs.select("doc_id", T.missing_version(text).alias("ask"))
+
+
+@query("X16_disposition", f"""WITH {GATED_SQL} SELECT question_id, CASE WHEN question_id % 11 = 0 THEN 'rate-limited' WHEN question_id % 7 = 0 THEN 'cached' WHEN (sure OR together) AND question_id % 5 <> 0 THEN 'grounded'
+  WHEN sure OR together THEN 'degraded' WHEN question_id % 3 = 0 THEN 'uncovered' ELSE 'off-topic' END AS disposition FROM gated""")
+def x16(spark, sf_dir):
+    q = F.col("question_id")
+    made = gated(spark, sf_dir).select(
+        "question_id", F.lit(True).alias("valid"), F.lit(False).alias("greeting"), (q % 11 != 0).alias("admitted"), (q % 7 == 0).alias("cached"), F.lit(False).alias("unindexed_library"),
+        F.col("pass").alias("passed"), (q % 5 != 0).alias("under_ceiling"), F.when(q % 3 == 0, "ftc").otherwise("off").alias("topic"),
+    )
+    return made.select("question_id", T.disposition().alias("disposition"))
+
+
+@query("V2_encoded")
+def v2(spark, sf_dir):
+    return corpus(spark, sf_dir).select("chunk_id", vectors.unit(vectors.hashed_encoder(F.col("text"))).alias("vector"))
+
+
+@query("L8_section_summary", rf"""WITH {CHUNKS_SQL} SELECT source_id, page_title, count(*) AS sections, CAST(sum(char_len) AS BIGINT) AS chars, min(ordinal) AS first_ordinal,
+  bool_or(regexp_matches(page_title, '(?i)\b(game|season)\b')) AS game_published FROM chunks GROUP BY ALL""")
+def l8(spark, sf_dir):
+    from groundtable.operators.logs import section_summary
+
+    return section_summary(corpus(spark, sf_dir))
