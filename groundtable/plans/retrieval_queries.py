@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from groundtable.functions import text as T
 from groundtable.operators import fusion, keyword, vectors
 from groundtable.plans.registry import query, table
+from groundtable.plans.shared import spill
 from groundtable.sources.corpus import CHUNKS_SQL, REGISTRY_SQL, chunks, source_registry
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(T.STOPWORDS)))
@@ -124,14 +125,19 @@ def corpus(spark, sf_dir):
     return chunks(table(spark, sf_dir, "documents"))
 
 
-def keyword_leg(spark, sf_dir):
-    posted = keyword.postings(corpus(spark, sf_dir))
+def stored_postings(spark, sf_dir):
+    """The index as a stored table, so that the legs and their statistics don't tokenise the corpus again."""
+    return spill(keyword.postings(corpus(spark, sf_dir)), "postings")
+
+
+def keyword_leg(spark, sf_dir, posted=None):
+    posted = stored_postings(spark, sf_dir) if posted is None else posted
     return keyword.top_candidates(keyword.bm25(questions(spark, sf_dir), posted))
 
 
-def semantic_leg(spark, sf_dir):
+def semantic_leg(spark, sf_dir, posted):
     """Cosine of term counts, as term-at-a-time joins."""
-    posted = keyword.postings(corpus(spark, sf_dir)).where("field = 'text'")
+    posted = posted.where("field = 'text'")
     asked = questions(spark, sf_dir).select("question_id", F.explode(T.tokenize(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qc"))
     chunk = posted.groupBy("chunk_id", "term").agg(F.sum("tf").alias("cc"))
     norm = lambda df, key, c, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(name))
@@ -144,15 +150,16 @@ def semantic_leg(spark, sf_dir):
 
 
 def ranked(spark, sf_dir):
-    return fusion.legs(keyword_leg(spark, sf_dir), semantic_leg(spark, sf_dir))
+    posted = stored_postings(spark, sf_dir)
+    return spill(fusion.legs(keyword_leg(spark, sf_dir, posted), semantic_leg(spark, sf_dir, posted)), "ranked")
 
 
 def results(spark, sf_dir, k: int = 6):
     return fusion.anchored(fusion.fuse_ranks(ranked(spark, sf_dir)), k)
 
 
-def gated(spark, sf_dir):
-    listed = ranked(spark, sf_dir)
+def gated(spark, sf_dir, listed=None):
+    listed = ranked(spark, sf_dir) if listed is None else listed
     found = fusion.anchored(fusion.fuse_ranks(listed))
     hay = fusion.hydrate(found.select("question_id", "chunk_id"), corpus(spark, sf_dir)).groupBy("question_id").agg(
         F.array_join(F.collect_list("text"), "\n").alias("hay")  # k chunks per question
@@ -282,7 +289,7 @@ def k3_df(spark, sf_dir):
 
 @query("K4_bm25", f"WITH {BM25_SQL} SELECT question_id, chunk_id, round(score, 6) AS score FROM scored")
 def k4(spark, sf_dir):
-    return _round(keyword.bm25(questions(spark, sf_dir), keyword.postings(corpus(spark, sf_dir))), "score")
+    return _round(keyword.bm25(questions(spark, sf_dir), stored_postings(spark, sf_dir)), "score")
 
 
 @query("K5_phrases", r"""WITH phrases AS (SELECT DISTINCT array_to_string(list_slice(w, 1, 2), '-') AS phrase, list_slice(w, 1, 2) AS words FROM (
@@ -302,7 +309,7 @@ def k5(spark, sf_dir):
 def k6(spark, sf_dir):
     asked = questions(spark, sf_dir)
     sources = asked.select("question_id", F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")).alias("source_id"))
-    return _round(keyword.bm25(asked, keyword.postings(corpus(spark, sf_dir)), sources=sources), "score")
+    return _round(keyword.bm25(asked, stored_postings(spark, sf_dir), sources=sources), "score")
 
 
 @query("K7_top_candidates", f"WITH {BM25_SQL} SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM keyword")
