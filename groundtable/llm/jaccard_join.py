@@ -15,7 +15,7 @@ link when ``den * intersection >= num * union``.  Links are found in this order:
    compared with all documents of other components.  Nothing is capped, so no component is split.
 
 A comparison first checks sizes and the places of a shared entry in both lists, then parity
-signatures, folded to 256 bits and then of 512 bits, more for large sets: bits in which two signatures differ come from shingles
+signatures, folded to 1024 bits and then whole, of half as many bits as entries for large sets: bits in which two signatures differ come from shingles
 that only one set has.  Both bound the overlap from above.  Pairs that pass have their sorted arrays
 intersected.
 
@@ -42,7 +42,8 @@ from groundtable.llm.components import connected_components
 from groundtable.llm.id_filter import mark_ids, marked
 from groundtable.plans.shared import short_batches, spill
 
-SIGNATURE_BITS = 512
+SIGNATURE_BITS = 1024
+SKETCH_WORDS = 16  # of 64 bits
 
 
 @dataclass(frozen=True)
@@ -100,9 +101,9 @@ def _signature(entries: np.ndarray) -> bytes:
 
 
 def _sketch(signature: bytes) -> np.ndarray:
-    """A signature folded to 256 bits, as four integers."""
+    """A signature folded to its least length, as integers."""
     bits = np.frombuffer(signature, dtype=np.int64)
-    while len(bits) > 4:
+    while len(bits) > SKETCH_WORDS:
         bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
     return bits
 
@@ -243,7 +244,7 @@ class _Links:
 
     def near_sketches(self, n: str, a: str, m: str, b: str) -> Column:
         """The sketches differ in no more bits than the sets of a link may differ in entries."""
-        differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(4)), F.lit(0))
+        differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
         return differ <= F.col(n) + F.col(m) - 2 * self.least_overlap(F.col(n), F.col(m))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
