@@ -504,6 +504,15 @@ def x15(spark, sf_dir):
     return docs.select("doc_id", T.missing_version(text).alias("ask"))
 
 
+# The SQL of X15_missing_version reads 200 characters of a text; this query reads all of it.
+@query("X15_missing_version_whole", r"""SELECT doc_id, regexp_matches(t, '(?i)(road ?runner|pedro ?path|ftclib|limelight)') AND regexp_matches(t, '(?i)\b(api|method|class|import|constructor|function)\b')
+  AND NOT regexp_matches(t, '(?i)\bv?\d+\.\d+') AS ask FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'roadrunner ' END || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'class ' END || text AS t FROM documents WHERE text IS NOT NULL)""")
+def x15_whole(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    library, cue = F.when(F.col("doc_id") % 4 == 0, "").otherwise("roadrunner "), F.when(F.col("doc_id") % 5 == 0, "").otherwise("class ")
+    return docs.select("doc_id", T.missing_version(F.concat(library, cue, "text")).alias("ask"))
+
+
 @query("X16_disposition", f"""WITH {GATED_SQL} SELECT question_id, CASE WHEN question_id % 11 = 0 THEN 'rate-limited' WHEN question_id % 7 = 0 THEN 'cached' WHEN (sure OR together) AND question_id % 5 <> 0 THEN 'grounded'
   WHEN sure OR together THEN 'degraded' WHEN question_id % 3 = 0 THEN 'uncovered' ELSE 'off-topic' END AS disposition FROM gated""")
 def x16(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundtable.functions import text as T
 from groundtable.operators import audit, chunking, evaluation, fusion, keyword, logs, publication, vectors
+from groundtable.plans import all_queries
 from groundtable.sources import pages
 
 
@@ -134,3 +135,11 @@ def test_encoders_and_phrases(spark):
     assert {r.chunk_id: r.vector for r in encoded} == {"c1": [27.0, 1.0], "c2": [16.0, 1.0]}
     v = chunks.select(vectors.hashed_encoder(F.col("text"), 8).alias("v")).first().v
     assert len(v) == 8 and sum(v) == 6.0
+
+
+def test_missing_version_reads_whole_texts(spark, tmp_path):
+    far = "word " * 100
+    rows = [(1, far + "since 2.14"), (2, far), (4, far), (5, far), (8, "limelight " + far), (10, far + " import it")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ask = {r.doc_id: r.ask for r in all_queries()[0]["X15_missing_version_whole"](spark, str(tmp_path)).collect()}
+    assert ask == {1: False, 2: True, 4: False, 5: False, 8: True, 10: True}
