@@ -202,6 +202,20 @@ def retrieval_query(question: Column, title: Column, section: Column) -> Column:
     return F.when(words <= 8, F.concat_ws(" — ", title, section, question)).otherwise(question)
 
 
+LEARNING_SYMBOLS = (
+    r"\b(?:DcMotor\w*|Servo|hardwareMap|setPower|setDirection|runOpMode|OpMode|LinearOpMode|IMU|VisionPortal|Follower|Telemetry)\b"
+)
+
+
+def learning_query(question: Column, prior: Column, title: Column, error: Column, code: Column) -> Column:
+    """X14, learning: the question, prior questions (an array) if it is short, the page's title, the error and the code's symbols."""
+    words = F.size(F.filter(F.split(F.trim(question), r"\s+"), lambda w: w != ""))
+    before = F.when(words <= 8, F.substring(F.array_join(prior, " "), 1, 400))
+    symbols = F.slice(F.array_distinct(F.regexp_extract_all(code, F.lit(LEARNING_SYMBOLS), F.lit(0))), 1, 12)
+    parts = F.concat(F.array(question, before, title, F.substring(error, 1, 240)), F.coalesce(symbols, F.array().cast("array<string>")))
+    return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " — ")
+
+
 def needs_depth(text: Column, turns: Column) -> Column:
     """X11: code, an error, a comparison, several questions, length, or a long conversation."""
     code = text.rlike(r"(?i)\b(code|java|kotlin|opmode|class|method)\b")

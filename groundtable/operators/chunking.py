@@ -16,6 +16,7 @@ class ChunkParams:
     merge_max: int = 2200
     max_chars: int = 3600
     split_target: int = 2400
+    rule_target: int = 2600
     keep_chars: int = 80
     levels: int = 6
 
@@ -96,10 +97,33 @@ def split_oversize(body: Column, params: ChunkParams = DEFAULTS) -> Column:
     return F.when(F.length(body) <= params.max_chars, F.array(body)).otherwise(packed)
 
 
-def rule_units(body: Column) -> Column:
-    """A body with lines that begin with a rule code is cut there, any other at blank lines."""
+def _pack(pieces: Column, joint: str, target: int) -> Column:
+    """Pieces joined in order up to ``target`` characters; a piece is never cut."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"), F.lit(0).alias("len"))
+
+    def step(s: Column, a: Column) -> Column:
+        full = (s["len"] > 0) & (s["len"] + F.length(a) > target)
+        size = F.length(a) + len(joint)
+        fresh = F.struct(F.concat(s["done"], F.array(s["buf"])).alias("done"), a.alias("buf"), size.alias("len"))
+        buf = F.when(s["len"] == 0, a).otherwise(F.concat_ws(joint, s["buf"], a))
+        return F.when(full, fresh).otherwise(F.struct(s["done"].alias("done"), buf.alias("buf"), (s["len"] + size).alias("len")))
+
+    return F.aggregate(pieces, start, step, lambda s: F.when(s["len"] == 0, s["done"]).otherwise(F.concat(s["done"], F.array(s["buf"]))))
+
+
+def rule_units(body: Column, params: ChunkParams = DEFAULTS) -> Column:
+    """A body with lines that begin with a rule code is cut there, any other at blank lines.
+
+    A unit beyond the ceiling is packed anew from its lines; a line is never cut.
+    """
     by_rule = F.split(body, r"\n(?=[A-Z]{1,2}\d{2,3}\s)")
-    return F.when(body.rlike(r"(?m)^[A-Z]{1,2}\d{2,3}\s"), by_rule).otherwise(F.split(body, r"\n\s*\n"))
+    units = F.when(body.rlike(r"(?m)^[A-Z]{1,2}\d{2,3}\s"), by_rule).otherwise(F.split(body, r"\n\s*\n"))
+    return F.flatten(F.transform(units, lambda u: F.when(F.length(u) <= params.max_chars, F.array(u)).otherwise(_pack(F.split(u, "\n"), "\n", params.rule_target))))
+
+
+def rule_parts(body: Column, params: ChunkParams = DEFAULTS) -> Column:
+    """Rule units packed to the target size, which makes a section's parts."""
+    return _pack(rule_units(body, params), "\n\n", params.rule_target)
 
 
 def tidy_title(title: Column) -> Column:

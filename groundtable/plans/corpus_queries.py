@@ -141,6 +141,12 @@ def c6(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(chunking.rule_units(F.col("text"))).alias("place", "unit"))
 
 
+@query("C6_rule_parts")
+def c6_parts(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where("text IS NOT NULL")
+    return docs.select("doc_id", F.posexplode(chunking.rule_parts(F.col("text"))).alias("place", "part"))
+
+
 _ID_SQL = "regexp_replace(regexp_replace(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '^[0-9]+-*', '')"
 
 

@@ -1,5 +1,7 @@
 """Operators on small inline rows: the cases that the test tables do not show."""
 
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import Row
@@ -143,3 +145,36 @@ def test_missing_version_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     ask = {r.doc_id: r.ask for r in all_queries()[0]["X15_missing_version_whole"](spark, str(tmp_path)).collect()}
     assert ask == {1: False, 2: True, 4: False, 5: False, 8: True, 10: True}
+
+
+def pack_lines(pieces, joint, target):
+    out, buf, size = [], [], 0
+    for p in pieces:
+        if size and size + len(p) > target:
+            out.append(joint.join(buf))
+            buf, size = [], 0
+        buf.append(p)
+        size += len(p) + len(joint)
+    return out + [joint.join(buf)] if buf else out
+
+
+def test_long_rule_units_are_repacked_by_lines(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    plain = "\n".join("x" * (i * 37 % 900) for i in range(1, 40))
+    by_code = "intro\n" + "\n".join(f"R{i} " + "a" * 1700 + "\n" + "b" * 1700 + "\n" + "c" * 900 * (i % 2) for i in range(101, 104)) + "\nR105 short\nR106 " + "d" * 5000
+    for text, units in (("\n" + plain, ["\n" + plain]), (by_code, re.split(r"\n(?=[A-Z]{1,2}\d{2,3}\s)", by_code))):
+        expected = [p for u in units for p in ([u] if len(u) <= 3600 else pack_lines(u.split("\n"), "\n", 2600))]
+        got = one(chunking.rule_units(F.lit(text)))
+        assert got == expected and len(got) > len(units) and "\n".join(got) == text
+        assert all(len(u) <= 3600 for u in got if "\n" in u)
+        assert one(chunking.rule_parts(F.lit(text))) == pack_lines(expected, "\n\n", 2600)
+
+
+def test_learning_query(spark):
+    schema = "question string, prior array<string>, title string, error string, code string"
+    names = "DcMotorEx Servo hardwareMap setPower setDirection runOpMode OpMode LinearOpMode IMU VisionPortal Follower Telemetry DcMotor".split()
+    rows = [("why does it stop", ["a" * 300, "b" * 300], "Motors", "e" * 300, "Servo x; " + " ".join(names)), ("one two three four five six seven eight nine", ["p"], None, "", None)]
+    columns = [F.col(c.split()[0]) for c in schema.split(", ")]
+    got = [r.q for r in spark.createDataFrame(rows, schema).select(T.learning_query(*columns).alias("q")).collect()]
+    first = ["Servo", "DcMotorEx", *names[2:12]]
+    assert got == [" — ".join(["why does it stop", "a" * 300 + " " + "b" * 99, "Motors", "e" * 240, *first]), rows[1][0]]
