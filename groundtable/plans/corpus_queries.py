@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundtable.operators import chunking, publication, vectors
@@ -130,6 +131,30 @@ def c5(spark, sf_dir):
     return long.select("doc_id", F.posexplode(chunking.split_oversize(F.col("body"))).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("part"), F.length("p").alias("chars"))
 
 
+# The SQL of C5_split_oversize keeps long texts without fences, that of C8_rendered_chunks lines of 80 to 3,600
+# characters; these two leave nothing out.  Their folds over fenced atoms have no SQL form.
+
+
+@query("C5_split_whole")
+def c5_whole(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where("text IS NOT NULL").withColumn("body", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return docs.select("doc_id", F.posexplode(chunking.split_oversize(F.col("body"))).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("part"), F.length("p").alias("chars"))
+
+
+@query("C8_rendered_whole")
+def c8_whole(spark, sf_dir):
+    """Units begin at every sixteenth line outside fences and hold their lines as paragraphs; C3's least is their only bound."""
+    docs = _docs(spark, sf_dir)
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    fences = F.coalesce(F.count_if(F.col("body").startswith("```")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = corpus.sections(docs).withColumn("starts", (F.col("ord") % 16 == 0) & (fences % 2 == 0))
+    placed = starts.withColumn("unit", F.count_if("starts").over(order) - 1)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "body"))), lambda line: line["body"])
+    units = placed.groupBy("doc_id", F.col("unit").alias("ord")).agg(F.min_by("title", "ord").alias("title"), F.array_join(lines, "\n\n").alias("body"))
+    kept = chunking.keep_units(chunking.heading_paths(units.withColumn("level", F.col("ord") % 4 + 1)))
+    return chunking.rendered_chunks(kept.join(docs.select("doc_id", corpus.first_words("text", 6).alias("page_title")), "doc_id"))
+
+
 @query("C9_tidy_title")
 def c9(spark, sf_dir):
     return _sections(spark, sf_dir).select("doc_id", "ord", chunking.tidy_title(F.col("title")).alias("title"))

@@ -178,3 +178,72 @@ def test_learning_query(spark):
     got = [r.q for r in spark.createDataFrame(rows, schema).select(T.learning_query(*columns).alias("q")).collect()]
     first = ["Servo", "DcMotorEx", *names[2:12]]
     assert got == [" — ".join(["why does it stop", "a" * 300 + " " + "b" * 99, "Motors", "e" * 240, *first]), rows[1][0]]
+
+
+def split_by_hand(body):
+    """C5 by brute force: lines one by one, fences closed or not at the end of the text."""
+    if len(body) <= 3600:
+        return [body]
+    atoms, fence, buf = [], False, []
+
+    def flush():
+        if "\n".join(buf).strip():
+            atoms.append("\n".join(buf).strip())
+        buf.clear()
+
+    for line in body.split("\n"):
+        if line.startswith("```"):
+            if not fence:
+                flush()
+            buf.append(line)
+            if fence:
+                flush()
+            fence = not fence
+        elif not fence and not line.strip():
+            flush()
+        else:
+            buf.append(line)
+    flush()
+    out, part, size = [], [], 0
+    for a in atoms:
+        if size and size + len(a) + 2 > 2400:
+            out.append("\n\n".join(part))
+            part, size = [], 0
+        part.append(a)
+        size += len(a) + 2
+    return out + ["\n\n".join(part)] if part else out
+
+
+def test_split_and_render_leave_nothing_out(spark, tmp_path):
+    fence = "```java\nint a;\n\nint b;\n" + "\n".join("c" * 90 for _ in range(40)) + "\n```"
+    texts = {
+        1: "short text " * 10,
+        2: "\n".join("line %d " % i + "w" * (i * 91 % 700) for i in range(40)),
+        3: "\n".join(["before " * 50, fence, "after " * 90, "more " * 300]),
+        4: "x" * 5000,
+        5: "few words",
+    }
+    spark.createDataFrame([(i, t, "src1") for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = all_queries()[0]
+    got = {i: [] for i in texts}
+    for r in queries["C5_split_whole"](spark, str(tmp_path)).orderBy("doc_id", "part").collect():
+        got[r.doc_id].append(r.chars)
+    assert got == {i: [len(p) for p in split_by_hand(t.replace("\n", "\n\n"))] for i, t in texts.items()}
+
+    chunks = queries["C8_rendered_whole"](spark, str(tmp_path)).orderBy("doc_id", "ordinal").collect()
+    for i, text in texts.items():
+        units, expected, inside = [], [], False
+        for n, line in enumerate(text.split("\n")):
+            if n % 16 == 0 and not inside:
+                units.append([])
+            units[-1].append(line)
+            inside ^= line.startswith("```")
+        for body in map("\n\n".join, units):
+            if len(re.sub(r"\s+", " ", body).strip()) >= 80:
+                pieces = split_by_hand(body)
+                expected += [(n + 1 if len(pieces) > 1 else 0, len(pieces), p) for n, p in enumerate(pieces)]
+        found = [r for r in chunks if r.doc_id == i]
+        assert [(r.part, r.part_count, r.text.split("\n\n", 1)[1]) for r in found] == expected
+        assert [r.ordinal for r in found] == list(range(len(expected)))
+        assert all((f" (part {r.part} of {r.part_count})" in r.text.split("\n\n")[0]) is (r.part > 0) for r in found)
+    assert {r.doc_id for r in chunks if r.part_count > 1} == {2, 3}
