@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundtable.operators import keyword, logs
 from groundtable.plans.log_queries import _LEDGER_SQL, _day, _moment, _usage_columns
-from groundtable.plans.registry import query
+from groundtable.plans.registry import query, table
 from groundtable.plans.shared import shared_path
 from groundtable.sources import corpus
 from groundtable.sources.usage_log import LOG_SQL, query_log
@@ -56,9 +56,18 @@ def t6(spark, sf_dir):
 
 @query("T7_corpus_updates", f"WITH {corpus.CHUNKS_SQL} SELECT chunk_id, content_hash FROM chunks")
 def t7(spark, sf_dir):
+    """Two batches: the first lacks pages, has others with an older text and some that the second withdraws."""
     path = shared_path(spark, "t7")
-    streams.corpus_updates(streams.read_stream(spark, sf_dir, "documents"), path, corpus.chunks, keyword.postings)
-    return spark.read.parquet(f"{path}/chunks").select("chunk_id", "content_hash")
+    docs = table(spark, sf_dir, "documents")
+    kind, text = F.coalesce(F.col("doc_id") % 10, F.lit(0)), F.col("text")
+    extra = docs.where(kind == 7).withColumn("doc_id", -1 - F.col("doc_id"))
+    older = docs.where(kind != 3).withColumn("text", F.when(kind == 5, F.concat(text, F.lit(" outdated"))).otherwise(text))
+    first = older.unionByName(extra)
+    second = docs.where(kind.isin(3, 5)).unionByName(extra.withColumn("text", F.lit(None).cast("string")))
+    for pages in (first, second):
+        pages.write.mode("append").option("compression", "zstd").parquet(f"{path}/pages")
+        streams.corpus_updates(spark.readStream.schema(docs.schema).parquet(f"{path}/pages"), path, corpus.chunks, keyword.postings)
+    return streams.current(spark, path, "chunks").select("chunk_id", "content_hash")
 
 
 @query("T8_first_asks", f"WITH {LOG_SQL} SELECT DISTINCT question FROM log")

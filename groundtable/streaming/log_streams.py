@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from groundtable.operators.logs import DEFAULTS, LogParams
-from groundtable.plans.shared import shared_path
+from groundtable.operators.publication import delta
+from groundtable.plans.shared import shared_path, spill
 
 LATE = "10 minutes"
 
@@ -117,12 +118,35 @@ def frame_assembly(frames: DataFrame, wait_ms: int = 60_000) -> DataFrame:
     )
 
 
-def corpus_updates(documents: DataFrame, path: str, chunk, post) -> None:
-    """Each batch of new pages becomes chunks and postings, appended under the batch's number."""
+def current(spark: SparkSession, path: str, kind: str, before: int | None = None) -> DataFrame:
+    """T7's ``chunks`` or ``postings`` as they stand after all batches, or after those below ``before``."""
+    changes = spark.read.parquet(f"{path}/changes").where(F.lit(True) if before is None else F.col("batch") < before)
+    last = changes.groupBy("chunk_id").agg(F.max("batch").alias("batch"), F.max_by("change", "batch").alias("change"))
+    return spark.read.parquet(f"{path}/{kind}").join(last.where("change != 'removed'"), ["chunk_id", "batch"], "left_semi").drop("batch")
+
+
+def corpus_updates(documents: DataFrame, path: str, chunk, post, page: str = "doc_id", version: str | None = None) -> None:
+    """Each batch of new, changed and withdrawn pages becomes changes of chunks, postings and vectors due.
+
+    A page comes with all of its text: chunks that it had and has no more are removed, and so are all of a
+    page without text.  Of a page's rows in one batch that of the largest ``version`` counts; equal ones go
+    by a hash of the row.  ``chunk`` keeps the page's column.  A batch is written under its number, its
+    changes last, and reads earlier ones only, so a repeated batch replaces itself.  :func:`current` reads
+    the newest state; ``dirty`` lists each batch's chunks whose vectors must be made (V1).
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        made = chunk(batch)
-        made.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        post(made).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        spark, save = batch.sparkSession, lambda df, kind: df.write.mode("overwrite").parquet(f"{path}/{kind}/batch={number}")
+        order = Window.partitionBy(page).orderBy(*([F.desc(version)] if version else []), F.xxhash64(*batch.columns))
+        pages = batch.withColumn("_place", F.row_number().over(order)).where((F.col("_place") == 1) | F.col(page).isNull()).drop("_place")
+        made = spill(chunk(pages), "t7-made")
+        stood = current(spark, path, "chunks", number) if number else made.limit(0)
+        old = spill(stood.join(batch.select(page).distinct(), page, "left_semi"), "t7-old")
+        changes = spill(delta(old, made).where("change != 'unchanged'"), "t7-changes")
+        fresh = made.join(changes.where("change != 'removed'"), "chunk_id", "left_semi")
+        save(fresh, "chunks")
+        save(post(fresh), "postings")
+        save(fresh.join(old, ["chunk_id", "content_hash"], "left_anti").select("chunk_id", "content_hash"), "dirty")
+        save(changes, "changes")
 
     documents.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
