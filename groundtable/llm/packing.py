@@ -13,7 +13,9 @@ boundaries, a second for two sequences whose inner cut falls inside a sentence a
 * Null text counts as empty; an empty text is the end token alone.
 * No shuffle takes place: each task packs its own partition, in blocks of whole documents.
 * Rows that repeat an id are packed as documents of their own.  An empty table gives no pieces.
-* Texts are encoded whole, whatever their length; every id lies in exactly one piece.
+* Texts are encoded whole, very long ones slice by slice; every id lies in exactly one piece.
+* Ties between plans of equal cost go to the earliest cut, so a partition packs alike on each run.
+* Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ class PackingParams:
     token_cut: float = 12.0
     sequence_cost: float = 4.0
     block_tokens: int = 1 << 18
-    vocabulary: str = "byte_bpe_50k.tiktoken"
+    vocabulary: str = "byte_bpe_50k.json"
 
 
 def plan_cuts(positions: np.ndarray, penalties: np.ndarray, params: PackingParams = PackingParams()) -> list[int]:
@@ -153,7 +155,7 @@ def _encoder(vocabulary: str) -> WordTokens:
     if vocabulary not in _encoders:
         import public_tokenizers
 
-        _encoders[vocabulary] = WordTokens(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+        _encoders[vocabulary] = WordTokens(public_tokenizers.path(vocabulary))
     return _encoders[vocabulary]
 
 

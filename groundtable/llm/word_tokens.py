@@ -1,22 +1,44 @@
-"""Token ids of whole texts under the public byte-level BPE vocabulary, fast on long batches.
+"""Token ids of whole texts under a public byte-level BPE vocabulary, as its tokenizer gives them.
 
-A text in Latin script is cut into pre-tokens by array operations on its code points, each distinct
-pre-token is encoded once and remembered, and the ids are gathered.  Any text with other code
-points goes through the tokenizer as a whole.  Both ways give the ids of the vocabulary's own file.
+The ids are those of ``Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False)``, so a
+special token's own string in a text becomes that token.  A text in Latin script is cut into
+pre-tokens by array operations on its code points, each distinct pre-token is encoded once and
+remembered, and the ids are gathered.  Texts with other code points or with a special token's string
+go through the tokenizer as they are.
+
+Long texts are encoded in slices.  A slice ends before a white space that follows something else, or
+between a letter and a number; no pre-token spans such a place and none looks back beyond it, so the
+ids are those of the whole text.  Only a run without any such place is longer than a slice.
 """
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 from groundtable.llm.byte_hash import mix
 
+SLICE = 1 << 20  # characters
 LATIN_END = 0x250
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+_CUT = re.compile(r"(?<=\S)(?=\s)|(?<=[^\W\d_])(?=[0-9])|(?<=[0-9])(?=[^\W\d_])")
+
+
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """Parts of about ``size`` characters whose ids, one after another, are those of the text."""
+    at = 0
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 def _class_of(point: int) -> int:
@@ -35,16 +57,17 @@ _BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1
 class WordTokens:
     """Encodes texts; remembers at most ``limit`` distinct pre-tokens between batches."""
 
-    def __init__(self, vocabulary: str, pattern: str, limit: int = 600_000):
-        import tiktoken
+    def __init__(self, vocabulary: str, limit: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        from tokenizers import Tokenizer
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-        self._encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._tool = Tokenizer.from_file(vocabulary)
         self._limit = limit
-        self.ends_sentence = np.zeros(max(ranks.values()) + 1, dtype=bool)
-        for piece, rank in ranks.items():
-            self.ends_sentence[rank] = piece[-1:] in b".!?\n"
+        self._special = [token.content for token in self._tool.get_added_tokens_decoder().values()]
+        pieces = self._tool.get_vocab(with_added_tokens=True)
+        self.ends_sentence = np.zeros(max(pieces.values()) + 1, dtype=bool)
+        for piece, rank in pieces.items():
+            self.ends_sentence[rank] = piece[-1:] in tuple(".!?\u010a") and piece not in self._special
         self._forget()
 
     def _forget(self) -> None:
@@ -54,15 +77,30 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as an array of unsigned 32-bit integers."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        short = [i for i, text in enumerate(texts) if len(text) <= SLICE]
+        for i, ids in zip(short, self._encode([texts[i] for i in short])):
+            out[i] = ids
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                out[i] = np.concatenate([self._encode([part])[0] for part in slices(text)])
+        return out  # type: ignore[return-value]
+
+    def _whole(self, text: str) -> list[int]:
+        return self._tool.encode(text, add_special_tokens=False).ids
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         foreign = np.add.reduceat(points >= LATIN_END, offsets[:-1][lengths > 0]) if len(points) else []
         latin = np.zeros(len(texts), dtype=bool)
         latin[np.flatnonzero(lengths > 0)[np.asarray(foreign) == 0]] = True
+        for i in np.flatnonzero(latin):
+            latin[i] = not any(token in texts[i] for token in self._special)
         for i in np.flatnonzero(~latin):
-            out[i] = np.array(self._encoding.encode_ordinary(texts[i]), dtype=np.uint32)
+            out[i] = np.array(self._whole(texts[i]), dtype=np.uint32)
         rows = np.flatnonzero(latin)
         if len(rows):
             if len(rows) < len(texts):
@@ -88,9 +126,8 @@ class WordTokens:
         if new:
             text = points.astype("<u4").tobytes().decode("utf-32-le")
             low, high = starts[first[new]].tolist(), ends[first[new]].tolist()
-            encode = self._encoding.encode_ordinary
             for i, key, start, end in zip(new, distinct[new].tolist(), low, high):
-                self._ids.extend(encode(text[start:end]))
+                self._ids.extend(self._whole(text[start:end]))
                 found[i] = self._places[key] = len(self._starts) - 1
                 self._starts.append(len(self._ids))
         places = np.array(found, dtype=np.int64)
