@@ -1,15 +1,22 @@
 """Language identification by compression.
 
-For each language a raw-content dictionary is cut from a bounded sample of labelled texts.  A text
-is encoded with every dictionary by Zstandard, and the language whose dictionary gives the smallest
+For each language a raw-content dictionary is put together from whole labelled texts.  A text is
+encoded with every dictionary by Zstandard, and the language whose dictionary gives the smallest
 output is chosen.  The margin is the share by which the runner-up is larger; below ``least_margin``
 the choice is rejected (``accepted`` false), while the best language is still reported.
 
+The sample of labelled rows is bounded in bytes: a language's dictionary takes whole texts of at most
+``sample_bytes`` in the order of a hash of their ids until no further one fits.  A language that has
+none so short is learnt from its shortest text.  Every language of the labelled rows is learnt;
+the more there are, the smaller each dictionary, so all of them stay below ``total_bytes``.
+
 * Text is lower-cased before encoding, so capitals do not hide a language.
 * Null text and text without any letter get ``und``, score 0, not accepted.
 * Equal sizes go to the language that comes first in code-point order.
 * Rows with a null language are not learnt from.  If nothing can be learnt, all texts are ``und``.
+* Rows that repeat id, language and text are learnt from once and predicted each for itself.
 * An empty table gives an empty result.  Whole texts are encoded, whatever their length.
+* Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundtable.plans.shared import short_batches
@@ -28,15 +35,11 @@ from groundtable.plans.shared import short_batches
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``sample_docs`` texts of at most ``sample_chars`` characters each fill a dictionary.
-
-    At most ``max_languages`` languages, the most frequent, are learnt.
-    """
+    """Bytes of a dictionary, of all dictionaries, and of the longest text that is sampled while shorter ones exist."""
 
     dictionary_bytes: int = 128 << 10
-    sample_docs: int = 400
-    sample_chars: int = 2_000
-    max_languages: int = 200
+    total_bytes: int = 64 << 20
+    sample_bytes: int = 16 << 10
     level: int = 5
     least_margin: float = 0.02
 
@@ -53,23 +56,45 @@ def learn_languages(
     lang_col: str = "lang",
     params: LanguageParams = LanguageParams(),
 ) -> dict[str, bytes]:
-    """Dictionary content by language, from labelled rows that are not held out."""
-    labelled = docs.select(
-        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
-    ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("id")))
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages)
-    langs = [row["lang"] for row in frequent.collect()]
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    sample = (
-        labelled.where(F.col("lang").isin(langs))
-        .select("id", "lang", F.lower(F.substring("text", 1, params.sample_chars)).alias("text"))
-        .withColumn("place", place)
-        .where(F.col("place") <= params.sample_docs)
+    """Dictionary content by language, from labelled rows that are not held out.
+
+    One pass counts the bytes that each language offers; a second takes the rows whose hash lies below
+    the share that fills a dictionary half as full again, so what reaches the driver is bounded by
+    ``total_bytes`` and no language gathers in one task.
+    """
+    raw = F.col(text_col).cast("string")
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), raw.alias("text")).where(
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("id"))
     )
-    found: dict[str, list[bytes]] = {}
-    for row in sample.orderBy("lang", "place").collect():  # at most max_languages * sample_docs rows
-        found.setdefault(row["lang"], []).append(row["text"].encode())
-    return {lang: b"\n".join(texts)[: params.dictionary_bytes] for lang, texts in found.items()}
+    size = F.octet_length("text")
+    offered = labelled.groupBy("lang").agg(F.sum(F.when(size <= params.sample_bytes, size)).alias("bytes"))
+    offers = {row["lang"]: row["bytes"] for row in offered.collect()}  # one row per language
+    if not offers:
+        return {}
+    each = min(params.dictionary_bytes, max(1 << 10, params.total_bytes // len(offers)))
+    shares = {lang: min(1.0, 1.5 * max(each, params.sample_bytes) / size) for lang, size in offers.items() if size}
+    found: dict[str, list[bytes]] = {lang: [] for lang in offers}
+    if shares:
+        table = docs.sparkSession.createDataFrame(list(shares.items()), "lang string, share double")
+        place = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
+        sample = (
+            labelled.where(size <= params.sample_bytes)
+            .join(F.broadcast(table), "lang")  # one row per language
+            .where(place < F.col("share"))
+            .groupBy("lang", "id", "text").agg(F.min(place).alias("place"))
+        )
+        left = dict.fromkeys(shares, each)
+        for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
+            text = row["text"].lower().encode("utf-8", "surrogatepass") + b"\n"
+            if len(text) <= left[row["lang"]]:
+                found[row["lang"]].append(text)
+                left[row["lang"]] -= len(text)
+    bare = [lang for lang, texts in found.items() if not texts]
+    if bare:
+        shortest = labelled.where(F.col("lang").isin(bare)).groupBy("lang").agg(F.min_by("text", F.struct(size, F.xxhash64("id"), "text")).alias("text"))
+        for row in shortest.collect():  # one text per language without short ones
+            found[row["lang"]] = [row["text"].lower().encode("utf-8", "surrogatepass")]
+    return {lang: b"".join(texts) for lang, texts in found.items()}
 
 
 def classify_languages(
