@@ -11,11 +11,11 @@ import pytest
 
 from groundtable.llm.exact_dedup import Directory, exact_dedup
 from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
-from groundtable.llm.language_id import identify_languages
+from groundtable.llm.language_id import LanguageParams, identify_languages, learn_languages
 from groundtable.llm.mixing import mix_sources
 from groundtable.llm.packing import PackingParams, pack_documents, plan_cuts
 from groundtable.llm.repeat_removal import RepeatParams, remove_repeats
-from groundtable.llm.toxicity import score_toxicity
+from groundtable.llm.toxicity import FtrlParams, _features, score_toxicity, train_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, body string, key string, rank int, copies int"
 
@@ -28,7 +28,7 @@ def _rows():
     near = [" ".join(base[:i] + ["zz"] + base[i + 1 :]) for i in (3, len(base) - 2)]
     passage = " ".join(word() for _ in range(80))
     texts += near + [texts[1], texts[1].replace(" ", " \n\t"), texts[2].upper()]
-    texts += [None, "", "   ", "one", "one two", "One TWO", "ünï çödé 中文", "!!!", passage + " x", "y " + passage, " ".join(word() for _ in range(30_000)), "ab " * 400]
+    texts += [None, "", "   ", "one", "one two", "One TWO", "ünï çödé 中文", "!!!", passage + " x", "y " + passage, " ".join(word() for _ in range(30_000)), "ab " * 400, "see <|endoftext|> here", "1234567abc " * 40_000]
     langs, sources = ["en", "de", None], ["a", "b", None, "é"]
     out = [(i, t, langs[i % 3], sources[i % 4], 7, -1, "clash", "k", 3, 9) for i, t in enumerate(texts)]
     return out + [out[4]]  # one row twice
@@ -143,7 +143,6 @@ def test_pack_documents(docs, nothing, rows):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     got = pack_documents(docs).collect()
     assert max(Counter({s: sum(r.length for r in got if r.sequence_id == s) for s in {r.sequence_id for r in got}}).values()) <= 1024
     pieces = {}
@@ -162,6 +161,23 @@ def test_pack_documents(docs, nothing, rows):
     assert pack_documents(nothing).count() == 0
 
 
+def test_token_slices_change_no_id():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from groundtable.llm.word_tokens import WordTokens, slices
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool, own, rng = Tokenizer.from_file(path), WordTokens(path), random.Random(9)
+    signs = list("abcXYZ 019'  \n\t.!_é ßÜ 中　🙂²½ªǅ\x1c\x85\u200b") + ["'s", "'ll", "<|endoftext|>"]
+    for _ in range(1500):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60)))
+        want = tool.encode(text, add_special_tokens=False).ids
+        assert own.encode([text])[0].tolist() == want
+        parts = list(slices(text, 9))
+        assert "".join(parts) == text and np.concatenate(own.encode(parts)).tolist() == want
+
+
 def test_plan_cuts_is_least():
     rng = random.Random(1)
     p = PackingParams(width=64)
@@ -188,6 +204,89 @@ def test_plan_cuts_is_least():
         assert price(cuts) <= best[-1] + 1e-9
 
 
+def test_languages_against_plain_compression(spark):
+    """Predictions and scores by compressing each whole text with each dictionary; every language is learnt."""
+    import math
+
+    import zstandard
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(260):
+        lang = f"l{i % 30:02d}" if i % 11 else None
+        alphabet = [chr(97 + (i % 30 + 3 * k) % 26) for k in range(8)]
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(3, 7))) for _ in range(30 if i % 30 else 6_000)]
+        rows.append((i, " ".join(words), lang, i, "x"))
+    rows += [rows[3], (990, None, "l01", 1, "x"), (991, "", "l01", 1, "x"), (992, "12 34", None, 1, "x"), (None, "no id at all", "zz", 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long, found string")
+    params = LanguageParams(dictionary_bytes=4_096, sample_bytes=2_048)
+    dictionaries = learn_languages(df, params=params)
+    learnt = {}
+    for i, text, lang, _, _ in rows:
+        if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 5 and re.search("[a-z]", text or ""):
+            learnt.setdefault(lang, set()).add(text.lower())
+    assert set(dictionaries) == set(learnt)
+    for lang, content in dictionaries.items():  # whole texts only
+        assert {t.decode() for t in content.split(b"\n") if t} <= learnt[lang]
+        assert len(content) <= 4_096 or content.decode() in learnt[lang]
+    level = zstandard.ZstdCompressionParameters.from_level(params.level, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    kind = zstandard.DICT_TYPE_RAWCONTENT
+    tools = [(lang, zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=kind), compression_params=level)) for lang, c in sorted(dictionaries.items())]
+    want = []
+    for i, text, _, _, _ in rows:
+        held = i is None or zlib.crc32(str(i).encode()) % 5 == 0
+        if not re.search("[a-z]", text or ""):
+            want.append((i, held, "und", 0.0))
+            continue
+        sizes = [len(tool.compress(b" " + text.lower().encode() + b" ")) for _, tool in tools]
+        best = min(sizes)
+        want.append((i, held, tools[sizes.index(best)][0], round(1 / sum(math.exp(-0.5 * (n - best)) for n in sizes), 9)))
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in identify_languages(df, params=params).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_toxicity_against_a_scalar_learner(spark):
+    """Scores from FTRL-proximal written as a loop over single weights, without calibration."""
+    import math
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["ab", "Cd", "ef", "g1", "hé", "bad"]) for _ in range(rng.randint(0, 9))), "x", -1) for i in range(120)]
+    rows += [(500, None, "x", 1), (501, "", "x", 1), (502, "bad " * 60_000, "x", 1), rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, label int")
+    labels = spark.createDataFrame([(r[0], None if r[0] % 13 == 0 else int("bad" in (r[1] or ""))) for r in rows[:-1]], "doc_id long, toxic int")
+    params = FtrlParams(calibration=0.0, l1=0.2, epochs=2)
+    slots, weights = train_toxicity(df, labels, params=params)
+    got = {r.doc_id: r for r in score_toxicity(df, labels, params=params).collect()}
+
+    def features(text):
+        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        return sorted(_features(data, np.array([0, len(data)]))[1].tolist()) + [1 << 20]
+
+    known = {i: (t, l) for (i, t, _, _), (_, l) in zip(rows, [(r.doc_id, r.toxic) for r in labels.collect()]) if l is not None}
+    train = [(i, *known[i]) for i in sorted(known) if zlib.crc32(str(i).encode()) % 5]
+    train = [x for x in train for _ in range(2 if x[0] == 0 else 1)]  # the repeated row counts twice
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        l1 = params.l1 if k < 1 << 20 else 0
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((params.beta + math.sqrt(n[k])) / params.alpha + params.l2)
+
+    learnt = np.random.RandomState(params.epochs).permutation(len(train))
+    for epoch in range(params.epochs):
+        for i in np.random.RandomState(epoch).permutation(learnt):
+            _, text, label = train[i]
+            at = features(text)
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(weight(k) for k in at))))) - label
+            for k, w in [(k, weight(k)) for k in at]:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / params.alpha * w
+                n[k] += g * g
+    plain = {k: weight(k) for k in z if weight(k)}
+    assert set(plain) == set(slots.tolist()) and all(abs(plain[k] - w) < 1e-9 for k, w in zip(slots.tolist(), weights.tolist()))
+    for i, text, _, _ in rows:
+        score = 1 / (1 + math.exp(-sum(plain.get(k, 0.0) for k in features(text))))
+        assert abs(got[i].score - score) < 1e-9 and got[i].predicted == int(score >= 0.5)
+
+
 def test_languages_and_toxicity(spark, nothing):
     rng = random.Random(2)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 7)))
