@@ -1,4 +1,8 @@
-"""A small HTML tokeniser that yields a tree of elements and the text between them."""
+"""A small HTML tokeniser that yields a tree of elements and the text between them.
+
+It takes time in proportion to the page: where each name is open is kept in a table, so no end tag
+searches the open elements, and no tag is read twice.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,11 @@ from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"']+)))?")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Element names of the HTML standard by how they nest and lay out.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,57 +31,107 @@ CLOSES_P = set(
 )
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+FRAME = {"#root", "html", "body"}
+DEEPEST = 512  # what nests deeper lies side by side in the element of this depth, as in browsers
 
 
 @dataclass
 class Tree:
-    """Block elements in page order, and text runs as (element, block number, text)."""
+    """Elements in page order, and text runs as (element, block number, text).
+
+    Elements are all block elements, and inline ones that carry a class, id, role or a mark that hides them.
+    Text right in the page's frame (body, or no element at all) gets an element ``#text`` for each block.
+    """
 
     tags: list[str] = field(default_factory=lambda: ["#root"])
-    marks: list[str] = field(default_factory=lambda: [""])
+    marks: list[str] = field(default_factory=lambda: [""])  # class, id and role, lower-cased
+    hidden: list[bool] = field(default_factory=lambda: [False])
     parents: list[int] = field(default_factory=lambda: [-1])
+    depths: list[int] = field(default_factory=lambda: [0])
     texts: list[tuple[int, int, str]] = field(default_factory=list)
     linked: list[int] = field(default_factory=lambda: [0])  # characters within links, by element
 
 
+def _marks(attributes: str) -> tuple[str, bool]:
+    """The words that mark an element, and whether it is not shown."""
+    words, hidden = [], False
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        value = html.unescape(a or b or c).strip()
+        if name == "style":
+            hidden |= _INVISIBLE.search(value) is not None
+        elif name == "aria-hidden":
+            hidden |= value.lower() == "true"
+        elif name == "hidden":
+            hidden |= value.lower() != "false"
+        elif value:
+            words.append(value.lower())
+    return " ".join(words), hidden
+
+
 def parse(page: str) -> Tree:
     """Read a page; unclosed and stray tags are handled as browsers commonly do."""
     tree = Tree()
-    stack: list[tuple[str, int]] = [("#root", 0)]  # names, and the block element that each is in
+    stack: list[tuple[str, int]] = [("#root", 0)]  # names, and the element that each is in
+    open_at: dict[str, list[int]] = {}  # places in the stack by name
+    blocks = [0]  # places in the stack of what is not inline
     block, links, at = 0, 0, 0
+    loose, loose_block = 0, -1  # the last #text element and its block
 
     def text(run: str) -> None:
+        nonlocal loose, loose_block
         if run:
-            element = stack[-1][1]
+            place = stack[-1][1]
             if "&" in run:
                 run = html.unescape(run)
-            tree.texts.append((element, block, run))
+            if tree.tags[place] in FRAME and (block == loose_block or not run.isspace()):
+                if block != loose_block:
+                    loose, loose_block = element("#text", "", False), block
+                place = loose
+            tree.texts.append((place, block, run))
             if links:
-                tree.linked[element] += len(run.strip())
+                tree.linked[place] += len(run.strip())
+
+    def nearest(names: set[str]) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
 
-    def close(depth: int) -> None:
+    def close(place: int) -> None:
         nonlocal block, links
-        for name, _ in stack[depth:]:
+        while len(stack) > place:
+            name, _ = stack.pop()
+            open_at[name].pop()
             if name == "a":
                 links -= 1
             if name not in INLINE:
+                blocks.pop()
                 block += 1
-        del stack[depth:]
+
+    def element(name: str, marks: str, hidden: bool) -> int:
+        parent = stack[-1][1]
+        while tree.depths[parent] >= DEEPEST:
+            parent = tree.parents[parent]
+        tree.tags.append(name)
+        tree.marks.append(marks)
+        tree.hidden.append(hidden)
+        tree.parents.append(parent)
+        tree.depths.append(tree.depths[parent] + 1)
+        tree.linked.append(0)
+        return len(tree.tags) - 1
 
     while (match := _TOKEN.search(page, at)) is not None:
         text(page[at : match.start()])
         at = match.end()
         if match[2] is not None:
             name = match[2].lower()
-            if name in CLOSES_P or name in CLOSED_BY_SAME:
-                stop = SCOPES.get(name, set())
-                ends = CLOSED_BY_SAME.get(name, {"p"})
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in ends:
-                        close(depth)
-                        break
-                    if stack[depth][0] in stop or (ends == {"p"} and stack[depth][0] not in INLINE):
-                        break
+            if name in CLOSED_BY_SAME:
+                place = nearest(CLOSED_BY_SAME[name])
+                if place > nearest(SCOPES[name]):
+                    close(place)
+            elif name in CLOSES_P and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
+            marks, hidden = _marks(match[3]) if match[3].strip(" \t\r\n\f/") else ("", False)
             if name in INLINE or name in VOID:
                 if name == "br":
                     text(" ")
@@ -84,28 +139,22 @@ def parse(page: str) -> Tree:
                     block += 1
                 elif name not in VOID and not match[3].endswith("/"):
                     links += name == "a"
-                    stack.append((name, stack[-1][1]))
+                    open_at.setdefault(name, []).append(len(stack))
+                    stack.append((name, element(name, marks, hidden) if marks or hidden else stack[-1][1]))
                 continue
             block += 1
-            tree.tags.append(name)
-            tree.parents.append(stack[-1][1])
-            tree.linked.append(0)
-            tree.marks.append(
-                " ".join(f"{k} {a or b or c}" for k, a, b, c in _ATTRIBUTE.findall(match[3])).lower() if match[3].strip() else ""
-            )
+            number = element(name, marks, hidden)
             if name in RAW_TEXT:
-                end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 block += 1
             elif not match[3].endswith("/"):
-                stack.append((name, len(tree.tags) - 1))
+                open_at.setdefault(name, []).append(len(stack))
+                blocks.append(len(stack))
+                stack.append((name, number))
         elif match[1] is not None:
             name = match[1].lower()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    close(depth)
-                    break
-                if name in INLINE and stack[depth][0] not in INLINE:
-                    break
+            if open_at.get(name) and (name not in INLINE or open_at[name][-1] > blocks[-1]):
+                close(open_at[name][-1])
     text(page[at:])
     return tree
