@@ -8,7 +8,7 @@ import numpy as np
 
 from groundtable.llm.dom import parse
 from groundtable.llm.embedding_dedup import CapParams, near_vectors
-from groundtable.llm.html_extract import _extract, extract_pages, marginals, train_extractor
+from groundtable.llm.html_extract import _extract, extract_pages, marginals, potentials, train_extractor
 from groundtable.llm.warc import archive_pages
 
 
@@ -58,6 +58,53 @@ PAGE = (
 )
 
 
+PARAGRAPHS = "".join(f"<p>This is paragraph {i}. It goes on for a while, as such texts do, and then it ends.</p>" for i in range(4))
+LINES = [f"This is paragraph {i}. It goes on for a while, as such texts do, and then it ends." for i in range(4)]
+CASES = [  # (page, its main text)
+    (f'<body class="no-sidebar"><nav><a href=x>Home</a></nav><article class="post has-comments"><h1>T</h1>{PARAGRAPHS}</article>', ["T", *LINES]),
+    (f'<article><h1>T</h1><div class="social-science">{PARAGRAPHS}</div></article>', ["T", *LINES]),
+    (f'<article><header><h1>Title</h1></header>{PARAGRAPHS}<footer>tags</footer></article><header><h1>Site</h1></header>', ["Title", *LINES]),
+    (f'<article>{PARAGRAPHS}<p>Some <span class="advert">Buy now</span> text <span hidden>no</span><i style="display:none">no</i> on.</p></article>', [*LINES, "Some text on."]),
+    (f'<div class="banner"><article>{PARAGRAPHS}<div class="ad-slot"><p>Cheap things. Buy them.</p></div></article></div>', LINES),
+    (f'<article>{PARAGRAPHS}<aside>More on it. Read it.</aside><form>Name: <input><button>Go</button></form><div id="comments"><p>Nice. I agree.</p></div></article>', LINES),
+    (f'<div id="content"><h1>Title</h1>{PARAGRAPHS}</div><div id="cookie-notice">We use cookies. Accept them.</div>', ["Title", *LINES]),
+]
+
+
+def _plain(page, model):
+    """Extraction with marginals by summing over all states of a small tree."""
+    tree = parse(page)
+    score, coupling = potentials(tree, model)
+    size = len(tree.tags)
+    mass = np.zeros((size, 2))
+    for state in itertools.product((0, 1), repeat=size):
+        log = sum(score[i] for i in range(size) if state[i])
+        log += sum(coupling[i] / 2 * (1 if state[i] == state[tree.parents[i]] else -1) for i in range(1, size))
+        for i in range(size):
+            mass[i, state[i]] += np.exp(log)
+    blocks = {}
+    for element, block, run in tree.texts:
+        if mass[element, 1] >= mass[element, 0]:
+            blocks[block] = blocks.get(block, "") + run
+    return "\n".join(t for t in (" ".join(b.split()) for b in blocks.values()) if t)
+
+
+def test_extraction_cases_and_enumeration(spark):
+    rows = [(i, f"u{i}", PAGE.format("article", i)) for i in range(40)] + [(100 + i, None, page) for i, (page, _) in enumerate(CASES)]
+    long = "<article>" + "<p>A sentence of a long page. And one more.</p>" * 40_000 + "</article>"
+    rows += [(200, "u", long), (201, "u", "<div>" * 60_000 + "</i>" * 60_000 + "x"), rows[3], (3, "other", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'y' AS text", "1 AS n_chars", "2 AS place")
+    model = train_extractor(df)
+    got = {}
+    for r in extract_pages(df).collect():
+        got.setdefault(r.page_id, []).append(r)
+    assert [got[100 + i][0].text.split("\n") for i in range(len(CASES))] == [want for _, want in CASES]
+    assert got[200][0].text == "\n".join(["A sentence of a long page. And one more."] * 40_000)
+    assert sorted(r.n_chars for r in got[3]) == sorted([0, len(got[4][0].text), len(got[4][0].text)])  # a repeated row, and its id with another page
+    small = [page for page, _ in CASES if len(parse(page).tags) <= 14] + ["<p>a. b.<p>c", "<div class=ad>x. y.</div><h1>T</h1><p>Some. Text.", "plain"]
+    assert len(small) >= 6 and [_extract([parse(p)], model)[0] for p in small] == [_plain(p, model) for p in small]
+
+
 def test_extraction(spark):
     rows = [(i, f"u{i}", PAGE.format("article", i)) for i in range(40)] + [(90, "u", None), (91, None, ""), (92, "u", "<p>unclosed <i>text")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'y' AS text", "1 AS id")
