@@ -52,7 +52,7 @@ class JaccardParams:
 
     ``rarity_bits`` sizes the table of document counts by hashed shingle that is broadcast, a byte a
     slot; counts below ``common_from`` are not told apart.  Both only change the order of entries.
-    ``candidate_bits`` is the fixed size, as a power of two, of the filter on candidate documents.
+    ``candidate_bits`` bounds, as a power of two, the filter on candidate documents.
     """
 
     words: int = 5
@@ -60,7 +60,7 @@ class JaccardParams:
     den: int = 100
     rarity_bits: int = 20
     common_from: int = 16
-    candidate_bits: int = 23
+    candidate_bits: int = 26
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:

@@ -46,13 +46,13 @@ OCCURRENCE = "anchor long, context long, id long, low long, high long"
 
 @dataclass(frozen=True)
 class RepeatParams:
-    """``many`` contexts of one anchor make it split; ``filter_bits`` sizes the filter on ids."""
+    """``many`` contexts of one anchor make it split; ``filter_bits`` bounds the filter on ids."""
 
     window: int = 200
     gram: int = 48
     index_bytes: int = 2 << 20
     many: int = 2048
-    filter_bits: int = 23
+    filter_bits: int = 26
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
