@@ -1,16 +1,24 @@
 """WARC archives as a PySpark Python data source, for reading and writing.
 
-Reading: each partition is one archive file; the writer cuts files at a size.  Equality and IN predicates on the record type
-and other header columns are pushed down: a record's header is parsed first, and the payload of a
-record that fails them is skipped without being decoded.  A payload is not decoded either when the
-``payload`` option is ``false``.
+Reading: each partition is one archive file; the writer cuts files at a size.  Equality and IN
+predicates on the record type and other header columns are pushed down: a record's header is parsed
+first, and the payload of a record that fails them is skipped without being decoded.  A payload is not
+decoded either when the ``payload`` option is ``false``.  Header lines may end in CR LF or in LF alone.
 
 Writing: every task writes files of its own under a temporary name and the commit renames the files
-of the tasks that succeeded, so a lost executor or a repeated task leaves no second copy.
+of the tasks that succeeded and removes what failed tasks left, so a lost executor or a repeated task
+leaves no second copy.  Files are reached through ``pyarrow.fs``, so any store with a URI that it knows
+will do.
 
-Files are reached through ``pyarrow.fs``, so any store with a URI that it knows will do.
+Page archives: which pages repeat a payload is settled on ids, lengths and SHA-256 digests alone.  The
+payload of a page that nobody repeats is never shuffled, and of a group of copies only the response's is.
 
 * Null payloads count as empty.  Null ids are written as an empty record name and read as null.
+* Of equal payloads the smallest id is the response; null ids rank behind all others.  Rows that repeat
+  the smallest id and its payload (ties) are all responses.  Rows that repeat an id with different
+  payloads are records of their own.
+* Payloads are written whole, whatever their length; a record's must fit a task's memory.
+* Input columns beside id, url and html are ignored, also those named like an output.
 * An empty table gives an empty archive folder, which reads as an empty table.
 """
 
@@ -23,6 +31,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -40,7 +49,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from groundtable.plans.shared import shared_path
+from groundtable.llm.id_filter import mark_ids, passes
+from groundtable.plans.shared import shared_path, short_batches, spill
 
 RECORD_SCHEMA = (
     "record_type string, record_id string, target_uri string, payload_digest string, "
@@ -68,7 +78,7 @@ def sha1_base32(digest_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(digest_hex)).decode()
 
 
-def _record(kind: str, record_id: str | None, uri: str | None, digest: str | None, refers_to: str | None, size: int, payload: bytes) -> bytes:
+def _record(kind: str, record_id: str | None, uri: str | None, digest: str | None, refers_to: str | None, size: int, payload: bytes, date: str) -> bytes:
     """One WARC/1.1 record: an HTTP response head, and the payload unless it is a revisit."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     if kind != "revisit":
@@ -77,14 +87,15 @@ def _record(kind: str, record_id: str | None, uri: str | None, digest: str | Non
         b"WARC/1.1",
         b"WARC-Type: " + kind.encode(),
         b"WARC-Record-ID: <urn:record:" + (record_id or "").encode() + b">",
+        b"WARC-Date: " + date.encode(),
         b"WARC-Target-URI: " + (uri or "").replace("\r", "%0D").replace("\n", "%0A").encode(),
         b"WARC-Payload-Digest: sha1:" + (digest or "").encode(),
         b"Content-Type: application/http; msgtype=response",
         b"Content-Length: %d" % len(block),
     ]
     if kind == "revisit":
-        lines.insert(5, b"WARC-Profile: " + _PROFILE)
-        lines.insert(6, b"WARC-Refers-To: <urn:record:" + (refers_to or "").encode() + b">")
+        lines.insert(6, b"WARC-Profile: " + _PROFILE)
+        lines.insert(7, b"WARC-Refers-To: <urn:record:" + (refers_to or "").encode() + b">")
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -94,10 +105,12 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Gzip files of one member per record, cut at ``max_bytes`` compressed bytes."""
+    """Gzip files of one member per record, cut at ``max_bytes`` compressed bytes; all records bear the job's start as their date."""
 
     def __init__(self, path: str, max_bytes: int):
         self.path, self.max_bytes = path, max_bytes
+        self.job = uuid.uuid4().hex
+        self.date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         system, root = _filesystem(self.path)
@@ -110,12 +123,12 @@ class WarcWriter(DataSourceArrowWriter):
                 for values in zip(*columns):
                     row = dict(zip(batch.schema.names, values))
                     if sink is None:
-                        names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                        names.append(f"part-{self.job}-{uuid.uuid4().hex}.warc.gz")
                         system.create_dir(root, recursive=True)
                         sink, size = system.open_output_stream(f"{root}/_{names[-1]}", compression=None), 0
                     payload = row["payload"] or b""
                     member = gzip.compress(
-                        _record(row["record_type"], row["record_id"], row["target_uri"], row["payload_digest"], row["refers_to"], row["payload_bytes"] or 0, payload),
+                        _record(row["record_type"], row["record_id"], row["target_uri"], row["payload_digest"], row["refers_to"], row["payload_bytes"] or 0, payload, self.date),
                         compresslevel=1,
                         mtime=0,
                     )
@@ -135,12 +148,17 @@ class WarcWriter(DataSourceArrowWriter):
         for message in messages:
             for name in message.names if message else ():
                 system.move(f"{root}/_{name}", f"{root}/{name}")
+        self._remove_rest()
 
     def abort(self, messages: list[_Written | None]) -> None:
+        self._remove_rest()
+
+    def _remove_rest(self) -> None:
+        """Delete what tasks of this job wrote and did not hand over."""
         system, root = _filesystem(self.path)
-        for message in messages:
-            for name in message.names if message else ():
-                system.delete_file(f"{root}/_{name}")
+        for info in system.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True)):
+            if info.base_name.startswith(f"_part-{self.job}-"):
+                system.delete_file(info.path)
 
 
 @dataclass
@@ -210,7 +228,7 @@ class WarcReader(DataSourceReader):
             left = length
             if is_http:
                 while left > 0 and (line := source.line()) is not None:
-                    left -= len(line) + 2
+                    left -= source.consumed
                     if not line:
                         break
                     if line[:15].lower() == b"content-length:":
@@ -239,6 +257,7 @@ class _Bytes:
     def __init__(self, raw, packed: bool):
         self.raw, self.packed = raw, packed
         self.buffer, self.at = b"", 0
+        self.consumed = 0  # bytes of the last line, its end included
         self.unpack = zlib.decompressobj(31) if packed else None
 
     def _more(self) -> bool:
@@ -264,7 +283,7 @@ class _Bytes:
             if not self._more():
                 return None
         found = self.buffer[self.at : end]
-        self.at = end + 1
+        self.at, self.consumed = end + 1, end + 1 - self.at
         return found.removesuffix(b"\r")
 
     def take(self, size: int) -> bytes:
@@ -313,26 +332,53 @@ def _base32(digests):
     return digests.map(sha1_base32, na_action="ignore")
 
 
+def _may_be_in(spark: SparkSession, ids: DataFrame):
+    """A column function that lets the values of ``ids`` pass, and few others."""
+    bitmap = spark.sparkContext.broadcast(mark_ids(ids))
+
+    @F.arrow_udf("boolean")
+    def test(values: pa.Array) -> pa.Array:
+        return pa.array(passes(values, bitmap.value))
+
+    return test
+
+
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """WARC records of pages: of equal payloads the smallest id is the response, others revisit it."""
+    spark = pages.sparkSession
+    short_batches(spark)
     body = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("target_uri"), body.alias("payload"))
-    keyed = rows.withColumn("sha256", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    groups = (
-        keyed.groupBy("sha256", "payload_bytes").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-        .where("copies > 1").drop("copies")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), body.alias("payload")).withColumn(
+        "key", F.xxhash64("payload")
+    )
+    named = lambda df: df.withColumns(
+        {"payload_bytes": F.octet_length("payload").cast("long"), "sha256": F.sha2("payload", 256), "digest_hex": F.sha1("payload")}
+    )
+    keys = spill(named(rows).drop("payload"), "payload-keys")
+    groups = spill(
+        keys.groupBy("sha256", "payload_bytes").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies"))
+        .where("copies > 1").drop("copies"),
+        "payload-groups",
     )
-    joined = keyed.join(groups, ["sha256", "payload_bytes"], "left")
+    repeats = _may_be_in(spark, groups.select(F.col("key").alias("id")))
+    joined = keys.where(repeats("key")).join(groups.drop("key"), ["sha256", "payload_bytes"], "left")
     revisit = F.coalesce(F.col("id") != F.col("first"), F.col("id").isNull() & F.col("first").isNotNull())
-    return joined.select(
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.col("id").cast("string").alias("record_id"),
-        "target_uri",
-        F.sha1("payload").alias("digest_hex"),
-        F.when(revisit, F.col("first").cast("string")).alias("refers_to"),
-        "payload_bytes",
-        F.when(~revisit, F.col("payload")).alias("payload"),
-    ).withColumn("payload_digest", _base32("digest_hex")).select(*[f.split()[0] for f in WRITE_SCHEMA.split(", ")])
+    twins = spill(joined.withColumn("revisit", revisit), "payload-twins")
+    heads = twins.where("NOT revisit").select(F.col("id").alias("head"), F.col("sha256").alias("head_sha256"))
+    is_head = _may_be_in(spark, heads.select(F.col("head").alias("id")))
+    alone = named(rows.where(~repeats("key")))
+    leading = named(rows.where(repeats("key") & is_head("id"))).join(
+        heads, F.col("id").eqNullSafe(F.col("head")) & (F.col("sha256") == F.col("head_sha256")), "left_semi"
+    )
+    columns = ["id", "target_uri", "digest_hex", "payload_bytes"]
+    responses = alone.unionByName(leading).select(
+        F.lit("response").alias("record_type"), *columns, F.lit(None).cast("string").alias("refers_to"), "payload"
+    )
+    revisits = twins.where("revisit").select(
+        F.lit("revisit").alias("record_type"), *columns, F.col("first").cast("string").alias("refers_to"), F.lit(None).cast("binary").alias("payload")
+    )
+    records = responses.unionByName(revisits).withColumn("record_id", F.col("id").cast("string"))
+    return records.withColumn("payload_digest", _base32("digest_hex")).select(*[f.split()[0] for f in WRITE_SCHEMA.split(", ")])
 
 
 def write_pages(pages: DataFrame, path: str, **columns: str) -> None:
