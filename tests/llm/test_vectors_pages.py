@@ -1,15 +1,17 @@
 """Vectors and pages against brute force and round trips."""
 
 import base64
+import gzip
 import hashlib
 import itertools
+import re
 
 import numpy as np
 
 from groundtable.llm.dom import parse
 from groundtable.llm.embedding_dedup import CapParams, near_vectors
 from groundtable.llm.html_extract import _extract, extract_pages, marginals, potentials, train_extractor
-from groundtable.llm.warc import archive_pages
+from groundtable.llm.warc import archive_pages, register_warc, write_pages
 
 
 def test_near_vectors(spark):
@@ -116,6 +118,37 @@ def test_extraction(spark):
     assert extract_pages(df.where("false")).count() == 0
 
 
+def test_warc_lines_may_end_in_lf(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\nContent-Length: 5\n\nhello"
+    head = b"WARC/1.1\nWARC-Type: response\nWARC-Record-ID: <urn:record:7>\nContent-Type: application/http\nContent-Length: %d\n\n" % len(block)
+    bare = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:8>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(head + block + b"\n\n" + bare)
+    register_warc(spark)
+    got = {r.record_id: bytes(r.payload) for r in spark.read.format("warc").load(str(tmp_path)).collect()}
+    assert got == {"7": b"hello", "8": b"hi"}
+
+
+def test_warc_repeats_and_files(spark, tmp_path):
+    """Repeated ids, ties and a large group against the rule; the files hold dated records and nothing temporary."""
+    rows = [(i, "u", "same") for i in range(50)] + [(0, "u", "same"), (3, "v", "other"), (3, "v", "third"), (None, "w", "fourth"), (None, "w", "fourth"), (77, "w", "third")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "5 AS key", "6 AS sha256", "7 AS first", "8 AS head").repartition(5)
+    write_pages(df, str(tmp_path / "w"))
+    first = {}
+    for i, _, body in rows:
+        first[body] = min(first.get(body, 1 << 60), 1 << 60 if i is None else i)
+    want = sorted((str(i), body, first[body] not in (i, 1 << 60) or (i is None and first[body] < 1 << 60)) for i, _, body in rows)
+    got = spark.read.format("warc").load(str(tmp_path / "w")).collect()
+    digest = {base64.b32encode(hashlib.sha1(b.encode()).digest()).decode(): b for b in first}
+    assert sorted((str(r.record_id), digest[r.payload_digest], r.record_type == "revisit") for r in got) == want
+    assert all(r.refers_to == str(first[digest[r.payload_digest]]) for r in got if r.record_type == "revisit")
+    names = [p.name for p in (tmp_path / "w").iterdir() if not p.name.startswith(".")]
+    assert names and all(n.startswith("part-") for n in names)
+    for path in (tmp_path / "w").iterdir():
+        if path.name.endswith(".gz"):
+            for record in gzip.open(path).read().split(b"WARC/1.1\r\n")[1:]:
+                assert re.search(rb"^WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r$", record.split(b"\r\n\r\n")[0] + b"\r", re.M)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "ä" * 5000), (2, "http://b/", "ä" * 5000), (3, None, None), (4, "x\ny", ""), (None, "u", "q"), (6, "u", "q"), (7, "big", "z\r\n" * 200_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS payload", "2 AS id")
