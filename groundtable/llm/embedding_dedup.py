@@ -9,11 +9,15 @@ filters follows from the wanted recall.
 
 * Only vectors of equal, non-null label and equal length link.  Null and zero vectors, and those with
   null or non-finite components, link with nothing and are their own component.
-* Equal vectors of a label form a class that is compared once and counted by its size.
+* Equal vectors of a label form a class that is compared once and counted by its size (ties).
 * A tile of more than ``tile_rows`` vectors is cut into chunks, and each pair of chunks is a task of
   its own.  A tile returns counts and one tree of links per component, never its pairs.  A pair that
   shares several filters is counted in the first of them only.
-* Repeated rows count as vectors of their own.  An empty table gives an empty result.
+* What travels to a tile is the vector as given (four bytes a component for single precision) and its
+  filters as four-byte numbers; unit vectors are made in the tile, in double precision.
+* Repeated rows count as vectors of their own.  Rows that repeat an id with other vectors are counted
+  together under that id.  An empty table gives an empty result.
+* Input columns beside id, vector and label are ignored, also those named like an output.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundtable.llm.components import connected_components
 from groundtable.plans.shared import shuffle_width, spill
 
+_PARTITION = 64 << 20  # bytes of tiles that one task should get
+
 
 @dataclass(frozen=True)
 class CapParams:
@@ -41,7 +49,7 @@ class CapParams:
 
     cosine: float = 0.93
     miss: float = 0.0005
-    codes: int = 6
+    codes: int = 48
     rows_per_cap: int = 32
     tile_rows: int = 1024
     seed: int = 11
@@ -56,7 +64,10 @@ class CapCode:
 
 
 def plan_code(n: int, params: CapParams) -> CapCode:
-    """The code for ``n`` vectors per label: smaller caps and more filters as n grows."""
+    """The code for ``n`` vectors per label: smaller caps and more filters as n grows.
+
+    Filters are numbered with 31 bits, enough for some 10**10 vectors a label.
+    """
     inside = min(0.05, max(1e-9, params.rows_per_cap / max(n, 1)))
     low, high = 0.0, 8.0
     for _ in range(60):
@@ -81,38 +92,49 @@ def _codebook(dim: int, words: int, codes: int, seed: int) -> list[tuple[np.ndar
     return out
 
 
-def _decode(first: np.ndarray, second: np.ndarray, threshold: float) -> np.ndarray:
-    """All filters (i, j) with first[i] + second[j] >= threshold, as i * words + j."""
-    order = np.argsort(-second)
-    counts = np.searchsorted(-second[order], first - threshold, side="right")
-    some = np.flatnonzero(counts)
-    counts = counts[some]
-    after = np.cumsum(counts)
-    if not len(after):
-        return np.zeros(0, dtype=np.int64)
-    place = np.arange(after[-1]) - np.repeat(after - counts, counts)
-    return np.sort(np.repeat(some, counts) * len(second) + order[place])
+def _decode(first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (row, filter) with first[row, i] + second[row, j] >= threshold, the filter being i * words + j.
+
+    Only the words i that some j can lift over the threshold are visited.
+    """
+    rows, i = np.nonzero(first >= threshold - second.max(axis=1, keepdims=True))
+    at, j = np.nonzero(second[rows] >= (threshold - first[rows, i])[:, None])
+    return rows[at], i[at] * first.shape[1] + j
+
+
+def _unit(vector: np.ndarray) -> np.ndarray:
+    v = vector.astype(np.float64)
+    v = v / np.abs(v).max()
+    return v / math.sqrt(float(v @ v))
 
 
 def _filters(code: CapCode, params: CapParams):
-    """Adds to each vector its unit form and the filters whose caps hold it."""
+    """Adds to each vector its bytes and the filters whose caps hold it."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: dict[int, list] = {}
         for batch in batches:
-            units, lists = [], []
-            for vector in batch.column("vector"):
-                v = np.asarray(vector.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-                v = v / np.abs(v).max()
-                v = v / math.sqrt(float(v @ v))
-                if len(v) not in books:
-                    books[len(v)] = _codebook(len(v), code.words, params.codes, params.seed)
-                units.append(v)
-                found = [_decode(v @ a, v @ b, code.threshold) + k * code.words**2 for k, (a, b) in enumerate(books[len(v)])]
-                lists.append(np.concatenate(found))
+            given = [vector.values.to_numpy(zero_copy_only=False) for vector in batch.column("vector")]
+            sizes = np.array([len(v) for v in given])
+            rows, filters = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for dim in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == dim)
+                if dim not in books:
+                    books[dim] = _codebook(dim, code.words, params.codes, params.seed)
+                for part in np.array_split(own, -(-len(own) // 1024)):
+                    unit = np.stack([_unit(given[i]) for i in part])
+                    for k, (a, b) in enumerate(books[dim]):
+                        row, found = _decode(unit @ a, unit @ b, code.threshold)
+                        rows.append(part[row])
+                        filters.append(found + k * code.words**2)
+            row, flat = np.concatenate(rows), np.concatenate(filters)
+            order = np.lexsort((flat, row))
+            offsets = np.searchsorted(row[order], np.arange(len(given) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[order].astype(np.int32)))  # below 2**31: see plan_code
+            raw = [v.tobytes() for v in given]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("id", "space", "copies")] + [pa.array(units, pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.int64()))],
-                ["id", "space", "copies", "unit", "filters"],
+                [batch.column(c) for c in ("id", "label", "space", "copies")] + [pa.array(raw, pa.binary()), lists],
+                ["id", "label", "space", "copies", "raw", "filters"],
             )
 
     return decode
@@ -130,15 +152,22 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _verify(cosine: float):
-    """Count the links of each tile; the input is sorted by tile."""
+def _verify(cosine: float, kind: type):
+    """Count the links of each tile; the input is sorted by tile.  ``kind`` is the vectors' precision."""
     keys = ["space", "filter", "i", "j"]
 
-    def tile(table: pa.Table) -> pa.RecordBatch | None:
-        if table.num_rows < 2:
-            return None
+    def tile(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """A tile is found by a hash of label and length, so these are compared themselves here."""
+        labels = pc.dictionary_encode(table.column("label").combine_chunks()).indices.to_numpy()
+        alike = np.stack([labels, pc.binary_length(table.column("raw").combine_chunks()).to_numpy()], axis=1)
+        for group in [None] if (alike == alike[0]).all() else np.unique(alike, axis=0):
+            part = table if group is None else table.take(pa.array(np.flatnonzero((alike == group).all(axis=1))))
+            if part.num_rows > 1 and (found := links(part)) is not None:
+                yield found
+
+    def links(table: pa.Table) -> pa.RecordBatch | None:
         filter_id, i, j = (table.column(c)[0].as_py() for c in ("filter", "i", "j"))
-        unit = np.array(table.column("unit").to_pylist())
+        unit = np.stack([_unit(np.frombuffer(raw, dtype=kind)) for raw in table.column("raw").to_pylist()])
         linked = unit @ unit.T >= cosine
         chunk = table.column("chunk").to_numpy()
         if i != j:
@@ -173,13 +202,12 @@ def _verify(cosine: float):
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(marks)]):
                 key = tuple(marks[start])
                 if key != last and held:
-                    if (done := tile(pa.concat_tables(held))) is not None:
-                        yield done
+                    yield from tile(pa.concat_tables(held))
                     held = []
                 held.append(table.slice(start, end - start))
                 last = key
-        if held and (done := tile(pa.concat_tables(held))) is not None:
-            yield done
+        if held:
+            yield from tile(pa.concat_tables(held))
 
     return verify
 
@@ -193,7 +221,8 @@ def near_vectors(
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept (the component's smallest id)."""
     spark = vectors.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
+    single = vectors.schema[vector_col].dataType.elementType == T.FloatType()
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     usable = vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0) & F.col(label_col).isNotNull()
     rows = vectors.select(
@@ -208,10 +237,12 @@ def near_vectors(
     )
     largest = classes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
     code = plan_code(largest, params)
-    decoded = classes.select("id", "space", "copies", "vector").mapInArrow(
-        _filters(code, params), "id long, space long, copies long, unit array<double>, filters array<long>"
+    decoded = classes.select("id", "label", "space", "copies", "vector").mapInArrow(
+        _filters(code, params), "id long, label string, space long, copies long, raw binary, filters array<int>"
     )
     placed = spill(decoded, "caps")
+    weight = F.size("filters") * (F.octet_length("raw") + 4 * F.size("filters") + 64)
+    width = max(shuffle_width(spark), -(-(placed.agg(F.sum(weight)).first()[0] or 0) // _PARTITION))
     members = placed.select("*", F.explode("filters").alias("filter"))
     large = (
         members.groupBy("space", "filter").agg(F.count("*").alias("n")).where(F.col("n") > params.tile_rows)
@@ -224,11 +255,11 @@ def near_vectors(
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .withColumn("i", F.least("chunk", "other"))
         .withColumn("j", F.greatest("chunk", "other"))
-        .select("space", "filter", "i", "j", "chunk", "id", "copies", "unit", "filters")
-        .repartition(shuffle_width(spark), "space", "filter", "i", "j")
+        .select("space", "filter", "i", "j", "chunk", "id", "label", "copies", "raw", "filters")
+        .repartition(int(width), "space", "filter", "i", "j")
         .sortWithinPartitions("space", "filter", "i", "j")
     )
-    found = spill(tiles.mapInArrow(_verify(params.cosine), "id long, links long, root long"), "links")
+    found = spill(tiles.mapInArrow(_verify(params.cosine, np.float32 if single else np.float64), "id long, links long, root long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = (
