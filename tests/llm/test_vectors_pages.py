@@ -7,6 +7,7 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 
 from groundtable.llm.dom import parse
 from groundtable.llm.embedding_dedup import CapParams, near_vectors
@@ -41,6 +42,35 @@ def test_near_vectors(spark):
     assert near_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_vectors_recall(spark, kind):
+    """Planted pairs just above and just below the least cosine, among others, against all pairs."""
+    rng = np.random.RandomState(8)
+    base = rng.randn(400, 64)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = []
+    for i, v in enumerate(base):
+        side = rng.randn(64)
+        side -= (side @ v) * v
+        side /= np.linalg.norm(side)
+        c = rng.choice([0.9299, 0.9301, 0.94, 0.97])
+        rows += [v, (c * v + np.sqrt(1 - c * c) * side) * rng.uniform(0.1, 9)]
+    precision = np.float32 if kind == "float" else np.float64
+    matrix = np.array(rows).astype(precision)
+    labels = [None if i % 97 == 0 else f"l{i // 2 % 2}" for i in range(len(rows))]
+    df = spark.createDataFrame([(i, v.tolist(), l) for i, (v, l) in enumerate(zip(matrix, labels))], f"vec_id long, embedding array<{kind}>, label string")
+    got = {r.vec_id: r for r in near_vectors(df, params=CapParams(rows_per_cap=8)).collect()}
+    unit = matrix.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    same = np.array([[a is not None and a == b for b in labels] for a in labels])
+    linked = (unit @ unit.T >= 0.93) & same & ~np.eye(len(rows), dtype=bool)
+    want = linked.sum(axis=1)
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() > 400
+    for i in np.flatnonzero(found):
+        assert got[i].component_id in np.flatnonzero(linked[i]) or got[i].component_id == i
+
+
 def test_marginals_match_enumeration():
     rng = np.random.RandomState(0)
     parents, depths = np.array([-1, 0, 0, 1, 1, 2]), np.array([0, 1, 1, 2, 2, 2])
