@@ -1,7 +1,10 @@
 """Hashes of many byte spans at once, for use inside Arrow batches.
 
-A span's hash is a polynomial over its bytes modulo 2**64, read from one prefix sum, so hashing
-all words or all windows of a batch costs a few array operations whatever the number of spans.
+A span's hash is a polynomial over its bytes, read from a prefix sum, so hashing all words or all
+windows of a batch costs a few array operations whatever the number of spans.  ``SpanHasher`` counts
+modulo 2**64: fast, and fit for choosing anchors and features, but special strings collide.
+``FieldHasher`` evaluates two polynomials modulo the prime 2**31 - 1 at unrelated points, 62 bits in
+all, and is what stands for a word where equality matters.
 """
 
 from __future__ import annotations
@@ -61,6 +64,98 @@ class SpanHasher:
         return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts])
 
 
+_PRIME = np.uint64((1 << 31) - 1)
+_points = [int(p) for p in _random.randint(1 << 20, (1 << 31) - 1, 2)]
+FIELD_CODES = _random.randint(1, (1 << 31) - 1, (2, 256), dtype=np.int64).astype(np.uint64)
+FIELD_LOWER_CODES = FIELD_CODES.copy()
+FIELD_LOWER_CODES[:, 65:91] = FIELD_CODES[:, 97:123]
+_ladders: dict[int, list[np.ndarray]] = {}
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """Values below 2**62 modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _field_powers(n: int) -> list[np.ndarray]:
+    """Powers of both points and of their inverses; the one set of tables kept grows by doubling."""
+    size = 1 << max(16, int(n).bit_length())
+    if size not in _ladders:
+        _ladders.clear()
+        made = []
+        for base in _points + [pow(p, -1, int(_PRIME)) for p in _points]:
+            powers = np.ones(1, dtype=np.uint64)
+            while len(powers) < size:
+                powers = np.concatenate([powers, _reduce(powers * np.uint64(pow(base, len(powers), int(_PRIME))))])
+            made.append(powers)
+        _ladders[size] = made
+    return _ladders[size]
+
+
+class FieldHasher:
+    """As SpanHasher, for spans of at most some 2**24 bytes, with hashes that only chance lets collide."""
+
+    def __init__(self, data: np.ndarray, codes: np.ndarray = FIELD_CODES):
+        ladders = _field_powers(len(data) + 1)
+        self._inverses = ladders[2:]
+        self._sums = np.zeros((2, len(data) + 1), dtype=np.uint64)
+        for k in (0, 1):
+            np.cumsum(_reduce(codes[k][data] * ladders[k][: len(data)]), out=self._sums[k, 1:])
+
+    def halves(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, second = (_reduce(_reduce(s[ends] - s[starts]) * i[starts]) for s, i in zip(self._sums, self._inverses))
+        return first, second
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        first, second = self.halves(starts, ends)
+        return mix((first << np.uint64(32)) | second)
+
+
+def _long_span(data: np.ndarray, codes: np.ndarray, step: int) -> np.uint64:
+    """The field hash of one span, put together from parts of ``step`` bytes."""
+    total, shift = [0, 0], [1, 1]
+    for at in range(0, len(data), step):
+        part = data[at : at + step]
+        found = FieldHasher(part, codes).halves(np.zeros(1, dtype=np.int64), np.array([len(part)]))
+        for k in (0, 1):
+            total[k] = (total[k] + shift[k] * int(found[k][0])) % int(_PRIME)
+            shift[k] = shift[k] * pow(_points[k], len(part), int(_PRIME)) % int(_PRIME)
+    return mix(np.array([total[0] << 32 | total[1]], dtype=np.uint64))[0]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, codes: np.ndarray, step: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(field hash, row) of each maximal run of ``member`` bytes.
+
+    A row of more than ``step`` bytes comes alone and is read in parts that end between two words, so
+    the arrays stay small however long the row is.
+    """
+    if len(data) <= step:
+        starts, ends, rows = runs(member[data], offsets)
+        return FieldHasher(data, codes).spans(starts, ends), rows
+    found, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + step)
+        while end < len(data):  # on to the next byte that is not of a word
+            gap = np.flatnonzero(~member[data[end : end + step]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(len(data), end + step)
+        part = data[at:end]
+        if len(part) > 4 * step:  # ends in a word of at least three times ``step``
+            blank = np.flatnonzero(~member[part])
+            last = int(blank[-1]) + 1 if len(blank) else 0
+            found += [word_hashes(part[:last], np.array([0, last]), member, codes, max(step, last))[0]] if last else []
+            found.append(np.array([_long_span(part[last:], codes, step)], dtype=np.uint64))
+        else:
+            found.append(word_hashes(part, np.array([0, len(part)]), member, codes, 4 * step)[0])
+        at = end
+    hashes = np.concatenate(found)
+    return hashes, np.zeros(len(hashes), dtype=np.int64)
+
+
 def utf8_parts(array: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string or binary array without nulls into runs of about ``limit`` bytes.
 

@@ -12,16 +12,22 @@ link when ``den * intersection >= num * union``.  Links are found in this order:
    band, the one that it meets most often.  This joins large groups of near copies with one
    comparison each instead of all pairs.
 4. In tiles that still hold several components, each document outside the largest component is
-   compared with all documents of other components.  Nothing is capped, so no component is split.
+   compared with all documents of other components in its own and the two adjacent size bands.  Nothing is capped, so no component is split.
 
 A comparison first checks sizes and the places of a shared entry in both lists, then parity
 signatures, folded to 1024 bits and then whole, of half as many bits as entries for large sets: bits in which two signatures differ come from shingles
 that only one set has.  Both bound the overlap from above.  Pairs that pass have their sorted arrays
 intersected.
 
+Words are hashed by polynomials over a prime field, which special strings do not make collide.
+
 * Null text and texts without words have an empty set (size 0) and link with nothing.
-* Ties between ids do not arise; rows that repeat an id count as one document with one text.
-* An empty table gives an empty result.  Other columns of the input are ignored.
+* Rows that repeat an id are one document: of their sets the one with the least fingerprint counts, in
+  all of these rows.  Rows without an id stand for themselves: one whose set equals that of a document
+  is in that document's class and component, any other has no class and no component (null).
+* A document that meets several others equally often (a tie) is first compared with the smallest id.
+* Very long texts are read in parts; what is held of them is eight bytes a word.
+* An empty table gives an empty result.  Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundtable.llm.byte_hash import IS_SPACE, LOWER_CODES, SpanHasher, mix, runs, utf8_parts
+from groundtable.llm.byte_hash import FIELD_LOWER_CODES, IS_SPACE, mix, utf8_parts, word_hashes
 from groundtable.llm.components import connected_components
 from groundtable.llm.id_filter import mark_ids, marked
 from groundtable.plans.shared import short_batches, spill
@@ -65,8 +71,7 @@ class JaccardParams:
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
-    starts, ends, rows = runs(~IS_SPACE[data], offsets)
-    hashes = SpanHasher(data, LOWER_CODES).spans(starts, ends)
+    hashes, rows = word_hashes(data, offsets, ~IS_SPACE, FIELD_LOWER_CODES)
     bounds = np.searchsorted(rows, np.arange(len(offsets)))
     counts = np.diff(bounds)
     whole = np.full(len(hashes), np.uint64(words), dtype=np.uint64)
@@ -91,6 +96,11 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndar
     return out
 
 
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    """A 128-bit fingerprint of each set, as two integers."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
+
+
 def _signature(entries: np.ndarray) -> bytes:
     """Parity of the number of entries hashed to each bit; the bits are half the set's size or more."""
     bits = SIGNATURE_BITS
@@ -130,9 +140,7 @@ def _profile(words: int):
             ids, sets = batch.column("id"), []
             for _, _, data, offsets in utf8_parts(batch.column("text")):
                 sets += _shingles(data, offsets, words)
-            prints = np.array(
-                [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64) for s in sets], dtype=np.int64
-            ).reshape(-1, 2)
+            prints = _prints(sets)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])],
                 names,
@@ -148,7 +156,7 @@ def _profile(words: int):
 
 
 def _entries(params: JaccardParams, rarity: Broadcast):
-    """Each document's signature and the listed part of its set, rarest first."""
+    """Each row's fingerprint and signature, and the listed part of its set, rarest first."""
     shift = np.uint64(64 - params.rarity_bits)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +176,13 @@ def _entries(params: JaccardParams, rarity: Broadcast):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    pa.array(_prints(sets)[:, 0]),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(signatures, pa.binary()),
                     pa.array([_sketch(x) for x in signatures], pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
-                ["id", "n", "signature", "sketch", "entries"],
+                ["id", "high", "n", "signature", "sketch", "entries"],
             )
 
     return entries
@@ -192,7 +201,8 @@ def _whole_sets(words: int, wanted: Broadcast):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "entries"]
+                [batch.column("id").take(rows), pa.array(_prints(sets)[:, 0]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["id", "high", "entries"],
             )
 
     return whole
@@ -257,10 +267,10 @@ class _Links:
             .where((F.col("na") + F.col("nb") - F.col("differ")) / 2 >= self.least_overlap(F.col("na"), F.col("nb")))
         )
         near = spill(bounded.select("a", "b", "na", "nb"), "near")
-        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = spill(near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.nodes.select("id", "high"), "id"), "near-ids")
         wanted = self.texts.sparkSession.sparkContext.broadcast(mark_ids(ids, self.params.candidate_bits))
-        whole = self.texts.mapInArrow(_whole_sets(self.params.words, wanted), "id long, entries array<long>")
-        sets = spill(whole.join(ids, "id", "left_semi"), "sets")
+        whole = self.texts.mapInArrow(_whole_sets(self.params.words, wanted), "id long, high long, entries array<long>")
+        sets = spill(whole.join(ids, ["id", "high"], "left_semi").dropDuplicates(["id"]), "sets")
         checked = (
             near.join(sets.select(F.col("id").alias("a"), F.col("entries").alias("ea")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("entries").alias("eb")), "b")
@@ -282,7 +292,9 @@ def jaccard_components(
     profiles = spill(
         texts.mapInArrow(_profile(params.words), "kind int, id long, n long, high long, low long"), "profiles"
     )
-    documents = profiles.where("kind = 0").select("id", "n", "high", "low")
+    rows = profiles.where("kind = 0").select("id", "n", "high", "low")
+    one = rows.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("high", "low", "n")).alias("set"), F.count("*").alias("rows"))
+    documents = spill(one.select("id", "set.n", "set.high", "set.low", "rows"), "documents")
     slot = F.shiftrightunsigned("id", 64 - params.rarity_bits)
     counts = (
         profiles.where("kind = 1").groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).where(F.col("n") >= params.common_from)
@@ -296,13 +308,14 @@ def jaccard_components(
     classes = spill(classes, "classes")
     listed = texts.mapInArrow(
         _entries(params, spark.sparkContext.broadcast(rarity)),
-        "id long, n long, signature binary, sketch array<long>, entries array<long>",
+        "id long, high long, n long, signature binary, sketch array<long>, entries array<long>",
     )
-    representatives = classes.select(F.col("class_id").alias("id"))
-    nodes = spill(listed.join(representatives, "id", "left_semi").dropDuplicates(["id"]), "nodes")
+    representatives = classes.select(F.col("class_id").alias("id"), "high")
+    nodes = spill(listed.join(representatives, ["id", "high"], "left_semi").dropDuplicates(["id"]), "nodes")
     links = _Links(texts, nodes, params)
 
-    band = F.floor(F.log(F.col("n")) / float(np.log(params.den / params.num))).cast("int")
+    # a little wider than the ratio of linked sizes, so rounding never puts them more than one band apart
+    band = F.floor(F.log(F.col("n")) / float(np.log(params.den / params.num) * (1 + 1e-9) + 1e-12))
     tiles = nodes.select("id", "n", band.alias("band"), F.posexplode("entries").alias("place", "entry"))
     seen = tiles.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1")
     tiles = spill(tiles.join(seen.select("entry"), "entry", "left_semi"), "tiles")
@@ -328,13 +341,14 @@ def jaccard_components(
     )
     open_tiles = placed.join(mixed.select("entry", "main"), "entry").join(nodes.select("id", "sketch"), "id")
     outer = open_tiles.where("component != main").select(
-        "entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("sketch").alias("sa"), F.col("component").alias("ca")
+        "entry", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
+        F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("sketch").alias("sa"), F.col("component").alias("ca"),
     )
     inner = open_tiles.select(
-        "entry", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("sketch").alias("sb"), F.col("component").alias("cb")
+        "entry", "band", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("sketch").alias("sb"), F.col("component").alias("cb")
     )
     rest = (
-        outer.join(inner, "entry")
+        outer.join(inner, ["entry", "band"])
         .where("ca != cb AND (cb = main OR a < b)")
         .where(links.may_link("na", "pa", "nb", "pb") & links.near_sketches("na", "sa", "nb", "sb"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -343,14 +357,21 @@ def jaccard_components(
     edges = edges.unionByName(links.verified(rest))
     components = connected_components(edges).withColumnRenamed("node", "class_id")
 
-    found = (
+    placed = (
         documents.join(classes, ["high", "low", "n"], "left")
         .withColumn("class_id", F.coalesce("class_id", "id"))
         .join(components, "class_id", "left")
+        .withColumn("component", F.coalesce("component", "class_id"))
+    )
+    named = placed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("id", "n", "class_id", "component")
+    nameless = (
+        rows.where("id IS NULL").join(classes, ["high", "low", "n"], "left").join(components, "class_id", "left")
+        .select("id", "n", "class_id", F.coalesce("component", "class_id").alias("component"))
     )
+    found = named.unionByName(nameless)
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         "class_id",
-        F.coalesce("component", "class_id").alias("component_id"),
+        F.col("component").alias("component_id"),
     )
