@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from groundtable.llm.byte_hash import FIELD_LOWER_CODES, IS_SPACE, word_hashes
 from groundtable.llm.exact_dedup import Directory, exact_dedup
 from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
 from groundtable.llm.language_id import LanguageParams, identify_languages, learn_languages
@@ -97,6 +98,30 @@ def test_jaccard_components(docs, rows, words, num):
     assert found == {(i, len(s), find(i)) for i, s in sets.items()}
 
 
+def test_jaccard_awkward_ids_and_words(spark):
+    """Words that collide modulo 2**64, rows that repeat an id or have none, and a very long text."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, morse + " x y"), (2, morse.translate(str.maketrans("ab", "ba")) + " x y"), (3, "p q r s"), (4, "p q r s"), (4, "other words than those"), (4, "p q r s")]
+    rows += [(None, "p q r s"), (None, "nothing like it"), (None, None), (5, long), (6, long + " end"), (7, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rows", "2 AS band", "3 AS component")
+    found = [tuple(r) for r in jaccard_components(df, params=JaccardParams(words=3, num=90)).select("doc_id", "n_shingles", "component_id").collect()]
+    fours = {r for r in found if r[0] == 4}
+    assert len(fours) == 1 and [r[0] for r in found].count(4) == 3 and fours <= {(4, 2, 3), (4, 2, 4)}
+    assert sorted(r for r in found if r[0] not in (4, None)) == [(1, 1, 1), (2, 1, 2), (3, 2, 3), (5, 399_998, 5), (6, 399_999, 5), (7, 0, 7), (7, 0, 7)]
+    assert sorted((r for r in found if r[0] is None), key=str) == sorted([(None, 2, 3), (None, 1, None), (None, 0, None)], key=str)
+
+
+def test_word_hashes_in_parts():
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "b", " ", "c" * rng.randint(1, 150)]) for _ in range(rng.randint(0, 60))).encode()
+        data = np.frombuffer(text, dtype=np.uint8)
+        whole = word_hashes(data, np.array([0, len(data)]), ~IS_SPACE, FIELD_LOWER_CODES)[0]
+        assert len(whole) == len(text.split()) and len(set(whole.tolist())) == len(set(text.split()))
+        assert word_hashes(data, np.array([0, len(data)]), ~IS_SPACE, FIELD_LOWER_CODES, 16)[0].tolist() == whole.tolist()
+
+
 def test_jaccard_empty(nothing):
     assert jaccard_components(nothing).count() == 0
 
