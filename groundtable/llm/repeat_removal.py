@@ -7,19 +7,25 @@ indexes that together see every repeat:
 1. Every window of ``window`` bytes has an anchor: the least hash of a ``gram``-byte string in it,
    leftmost on ties.  Equal windows have equal anchors.  Consecutive windows with the same anchor
    form an occurrence of it, with the bytes that those windows cover as its context.
-2. An anchor that occurs once is followed no further.  Occurrences with equal anchor and context are
-   repeated in full.  This needs only counts, which are summed on the map side.
+2. An anchor that occurs once is followed no further.  Occurrences with equal anchor and context (by a
+   128-bit digest of the context's bytes beside the anchor's hash) are one string of the index with a
+   count, and repeated in full.  Counts are summed on the map side.
 3. The distinct contexts of an anchor, one occurrence of each, go to a run-length index
    (:mod:`groundtable.llm.run_index`): a run-compressed Burrows-Wheeler transform whose sampled run
    ends give the matching statistics of all positions in one pass; statistics of ``window`` or more
-   mark repeats.  An index takes whole anchors up to ``index_bytes``.  An anchor with very many
+   mark repeats.  An index takes whole anchors up to ``index_bytes``.  An anchor with ``many``
    contexts is split by the bytes that follow or precede it: a repeat reaches half of the rest of
    the window to one side, so it meets its like in one of the two.
+4. An anchor with more than ``swarm`` contexts (a passage that a great share of all texts holds, each with
+   other surroundings) would still make one index of them all.  The windows of its contexts are counted
+   instead, by 128-bit digests, summed on the map side, so no task gets them all.
 
 * Text is taken as UTF-8 bytes, null as empty; matches never cross texts.
-* Ids are taken to be unique; rows that repeat id and text count as two texts, each a repeat of the other.
-* Equality of contexts rests on two independent 64-bit hashes, of the anchor and of the whole context.
+* Ids are taken to be unique; rows that repeat id and text count as two texts, each a repeat of the
+  other.  Rows that repeat an id with different texts must be given ids of their own first.
+* Rows without an id are texts like others, but share their removed spans with all rows without an id.
 * An empty table gives an empty result; texts shorter than the window stay whole.
+* Input columns beside id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +48,19 @@ from groundtable.plans.shared import short_batches, shuffle_width, spill
 
 _SLICE = 8 << 20  # window starts of one slice of a very long text
 _PLACE = np.uint64((1 << 24) - 1)
-OCCURRENCE = "anchor long, context long, id long, low long, high long"
+OCCURRENCE = "anchor long, context long, check long, id long, low long, high long"
+_INDEX_TASK = 32 << 20  # bytes of contexts that one task should get
 
 
 @dataclass(frozen=True)
 class RepeatParams:
-    """``many`` contexts of one anchor make it split; ``filter_bits`` bounds the filter on ids."""
+    """More than ``many`` contexts of one anchor make it split, more than ``swarm`` make its windows counted."""
 
     window: int = 200
     gram: int = 48
     index_bytes: int = 2 << 20
     many: int = 2048
+    swarm: int = 32_768
     filter_bits: int = 26
 
 
@@ -66,7 +75,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _occurrences(data: np.ndarray, offsets: np.ndarray, params: RepeatParams):
-    """(row, first window, last window, anchor hash, context hash) of the anchors of some texts."""
+    """(row, first window, last window, anchor hash, place in the data) of the anchors of some texts."""
     window, gram = params.window, params.gram
     empty = np.zeros(0, dtype=np.int64)
     if len(data) < window:
@@ -89,7 +98,7 @@ def _occurrences(data: np.ndarray, offsets: np.ndarray, params: RepeatParams):
     first = np.flatnonzero(new)
     low, high = valid[first], valid[np.append(first[1:], len(valid)) - 1]
     rows = np.searchsorted(offsets, low, side="right") - 1
-    return rows, low - offsets[rows], high - offsets[rows], hashes[own[first]].view(np.int64), hasher.spans(low, high + window).view(np.int64)
+    return rows, low - offsets[rows], high - offsets[rows], hashes[own[first]].view(np.int64), low
 
 
 def _pieces(array: pa.Array, params: RepeatParams):
@@ -103,15 +112,37 @@ def _pieces(array: pa.Array, params: RepeatParams):
             yield np.array([first]), start, part, np.array([0, len(part)])
 
 
+def _anchors(params: RepeatParams):
+    """The anchor of every occurrence, nothing else."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in _pieces(batch.column("text"), params):
+                yield pa.RecordBatch.from_arrays([pa.array(_occurrences(data, offsets, params)[3])], ["anchor"])
+
+    return scan
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digests of byte ranges, as two integers each."""
+    view = memoryview(data)
+    found = b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist()))
+    return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
+
+
 def _scan(params: RepeatParams):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids = batch.column("id")
             for numbers, shift, data, offsets in _pieces(batch.column("text"), params):
-                rows, low, high, anchors, contexts = _occurrences(data, offsets, params)
+                rows, low, high, anchors, at = _occurrences(data, offsets, params)
+                contexts = _digests(data, at, at + high - low + params.window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors), pa.array(contexts), pa.array(ids[numbers][rows], pa.int64()), pa.array(low + shift), pa.array(high + shift)],
-                    ["anchor", "context", "id", "low", "high"],
+                    [
+                        pa.array(anchors), pa.array(contexts[:, 0]), pa.array(contexts[:, 1]), ids.take(pa.array(numbers[rows])),
+                        pa.array(low + shift), pa.array(high + shift),
+                    ],
+                    ["anchor", "context", "check", "id", "low", "high"],
                 )
 
     return scan
@@ -168,14 +199,10 @@ def _match(params: RepeatParams):
     """Repeated windows within indexes of whole groups; the input is sorted by side and group."""
 
     def index(held: list[tuple]) -> pa.RecordBatch:
-        found = repeated_windows([h[2] for h in held], params.window)
-        ids, starts, ends = [], [], []
-        for (doc, low, _), offsets in zip(held, found):
-            if len(offsets):
-                cuts = np.flatnonzero(np.diff(offsets) > 1)
-                for a, b in zip(offsets[np.concatenate([[0], cuts + 1])].tolist(), offsets[np.append(cuts, len(offsets) - 1)].tolist()):
-                    ids.append(doc), starts.append(low + a), ends.append(low + b + params.window)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["id", "start", "end"])
+        number, low, high = repeated_windows([h[2] for h in held], params.window)
+        shift = np.array([h[1] for h in held], dtype=np.int64)[number]
+        ids = pa.array([h[0] for h in held], pa.int64()).take(pa.array(number))
+        return pa.RecordBatch.from_arrays([ids, pa.array(low + shift), pa.array(high + shift + params.window)], ["id", "start", "end"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -195,6 +222,23 @@ def _match(params: RepeatParams):
     return match
 
 
+def _count_windows(params: RepeatParams):
+    """A digest and the place of each window of the contexts."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, doc, low in zip(batch.column("bytes"), batch.column("id"), batch.column("low").to_pylist()):
+                data = np.frombuffer(piece.as_buffer(), dtype=np.uint8)
+                at = np.arange(len(data) - params.window + 1)
+                found = _digests(data, at, at + params.window)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array([doc.as_py()] * len(at), pa.int64()), pa.array(at + low)],
+                    ["digest", "check", "id", "start"],
+                )
+
+    return windows
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: RepeatParams = RepeatParams()) -> DataFrame:
     """(id, start, end) byte ranges that repeat; ranges of a text may overlap and come in any order."""
     spark = docs.sparkSession
@@ -202,31 +246,38 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
     )
-    scanned = texts.mapInArrow(_scan(params), OCCURRENCE)
     # stored first, so that the join has exchanges of its own and a very frequent anchor can be split
-    repeated = spill(scanned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    anchors = texts.select("text").mapInArrow(_anchors(params), "anchor long")
+    scanned = texts.mapInArrow(_scan(params), OCCURRENCE)
+    repeated = spill(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     again = spill(scanned.join(repeated, "anchor", "left_semi"), "occurrences")
 
     classes = spill(
-        again.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "low", "high")).alias("one")), "contexts"
+        again.groupBy("anchor", "context", "check").agg(F.count("*").alias("n"), F.min(F.struct("id", "low", "high")).alias("one")), "contexts"
     )
-    full = again.join(classes.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    full = again.join(classes.where("n > 1").select("anchor", "context", "check"), ["anchor", "context", "check"], "left_semi")
     whole = full.select("id", F.col("low").alias("start"), (F.col("high") + params.window).alias("end"))
 
     unequal = (
         classes.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("least"))
         .where("contexts > 1 AND least = 1")
-        .select("anchor", (F.col("contexts") > params.many).alias("many"))
+        .select("anchor", (F.col("contexts") > params.many).alias("many"), (F.col("contexts") > params.swarm).alias("swarm"))
     )
     wanted = spill(
-        classes.join(unequal, "anchor").select("anchor", "many", "one.id", "one.low", "one.high"), "wanted"
+        classes.join(unequal, "anchor").select("anchor", "many", "swarm", "one.id", "one.low", "one.high"), "wanted"
     )
     bitmap = spark.sparkContext.broadcast(mark_ids(wanted, params.filter_bits))
-    by_text = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "many", "low", "high")).alias("wanted"))
-    holders = texts.mapInArrow(_pass_marked(bitmap), "id long, text binary").join(by_text, "id").dropDuplicates(["id"])
-    pieces = holders.select("id", "text", "wanted").mapInArrow(
-        _cut_contexts(params), "anchor long, many boolean, id long, low long, bytes binary, left long, right long"
-    )
+
+    def contexts(rows: DataFrame) -> DataFrame:
+        by_text = rows.groupBy("id").agg(F.collect_list(F.struct("anchor", "many", "low", "high")).alias("wanted"))
+        holders = texts.mapInArrow(_pass_marked(bitmap), "id long, text binary").join(by_text, "id").dropDuplicates(["id"])
+        return holders.select("id", "text", "wanted").mapInArrow(
+            _cut_contexts(params), "anchor long, many boolean, id long, low long, bytes binary, left long, right long"
+        )
+
+    pieces = contexts(wanted.where("NOT swarm"))
+    size = wanted.agg(F.sum(F.col("high") - F.col("low") + params.window + 64)).first()[0] or 0
+    width = max(shuffle_width(spark), -(-2 * size // _INDEX_TASK))
     routes = F.when(
         F.col("many"),
         F.array_compact(
@@ -239,11 +290,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     routed = (
         pieces.withColumn("route", F.explode(routes))
         .select("route.side", "route.group", "id", "low", "bytes")
-        .repartition(shuffle_width(spark), "side", "group")
+        .repartition(width, "side", "group")
         .sortWithinPartitions("side", "group", "id", "low")
     )
     matched = routed.mapInArrow(_match(params), "id long, start long, end long")
-    return spill(whole.unionByName(matched), "spans")
+    spans = whole.unionByName(matched)
+    if not wanted.where("swarm").isEmpty():
+        windows = spill(contexts(wanted.where("swarm")).mapInArrow(_count_windows(params), "digest long, check long, id long, start long"), "windows")
+        often = windows.groupBy("digest", "check").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        counted = windows.join(often, ["digest", "check"], "left_semi")
+        spans = spans.unionByName(counted.select("id", "start", (F.col("start") + params.window).alias("end")))
+    return spill(spans, "spans")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,20 @@
-"""A run-length index of one text: run-compressed BWT with sampled run ends, and its matches.
+"""A run-length index of a bounded text: run-compressed BWT with sampled run ends, and its matches.
 
 The text is a sequence of byte strings, each followed by a separator that occurs once, so no match
-crosses strings.  Between two run boundaries of the Burrows-Wheeler transform the longest match of a
-position is that of its predecessor less one, so the matches at run ends determine all others:
-only those are compared, and one pass over the text streams the matching statistics.
+crosses strings.  What is kept of the Burrows-Wheeler transform is one entry a run: its symbol, its
+first row, the text positions of its first and last row, and how much its head has in common with the
+tail of the run before.  In repetitive text there are far fewer runs than bytes.
+
+Between two sampled positions the longest match of a position is that of its predecessor less one, so
+the samples determine all matching statistics, and one pass over the samples in text order streams
+them as intervals.  The suffix array that the runs are read from exists only while an index is built;
+callers bound the text of one index.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 _CHUNK = 7  # nine-bit symbols in a 63-bit word
@@ -84,25 +91,52 @@ def _common(words: np.ndarray, symbols: np.ndarray, a: np.ndarray, b: np.ndarray
     return out
 
 
-def repeated_windows(strings: list[bytes], window: int) -> list[np.ndarray]:
-    """For each string the offsets whose ``window`` bytes start anywhere else in the strings too."""
-    if not strings:
-        return []
-    symbols, starts = _symbols(strings)
-    size = len(symbols) - 2 * _CHUNK
+@dataclass(frozen=True)
+class RunIndex:
+    """Arrays with one entry a run of the transform; ``size`` is the length of the text in symbols."""
+
+    size: int
+    symbols: np.ndarray
+    rows: np.ndarray
+    heads: np.ndarray
+    tails: np.ndarray
+    common: np.ndarray
+
+    def matches(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals (first, last) of text positions whose matching statistic is ``least`` or more."""
+        places = np.concatenate([self.heads[1:], self.tails[:-1]])
+        lengths = np.tile(self.common[1:], 2)
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        reach = np.maximum.accumulate(places + lengths[order]) if len(places) else places
+        last = np.minimum(np.append(places[1:], self.size)[: len(places)] - 1, reach - least)
+        some = last >= places
+        return places[some], last[some]
+
+
+def build(symbols: np.ndarray, size: int, depth: int) -> RunIndex:
+    """The index of ``size`` symbols whose suffixes differ within ``depth``."""
     words = _words(symbols, size)
-    depth = max(len(s) for s in strings) + 8
     order = _suffix_array(words, depth)
     before = np.where(order == 0, np.uint64(511), symbols[order - 1])  # the transform; 511 stands before the text
-    head = np.flatnonzero(before[1:] != before[:-1]) + 1  # rows that start a run
-    samples = np.zeros(size, dtype=np.int64)
-    lengths = _common(words, symbols, order[head - 1], order[head], depth)
-    np.maximum.at(samples, order[head], lengths)  # run heads, against the row before
-    np.maximum.at(samples, order[head - 1], lengths)  # run ends, against the row after
-    place = np.arange(size)
-    statistics = np.maximum.accumulate(np.where(samples > 0, samples + place, 0)) - place
-    out = []
-    for start, string in zip(starts.tolist(), strings):
-        last = len(string) - window + 1
-        out.append(np.flatnonzero(statistics[start : start + last] >= window) if last > 0 else np.zeros(0, dtype=np.int64))
-    return out
+    rows = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+    heads, tails = order[rows], order[np.append(rows[1:], size) - 1]
+    common = np.zeros(len(rows), dtype=np.int64)
+    common[1:] = _common(words, symbols, tails[:-1], heads[1:], depth)
+    return RunIndex(size, before[rows].astype(np.uint16), rows, heads, tails, common)
+
+
+def repeated_windows(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals (string, first offset, last offset) at which ``window`` bytes start that start anywhere else too."""
+    if len(strings) >= 1 << 24:
+        raise ValueError("an index numbers its strings with 24 bits")
+    if not strings:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    symbols, starts = _symbols(strings)
+    index = build(symbols, len(symbols) - 2 * _CHUNK, max(len(s) for s in strings) + 8)
+    low, high = index.matches(window)
+    number = np.searchsorted(starts, high, side="right") - 1  # an interval may begin in the separator before
+    high = np.minimum(high - starts[number], np.array([len(s) for s in strings])[number] - window)
+    low = np.maximum(low - starts[number], 0)
+    some = high >= low
+    return number[some], low[some], high[some]
