@@ -16,6 +16,7 @@ from groundtable.llm.language_id import LanguageParams, identify_languages, lear
 from groundtable.llm.mixing import mix_sources
 from groundtable.llm.packing import PackingParams, pack_documents, plan_cuts
 from groundtable.llm.repeat_removal import RepeatParams, remove_repeats
+from groundtable.llm.run_index import _symbols, build, repeated_windows
 from groundtable.llm.toxicity import FtrlParams, _features, score_toxicity, train_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, body string, key string, rank int, copies int"
@@ -126,8 +127,8 @@ def test_jaccard_empty(nothing):
     assert jaccard_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("window,gram", [(200, 48), (30, 8)])
-def test_remove_repeats(docs, nothing, rows, window, gram):
+@pytest.mark.parametrize("window,gram,swarm", [(200, 48, 1 << 15), (30, 8, 1 << 15), (30, 8, 3)])
+def test_remove_repeats(docs, nothing, rows, window, gram, swarm):
     bodies = [(r[0], (r[1] or "").encode()) for r in rows]
     seen = Counter(b[i : i + window] for _, b in bodies for i in range(len(b) - window + 1))
     want = []
@@ -139,11 +140,25 @@ def test_remove_repeats(docs, nothing, rows, window, gram):
         runs = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
         kept = np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()
         want.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    params = RepeatParams(window=window, gram=gram, index_bytes=2000, many=2)  # small, so that anchors split by side
+    params = RepeatParams(window=window, gram=gram, index_bytes=2000, many=2, swarm=swarm)  # small, so that anchors split by side
     assert sorted(tuple(r) for r in remove_repeats(docs, params=params).collect()) == sorted(want)
     assert remove_repeats(nothing).count() == 0
 
 
+def test_run_index():
+    """Intervals against counting all windows; the index holds runs, far fewer than bytes in repetitive text."""
+    rng = random.Random(12)
+    for _ in range(40):
+        base = bytes(rng.choice(b"abc") for _ in range(40))
+        strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 30))) + base[rng.randint(0, 30) :] for _ in range(rng.randint(1, 300))]
+        seen = Counter(s[i : i + 9] for s in strings for i in range(len(s) - 8))
+        want = {(k, i) for k, s in enumerate(strings) for i in range(len(s) - 8) if seen[s[i : i + 9]] > 1}
+        assert {(k, i) for k, a, b in zip(*[x.tolist() for x in repeated_windows(strings, 9)]) for i in range(a, b + 1)} == want
+    symbols, _ = _symbols([base * 50] * 40)
+    index = build(symbols, len(symbols) - 14, 2100)
+    assert len(index.symbols) == len(index.tails) < index.size / 50
+
+
 def test_mix_sources(docs, nothing, rows):
     got = mix_sources(docs).collect()
     again = mix_sources(docs.repartition(7)).collect()
