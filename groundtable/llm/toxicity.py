@@ -8,7 +8,10 @@ rates and the L1 term leave few weights different from zero, and only those are
 * Null text counts as empty; an empty text scores the model's base rate.
 * Rows with a null label are not learnt from.  Ties of the sampling hash go by id.
 * Without any labelled row the model scores 0 for every text.
-* Scoring is a column function: all columns and rows of the input stay.
+* Very long texts are read in parts; what is held of them is some words' worth of hashes.
+* Rows that repeat an id are scored each for itself, and learnt from each with the id's label.
+* Scoring is a column function: all columns and rows of the input stay, whatever their names.
+* An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundtable.llm.byte_hash import IS_ALNUM, LOWER_CODES, SpanHasher, mix, runs, utf8_parts
+from groundtable.llm.byte_hash import FIELD_LOWER_CODES, IS_ALNUM, mix, utf8_parts, word_hashes
 from groundtable.plans.shared import short_batches
 
 BITS = 20
@@ -47,8 +50,7 @@ class FtrlParams:
 
 def _features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, slot) pairs in row order; ``wanted`` keeps only slots marked true."""
-    starts, ends, rows = runs(IS_ALNUM[data], offsets)
-    words = SpanHasher(data, LOWER_CODES).spans(starts, ends)
+    words, rows = word_hashes(data, offsets, IS_ALNUM, FIELD_LOWER_CODES)
     found_rows, found_slots = [rows], [mix(words + np.uint64(1))]
     for gap in (1, 2):
         near = rows[gap:] == rows[:-gap]
