@@ -9,7 +9,8 @@ entries of equal hash, compare their bytes and write the range's index pages to
   ``[\\x20\\x09-\\x0D]`` becomes one space.
 * The row with the smallest id of a group stays; null ids rank behind all others.  Rows that repeat
   both id and text get the same verdict.
-* An empty table gives an empty result.  Other columns of the input are ignored.
+* An empty table gives an empty result.  Other columns of the input are ignored, whatever their names.
+* Of texts of any length only a digest leaves the task that compares their bytes.
 * A text that a third of all rows share reaches its owner once per Arrow batch, not once per row,
   and the owner streams the sorted entries, so its memory does not grow with the group.
 """
@@ -133,11 +134,12 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity_bytes: int = 64 << 20,
-    max_depth: int = 16,
+    most_depth: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
     """Build the index; returns (entries: one row per document, pages: one row per distinct text).
 
-    The directory is planned from at most ``2**max_depth`` prefix weights, whatever the input.
+    The directory is planned from prefix weights of some sixteen prefixes a bucket, at most
+    ``2**most_depth`` of them.  There are as many owners as buckets' worth of bytes.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -146,12 +148,14 @@ def exact_groups(
     keyed = rows.select("id", "body", F.xxhash64("body").alias("key"), F.unhex(F.sha2("body", 256)).alias("digest"))
     entries = spill(keyed.select("id", "key", "digest", F.octet_length("body").alias("n_bytes")), "entries")
 
+    total = entries.agg(F.sum(F.col("n_bytes") + 64)).first()[0] or 0
+    max_depth = min(most_depth, max(4, (16 * total // capacity_bytes).bit_length()))
     prefix = F.shiftrightunsigned("key", 64 - max_depth)
     weights = {
         row[0]: row[1] for row in entries.groupBy(prefix.alias("p")).agg(F.sum(F.col("n_bytes") + 64)).collect()
     }
     directory = Directory(capacity_bytes, max_depth).load(weights)
-    owners = shuffle_width(spark)
+    owners = max(shuffle_width(spark), -(-total // capacity_bytes))
     slots = spark.createDataFrame(directory.rows(weights, owners), "slot long, bucket int, owner int")
 
     typed = keyed.select("key", F.col("body").cast("binary").alias("body"), "digest", "id", F.lit(1).cast("long").alias("rows"))
@@ -159,7 +163,7 @@ def exact_groups(
     slot = F.shiftrightunsigned("key", 64 - directory.depth) if directory.depth else F.lit(0).cast("long")
     owned = (
         combined.withColumn("slot", slot)
-        .join(F.broadcast(slots), "slot")  # at most 2**max_depth rows
+        .join(F.broadcast(slots), "slot")  # at most 2**most_depth rows
         .repartitionById(owners, "owner")
         .sortWithinPartitions("bucket", "key")
     )
