@@ -13,9 +13,15 @@ still lacks are reached, to the nearest document: a sample of fixed size in word
 Ranking a whole source in one task would not scale, so the words are first summed in 65,536 bins of
 the rank; only the documents of the one bin in which a source's cut falls are ranked exactly.
 
+Without a weight column all documents of a source have the same odds, so within it the order is that of
+the random numbers; odds differ between sources, and between documents where a weight column is given.
+What documents at the limit of copies leave over is taken by others in rank order.
+
 * Null text has size 0; such documents are returned and take 0 words.
 * Equal ranks go by id, then size.  Reruns on the same rows agree; the seed is a parameter.
 * Rows that repeat an id get the same random number.  An empty table gives an empty result.
+* Null and negative weights count as 0: such documents are never taken.  Texts of any length are counted whole.
+* Input columns beside id, text, source and weight are ignored, whatever their names.
 """
 
 from __future__ import annotations
