@@ -56,7 +56,7 @@ def test_exact_dedup(docs, nothing, rows):
     groups = {}
     for r in rows:
         groups.setdefault(norm(r[1]), []).append(r[0])
-    got = sorted(tuple(r) for r in exact_dedup(docs, capacity_bytes=4096).collect())
+    got = sorted(tuple(r) for r in exact_dedup(docs, capacity_bytes=4096, most_depth=6).collect())
     want = sorted(
         (r[0], min(g := groups[norm(r[1])]), len(g), r[0] == min(g), hashlib.sha256(norm(r[1]).encode()).hexdigest()) for r in rows
     )
@@ -174,8 +174,21 @@ def test_mix_sources(docs, nothing, rows):
     assert abs(sum(t for t, _, _ in share.values()) - total) < 1e-6 * total
     assert all(abs(taken - target) <= largest / 2 + 1 for target, taken, largest in share.values())
     assert mix_sources(nothing).count() == 0
-    weighted = mix_sources(docs, weight_col="n_chars").collect()
-    assert sum(r.taken for r in weighted) > 0
+
+
+def test_mix_follows_inclusion_odds(spark):
+    """Documents of unequal weight are taken as often as their odds say, certain copies apart."""
+    rows = [(i, "a b c d", "s", w) for w, n in ((1.0, 3000), (3.0, 2000), (None, 300), (-2.0, 50), (5.0, 400)) for i in range(int(1e6 * (w or 0)) + 10**9, int(1e6 * (w or 0)) + 10**9 + n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double").selectExpr("*", "1 AS share", "2 AS size", "3 AS salt")
+    got = mix_sources(df, weight_col="w").collect()
+    weight = {r[0]: r[3] for r in rows}
+    weighed = sum(4 * max(0.0, w or 0.0) for w in weight.values())
+    for w in (None, -2.0, 1.0, 3.0, 5.0):
+        expected = min(3.0, max(0.0, w or 0.0) * 4 * len(rows) / weighed)
+        copies = [r.copies for r in got if weight[r.doc_id] == w]
+        p = expected % 1
+        assert all(int(expected) <= c <= int(expected) + 1 for c in copies)
+        assert abs(sum(copies) / len(copies) - expected) <= 5 * (p * (1 - p) / len(copies)) ** 0.5 + 0.06
 
 
 def test_pack_documents(docs, nothing, rows):

@@ -93,3 +93,34 @@ def test_packing(tables):
         whole[r.doc_id] = r.doc_tokens
         fill[r.sequence_id] += r.length
     assert all(tokens[i] == n * whole[i] for i, n in copies.items()) and max(fill.values()) <= 1024
+
+
+def test_awkward_rows_at_every_stage(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing names, ties and an empty table."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, long), (None, long), (3, long + " tail"), (None, "some text of its own here"), (None, "some text of its own here"), (None, "another one, quite different"), (5, None)]
+    rows += [(6, ""), (7, "first text under seven"), (7, "second text under seven, unlike it"), (8, "twice the same row of words"), (8, "twice the same row of words"), (None, None)]
+    schema = "doc_id long, text string, source string, mix_copies int, mix_copy int, row_key int, id_again int, kept int, digest int, component_id int, copies int, id int, n int"
+    df = spark.createDataFrame([(i, t, "s", *range(10)) for i, t in rows], schema)
+    spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def texts(table):
+        return sorted(((r.doc_id, r.text) for r in table.collect()), key=str)
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spill(stages["toxicity"](spark, df, str(tmp_path)), "stage")
+    assert texts(docs) == sorted(rows, key=str)
+    docs = spill(stages["exact dedup"](spark, docs, ""), "stage")
+    want = [(1, long), (3, long + " tail"), (None, "some text of its own here"), (None, "another one, quite different"), (5, None), (7, rows[9][1]), (7, rows[10][1]), (8, rows[11][1])]
+    assert texts(docs) == sorted(want, key=str)
+    docs = spill(stages["n-gram Jaccard join"](spark, docs, ""), "stage")
+    want.remove((3, long + " tail"))
+    assert texts(docs) == sorted(want, key=str)
+    docs = spill(stages["mixing sources to target weights"](spark, docs, ""), "stage")
+    assert texts(docs) == sorted(want, key=str)  # one source: its target is its size
+    pieces = stages["packing"](spark, docs, "").collect()
+    assert sorted({str(r.doc_id) for r in pieces}) == ["1", "5", "7", "8", "None"] and sum(r.start == 0 for r in pieces) == len(want)
+    nothing = df.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, nothing, str(tmp_path))
+        assert made.count() == 0 and (name == "packing" or made.columns == df.columns)
