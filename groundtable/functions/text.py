@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The words that carry no topic.
 STOPWORDS = (
@@ -100,6 +104,20 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(clean, parts)), lambda t: (F.length(t) >= 2) & (F.length(t) <= 64))
 
 
+def token_rows(rows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """X1 as rows (kept columns, place, term): the way to tokenise a corpus, without nested arrays.
+
+    ``place`` counts the runs of token characters, so an identifier and its parts share one.
+    """
+    runs = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("([a-z0-9._-]+)"), F.lit(1))
+    raw = rows.select(*keep, F.posexplode(runs).alias("place", "_raw"))
+    clean = raw.withColumn("_raw", F.regexp_replace("_raw", "^[._-]+|[._-]+$", ""))
+    parts = F.regexp_replace(F.regexp_replace("_raw", r"\.", " "), r"(?<![^ ])[^ ]{1,2}(?![^ ])", "")
+    dotted = F.col("_raw").rlike(r"^[a-z0-9]+(\.[a-z0-9_]+)+$") & (F.length("_raw") > 6)
+    split = F.when(dotted, F.concat_ws(" ", F.col("_raw"), parts)).otherwise(F.col("_raw"))
+    return clean.select(*keep, "place", F.explode(F.split(split, " +")).alias("term")).where(F.length("term").between(2, 64))
+
+
 def content_terms(text: Column) -> Column:
     """Distinct tokens without stopwords, in order of first sight."""
     stop = _words(sorted(set(STOPWORDS)))
@@ -131,14 +149,16 @@ def term_coverage(terms: Column, haystack: Column) -> Column:
     return F.when(F.size(terms) > 0, hits / F.size(terms)).otherwise(F.lit(0.0))
 
 
-LATIN_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-LATIN_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+@F.arrow_udf(StringType())
+def without_marks(texts: pa.Array) -> pa.Array:
+    """Compatibility forms taken apart (NFKD) and combining marks dropped."""
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return pa.array([t if t is None or t.isascii() else plain(t) for t in texts.to_pylist()], pa.string())
 
 
 def normalize_question(text: Column) -> Column:
-    """Lower case, marks of Latin letters dropped, everything else but letters and digits one space."""
-    plain = F.translate(F.lower(text), LATIN_MARKED, LATIN_PLAIN)
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    """Lower case, compatibility forms and marks dropped, everything else but letters and digits one space."""
+    return F.trim(F.regexp_replace(without_marks(F.lower(text)), "[^a-z0-9]+", " "))
 
 
 def question_slug(text: Column, digest: Column) -> Column:
@@ -155,6 +175,11 @@ def cache_key(text: Column, epoch: Column) -> Column:
     return F.concat_ws(":", epoch, F.sha2(F.when(terms != "", terms).otherwise(normalize_question(text)), 256))
 
 
+def legacy_key(text: Column, epoch: Column) -> Column:
+    """The key under which older entries stand: the epoch and a hash of the normalised question."""
+    return F.concat_ws(":", epoch, F.sha2(normalize_question(text), 256))
+
+
 def any_match(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
@@ -216,18 +241,58 @@ def learning_query(question: Column, prior: Column, title: Column, error: Column
     return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " — ")
 
 
-def needs_depth(text: Column, turns: Column) -> Column:
-    """X11: code, an error, a comparison, several questions, length, or a long conversation."""
-    code = text.rlike(r"(?i)\b(code|java|kotlin|opmode|class|method)\b")
-    error = text.rlike(r"(?i)\b(error|exception|stack ?trace|crash)")
-    compares = text.rlike(r"(?i)\b(vs|versus|compare|difference between)\b")
-    many = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit(""))) > 1
-    return code | error | intent_class(text).isin("advice", "debug") & (F.length(text) > 120) | compares | many | (F.length(text) > 240) | (turns >= 4)
+# What asks for code, compares, strings demands together, greets, or names a library without an index.
+CODE_REQUESTS = [
+    r"\bwrite (me )?(the |a |an )?(code|program|opmode|class|method)", r"\bgenerate (the |a |an )?(code|program|opmode|class)",
+    r"\bgive me (the |a |an )?(code|program|opmode|sample|example code)", r"\bshow me (the |a |an )?code", r"\bcode (for|to)\b", r"\bsample code", r"\bexample code",
+    r"\bhow (do|would) i (code|program|write)", r"\bimplement (a|an|the)\b", r"\bmake (a|an) opmode", r"\bopmode\b", r"\bsample (opmode|program|class)",
+    r"\bexample (opmode|program)", r"\bshow me (a|an|the)? ?(official )?(sample|example)",
+]
+COMPARES = r"\b(vs\.?|versus|compare|trade-?offs?|which is better|pros and cons)\b"
+SEVERAL = r"\b(and then|as well as|also)\b"
+GREETING = r"^\s*(h(ello|i|ey|iya)|yo|sup|good\s+(morning|afternoon|evening)|greetings|what\s*''?s\s+up|howdy|test|ping)\b[\s!.?]*$".replace("''?", ".?")
+UNINDEXED = r"\b(solvers\s*lib|meepmeep|next\s*ftc|rr\s*dashboard)\b"
+REGULATORY = r"rule|legal|allowed|inspection|scor|season|biobuzz|starting|pre-?load|\b[rgcq]\d{1,3}\b"
+# Libraries by their names, cues of their API, and how a version is asked for or named.
+LIBRARIES = [(r"pedro(\s*pathing)?|com\.pedropathing", "Pedro Pathing"), (r"road\s*runner|roadrunner", "Road Runner"), (r"ftclib", "FTCLib")]
+API_CUE = r"API|method|compile|error|followPath|Follower|upgrade|import|code"
+FINDS_VERSION = r"where|how.*(find|check|locate)"
+NAMED_VERSION = (
+    r"(com\.pedropathing|com\.acmerobotics\.roadrunner|com\.arcrobotics\.ftclib):[\w.-]+:\d+(\.\d+)*"
+    r"|(pedro(\s*pathing)?|road\s*runner|roadrunner|ftclib)\s*(version\s*|v)?\d|\b(version|v)\s*\d+(\.\d+)*"
+)
+
+
+def code_request(text: Column) -> Column:
+    """X11: code is asked for."""
+    return any_match(text, CODE_REQUESTS)
+
+
+def needs_depth(text: Column, turns: Column, code: Column | None = None, error: Column | None = None) -> Column:
+    """X11: code or an error is at hand, advice or a diagnosis is wanted, things are compared, several are asked, or the talk is long.
+
+    ``turns`` is the number of earlier turns; ``code`` and ``error`` come with the request.
+    """
+    given = F.coalesce(code if code is not None else F.lit(False), F.lit(False)) | F.coalesce(error if error is not None else F.lit(False), F.lit(False))
+    several = F.regexp_count(text, F.lit(r"\?")) > 1
+    together = text.rlike(f"(?i){SEVERAL}") & (F.length(text) > 90)
+    return given | intent_class(text).isin("advice", "debug") | text.rlike(f"(?i){COMPARES}") | several | together | (F.length(text) > 180) | (turns >= 4)
 
 
 def is_greeting(text: Column) -> Column:
     """X11: nothing but a greeting."""
-    return text.rlike(r"(?i)^\s*(hi|hey|hello|yo|good (morning|afternoon|evening))[\s!.?]*$")
+    return text.rlike(f"(?i){GREETING}")
+
+
+def unindexed_library(text: Column) -> Column:
+    """X11: a library is named that no source covers."""
+    return text.rlike(f"(?i){UNINDEXED}")
+
+
+def regulatory_question(text: Column, source_ids: Column, source_names: Column) -> Column:
+    """X11: a question on rules among whose sources is the official manual or its questions and answers."""
+    official = F.exists(source_ids, lambda s: s == "first-qa") | F.exists(source_names, lambda n: n.rlike("Competition Manual|Official Team Q&A"))
+    return official & text.rlike(f"(?i){REGULATORY}")
 
 
 def disposition() -> Column:
@@ -243,6 +308,18 @@ def disposition() -> Column:
     )
 
 
-def missing_version(text: Column, library: str = "road ?runner|pedro ?path|ftclib|limelight") -> Column:
-    """A library's API is asked about and no version is named."""
-    return text.rlike(f"(?i)({library})") & text.rlike(r"(?i)\b(api|method|class|import|constructor|function)\b") & ~text.rlike(r"(?i)\bv?\d+\.\d+")
+def missing_version(question: Column, context: Column | None = None, observations: Column | None = None) -> Column:
+    """The library whose version has to be asked for; null where none is.
+
+    A library and its API are talked about in the ``context`` (question, settings, earlier questions,
+    attempts and code), the question is not where to find the version, and none of the ``observations``
+    (the same without code) names one.
+    """
+    said = question if context is None else context
+    seen = question if observations is None else observations
+    library = None
+    for pattern, name in LIBRARIES:
+        found = said.rlike(f"(?i){pattern}")
+        library = F.when(found, name) if library is None else library.when(found, name)
+    finds = question.rlike(f"(?i){FINDS_VERSION}") & question.rlike("(?i)version")
+    return F.when(said.rlike(f"(?i){API_CUE}") & ~finds & ~seen.rlike(f"(?i){NAMED_VERSION}"), library)

@@ -78,6 +78,13 @@ def signals(questions: DataFrame, ranked: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("overlap", "keyword_hits", "semantic_hits")})
 
 
+def leg_failures(questions: DataFrame, ranked: DataFrame) -> DataFrame:
+    """whether a leg gave a question nothing; such a leg is an empty list, and the question stays."""
+    n = lambda leg: F.count(F.when(F.col("leg") == leg, 1)) == 0
+    joined = questions.select("question_id").join(ranked.select("question_id", "leg"), "question_id", "left")
+    return joined.groupBy("question_id").agg(n("keyword").alias("keyword_missing"), n("semantic").alias("semantic_missing"), F.count("leg").alias("hits"))
+
+
 def gate(signal: DataFrame, params: GateParams = DEFAULTS) -> DataFrame:
     """whether a question may be answered from the corpus, and why."""
     cos, bm25 = F.coalesce("best_cosine", F.lit(0.0)), F.coalesce("best_bm25", F.lit(0.0))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,51 +135,43 @@ def token_report(ledger: DataFrame) -> DataFrame:
     )
 
 
-ADMISSION = "log_id long, caller long, ts timestamp, admitted boolean, scope string"
-
-
-def admit_in_order(requests: pd.DataFrame, params: LogParams = DEFAULTS) -> pd.DataFrame:
-    """Admission of one caller's requests, in time order.
-
-    A request counts towards its minute and its day only if it is admitted, so a plain count per
-    bucket would refuse too much.
-    """
-    requests = requests.sort_values(["ts", "log_id"])
-    minute = day = None
-    in_minute = in_day = 0
-    admitted, scopes = [], []
-    for ts, signed_in in zip(requests["ts"], requests["signed_in"]):
-        this_minute, this_day = ts.floor("min"), ts.floor("D")
-        in_minute, in_day = (in_minute if this_minute == minute else 0), (in_day if this_day == day else 0)
-        minute, day = this_minute, this_day
-        limit = params.per_day_signed_in if signed_in else params.per_day
-        scope = "minute" if in_minute >= params.per_minute else "day" if in_day >= limit else None
-        admitted.append(scope is None)
-        scopes.append(scope)
-        in_minute, in_day = in_minute + (scope is None), in_day + (scope is None)
-    out = requests[["log_id", "caller", "ts"]].copy()
-    out["admitted"], out["scope"] = admitted, scopes
-    return out
-
-
 def admission(requests: DataFrame, params: LogParams = DEFAULTS) -> DataFrame:
-    """Exact admission per caller and day; days are independent, so one busy caller is split by day."""
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return admit_in_order(rows, params)
+    """(log_id, caller, ts, admitted, scope): a caller's requests within the limits of minute and day.
 
-    keyed = requests.withColumn("day", F.to_date("ts"))
-    return keyed.groupBy("caller", "day").applyInPandas(fold, ADMISSION)
+    Only admitted work counts, and the minute is looked at first.  Up to the day's limit a minute admits
+    its first ``per_minute`` requests, so these are the day's candidates, and of the candidates the first
+    ones up to the limit are admitted.  A minute bounds the candidates of a day, so the second window
+    stays small however busy a caller is.  ``signed_in`` is a property of the caller.
+    """
+    keyed = requests.select("log_id", "caller", "ts", "signed_in", F.to_date("ts").alias("day"), F.date_trunc("minute", "ts").alias("minute"))
+    ranked = keyed.withColumn("in_minute", F.row_number().over(Window.partitionBy("caller", "minute").orderBy("ts", "log_id")))
+    candidate = F.col("in_minute") <= params.per_minute
+    limit = F.when(F.col("signed_in"), params.per_day_signed_in).otherwise(params.per_day)
+    counted = ranked.where(candidate).withColumn("in_day", F.row_number().over(Window.partitionBy("caller", "day").orderBy("ts", "log_id")))
+    judged = counted.withColumn("admitted", F.col("in_day") <= limit)
+    full = judged.groupBy("caller", "minute").agg(F.count_if("admitted").alias("n"))
+    columns = ["log_id", "caller", "ts", "admitted", "scope"]
+    first = judged.withColumn("scope", F.when(~F.col("admitted"), "day")).select(*columns)
+    beyond = ranked.where(~candidate).join(full, ["caller", "minute"])
+    scope = F.when(F.col("n") >= params.per_minute, "minute").otherwise("day")
+    return first.unionByName(beyond.withColumn("admitted", F.lit(False)).withColumn("scope", scope).select(*columns))
 
 
 def daily_ceiling(log: DataFrame, params: LogParams = DEFAULTS) -> DataFrame:
     """Model calls numbered within their day; those beyond the ceiling are degraded, and an
-    expensive second pass is allowed only while the minute has spare calls."""
-    day = Window.partitionBy(F.to_date("ts")).orderBy("ts", "log_id")
-    minute = Window.partitionBy(F.date_trunc("minute", "ts")).orderBy("ts", "log_id")
+    expensive second pass is allowed only while the minute has spare calls.
+
+    Calls are numbered within their minute, and the minutes' counts are summed over the day, so no task
+    gets a whole day of calls.
+    """
+    day, minute = F.to_date("ts").alias("day"), F.date_trunc("minute", "ts").alias("minute")
+    calls = log.where("llm_called").select("log_id", "ts", day, minute)
+    numbered = calls.withColumn("call_of_minute", F.row_number().over(Window.partitionBy("minute").orderBy("ts", "log_id")).cast("long"))
+    counts = calls.groupBy("day", "minute").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("minute", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     return (
-        log.where("llm_called").select(
-            "log_id", F.row_number().over(day).cast("long").alias("call_of_day"), F.row_number().over(minute).cast("long").alias("call_of_minute")
-        )
+        numbered.join(offsets, "minute").select("log_id", (F.col("before") + F.col("call_of_minute")).alias("call_of_day"), "call_of_minute")
         .withColumn("allowed", F.col("call_of_day") <= params.daily_calls)
         .withColumn("may_escalate", params.calls_per_minute - F.col("call_of_minute") >= params.spare_calls)
     )
@@ -199,10 +190,19 @@ def cache_entries(log: DataFrame) -> DataFrame:
 
 
 def cache_lookup(asked: DataFrame, entries: DataFrame, days: int = DEFAULTS.cache_days) -> DataFrame:
-    """The newest entry of the same question written within ``days`` before it was asked."""
+    """(log_id, written_at, via, hit): the newest entry under a question's key, else under its legacy key,
+    written within ``days`` before it was asked.
+
+    ``asked`` is (log_id, ts, cache_key, legacy_key), ``entries`` (key, written_at); keys begin with the
+    corpus epoch, so entries of another epoch never match.
+    """
+    keys = F.explode(F.array(F.struct(F.lit("key").alias("via"), F.col("cache_key").alias("key")), F.struct(F.lit("legacy").alias("via"), F.col("legacy_key").alias("key"))))
+    sought = asked.select("log_id", "ts", keys.alias("k")).select("log_id", "ts", "k.via", "k.key")
     fresh = (F.col("written_at") <= F.col("ts")) & (F.col("written_at") > F.col("ts") - F.make_interval(days=F.lit(days)))
-    joined = asked.select("log_id", "question", "ts").join(entries, "question", "left").withColumn("written_at", F.when(fresh, F.col("written_at")))
-    return joined.groupBy("log_id").agg(F.max("written_at").alias("written_at")).withColumn("hit", F.col("written_at").isNotNull())
+    newest = lambda via: F.max(F.when((F.col("via") == via) & fresh, F.col("written_at"))).alias(via)
+    found = sought.join(entries, "key", "left").groupBy("log_id").agg(newest("key"), newest("legacy"))
+    via = F.when(F.col("key").isNotNull(), "key").when(F.col("legacy").isNotNull(), "legacy")
+    return found.select("log_id", F.coalesce("key", "legacy").alias("written_at"), via.alias("via"), via.isNotNull().alias("hit"))
 
 
 def upsert_answers(old: DataFrame, new: DataFrame) -> DataFrame:

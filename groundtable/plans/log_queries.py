@@ -117,9 +117,32 @@ def l10(spark, sf_dir):
     return logs.token_report(logs.merge_ledgers(logs.token_ledger(_usage(spark, sf_dir))))
 
 
-@query("L11_admission")
+# L11 as a walk through every caller's requests: the state is the counts of the running minute and day.
+ADMISSION_SQL = """, asked AS (SELECT log_id, caller, ts, CAST(ts AS DATE) AS day, date_trunc('minute', ts) AS minute, CASE WHEN caller % 2 = 1 THEN 60 ELSE 25 END AS most,
+    row_number() OVER (PARTITION BY caller, date_trunc('minute', ts) ORDER BY ts, log_id) AS in_minute FROM log),
+  judged AS (SELECT *, in_minute <= 10 AND count(*) FILTER (in_minute <= 10) OVER (PARTITION BY caller, day ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) <= most AS admitted FROM asked),
+  admission AS (SELECT log_id, caller, admitted, CASE WHEN admitted THEN NULL WHEN coalesce(count(*) FILTER (admitted)
+    OVER (PARTITION BY caller, minute ORDER BY ts, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 10 THEN 'minute' ELSE 'day' END AS scope FROM judged)"""
+
+
+@query("L11_admission", _log_sql(ADMISSION_SQL + " SELECT * FROM admission"))
 def l11(spark, sf_dir):
-    return logs.admission(_log(spark, sf_dir).withColumn("signed_in", F.col("caller") % 2 == 1))
+    return logs.admission(_log(spark, sf_dir).withColumn("signed_in", F.col("caller") % 2 == 1)).drop("ts")
+
+
+# Few callers of the event table ever reach a limit, so here all requests of a user's tenth come from one caller.
+_BUSY_SQL = f"{LOG_SQL.split('log AS (', 1)[0]}raw_log AS ({LOG_SQL.split('log AS (', 1)[1]}, log AS (SELECT log_id, ts - INTERVAL 1 SECOND * (epoch(ts)::BIGINT % 3600 - epoch(ts)::BIGINT % 240) AS ts, caller % 10 AS caller FROM raw_log)"
+
+
+@query("L11_busy_callers", f"WITH {_BUSY_SQL}{ADMISSION_SQL} SELECT * FROM admission")
+def l11_busy(spark, sf_dir):
+    """Ten callers make all requests, crowded into the first four minutes of each hour."""
+    log = _log(spark, sf_dir)
+    second = F.unix_micros("ts") / 1_000_000
+    whole = F.round(second).cast("long")
+    shift = F.make_dt_interval(secs=(whole % 3600 - whole % 240).cast("decimal(18,6)"))
+    crowded = log.select("log_id", (F.col("ts") - shift).alias("ts"), (F.col("caller") % 10).alias("caller"))
+    return logs.admission(crowded.withColumn("signed_in", F.col("caller") % 2 == 1)).drop("ts")
 
 
 @query("L12_daily_ceiling", _log_sql(""", numbered AS (
@@ -137,12 +160,18 @@ def l13(spark, sf_dir):
     return _day(logs.usage_report(_log(spark, sf_dir)))
 
 
-@query("L14_cache_lookup", _log_sql(""", entries AS (SELECT question, min(ts) AS written_at FROM log WHERE llm_called GROUP BY question)
-  SELECT log_id, strftime(e.written_at, '%Y-%m-%d %H:%M:%S.%f') AS written_at, e.written_at IS NOT NULL AS hit FROM log LEFT JOIN entries e
-    ON e.question = log.question AND e.written_at <= ts AND e.written_at > ts - INTERVAL 30 DAY"""))
+@query("L14_cache_lookup", _log_sql(""", entries AS (SELECT CASE WHEN k % 9 = 0 THEN 'e0:' WHEN k % 4 = 0 THEN 'e1:old ' ELSE 'e1:' END || question AS key, min(ts) AS written_at
+    FROM log WHERE llm_called GROUP BY ALL),
+  found AS (SELECT log_id, max(e.written_at) FILTER (e.key = 'e1:' || question) AS a, max(e.written_at) FILTER (e.key = 'e1:old ' || question) AS b FROM log LEFT JOIN entries e
+    ON e.key IN ('e1:' || question, 'e1:old ' || question) AND e.written_at <= ts AND e.written_at > ts - INTERVAL 30 DAY GROUP BY log_id)
+  SELECT log_id, strftime(coalesce(a, b), '%Y-%m-%d %H:%M:%S.%f') AS written_at, CASE WHEN a IS NOT NULL THEN 'key' WHEN b IS NOT NULL THEN 'legacy' END AS via, coalesce(a, b) IS NOT NULL AS hit FROM found"""))
 def l14(spark, sf_dir):
+    """Every ninth question was answered in another epoch, every fourth other one under its legacy key."""
     log = _log(spark, sf_dir)
-    return _moment(logs.cache_lookup(log, logs.cache_entries(log)), "written_at")
+    under = F.when(F.col("k") % 9 == 0, "e0:").when(F.col("k") % 4 == 0, "e1:old ").otherwise("e1:")
+    entries = log.where("llm_called").groupBy(F.concat(under, "question").alias("key")).agg(F.min("ts").alias("written_at"))
+    asked = log.select("log_id", "ts", F.concat(F.lit("e1:"), "question").alias("cache_key"), F.concat(F.lit("e1:old "), "question").alias("legacy_key"))
+    return _moment(logs.cache_lookup(asked, entries), "written_at")
 
 
 def _answers(log, old: bool):

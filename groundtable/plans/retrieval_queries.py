@@ -136,17 +136,10 @@ def keyword_leg(spark, sf_dir, posted=None):
 
 
 def semantic_leg(spark, sf_dir, posted):
-    """Cosine of term counts, as term-at-a-time joins."""
-    posted = posted.where("field = 'text'")
-    asked = questions(spark, sf_dir).select("question_id", F.explode(T.tokenize(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qc"))
-    chunk = posted.groupBy("chunk_id", "term").agg(F.sum("tf").alias("cc"))
-    norm = lambda df, key, c, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(name))
-    dots = asked.join(chunk, "term").groupBy("question_id", "chunk_id").agg(F.sum(F.col("qc") * F.col("cc")).alias("dot"))
-    scored = (
-        dots.join(norm(asked, "question_id", "qc", "nq"), "question_id").join(norm(chunk, "chunk_id", "cc", "nc"), "chunk_id")
-        .select("question_id", "chunk_id", (F.col("dot") / (F.col("nq") * F.col("nc"))).alias("score"))
-    )
-    return keyword.top_candidates(scored)
+    """Cosine of term counts, questions broadcast block by block."""
+    asked = T.token_rows(questions(spark, sf_dir), "question", ["question_id"]).groupBy("question_id", "term").agg(F.count("*").alias("qc"))
+    chunk = posted.where("field = 'text'").select("chunk_id", "term", F.col("tf").alias("cc"))
+    return vectors.term_cosine_top(asked, chunk, keyword.DEFAULTS.candidates)
 
 
 def ranked(spark, sf_dir):
@@ -200,7 +193,7 @@ def x4(spark, sf_dir):
     return keyword.query_terms(questions(spark, sf_dir))
 
 
-_NORMAL_SQL = f"trim(regexp_replace(translate(lower(text), '{T.LATIN_MARKED}', '{T.LATIN_PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+_NORMAL_SQL = "trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query("X6_normalize_question", f"SELECT conv_id, turn, {_NORMAL_SQL} AS question_key FROM conversations WHERE role = 'user'")
@@ -218,11 +211,11 @@ def x7(spark, sf_dir):
 
 
 @query("X8_cache_key", f"""WITH a AS (SELECT conv_id, turn, text, list_filter({tokens_sql('text')}, lambda t: t NOT IN ({_CACHE_STOP})) AS kept FROM conversations WHERE role = 'user'),
-  k AS (SELECT *, array_to_string({distinct_in_order_sql('kept')}, ' ') AS terms FROM a)
-  SELECT conv_id, turn, 'epoch-1:' || sha256(CASE WHEN terms <> '' THEN terms ELSE {_NORMAL_SQL} END) AS cache_key FROM k""")
+  k AS (SELECT *, array_to_string({distinct_in_order_sql('kept')}, ' ') AS terms, {_NORMAL_SQL} AS plain FROM a)
+  SELECT conv_id, turn, 'epoch-1:' || sha256(CASE WHEN terms <> '' THEN terms ELSE plain END) AS cache_key, 'epoch-1:' || sha256(plain) AS legacy_key FROM k""")
 def x8(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return turns.select("conv_id", "turn", T.cache_key(F.col("text"), F.lit("epoch-1")).alias("cache_key"))
+    return turns.select("conv_id", "turn", T.cache_key(F.col("text"), F.lit("epoch-1")).alias("cache_key"), T.legacy_key(F.col("text"), F.lit("epoch-1")).alias("legacy_key"))
 
 
 def _hits_sql(words) -> str:
@@ -272,9 +265,49 @@ def x14(spark, sf_dir):
 # keyword index
 
 
-@query("K1_postings", f"WITH {POSTINGS_SQL} SELECT term, chunk_id, field, tf FROM postings")
+_PLACED_SQL = r"""{chunks}, runs AS (
+  SELECT chunk_id, 'page_title' AS field, regexp_extract_all(lower(page_title), '[a-z0-9._-]+') AS r FROM chunks
+  UNION ALL SELECT chunk_id, 'section_title', regexp_extract_all(lower(section_title), '[a-z0-9._-]+') FROM chunks
+  UNION ALL SELECT chunk_id, 'text', regexp_extract_all(lower(text), '[a-z0-9._-]+') FROM chunks
+), raw AS (
+  SELECT chunk_id, field, i - 1 AS place, regexp_replace(r[i], '^[._-]+|[._-]+$', '', 'g') AS t FROM runs, unnest(range(1, len(r) + 1)) u(i)
+), placed AS (
+  SELECT chunk_id, field, place, unnest(CASE WHEN regexp_full_match(t, '[a-z0-9]+(\.[a-z0-9_]+)+') AND length(t) > 6
+    THEN list_concat([t], list_filter(string_split(t, '.'), lambda p: length(p) > 2)) ELSE [t] END) AS term FROM raw
+)""".replace("{chunks}", CHUNKS_SQL)
+
+
+@query("K1_postings", f"""WITH {_PLACED_SQL} SELECT term, chunk_id, field, count(*) AS tf, array_to_string(list_sort(list(place)), ' ') AS positions
+  FROM placed WHERE length(term) BETWEEN 2 AND 64 GROUP BY ALL""")
 def k1(spark, sf_dir):
-    return keyword.postings(corpus(spark, sf_dir)).select("term", "chunk_id", "field", "tf")
+    made = keyword.postings(corpus(spark, sf_dir), positions=True)
+    return made.select("term", "chunk_id", "field", "tf", F.array_join("positions", " ").alias("positions"))
+
+
+@query("K2_vocabulary")
+def k2(spark, sf_dir):
+    return keyword.vocabulary(stored_postings(spark, sf_dir))
+
+
+@query("K2_stemmed_postings")
+def k2_postings(spark, sf_dir):
+    return keyword.stemmed_postings(stored_postings(spark, sf_dir)).select("term", "chunk_id", "field", "tf")
+
+
+@query("K5_phrase_search")
+def k5_search(spark, sf_dir):
+    """Questions whose first two words are one hyphenated term, which the index takes as adjacent words."""
+    text = F.regexp_replace("question", r"^(\w+)\W+(\w+)", "$1-$2")
+    asked = questions(spark, sf_dir).withColumn("question", text)
+    scored = keyword.bm25(asked, stored_postings(spark, sf_dir), phrases_of=corpus(spark, sf_dir))
+    return _round(keyword.top_candidates(scored), "score")
+
+
+@query("K8_snippets", f"WITH {CHUNKS_SQL} SELECT chunk_id, sha256(text) AS snippet_hash FROM chunks")
+def k8(spark, sf_dir):
+    """What follows the header paragraph of a rendered chunk is its text again."""
+    rendered = corpus(spark, sf_dir).select("chunk_id", F.concat(F.lit("# "), F.replace("page_title", F.lit("\n"), F.lit(" ")), F.lit("\n\n"), "text").alias("text"))
+    return rendered.select("chunk_id", F.sha2(keyword.snippet(F.col("text")), 256).alias("snippet_hash"))
 
 
 @query("K3_corpus_stats", f"WITH {POSTINGS_SQL} SELECT n, round(avg_len, 6) AS avg_len FROM stats")
@@ -330,11 +363,10 @@ def k9(spark, sf_dir):
 
 
 @query("V4_unit", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL)
-  SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm, round(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS first FROM v""")
+  SELECT vec_id, i - 1 AS place, round(e[i] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS value FROM v, unnest(range(1, len(e) + 1)) t(i)""")
 def v4(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return v.select("vec_id", F.round(norm, 6).alias("norm"), F.round(F.element_at(vectors.unit(F.col("embedding")), 1), 6).alias("first"))
+    return v.select("vec_id", F.posexplode(vectors.unit(F.col("embedding"))).alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 def _vectors(spark, sf_dir):
@@ -359,7 +391,9 @@ def v5(spark, sf_dir):
 @query("V6_cosine_top_by_label", _top_sql(True))
 def v6(spark, sf_dir):
     all_rows = _vectors(spark, sf_dir)
-    return _round(vectors.cosine_top(all_rows.where("id % 100 = 0"), all_rows, 10, same="label"), "score")
+    asked = all_rows.where("id % 100 = 0")
+    found = vectors.cosine_top(asked, all_rows, 10, same="label")
+    return _round(vectors.same_after_hydration(found, all_rows, asked, "label"), "score").select("query_id", "id", "rank", "score")
 
 
 # fusion and gate
@@ -370,6 +404,22 @@ def f1(spark, sf_dir):
     return _round(fusion.fuse_ranks(ranked(spark, sf_dir)), "rrf").select("question_id", "chunk_id", "rrf", "keyword_rank", "semantic_rank", "place")
 
 
+@query("F2_fused_order", f"WITH {FUSED_SQL} SELECT question_id, place, chunk_id, coalesce(round(cosine, 6), 0) AS cosine FROM fused")
+def f2(spark, sf_dir):
+    made = fusion.fuse_ranks(ranked(spark, sf_dir)).withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    return _round(made, "cosine").select("question_id", "place", "chunk_id", "cosine")
+
+
+@query("F12_leg_failures", f"""WITH {BM25_SQL}, {SEMANTIC_SQL}, legs AS (SELECT question_id, chunk_id, rank, score, 'keyword' AS leg FROM keyword WHERE question_id % 3 <> 0
+    UNION ALL SELECT question_id, chunk_id, rank, score, 'semantic' FROM semantic WHERE question_id % 4 <> 0)
+  SELECT question_id, count(*) FILTER (leg = 'keyword') = 0 AS keyword_missing, count(*) FILTER (leg = 'semantic') = 0 AS semantic_missing, count(leg) AS hits
+  FROM questions LEFT JOIN legs USING (question_id) GROUP BY question_id""")
+def f12(spark, sf_dir):
+    """The keyword leg fails for every third question, the semantic one for every fourth."""
+    left = ranked(spark, sf_dir).where("(leg = 'keyword' AND question_id % 3 <> 0) OR (leg = 'semantic' AND question_id % 4 <> 0)")
+    return fusion.leg_failures(questions(spark, sf_dir), left)
+
+
 @query("F3_anchored", f"WITH {FUSED_SQL} SELECT question_id, chunk_id, anchored, final FROM results")
 def f3(spark, sf_dir):
     return results(spark, sf_dir).select("question_id", "chunk_id", "anchored", "final")
@@ -486,31 +536,35 @@ def x5(spark, sf_dir):
     return _round(gated(spark, sf_dir), "coverage").select("question_id", "coverage")
 
 
-@query("X11_flags", r"""SELECT conv_id, turn, regexp_matches(text, '(?i)^\s*(hi|hey|hello|yo|good (morning|afternoon|evening))[\s!.?]*$') AS greeting,
-  length(text) - length(replace(text, '?', '')) > 1 OR length(text) > 240 OR turn >= 4 OR regexp_matches(text, '(?i)\b(code|java|kotlin|opmode|class|method)\b')
-  OR regexp_matches(text, '(?i)\b(error|exception|stack ?trace|crash)') OR regexp_matches(text, '(?i)\b(vs|versus|compare|difference between)\b')
-  OR (length(text) > 120 AND """ + f"""CASE WHEN {_any_sql([T.RULE_PATTERN])} THEN 'lookup' WHEN {_any_sql(T.DEBUG_PATTERNS)} THEN 'debug'
-  WHEN {_any_sql(T.ADVICE_PATTERNS)} THEN 'advice' WHEN {_any_sql(T.LOOKUP_PATTERNS)} THEN 'lookup' ELSE 'advice' END IN ('advice', 'debug')) AS deep FROM conversations WHERE role = 'user'""")
+_DEEP_SQL = f"""regexp_matches(text, '(?i){T.COMPARES}') OR length(text) - length(replace(text, '?', '')) > 1 OR (regexp_matches(text, '(?i){T.SEVERAL}') AND length(text) > 90) OR length(text) > 180"""
+_INTENT_SQL = f"""CASE WHEN {_any_sql([T.RULE_PATTERN])} THEN 'lookup' WHEN {_any_sql(T.DEBUG_PATTERNS)} THEN 'debug' WHEN {_any_sql(T.ADVICE_PATTERNS)} THEN 'advice' WHEN {_any_sql(T.LOOKUP_PATTERNS)} THEN 'lookup' ELSE 'advice' END"""
+
+
+@query("X11_flags", f"""SELECT conv_id, turn, regexp_matches(text, '(?i){T.GREETING}') AS greeting, {_any_sql(T.CODE_REQUESTS)} AS code, regexp_matches(text, '(?i){T.UNINDEXED}') AS unindexed,
+  conv_id % 2 = 0 AND regexp_matches(text, '(?i){T.REGULATORY}') AS regulatory, {_any_sql(T.CODE_REQUESTS)} OR {_INTENT_SQL} <> 'lookup' OR {_DEEP_SQL} OR turn >= 4 AS deep
+  FROM conversations WHERE role = 'user'""")
 def x11(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return turns.select("conv_id", "turn", T.is_greeting(F.col("text")).alias("greeting"), T.needs_depth(F.col("text"), F.col("turn")).alias("deep"))
+    turns, text = table(spark, sf_dir, "conversations").where("role = 'user'"), F.col("text")
+    names = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("Competition Manual"))).otherwise(F.array(F.lit("Game Manual 0")))
+    return turns.select(
+        "conv_id", "turn", T.is_greeting(text).alias("greeting"), T.code_request(text).alias("code"), T.unindexed_library(text).alias("unindexed"),
+        T.regulatory_question(text, F.array().cast("array<string>"), names).alias("regulatory"), T.needs_depth(text, F.col("turn"), T.code_request(text)).alias("deep"),
+    )
 
 
-@query("X15_missing_version", r"""SELECT doc_id, regexp_matches(t, '(?i)(road ?runner|pedro ?path|ftclib|limelight)') AND regexp_matches(t, '(?i)\b(api|method|class|import|constructor|function)\b')
-  AND NOT regexp_matches(t, '(?i)\bv?\d+\.\d+') AS ask FROM (SELECT doc_id, 'roadrunner class ' || substr(text, 1, 200) || CASE WHEN doc_id % 3 = 0 THEN ' 1.8' ELSE '' END AS t FROM documents WHERE text IS NOT NULL)""")
-def x15(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    text = F.concat(F.lit("roadrunner class "), F.substring("text", 1, 200), F.when(F.col("doc_id") % 3 == 0, " 1.8").otherwise(""))
-    return docs.select("doc_id", T.missing_version(text).alias("ask"))
+_LIBRARY_SQL = "CASE doc_id % 4 WHEN 0 THEN 'Pedro Pathing ' WHEN 1 THEN 'road runner ' WHEN 2 THEN 'ftclib ' ELSE '' END"
+_ASK_SQL = "CASE doc_id % 7 WHEN 0 THEN 'where do I find the version? ' WHEN 1 THEN '' ELSE 'import it ' END"
+_NAMED_SQL = "CASE doc_id % 5 WHEN 0 THEN ' version 2' WHEN 1 THEN ' ftclib:core:1.2' WHEN 2 THEN ' com.pedropathing:ftc:2.0.1' ELSE '' END"
 
 
-# The SQL of X15_missing_version reads 200 characters of a text; this query reads all of it.
-@query("X15_missing_version_whole", r"""SELECT doc_id, regexp_matches(t, '(?i)(road ?runner|pedro ?path|ftclib|limelight)') AND regexp_matches(t, '(?i)\b(api|method|class|import|constructor|function)\b')
-  AND NOT regexp_matches(t, '(?i)\bv?\d+\.\d+') AS ask FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'roadrunner ' END || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'class ' END || text AS t FROM documents WHERE text IS NOT NULL)""")
-def x15_whole(spark, sf_dir):
+@query("X15_missing_version", rf"""WITH t AS (SELECT doc_id, {_LIBRARY_SQL} || {_ASK_SQL} || text || {_NAMED_SQL} AS t FROM documents WHERE text IS NOT NULL),
+  l AS (SELECT *, CASE WHEN regexp_matches(t, '(?i){T.LIBRARIES[0][0]}') THEN 'Pedro Pathing' WHEN regexp_matches(t, '(?i){T.LIBRARIES[1][0]}') THEN 'Road Runner' WHEN regexp_matches(t, '(?i){T.LIBRARIES[2][0]}') THEN 'FTCLib' END AS library FROM t)
+  SELECT doc_id, CASE WHEN regexp_matches(t, '(?i){T.API_CUE}') AND NOT (regexp_matches(t, '(?i){T.FINDS_VERSION}') AND regexp_matches(t, '(?i)version'))
+    AND NOT regexp_matches(t, '(?i){T.NAMED_VERSION}') THEN library END AS library FROM l""")
+def x15(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    library, cue = F.when(F.col("doc_id") % 4 == 0, "").otherwise("roadrunner "), F.when(F.col("doc_id") % 5 == 0, "").otherwise("class ")
-    return docs.select("doc_id", T.missing_version(F.concat(library, cue, "text")).alias("ask"))
+    asked = F.concat(F.expr(_LIBRARY_SQL), F.expr(_ASK_SQL), "text", F.expr(_NAMED_SQL))
+    return docs.select("doc_id", T.missing_version(asked).alias("library"))
 
 
 @query("X16_disposition", f"""WITH {GATED_SQL} SELECT question_id, CASE WHEN question_id % 11 = 0 THEN 'rate-limited' WHEN question_id % 7 = 0 THEN 'cached' WHEN (sure OR together) AND question_id % 5 <> 0 THEN 'grounded'
@@ -524,9 +578,34 @@ def x16(spark, sf_dir):
     return made.select("question_id", T.disposition().alias("disposition"))
 
 
-@query("V2_encoded")
+def _encoded_sql(rows: str) -> str:
+    """The DuckDB form of the hashed encoder over ``rows`` (id, tokens), a row for each component."""
+    return f"""terms_e AS (SELECT id, unnest(tokens) AS term FROM {rows}), counts_e AS (
+    SELECT id, CAST('0x' || substr(md5(term), 1, 4) AS INTEGER) % 64 AS place, count(*)::DOUBLE AS n FROM terms_e GROUP BY ALL
+  ), norms_e AS (SELECT id, sqrt(sum(n * n)) AS norm FROM counts_e GROUP BY id)
+  SELECT r.id, p.place, round(coalesce(n / norm, 0), 6) AS value FROM {rows} r CROSS JOIN (SELECT unnest(range(64)) AS place) p
+    LEFT JOIN counts_e c ON c.id = r.id AND c.place = p.place LEFT JOIN norms_e m ON m.id = r.id"""
+
+
+_INSTRUCTION = "Represent this question for searching passages: "
+
+
+@query("V2_encoded", f"WITH {CHUNKS_SQL}, rows_e AS (SELECT chunk_id AS id, {tokens_sql('text')} AS tokens FROM chunks), {_encoded_sql('rows_e')}")
 def v2(spark, sf_dir):
-    return corpus(spark, sf_dir).select("chunk_id", vectors.unit(vectors.hashed_encoder(F.col("text"))).alias("vector"))
+    made = vectors.hashed_vectors(corpus(spark, sf_dir), "chunk_id", "text")
+    return made.select(F.col("chunk_id").alias("id"), F.posexplode("vector").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("V2_encoded_questions", f"WITH rows_e AS (SELECT item_id AS id, {tokens_sql(f"('{_INSTRUCTION}' || text)")} AS tokens FROM benchmark WHERE text IS NOT NULL), {_encoded_sql('rows_e')}")
+def v2_questions(spark, sf_dir):
+    made = vectors.hashed_vectors(questions(spark, sf_dir), "question_id", "question", prefix=_INSTRUCTION)
+    return made.select(F.col("question_id").alias("id"), F.posexplode("vector").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("V8_approximate_top")
+def v8(spark, sf_dir):
+    all_rows = spill(_vectors(spark, sf_dir), "unit-vectors")
+    return _round(vectors.approximate_top(all_rows.where("id % 100 = 0"), all_rows, 10), "score")
 
 
 @query("L8_section_summary", rf"""WITH {CHUNKS_SQL} SELECT source_id, page_title, count(*) AS sections, CAST(sum(char_len) AS BIGINT) AS chars, min(ordinal) AS first_ordinal,

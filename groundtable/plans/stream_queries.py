@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundtable.operators import keyword, logs
-from groundtable.plans.log_queries import _LEDGER_SQL, _day, _moment, _usage_columns
+from groundtable.plans.log_queries import ADMISSION_SQL, _LEDGER_SQL, _day, _moment, _usage_columns
 from groundtable.plans.registry import query, table
 from groundtable.plans.shared import shared_path
 from groundtable.sources import corpus
@@ -24,12 +24,20 @@ def t1(spark, sf_dir):
     return _moment(streams.drain(streams.bucket_counts(_log(spark, sf_dir), "1 hour"), "t1"), "start", "end")
 
 
-@query("T2_admission_stream")
+@query("T2_admission_stream", f"WITH {LOG_SQL}{ADMISSION_SQL} SELECT log_id, caller, admitted FROM admission")
 def t2(spark, sf_dir):
     asked = _log(spark, sf_dir).withColumn("signed_in", F.col("caller") % 2 == 1).select("log_id", "caller", "ts", "signed_in")
     return streams.drain(streams.admission_stream(asked), "t2")
 
 
+@query("T3_cache_stream", f"""WITH RECURSIVE {LOG_SQL}, numbered AS (SELECT log_id, question, ts, row_number() OVER (PARTITION BY question ORDER BY ts, log_id) AS i FROM log),
+  walk AS (SELECT log_id, question, ts AS written, i, false AS hit FROM numbered WHERE i = 1
+    UNION ALL SELECT n.log_id, n.question, CASE WHEN n.ts < w.written + INTERVAL 30 DAY THEN w.written ELSE n.ts END, n.i, n.ts < w.written + INTERVAL 30 DAY FROM walk w JOIN numbered n ON n.question = w.question AND n.i = w.i + 1)
+  SELECT log_id, question, hit FROM walk""")
+def t3(spark, sf_dir):
+    return streams.drain(streams.cache_stream(_log(spark, sf_dir)), "t3")
+
+
 @query("T4_ledger_stream", f"WITH {_LEDGER_SQL} SELECT * REPLACE (strftime(day, '%Y-%m-%d') AS day) FROM ledger")
 def t4(spark, sf_dir):
     path = shared_path(spark, "t4")
