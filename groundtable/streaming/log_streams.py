@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from groundtable.operators.logs import DEFAULTS, LogParams
@@ -26,18 +25,9 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over what there is now, exactly once, into the shared folder, and return what it wrote.
-
-    State lives in RocksDB, which state with a time to live needs, unless the session names a store itself.
-    """
+    """Run a stream over what there is now, exactly once, into the shared folder, and return what it wrote."""
     spark = stream.sparkSession
-    if not spark.conf.get(STATE_STORE, ""):
-        spark.conf.set(STATE_STORE, ROCKS)
     path = shared_path(spark, label)
     writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -50,66 +40,60 @@ def bucket_counts(log: DataFrame, width: str = "1 minute", late: str = LATE) ->
     return counted.select("caller", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
 
 
-class _Admission(StatefulProcessor):
-    """Counts of the running minute of one caller and day; the day's state ends a day and an hour after its last request."""
+def _hours_on(state: GroupState, micros: int, hours: int) -> None:
+    state.setTimeoutTimestamp(max(int(micros) // 1000, state.getCurrentWatermarkMs()) + hours * 3_600_000)
+
 
-    def __init__(self, params: LogParams):
-        self.params = params
+def admission_stream(requests: DataFrame, params: LogParams = DEFAULTS) -> DataFrame:
+    """Admission with the minute's and the day's counts kept as state per caller and day.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "minute long, in_minute int, in_day int", 90_000_000)
+    Requests of a batch are taken in time order; those of an earlier batch came first.  A task gathers four
+    values for each request of one caller, day and batch.  The state is dropped when event time is 25 hours
+    past its last request.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        minute, in_minute, in_day = self.counts.get() if self.counts.exists() else (-1, 0, 0)
-        params, frame, admitted = self.params, pd.concat(list(rows)).sort_values(["micros", "log_id"]), []
-        for micros, signed_in in zip(frame["micros"], frame["signed_in"]):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        minute, in_minute, in_day = state.get if state.exists else (-1, 0, 0)
+        rows, admitted = pd.concat(list(frames)).sort_values(["micros", "log_id"]), []
+        for micros, signed_in in zip(rows["micros"], rows["signed_in"]):
             this = int(micros) // 60_000_000
             in_minute = in_minute if this == minute else 0
             minute = this
             ok = in_minute < params.per_minute and in_day < (params.per_day_signed_in if signed_in else params.per_day)
             admitted.append(ok)
             in_minute, in_day = in_minute + ok, in_day + ok
-        self.counts.update((minute, in_minute, in_day))
-        yield pd.DataFrame({"log_id": frame["log_id"], "caller": key[0], "admitted": admitted})
-
-    def close(self) -> None:
-        pass
-
+        state.update((minute, in_minute, in_day))
+        _hours_on(state, rows["micros"].max(), 25)
+        yield pd.DataFrame({"log_id": rows["log_id"], "caller": key[0], "admitted": admitted})
 
-def admission_stream(requests: DataFrame, params: LogParams = DEFAULTS) -> DataFrame:
-    """Admission with the minute's and the day's counts kept as state per caller and day, with a time to live.
-
-    Requests of a batch are taken in time order; those of an earlier batch came first.  A task gathers three
-    numbers for each request of one caller, day and batch.
-    """
-    keyed = requests.select("log_id", "caller", F.to_date("ts").cast("string").alias("day"), F.unix_micros("ts").alias("micros"), "signed_in")
-    return keyed.groupBy("caller", "day").transformWithStateInPandas(
-        _Admission(params), "log_id long, caller long, admitted boolean", "Append", "ProcessingTime"
+    keyed = requests.withWatermark("ts", LATE).select("log_id", "caller", "ts", F.to_date("ts").cast("string").alias("day"), F.unix_micros("ts").alias("micros"), "signed_in")
+    return keyed.groupBy("caller", "day").applyInPandasWithState(
+        step, "log_id long, caller long, admitted boolean", "minute long, in_minute int, in_day int", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def cache_stream(log: DataFrame, days: int = DEFAULTS.cache_days) -> DataFrame:
     """(log_id, question, hit): the first to ask a question misses, and those within ``days`` after an answer hit."""
 
-    class Cache(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.written = handle.getValueState("written", "micros long", days * 86_400_000)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            written = self.written.get()[0] if self.written.exists() else None
-            frame, hits = pd.concat(list(rows)).sort_values(["micros", "log_id"]), []
-            for micros in frame["micros"]:
-                hit = written is not None and micros - written < days * 86_400_000_000
-                written = written if hit else int(micros)
-                hits.append(hit)
-            self.written.update((written,))
-            yield pd.DataFrame({"log_id": frame["log_id"], "question": key[0], "hit": hits})
-
-        def close(self) -> None:
-            pass
-
-    keyed = log.select("log_id", "question", F.unix_micros("ts").alias("micros"))
-    return keyed.groupBy("question").transformWithStateInPandas(Cache(), "log_id long, question string, hit boolean", "Append", "ProcessingTime")
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        written = state.get[0] if state.exists else None
+        rows, hits = pd.concat(list(frames)).sort_values(["micros", "log_id"]), []
+        for micros in rows["micros"]:
+            hit = written is not None and micros - written < days * 86_400_000_000
+            written = written if hit else int(micros)
+            hits.append(hit)
+        state.update((written,))
+        _hours_on(state, written, days * 24)
+        yield pd.DataFrame({"log_id": rows["log_id"], "question": key[0], "hit": hits})
+
+    keyed = log.withWatermark("ts", LATE).select("log_id", "question", "ts", F.unix_micros("ts").alias("micros"))
+    return keyed.groupBy("question").applyInPandasWithState(step, "log_id long, question string, hit boolean", "written long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_asks(log: DataFrame, days: int = DEFAULTS.cache_days) -> DataFrame:
