@@ -221,6 +221,15 @@ def url_version(url: Column) -> Column:
     return F.when(found != "", F.concat(F.lit("v"), found, F.lit(" (source URL)"))).otherwise("Version not specified by index")
 
 
+def source_version(source_id: Column, source_name: Column, url: Column, declared: Column, sdk: str, manual: str) -> Column:
+    """The version that a source declares, else that of the SDK or the manual for their sources, else the URL's."""
+    return (
+        F.when(F.trim(F.coalesce(declared, F.lit(""))) != "", declared).when(source_id.rlike("ftc-sdk"), F.lit(f"FTC SDK {sdk}"))
+        .when(source_id.rlike("competition|game-manual|ftc-manual") | source_name.rlike("Competition Manual"), F.lit(f"2026–2027 manual {manual}"))
+        .otherwise(url_version(url))
+    )
+
+
 def retrieval_query(question: Column, title: Column, section: Column) -> Column:
     """Short questions get the page's title and section in front."""
     words = F.size(F.filter(F.split(F.trim(question), r"\s+"), lambda w: w != ""))

@@ -50,19 +50,23 @@ def heading_paths(sections: DataFrame, levels: int = DEFAULTS.levels) -> DataFra
 def merge_thin(sections: DataFrame, params: ChunkParams = DEFAULTS) -> DataFrame:
     """A section joins the one before while that is thin and both fit; the first one's place is kept.
 
-    The test looks at the body merged so far, so it is a fold over a document's ordered sections.
+    The test looks at the length merged so far, so it is a fold over a document's ordered sections.  The
+    fold sees lengths only and says at which sections a unit begins; bodies are joined by plain grouping.
     """
-    ordered = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", strip(F.col("body")).alias("body")))).alias("units"))
-    empty = F.filter(F.transform("units", lambda u: F.struct(u["ord"].alias("ord"), u["body"].alias("body"))), lambda u: F.lit(False))
+    placed = sections.select("doc_id", "ord", strip(F.col("body")).alias("body"))
+    sizes = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.length("body").alias("n")))).alias("units"))
+    start = F.struct(F.lit("").alias("starts"), F.lit(-1).alias("n"))
 
-    def step(done: Column, u: Column) -> Column:
-        prev = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (F.length(prev["body"]) < params.min_chars) & (F.length(prev["body"]) + F.length(u["body"]) < params.merge_max)
-        body = F.array_join(F.filter(F.array(prev["body"], u["body"]), lambda b: b != ""), "\n\n")
-        merged = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(prev["ord"].alias("ord"), body.alias("body"))))
-        return F.when(joins, merged).otherwise(F.concat(done, F.array(F.struct(u["ord"].alias("ord"), u["body"].alias("body")))))
+    def step(s: Column, u: Column) -> Column:
+        joins = (s["n"] >= 0) & (s["n"] < params.min_chars) & (s["n"] + u["n"] < params.merge_max)
+        longer = s["n"] + u["n"] + F.when((s["n"] > 0) & (u["n"] > 0), 2).otherwise(0)
+        return F.struct(F.when(joins, s["starts"]).otherwise(F.concat_ws(" ", s["starts"], u["ord"].cast("string"))).alias("starts"), F.when(joins, longer).otherwise(u["n"]).alias("n"))
 
-    return ordered.select("doc_id", F.inline(F.aggregate("units", empty, step)))
+    begun = sizes.select("doc_id", F.explode(F.split(F.trim(F.aggregate("units", start, step)["starts"]), " ")).alias("ord")).select("doc_id", F.col("ord").cast("int").alias("ord"), F.lit(True).alias("begins"))
+    order = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    unit = placed.join(begun, ["doc_id", "ord"], "left").withColumn("unit", F.last(F.when(F.col("begins"), F.col("ord")), ignorenulls=True).over(order))
+    lines = F.array_sort(F.collect_list(F.when(F.col("body") != "", F.struct("ord", "body"))))
+    return unit.groupBy("doc_id", F.col("unit").alias("ord")).agg(F.array_join(F.transform(lines, lambda x: x["body"]), "\n\n").alias("body"))
 
 
 def keep_units(units: DataFrame, least: int = DEFAULTS.keep_chars) -> DataFrame:
@@ -126,13 +130,57 @@ def rule_parts(body: Column, params: ChunkParams = DEFAULTS) -> Column:
     return _pack(rule_units(body, params), "\n\n", params.rule_target)
 
 
+# Numbered headings, rows of a table of contents, and rule codes of a manual.
+MANUAL_HEADING = r"^\s{0,6}(?:(\d{2}(?:\.\d{1,2}){0,2})\s+|(\d(?:\.\d{1,2}){0,2})\s{2,})([A-Z][^\n]{2,80}?)\s*$"
+CONTENTS_ROW = r"\.{5,}\s*\d+\s*$"
+RULE_CODE = r"\b([A-Z]{1,2}\d{2,3})\b"
+
+
+def manual_sections(texts: DataFrame, least: int = 200, codes: int = 8) -> DataFrame:
+    """A manual's text (doc_id, text) to numbered sections (doc_id, place, number, title, body).
+
+    Rows of the table of contents are skipped, lines before the first heading belong to none, blank lines go,
+    and sections with little text are left out.
+    """
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("raw", F.regexp_replace("raw", r"\s+$", ""))
+    kept = lines.where(~F.col("raw").rlike(CONTENTS_ROW))
+    order = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = kept.withColumn("head", F.col("raw").rlike(MANUAL_HEADING)).withColumn("place", F.count_if("head").over(order)).where(F.col("place") > 0)
+    part = lambda i: F.regexp_extract("raw", MANUAL_HEADING, i)
+    number = F.when(part(1) != "", part(1)).otherwise(part(2))
+    body = F.array_sort(F.collect_list(F.when(~F.col("head") & (F.trim("raw") != ""), F.struct("line", F.regexp_replace("raw", r"^\s{0,12}", "").alias("t")))))
+    sections = marked.groupBy("doc_id", "place").agg(
+        F.max(F.when(F.col("head"), number)).alias("number"), F.max(F.when(F.col("head"), F.regexp_replace(F.trim(part(3)), r"\s{2,}", " "))).alias("title"),
+        strip(F.array_join(F.transform(body, lambda x: x["t"]), "\n")).alias("body"),
+    )
+    return sections.where(F.length("body") >= least)
+
+
+def manual_chunks(sections: DataFrame, params: ChunkParams = DEFAULTS, codes: int = 8, name: str = "Competition Manual") -> DataFrame:
+    """C7 with C6: sections to chunks (doc_path, heading_path, part, part_count, text); a chunk names the first rule codes in it."""
+    packed = sections.withColumn("parts", rule_parts(F.col("body"), params)).withColumn("part_count", F.size("parts"))
+    rows = packed.select("doc_id", "place", "number", "title", "part_count", F.posexplode("parts").alias("i", "part_text"))
+    found = F.array_join(F.slice(F.array_distinct(F.regexp_extract_all("part_text", F.lit(RULE_CODE), F.lit(1))), 1, codes), ", ")
+    several = F.col("part_count") > 1
+    head = F.concat_ws(" ", "number", "title")
+    return rows.select(
+        "doc_id", "place", F.concat(F.lit("manual/"), "number", F.when(several, F.format_string("-%d", F.col("i") + 1)).otherwise("")).alias("doc_path"),
+        F.concat(F.lit(f"{name} > "), head, F.when(found != "", F.concat(F.lit(" > "), found)).otherwise("")).alias("heading_path"),
+        F.when(several, F.col("i") + 1).otherwise(0).alias("part"), "part_count",
+        F.concat(F.lit(f"# {name}\n## "), head, F.when(found != "", F.concat(F.lit(" (rules "), found, F.lit(")"))).otherwise(""), F.lit("\n\n"), "part_text").alias("text"),
+    )
+
+
+# A word said twice at a title's end, and words that would dangle there.
+DOUBLED = r"(?i)\b(\w[\w'-]*)(\s+\1)+\b\s*$"
+DANGLING = "to of in on and or with for vs from at the a an into".split()
+
+
 def tidy_title(title: Column) -> Column:
     """A last word said twice, or equal to the first, is dropped unless the rest would dangle."""
-    once = F.trim(F.regexp_replace(title, r"(?i)\b(\w[\w'-]*)(\s+\1)+\b\s*$", "$1"))
+    once = F.trim(F.regexp_replace(title, DOUBLED, "$1"))
     words = F.split(once, r"\s+")
-    dangles = F.lower(F.element_at(words, F.when(F.size(words) > 1, -2).otherwise(-1))).isin(
-        *"to of in on and or with for vs from at the a an into".split()
-    )
+    dangles = F.lower(F.element_at(words, F.when(F.size(words) > 1, -2).otherwise(-1))).isin(*DANGLING)
     doubled = (F.size(words) > 2) & (F.lower(F.element_at(words, 1)) == F.lower(F.element_at(words, -1))) & ~dangles
     return F.when(doubled, F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")).otherwise(once)
 
@@ -144,11 +192,21 @@ def anchor_id(title: Column) -> Column:
 
 
 def allocate_anchors(sections: DataFrame) -> DataFrame:
-    """Within a document the first of equal ids keeps it, the others take id1, id2, ... in order."""
-    base = sections.withColumn("base", anchor_id(F.col("title")))
-    again = (F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("ord")) > 1) | (F.col("base") == "")
-    numbered = base.withColumn("again", again).withColumn("serial", F.sum(F.col("again").cast("int")).over(Window.partitionBy("doc_id").orderBy("ord")))
-    return numbered.withColumn("anchor", F.when(F.col("again"), F.concat(F.lit("id"), F.col("serial").cast("string"))).otherwise(F.col("base"))).drop("base", "again", "serial")
+    """An explicit label is the anchor; else the first of equal ids keeps it and the others take id1, id2, ... in order.
+
+    Serial numbers whose id a heading of the document has by itself are passed over.  ``label`` may be absent.
+    """
+    label = F.coalesce(F.col("label"), F.lit("")) if "label" in sections.columns else F.lit("")
+    base = sections.withColumn("base", F.when(label != "", label).otherwise(anchor_id(F.col("title")))).withColumn("labelled", label != "")
+    first = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy(F.desc("labelled"), "ord")) == 1
+    marked = base.withColumn("again", ~first | (F.col("base") == ""))
+    natural = F.when(~F.col("again") & F.col("base").rlike("^id[1-9][0-9]{0,8}$"), F.substring("base", 3, 9).cast("int"))
+    document = Window.partitionBy("doc_id")
+    numbered = marked.withColumn("serial", F.sum(F.col("again").cast("int")).over(document.orderBy("ord"))).withColumn("taken", F.array_sort(F.collect_set(natural).over(document)))
+    # each taken number at or below the serial as shifted so far moves it on by one
+    shifted = F.aggregate("taken", F.col("serial").cast("int"), lambda s, t: s + F.when(t <= s, 1).otherwise(0))
+    anchor = F.when(F.col("again"), F.concat(F.lit("id"), shifted.cast("string"))).otherwise(F.col("base"))
+    return numbered.withColumn("anchor", anchor).drop("base", "again", "serial", "taken", "labelled")
 
 
 # Title words by category, first match wins.
@@ -164,19 +222,42 @@ TITLE_CATEGORIES = [
 ]
 
 
-def category(title: Column, rules: list[tuple[str, str]] = TITLE_CATEGORIES, default: str = "build") -> Column:
-    """C11: the first rule that matches."""
-    found = None
+# Page paths by category, first match wins, before any title rule.
+PATH_CATEGORIES = [
+    (r"^common-mechanisms/drivetrains", "drivetrains"),
+    (r"^common-mechanisms/dead-wheels", "odometry"),
+    (r"^common-mechanisms/(active-intake|passive-intake|transfers|turrets)", "intakes"),
+    (r"^common-mechanisms/", "build"),
+    (r"^power-and-electronics", "electronics"),
+    (r"^hardware-components", "electronics"),
+    (r"^software/(concepts|adv-control-system)", "programming"),
+    (r"^software/", "programming"),
+    (r"^(awards|being-a-team|mission-statement)", "rules"),
+    (r"^(custom-manufacturing|design-skills|robot-showcase|appendix)", "build"),
+]
+
+
+def category(
+    title: Column, path: Column | None = None, rules: list[tuple[str, str]] = TITLE_CATEGORIES, path_rules: list[tuple[str, str]] = PATH_CATEGORIES, default: str = "build"
+) -> Column:
+    """C11: the first rule on the page's path that matches, else the first on its title."""
+    found = F.when(F.lit(False), "")
+    for pattern, name in path_rules if path is not None else []:
+        found = found.when(path.rlike(pattern), name)
     for pattern, name in rules:
-        test = title.rlike(f"(?i){pattern}")
-        found = F.when(test, name) if found is None else found.when(test, name)
+        found = found.when(title.rlike(f"(?i){pattern}"), name)
     return found.otherwise(default)
 
 
 def rendered_chunks(units: DataFrame, params: ChunkParams = DEFAULTS) -> DataFrame:
-    """(doc_id, ord, page_title, heading_path, body) to chunk texts with part numbers and ordinals."""
+    """(doc_id, ord, page_title, heading_path, body) to chunk texts with part numbers and ordinals.
+
+    Where units have ``page_url`` and ``anchor``, chunks have the URL of their section.
+    """
     pieces = units.withColumn("pieces", split_oversize(F.col("body"), params)).withColumn("part_count", F.size("pieces"))
-    parts = pieces.select("doc_id", "ord", "page_title", "heading_path", "part_count", F.posexplode("pieces").alias("i", "piece"))
+    placed = {"page_url", "anchor"} <= set(units.columns)
+    url = F.concat("page_url", F.when(F.coalesce("anchor", F.lit("")) != "", F.concat(F.lit("#"), "anchor")).otherwise("")) if placed else F.lit(None).cast("string")
+    parts = pieces.select("doc_id", "ord", "page_title", "heading_path", "part_count", url.alias("source_url"), F.posexplode("pieces").alias("i", "piece"))
     suffix = F.when(F.col("part_count") > 1, F.format_string(" (part %d of %d)", F.col("i") + 1, F.col("part_count"))).otherwise("")
     head = F.when(
         (F.col("heading_path") != "") & (F.col("heading_path") != F.col("page_title")), F.concat(F.lit("# "), "page_title", F.lit("\n## "), "heading_path")
@@ -188,6 +269,7 @@ def rendered_chunks(units: DataFrame, params: ChunkParams = DEFAULTS) -> DataFra
         F.when(F.col("part_count") > 1, F.col("i") + 1).otherwise(0).alias("part"),
         "part_count",
         F.concat(head, suffix, F.lit("\n\n"), "piece").alias("text"),
+        *(["source_url"] if placed else []),
     )
 
 
@@ -199,16 +281,25 @@ def duplicate_ids(chunks: DataFrame) -> DataFrame:
 def licence_escalations(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     """Chunks that allow more than their source does."""
     policy = registry.select("source_id", F.col("can_excerpt").alias("source_allows"))
-    return chunks.join(F.broadcast(policy), "source_id").where("can_excerpt AND NOT source_allows").select("chunk_id", "source_id")
+    return chunks.join(policy, "source_id").where("can_excerpt AND NOT source_allows").select("chunk_id", "source_id")
 
 
 def length_report(chunks: DataFrame) -> DataFrame:
-    """C14: least, median, 90th and greatest length per source, by zero-based index floor(n * p)."""
+    """C14: least, median, 90th and greatest length per source, by zero-based index floor(n * p).
+
+    Chunks are counted per source and length first, so a source of any size is a few thousand rows when its
+    running sums are read.
+    """
+    counts = chunks.groupBy("source_id", "char_len").agg(F.count("*").alias("c"))
     w = Window.partitionBy("source_id")
-    placed = chunks.select(
-        "source_id", "char_len", (F.row_number().over(w.orderBy("char_len", "chunk_id")) - 1).alias("i"), F.count("*").over(w).alias("n")
-    )
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("char_len")))
-    return placed.groupBy("source_id").agg(
-        F.count("*").alias("chunks"), F.min("char_len").alias("least"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("char_len").alias("greatest")
+    summed = counts.withColumn("until", F.sum("c").over(w.orderBy("char_len"))).withColumn("n", F.sum("c").over(w))
+    index = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    at = lambda p: F.min(F.when(F.col("until") > index(p), F.col("char_len")))
+    return summed.groupBy("source_id").agg(
+        F.sum("c").alias("chunks"), F.min("char_len").alias("least"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("char_len").alias("greatest")
     )
+
+
+def ingest_report(chunks: DataFrame) -> DataFrame:
+    """C14: chunks by source and category, and how many of them are parts of a split section (needs part_count)."""
+    return chunks.groupBy("source_id", "category").agg(F.count("*").alias("chunks"), F.count_if(F.col("part_count") > 1).alias("split_parts"))

@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundtable.functions.text import tokenize
 
-
-def passage_truth(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def passage_truth(questions: DataFrame, chunks: DataFrame, block: int = 256) -> DataFrame:
     """(question_id, chunk_id) where the chunk contains the question's text.
 
-    Candidates share the question's rarest long token, so the test of containment follows an
-    equi-join rather than a comparison of every pair.
+    The words inside a question (neither the first nor the last, which the chunk may continue) occur whole in
+    a chunk that contains it, so candidates share its rarest inner word and the test of containment follows
+    an equi-join.  Questions without inner words are looked for in every chunk, ``block`` of them at a time.
     """
-    tokens = chunks.select("chunk_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    asked = questions.select("question_id", F.explode(F.array_distinct(F.slice(tokenize(F.col("question")), 2, 30))).alias("term"))
-    frequency = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    rarest = asked.join(frequency, "term").groupBy("question_id").agg(F.min(F.struct("n", "term")).alias("r")).select("question_id", "r.term")
-    pairs = rarest.join(tokens, "term").select("question_id", "chunk_id")
+    runs = F.split(F.col("question"), "[^A-Za-z0-9]+")
+    inner = F.array_distinct(F.filter(F.slice(runs, F.lit(2), F.greatest(F.size(runs) - 2, F.lit(0))), lambda w: w != ""))
+    words = questions.select("question_id", "question", inner.alias("words"))
+    asked = words.select("question_id", F.explode("words").alias("term"))
+    tokens = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("text", "[^A-Za-z0-9]+"))).alias("term"))
+    wanted = tokens.join(asked.select("term").distinct(), "term", "left_semi")
+    frequency = wanted.groupBy("term").agg(F.count("*").alias("n"))
+    rarest = asked.join(frequency, "term", "left").groupBy("question_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r")).select("question_id", "r.term")
+    pairs = rarest.join(wanted, "term").select("question_id", "chunk_id")
     joined = pairs.join(questions, "question_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    return joined.where(F.contains("text", "question")).select("question_id", "chunk_id")
+    found = joined.where(F.contains("text", "question")).select("question_id", "chunk_id")
+    bare = words.where(F.size("words") == 0).select("question_id", "question")
+    count = bare.count()
+    for number in range(-(-count // block)):
+        held = bare.where(F.pmod(F.xxhash64("question_id"), F.lit(-(-count // block))) == number).collect()  # about ``block`` questions
+        hits = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(r["question"])), F.lit(r["question_id"])) for r in held]))
+        found = found.unionByName(chunks.select(F.explode(hits).alias("question_id"), "chunk_id"))
+    return found
 
 
 def retrieval_quality(listed: DataFrame, truth: DataFrame, k: int = 6) -> DataFrame:
@@ -77,26 +87,44 @@ def assemble_frames(frames: DataFrame) -> DataFrame:
     )
 
 
+# What a structural failure is called.
+FAILURES = {
+    "not run": "No answer recorded.",
+    "shared": "Worker response indicates shared context or cache; benchmark requests must stay private.",
+    "incomplete": "No terminal done event.",
+    "degraded": "Source-only fallback (%s).",
+    "refused": "The scenario was refused; reviewer must investigate.",
+    "empty": "No grounded answer text.",
+    "uncited": "Required citations are absent.",
+    "dangling": "Citation [%d] has no source record.",
+}
+
+
 def structural_checks(responses: DataFrame) -> DataFrame:
     """(case_id, status, failures) of recorded responses; describes structure, not truth.
 
-    Needs case_id, status, error, complete, degraded, refused, answer, required and cited (array of numbers).
+    Needs case_id, status, error, complete, degraded, degrade_reason, refused, private, cached, answer, required
+    and cited (array of numbers).
     """
     bare = F.regexp_replace(F.regexp_replace(F.coalesce("answer", F.lit("")), r"(?s)```.*?```", " "), r"`[^`]*`", " ")
     marks = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(r"(?<!\w)\[(\d+(?:\s*,\s*\d+)*)\]"), F.lit(1)), lambda m: F.split(m, r"\s*,\s*")))
-    dangling = F.array_except(F.transform(marks, lambda m: m.cast("int")), F.coalesce("cited", F.array().cast("array<int>")))
+    cited = F.coalesce("cited", F.array().cast("array<int>"))
+    dangling = F.array_except(F.transform(marks, lambda m: m.cast("int")), cited)
+    blank = F.trim(F.regexp_replace(F.coalesce("answer", F.lit("")), r"\s+", " ")) == ""
+    say = FAILURES
     found = F.array_compact(
         F.array(
+            F.when(~F.coalesce("private", F.lit(True)) | F.coalesce("cached", F.lit(False)), say["shared"]),
             F.col("error"),
-            F.when(~F.col("complete"), "No terminal done event."),
-            F.when(F.col("degraded"), "Source-only fallback."),
-            F.when(F.col("refused"), "The scenario was refused."),
-            F.when(F.trim(F.coalesce("answer", F.lit(""))) == "", "No grounded answer text."),
-            F.when(F.col("required") & (F.size(F.coalesce("cited", F.array().cast("array<int>"))) == 0), "Required citations are absent."),
+            F.when(~F.col("complete"), say["incomplete"]),
+            F.when(F.col("degraded"), F.format_string(say["degraded"], F.coalesce("degrade_reason", F.lit("unknown")))),
+            F.when(F.col("refused"), say["refused"]),
+            F.when(blank, say["empty"]),
+            F.when(F.col("required") & (F.size(cited) == 0), say["uncited"]),
         )
     )
-    failures = F.concat(found, F.transform(dangling, lambda n: F.format_string("Citation [%d] has no source record.", n)))
-    made = responses.select("case_id", F.when(F.col("status") == "not-run", F.array(F.lit("No answer recorded."))).otherwise(failures).alias("failures"), F.col("status").alias("run"))
+    failures = F.array_distinct(F.concat(found, F.transform(dangling, lambda n: F.format_string(say["dangling"], n))))
+    made = responses.select("case_id", F.when(F.col("status") == "not-run", F.array(F.lit(say["not run"]))).otherwise(failures).alias("failures"), F.col("status").alias("run"))
     status = F.when(F.col("run") == "not-run", "not-run").when(F.size("failures") > 0, "failed").otherwise("ready-for-review")
     return made.select("case_id", status.alias("status"), "failures")
 
@@ -123,19 +151,47 @@ def run_summary(scored: DataFrame) -> DataFrame:
     human, model = F.col("reviewer_type") == "human", F.col("reviewer_type") == "model"
     n = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
     status = F.col("review_status")
+    means = [
+        F.round(F.avg(F.when(who, F.col(score))), 2).alias(f"{name}_{score}")
+        for name, who in (("human", human), ("model", model)) for score in ("correctness", "usefulness", "citation_support")
+    ]
     made = scored.agg(
         F.count("*").alias("total"), n(human).alias("human_reviewed"), n(model).alias("model_reviewed"), n(status == "passed").alias("passed"),
         n(status == "passed-model-review").alias("model_passed"), n(status.isin("failed", "failed-human-review", "failed-model-review")).alias("failures"),
-        F.round(F.avg(F.when(human, F.col("correctness"))), 2).alias("human_correctness"), F.round(F.avg(F.when(model, F.col("correctness"))), 2).alias("model_correctness"),
-    )
-    return made.withColumn("quality_established", (F.col("total") > 0) & (F.col("passed") == F.col("total")))
+        n(status == "failed").alias("failed"), *means,
+    )
+    pending = F.col("total") - F.col("human_reviewed") - F.col("failed")  # a model's review is provisional
+    established = (F.col("total") > 0) & (F.col("passed") == F.col("total")) & (F.col("human_reviewed") == F.col("total"))
+    return made.withColumn("pending", pending).withColumn("quality_established", established).drop("failed")
 
 
-def run_integrity(records: DataFrame, cases: DataFrame) -> DataFrame:
-    """(case_id, problem) of repeated and unknown cases in a run."""
+def dataset_hash(cases: DataFrame) -> DataFrame:
+    """One row with a hash over the data set's cases, in order of their ids: 1,000 ids make a block, blocks are hashed in order."""
+    line = F.sha2(F.to_json(F.struct(*sorted(cases.columns)), {"ignoreNullFields": "false"}), 256)
+    blocks = cases.groupBy(F.floor(F.col("case_id") / 1000).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_id", line.alias("l")))), lambda x: x["l"]), ""), 256).alias("h"))
+    return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("dataset_hash"))
+
+
+def run_integrity(records: DataFrame, cases: DataFrame, judgments: DataFrame | None = None, recorded_hash: str | None = None) -> DataFrame:
+    """(case_id, problem): repeated and unknown cases of a run, judgments of unknown cases, without a rationale,
+    with scores outside 0 to 4 or by neither human nor model, and a run recorded over another data set (no case_id)."""
     repeated = records.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1").select("case_id", F.lit("duplicate").alias("problem"))
     unknown = records.join(cases.select("case_id"), "case_id", "left_anti").select("case_id", F.lit("unknown").alias("problem")).distinct()
-    return repeated.unionByName(unknown)
+    found = repeated.unionByName(unknown)
+    if judgments is not None:
+        scores = [F.col(c).isNull() | ~F.col(c).between(0, 4) for c in ("correctness", "usefulness", "citation_support")]
+        problems = F.array_compact(
+            F.array(
+                F.when(F.trim(F.coalesce("rationale", F.lit(""))) == "", "no rationale"), F.when(scores[0] | scores[1] | scores[2], "score out of range"),
+                F.when(~F.coalesce("reviewer_type", F.lit("human")).isin("human", "model"), "reviewer"),
+            )
+        )
+        stray = judgments.join(cases.select("case_id"), "case_id", "left_anti").select("case_id", F.lit("judgment of an unknown case").alias("problem"))
+        found = found.unionByName(stray).unionByName(judgments.select("case_id", F.explode(problems).alias("problem")))
+    if recorded_hash is not None:
+        changed = dataset_hash(cases).where(F.col("dataset_hash") != recorded_hash).select(F.lit(None).cast("long").alias("case_id"), F.lit("data set changed").alias("problem"))
+        found = found.unionByName(changed)
+    return found
 
 
 def select_cases(cases: DataFrame, category: str | None = None, ids: list[int] | None = None, limit: int = 40) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundtable.functions.text import url_version
+
 
 @dataclass(frozen=True)
 class GateParams:
@@ -150,10 +152,13 @@ def escalates(passed: Column, question: Column, params: GateParams = DEFAULTS) -
 
 
 def search_results(hydrated: DataFrame, registry: DataFrame) -> DataFrame:
-    """text only where the source allows excerpts and its mode is full."""
+    """text only where the source allows excerpts and its mode is full; the version that the source or its URL names."""
     allowed = F.col("can_excerpt") & (F.col("mode") == "full")
-    joined = hydrated.join(F.broadcast(registry), "source_id", "left")  # one row per registered source
-    return joined.withColumn("excerpt", F.when(allowed, F.col("text")))
+    joined = hydrated.join(registry, "source_id", "left")
+    version = url_version(F.col("source_url"))
+    if "version" in registry.columns:
+        version = F.coalesce(F.col("version"), version)
+    return joined.withColumn("excerpt", F.when(allowed, F.col("text"))).withColumn("version", version)
 
 
 def unknown_sources(requests: DataFrame, registry: DataFrame) -> DataFrame:

@@ -8,26 +8,44 @@ from pyspark.sql import functions as F
 FIELDS = ["chunk_id", "source_id", "page_title", "section_title", "text", "source_url", "content_hash", "char_len", "ordinal"]
 
 
+# Fixed value: all that a chunk of a link-only source may say.
+LINK_TEXT = '# %s\n## %s\n\n%s documents this at "%s". The text of this page is not reproduced here; open the link to read it.'
+
+
 def chunk_violations(chunks: DataFrame, registry: DataFrame) -> DataFrame:
-    """(chunk_id, problem) for every broken rule of a chunk."""
+    """(chunk_id, problem) for every broken rule of a chunk.
+
+    Chunks and registry may have source_name and license, chunks heading_path, part, part_count and ordinal; rules
+    on columns that are absent are not asked.
+    """
+    has = lambda *names: all(n in chunks.columns for n in names)
+    shared = [c for c in ("source_name", "license") if has(c) and c in registry.columns]
     copies = chunks.groupBy("chunk_id").agg(F.count("*").alias("copies"))
-    policy = registry.select("source_id", F.col("can_excerpt").alias("source_allows"), F.col("mode").alias("source_mode"))
-    joined = chunks.join(copies, "chunk_id").join(F.broadcast(policy), "source_id", "left")
-    problems = F.array_compact(
-        F.array(
-            F.when(F.col("copies") > 1, "duplicate id"),
-            F.when(~F.col("chunk_id").startswith(F.concat(F.col("source_id"), F.lit(":"))) | (F.octet_length("chunk_id") > 64), "id shape"),
-            F.when(F.col("source_mode").isNull(), "unregistered source"),
-            F.when(F.trim("text") == "", "empty text"),
-            F.when(F.sha2("text", 256) != F.col("content_hash"), "hash"),
-            F.when(F.length("text") != F.col("char_len"), "length"),
-            F.when(~F.col("source_url").rlike("^https://"), "url"),
-            F.when(F.col("can_excerpt") & ~F.col("source_allows"), "excerpt escalation"),
-            F.when((F.col("excerpt_mode") == "full") != F.col("can_excerpt"), "excerpt mode"),
-            F.when(~F.col("excerpt_mode").isin("full", "summarize", "link"), "unknown mode"),
-        )
-    )
-    return joined.select("chunk_id", F.explode(problems).alias("problem"))
+    policy = registry.select("source_id", F.col("can_excerpt").alias("source_allows"), F.col("mode").alias("source_mode"), *[F.col(c).alias(f"source_{c}") for c in shared])
+    joined = chunks.join(copies, "chunk_id").join(policy, "source_id", "left")
+    restricted = F.col("source_mode") == "summarize"
+    linked = F.col("source_mode") == "link"
+    rules = [
+        F.when(F.col("copies") > 1, "duplicate id"),
+        F.when(~F.col("chunk_id").startswith(F.concat(F.col("source_id"), F.lit(":"))) | (F.octet_length("chunk_id") > 64), "id shape"),
+        F.when(F.col("source_mode").isNull(), "unregistered source"),
+        F.when(F.trim("text") == "", "empty text"),
+        F.when(F.sha2("text", 256) != F.col("content_hash"), "hash"),
+        F.when(F.length("text") != F.col("char_len"), "length"),
+        F.when(~F.col("source_url").rlike("^https://"), "url"),
+        *[F.when(~F.col(c).eqNullSafe(F.col(f"source_{c}")), c.replace("source_", "")) for c in shared],
+        F.when(F.col("can_excerpt") & ~F.col("source_allows"), "excerpt escalation"),
+        F.when(restricted & (F.col("can_excerpt") | (F.col("excerpt_mode") != "summarize")), "restricted policy"),
+        F.when((F.col("excerpt_mode") == "full") != F.col("can_excerpt"), "excerpt mode"),
+        F.when(~F.col("excerpt_mode").isin("full", "summarize", "link"), "unknown mode"),
+    ]
+    if has("source_name", "heading_path"):
+        expected = F.format_string(LINK_TEXT, "source_name", "heading_path", "source_name", "page_title")
+        rules.append(F.when(linked & (F.col("can_excerpt") | (F.col("excerpt_mode") != "link") | (F.col("text") != expected)), "link-only body"))
+    for c, least in (("ordinal", 0), ("part", 0), ("part_count", 1)):
+        if has(c):
+            rules.append(F.when(F.col(c).isNull() | (F.col(c) < least), c.replace("_", " ")))
+    return joined.select("chunk_id", F.explode(F.array_compact(F.array(*rules))).alias("problem"))
 
 
 def fingerprint(columns: list[str] = FIELDS):
@@ -61,19 +79,36 @@ def coverage_loss(before: DataFrame, after: DataFrame, share: float = 0.8) -> Da
 
 
 def manifest(chunks: DataFrame) -> DataFrame:
-    """Chunks per source."""
-    return chunks.groupBy("source_id").agg(F.count("*").alias("sections"), F.sum("char_len").alias("chars"))
+    """Chunks and characters per source, and the corpus's epoch beside each."""
+    by_source = chunks.groupBy("source_id").agg(F.count("*").alias("sections"), F.sum("char_len").alias("chars"))
+    return by_source.join(F.broadcast(epoch(chunks)))  # one row
+
+
+def manifest_mismatches(stated: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(source_id, problem) where a stated manifest does not match the corpus: sources, sections or epoch."""
+    now = manifest(chunks).select("source_id", F.col("sections").alias("n"), F.col("epoch").alias("e"))
+    joined = stated.join(now, "source_id", "full_outer")
+    problem = F.when(F.col("n").isNull(), "no chunks").when(F.col("sections").isNull(), "not listed").when(F.col("n") != F.col("sections"), "sections").when(F.col("e") != F.col("epoch"), "epoch")
+    return joined.select("source_id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+EPOCH_FIELDS = ["chunk_id", "content_hash", "source_url", "can_excerpt", "excerpt_mode", "license"]
 
 
-def epoch(chunks: DataFrame) -> DataFrame:
-    """16 hex characters over the ordered lines of each source, then over the sources' hashes.
+def epoch(chunks: DataFrame, digits: int = 3) -> DataFrame:
+    """16 hex characters over the chunks' lines (id, hash, URL, excerpt flag, mode, licence).
 
-    Lines are hashed one by one first, so a task gathers 64 characters a chunk.
+    A line's hash goes into a block by its source and first ``digits`` hex digits; a block is the hash of its
+    ordered lines, a source that of its ordered blocks, the epoch that of the ordered sources.  So a source
+    of any size is spread over ``16**digits`` groups.  Columns that chunks lack count as null.
     """
-    line = F.sha2(F.concat_ws("|", "chunk_id", "content_hash", "source_url"), 256)
-    by_source = chunks.groupBy("source_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_id", "h"))), lambda s: s["h"]), "\n")
-    return by_source.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("epoch"))
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) if c in chunks.columns else F.lit("~") for c in EPOCH_FIELDS]
+    lines = chunks.select("source_id", F.sha2(F.concat_ws("|", *parts), 256).alias("line"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    blocks = lines.groupBy("source_id", F.substring("line", 1, digits).alias("head")).agg(joined("line").alias("h"))
+    in_order = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), "\n"), 256)
+    sources = blocks.groupBy("source_id").agg(in_order("head").alias("h"))
+    return sources.agg(F.substring(in_order("source_id"), 1, 16).alias("epoch"))
 
 
 def publication_summary(changes: DataFrame) -> DataFrame:

@@ -99,18 +99,42 @@ def a6(spark, sf_dir):
     return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), grounded.alias("grounded"), beyond.alias("beyond"))
 
 
-@query("A7_deflection", f"""WITH {_BASE} SELECT answer_id, conv_id % 2 = 0 AS turned, paras[1] AS text FROM answers WHERE len(paras) > 0""")
+_OPENERS = ["The provided documentation does not cover this. ", "The docs don't say, but belts work. ", "Sources vary. ", "While the index lacks a figure!"]
+_OPENERS_SQL = "[" + ", ".join("'" + o.replace("'", "''") + "'" for o in _OPENERS) + "][conv_id % 4 + 1]"
+_OPENED_SQL = f"SELECT answer_id, conv_id % 8 = 7 AS more, {_OPENERS_SQL} || CASE WHEN conv_id % 4 = 3 THEN '' ELSE coalesce(paras[1], '') END AS t FROM answers"
+_DEFLECTION_SQL = "(?i)" + audit.DEFLECTION.replace("'", "''")
+
+
+@query("A7_deflection", f"""WITH {_BASE}, o AS ({_OPENED_SQL}), m AS (SELECT *, regexp_extract(t, '(?s)^(\\s*[^.!?]*[.!?])(.*)$', 1) AS f, regexp_extract(t, '(?s)^(\\s*[^.!?]*[.!?])(.*)$', 2) AS r FROM o)
+  SELECT answer_id, CASE WHEN f <> '' AND (trim(r) <> '' OR more) AND regexp_matches(trim(f), '{_DEFLECTION_SQL}') AND NOT regexp_matches(f, '(?i){audit.CONTRAST}')
+    THEN regexp_replace(r, '^\\s+', '') ELSE t END AS text FROM m""")
 def a7(spark, sf_dir):
     lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").where(F.size(lines) > 0)
-    opened = F.concat(F.lit("The sources do not cover this. "), F.element_at(lines, 1))
-    kept = F.when(F.col("conv_id") % 2 == 0, F.element_at(lines, 1)).otherwise(audit.drop_deflection(opened))
-    return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), (F.col("conv_id") % 2 == 0).alias("turned"), kept.alias("text"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    opener = F.element_at(F.array(*[F.lit(o) for o in _OPENERS]), (F.col("conv_id") % 4 + 1).cast("int"))
+    text = F.concat(opener, F.when(F.col("conv_id") % 4 == 3, "").otherwise(F.coalesce(F.get(lines, 0), F.lit(""))))
+    return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), audit.drop_deflection(text, F.col("conv_id") % 8 == 7).alias("text"))
 
 
-@query("A8_strip_marks", f"WITH {_BASE} SELECT answer_id, array_to_string(paras, chr(10) || chr(10)) AS text FROM answers")
+_CODE = "```java\nx[1] = 2; // [3]\n```"
+_CODE_SQL = "'```java' || chr(10) || 'x[1] = 2; // [3]' || chr(10) || '```'"
+
+
+@query("A8_strip_marks", f"""WITH {_BASE}, l AS (SELECT answer_id, list_transform(paras, lambda p: regexp_replace(p || ' `a[1]`[2] b[1] and [1][2] (see [3, 4]).', '(`[^`]*`)(?:{audit.MARK})?|(^|[^\\w\\]`]){audit.MARK}', '\\1\\2', 'g')) AS p FROM answers)
+  SELECT answer_id, array_to_string(p, chr(10)) || chr(10) || {_CODE_SQL} || ' [9]' || chr(10) || 'End.' AS text FROM l""")
 def a8(spark, sf_dir):
-    return answers(spark, sf_dir).select("answer_id", audit.strip_marks(F.col("answer_md")).alias("text"))
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    marked = F.array_join(F.transform(lines, lambda p: F.concat(p, F.lit(" `a[1]`[2] b[1] and [1][2] (see [3, 4])."))), "\n")
+    text = F.concat(marked, F.lit(f"\n{_CODE} [9]\nEnd. [7]"))
+    stripped = F.regexp_replace(audit.strip_marks(text), r"End\. $", "End.")
+    return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), stripped.alias("text"))
+
+
+@query("A3_weak_marks", f"""WITH {_VERIFIED}, w AS (SELECT v.answer_id, v.para, v.n, o, row_number() OVER (PARTITION BY v.answer_id ORDER BY v.para, v.n) AS place FROM verified v WHERE source IS NOT NULL AND round(o, 6) < 0.22)
+  SELECT w.answer_id, CAST(place AS INTEGER) AS place, w.para, w.n, round(round(o, 6), 2) AS overlap, substr(claim_text || marker, 1, 140) AS claim FROM w JOIN paragraphs p ON p.answer_id = w.answer_id AND p.para = w.para WHERE place <= 4""")
+def a3_weak(spark, sf_dir):
+    return audit.weak_marks(answers(spark, sf_dir), citations(spark, sf_dir), corpus(spark, sf_dir))
 
 
 @query("A9_degraded_listing", f"""WITH {_BASE}, lines AS (SELECT answer_id, n, mode, '[' || n || '] ' || page_title || chr(10) || CASE WHEN mode <> 'full' THEN '(not reproduced)'
@@ -133,48 +157,75 @@ def a10(spark, sf_dir):
     return audit.answer_disposition(made).select("answer_id", "empty", "persistable")
 
 
-@query("A11_rules_notice", f"WITH {_BASE} SELECT answer_id, bool_or(source_id IN ('src1', 'src2')) AS needs_notice FROM citations GROUP BY answer_id")
+@query("A11_rules_notice", f"""WITH {_BASE}, f AS (SELECT answer_id, bool_or(source_id IN ('src1', 'src4')) AS manual, bool_or(source_id = 'src2') AS qa FROM citations GROUP BY answer_id),
+  q AS (SELECT DISTINCT answer_id, CASE WHEN conv_id % 2 = 0 THEN 'Is that legal?' ELSE 'How is it built?' END AS question FROM answers)
+  SELECT answer_id, CASE WHEN qa OR (manual AND question LIKE '%legal%') THEN 'Indexed rules snapshot: ' || concat_ws(' and ', CASE WHEN manual THEN 'Manual V3' END, CASE WHEN qa THEN 'official Q&A snapshot 2024-02-01' END)
+    || ', indexed 2024-02-01. This may be out of date. Verify the current official manual and Team Q&A before relying on a rule interpretation.' ELSE '' END AS notice FROM f JOIN q USING (answer_id)""")
 def a11(spark, sf_dir):
-    return audit.rules_notice(citations(spark, sf_dir), ["src1", "src2"])
+    asked = answers(spark, sf_dir).select("answer_id", F.when(F.col("conv_id") % 2 == 0, "Is that legal?").otherwise("How is it built?").alias("question"))
+    return audit.rules_notice(citations(spark, sf_dir), asked, "Manual V3", ["src1", "src4"], ["src2"], "2024-02-01")
 
 
-_RULES = [(1, "(?i)the .* the .* the ", "Compare the names"), (2, "(?i) der | die ", "Check the load"), (3, "(?i) est ", "Trace the condition")]
+_SAID = ["", "names match now", "The motor doesn't move in the hardware test", "it binds", "telemetry shows zero motor power", "the servo hums"]
+_SAID_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in _SAID) + "]"
+_FIRST_RULE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN {n}" for n, p, *_ in audit.DIAGNOSTIC_RULES) + " END"
+_TITLES_SQL = "CASE rule " + " ".join(f"WHEN {n} THEN '{t}'" for n, _, t, *_ in audit.DIAGNOSTIC_RULES) + " END"
 
 
-@query("A12_diagnostic_steps", f"""WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS age, text FROM conversations WHERE role = 'user'),
-  r AS (SELECT * FROM (VALUES {', '.join(f"({n}, '{p}', '{t}')" for n, p, t in _RULES)}) v(rule, pattern, title)),
-  m AS (SELECT conv_id, rule, title FROM o JOIN r ON regexp_matches(text, pattern) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY age, rule) = 1)
-  SELECT conv_id, coalesce(title, 'Narrow the failure') AS title, rule FROM (SELECT DISTINCT conv_id FROM o) LEFT JOIN m USING (conv_id)""")
+@query("A12_diagnostic_steps", f"""WITH o AS (SELECT conv_id, turn, text || ' ' || {_SAID_SQL}[(conv_id + turn) % 6 + 1] AS text FROM conversations WHERE role = 'user'),
+  m AS (SELECT *, {_FIRST_RULE_SQL} AS rule FROM o), d AS (SELECT conv_id, arg_max(rule, turn) FILTER (rule IS NOT NULL) AS rule, bool_or(regexp_matches(text, '(?i){audit.MOVING}')) AS moving FROM m GROUP BY conv_id)
+  SELECT conv_id, rule, coalesce({_TITLES_SQL}, CASE WHEN moving THEN 'Separate hardware from code' ELSE 'Narrow the failure' END) AS title FROM d""")
 def a12(spark, sf_dir):
     from pyspark.sql import Window
 
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    observed = turns.select("conv_id", (F.row_number().over(newest) - 1).alias("age"), "text")
-    return audit.diagnostic_steps(observed, spark.createDataFrame(_RULES, "rule int, pattern string, title string"))
+    said = F.element_at(F.array(*[F.lit(t) for t in _SAID]), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    observed = turns.select("conv_id", (F.row_number().over(newest) - 1).alias("age"), F.concat_ws(" ", "text", said).alias("text"))
+    return audit.diagnostic_steps(observed).select("conv_id", "rule", "title")
 
 
-@query("A13_context_rejections", """SELECT conv_id, CASE WHEN max(length(text)) FILTER (role = 'user') > 500 THEN 'question too long' WHEN count(*) > 6 THEN 'too many files'
-  WHEN count(DISTINCT turn % 5) < count(*) THEN 'repeated file name' WHEN sum(length(text)) > 16000 THEN 'too much code' END AS reason FROM conversations GROUP BY conv_id""")
+@query("A13_context_rejections", """WITH c AS (SELECT conv_id, max(length(text)) FILTER (role = 'user') AS q, count(*) AS files, count(DISTINCT turn % 5) AS names, sum(length(text)) AS code FROM conversations GROUP BY conv_id)
+  SELECT conv_id, CASE WHEN conv_id % 31 = 0 THEN 'request-too-large' WHEN q > 500 THEN 'question-too-long' WHEN conv_id % 17 = 0 THEN 'invalid-learning-mode' WHEN files > 6 THEN 'context-too-long'
+    WHEN names < files OR conv_id % 13 = 0 THEN 'invalid-code-file' WHEN code > 16000 THEN 'context-too-long' WHEN conv_id % 11 = 0 THEN 'context-too-long' END AS reason FROM c""")
 def a13(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
+    turns, n = table(spark, sf_dir, "conversations"), F.col("conv_id")
     longest = F.max(F.when(F.col("role") == "user", F.struct(F.length("text").alias("l"), "text")))["text"]
-    name = F.concat(F.lit("f"), (F.col("turn") % 5).cast("string"), F.lit(".java"))
+    name = F.concat(F.when(n % 13 == 0, "f/").otherwise("f "), (F.col("turn") % 5).cast("string"), F.lit(".java"))
     contexts = turns.groupBy("conv_id").agg(longest.alias("question"), F.collect_list(F.struct(name.alias("name"), F.col("text").alias("source"))).alias("files"))
-    return audit.context_rejections(contexts).select("conv_id", "reason")
+    asked = contexts.select(
+        "*", F.when(n % 17 == 0, "show").otherwise("hint").alias("mode"), F.when(n % 31 == 0, 100_001).otherwise(50).alias("body_bytes"),
+        F.repeat(F.lit("e"), F.when(n % 11 == 0, 2_001).otherwise(2_000)).alias("error"), F.lit("").alias("attempt"), F.lit("").alias("lesson"),
+    )
+    return audit.context_rejections(asked).select("conv_id", "reason")
 
 
-@query("A14_conversation_context", """WITH p AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations),
+_CONTEXT_SQL = """p AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM said),
   u AS (SELECT conv_id, turn FROM p WHERE role = 'user'),
   j AS (SELECT u.conv_id, u.turn, p.turn AS t, p.asked, substr(p.text, 1, 1200) AS answer FROM u JOIN p ON p.conv_id = u.conv_id AND p.turn < u.turn AND p.role = 'assistant'
     QUALIFY row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY p.turn DESC) <= 2)
-  SELECT u.conv_id, u.turn, coalesce(sha256(string_agg(coalesce(asked, '') || '|' || answer, '||' ORDER BY t)), sha256('')) AS context FROM u LEFT JOIN j ON j.conv_id = u.conv_id AND j.turn = u.turn GROUP BY ALL""")
-def a14(spark, sf_dir):
-    made = audit.conversation_context(table(spark, sf_dir, "conversations"))
+  SELECT u.conv_id, u.turn, coalesce(sha256(string_agg(coalesce(asked, '') || '|' || answer, '||' ORDER BY t)), sha256('')) AS context FROM u LEFT JOIN j ON j.conv_id = u.conv_id AND j.turn = u.turn GROUP BY ALL"""
+
+
+def _contexts(turns):
+    made = audit.conversation_context(turns)
     joined = F.array_join(F.transform("context", lambda c: F.concat(F.coalesce(c["question"], F.lit("")), F.lit("|"), c["answer"])), "||")
     return made.select("conv_id", "turn", F.sha2(joined, 256).alias("context"))
 
 
+@query("A14_conversation_context", f"WITH said AS (SELECT * FROM conversations), {_CONTEXT_SQL}")
+def a14(spark, sf_dir):
+    return _contexts(table(spark, sf_dir, "conversations"))
+
+
+@query("A14_sane_context", f"""WITH c AS (SELECT conv_id % 3 AS owner, conv_id, turn, role, CASE WHEN turn % 7 = 6 THEN ' ' ELSE text END AS text FROM conversations),
+  kept AS (SELECT owner, conv_id FROM (SELECT DISTINCT owner, conv_id FROM c) QUALIFY row_number() OVER (PARTITION BY owner ORDER BY conv_id DESC) <= 30),
+  said AS (SELECT * FROM c JOIN kept USING (owner, conv_id) WHERE role IN ('user', 'assistant') AND trim(text) <> ''), {_CONTEXT_SQL}""")
+def a14_sane(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 3).alias("owner"), "conv_id", "turn", "role", F.when(F.col("turn") % 7 == 6, " ").otherwise(F.col("text")).alias("text"))
+    return _contexts(audit.sane_turns(turns))
+
+
 # evaluation
 
 
@@ -225,16 +276,23 @@ def e5(spark, sf_dir):
     return evaluation.assemble_frames(frames(spark, sf_dir))
 
 
-_CHECKED = f"""{ANSWERS_SQL.split('marks AS')[0].rstrip().rstrip(',')}, checks AS (SELECT a.answer_id AS case_id, list_filter([CASE WHEN a.conv_id % 13 = 0 THEN 'No terminal done event.' END, CASE WHEN a.conv_id % 17 = 0 THEN 'Source-only fallback.' END,
-    CASE WHEN len(paras) = 0 THEN 'No grounded answer text.' END, CASE WHEN len(paras) >= 2 AND a.conv_id % 2 = 0 THEN 'Citation [9] has no source record.' END], lambda x: x IS NOT NULL) AS failures FROM answers a),
+_SAY = {k: v.replace("'", "''") for k, v in evaluation.FAILURES.items()}
+_CHECKED = f"""{ANSWERS_SQL.split('marks AS')[0].rstrip().rstrip(',')}, checks AS (SELECT a.answer_id AS case_id, list_filter([CASE WHEN a.conv_id % 19 = 0 OR a.conv_id % 23 = 0 THEN '{_SAY["shared"]}' END,
+    CASE WHEN a.conv_id % 29 = 0 THEN 'boom' END, CASE WHEN a.conv_id % 13 = 0 THEN '{_SAY["incomplete"]}' END,
+    CASE WHEN a.conv_id % 17 = 0 THEN 'Source-only fallback (' || CASE WHEN a.conv_id % 2 = 0 THEN 'ceiling' ELSE 'unknown' END || ').' END, CASE WHEN a.conv_id % 31 = 0 THEN '{_SAY["refused"]}' END,
+    CASE WHEN len(paras) = 0 THEN '{_SAY["empty"]}' END, CASE WHEN a.conv_id % 7 = 0 THEN '{_SAY["uncited"]}' END,
+    CASE WHEN len(paras) >= 1 AND a.conv_id % 7 = 0 THEN 'Citation [1] has no source record.' END, CASE WHEN len(paras) >= 2 AND a.conv_id % 7 = 0 THEN 'Citation [2] has no source record.' END,
+    CASE WHEN len(paras) >= 2 AND (a.conv_id % 2 = 0 OR a.conv_id % 7 = 0) THEN 'Citation [9] has no source record.' END], lambda x: x IS NOT NULL) AS failures FROM answers a),
 checked AS (SELECT case_id, CASE WHEN len(failures) > 0 THEN 'failed' ELSE 'ready-for-review' END AS status, failures FROM checks)"""
 
 
 def _checked(spark, sf_dir):
-    cited = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(9)))
+    n = F.col("conv_id")
+    cited = F.when(n % 7 == 0, F.array().cast("array<int>")).when(n % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(9)))
     made = answers(spark, sf_dir).select(
-        F.col("answer_id").alias("case_id"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), (F.col("conv_id") % 13 != 0).alias("complete"),
-        (F.col("conv_id") % 17 == 0).alias("degraded"), F.lit(False).alias("refused"), F.col("answer_md").alias("answer"), F.lit(True).alias("required"), cited.alias("cited"),
+        F.col("answer_id").alias("case_id"), F.lit("done").alias("status"), F.when(n % 29 == 0, "boom").alias("error"), (n % 13 != 0).alias("complete"),
+        (n % 17 == 0).alias("degraded"), F.when(n % 2 == 0, "ceiling").alias("degrade_reason"), (n % 31 == 0).alias("refused"), (n % 19 != 0).alias("private"), (n % 23 == 0).alias("cached"),
+        F.col("answer_md").alias("answer"), F.lit(True).alias("required"), cited.alias("cited"),
     )
     return evaluation.structural_checks(made)
 
@@ -268,19 +326,31 @@ def e7(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
+_MEANS_SQL = ", ".join(f"round(avg({c}) FILTER (reviewer_type = '{w}'), 2) AS {w}_{c}" for w in ("human", "model") for c in ("correctness", "usefulness", "citation_support"))
+
+
 @query("E8_run_summary", f"""WITH {_SCORED} SELECT count(*) AS total, count(*) FILTER (reviewer_type = 'human') AS human_reviewed, count(*) FILTER (reviewer_type = 'model') AS model_reviewed,
   count(*) FILTER (review_status = 'passed') AS passed, count(*) FILTER (review_status = 'passed-model-review') AS model_passed,
-  count(*) FILTER (review_status IN ('failed', 'failed-human-review', 'failed-model-review')) AS failures, round(avg(correctness) FILTER (reviewer_type = 'human'), 2) AS human_correctness,
-  round(avg(correctness) FILTER (reviewer_type = 'model'), 2) AS model_correctness, count(*) > 0 AND count(*) FILTER (review_status = 'passed') = count(*) AS quality_established FROM scored""")
+  count(*) FILTER (review_status IN ('failed', 'failed-human-review', 'failed-model-review')) AS failures, {_MEANS_SQL},
+  count(*) - count(*) FILTER (reviewer_type = 'human') - count(*) FILTER (review_status = 'failed') AS pending,
+  count(*) > 0 AND count(*) FILTER (review_status = 'passed') = count(*) AS quality_established FROM scored""")
 def e8(spark, sf_dir):
     return evaluation.run_summary(_scored(spark, sf_dir))
 
 
-@query("E9_run_integrity", """WITH r AS (SELECT doc_id % 300 AS case_id FROM labels) SELECT case_id, 'duplicate' AS problem FROM r GROUP BY case_id HAVING count(*) > 1
-  UNION ALL SELECT DISTINCT case_id, 'unknown' FROM r WHERE case_id NOT IN (SELECT item_id FROM benchmark)""")
+@query("E9_run_integrity", """WITH r AS (SELECT doc_id % 300 AS case_id FROM labels), j AS (SELECT doc_id % 250 AS case_id, doc_id, toxic FROM labels) SELECT case_id, 'duplicate' AS problem FROM r GROUP BY case_id HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT case_id, 'unknown' FROM r WHERE case_id NOT IN (SELECT item_id FROM benchmark)
+  UNION ALL SELECT case_id, 'judgment of an unknown case' FROM j WHERE case_id NOT IN (SELECT item_id FROM benchmark)
+  UNION ALL SELECT case_id, 'no rationale' FROM j WHERE doc_id % 3 = 0 UNION ALL SELECT case_id, 'score out of range' FROM j WHERE toxic = 1 UNION ALL SELECT case_id, 'reviewer' FROM j WHERE doc_id % 10 = 9
+  UNION ALL SELECT NULL, 'data set changed'""")
 def e9(spark, sf_dir):
-    records = table(spark, sf_dir, "labels").select((F.col("doc_id") % 300).alias("case_id"))
-    return evaluation.run_integrity(records, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id")))
+    labels, n = table(spark, sf_dir, "labels"), F.col("doc_id")
+    judged = labels.select(
+        (n % 250).alias("case_id"), F.when(n % 3 == 0, " ").otherwise("because").alias("rationale"), F.when(n % 10 == 9, "crowd").when(n % 2 == 0, "human").alias("reviewer_type"),
+        (F.col("toxic") * 5).alias("correctness"), F.lit(2).alias("usefulness"), F.lit(4).alias("citation_support"),
+    )
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), "text")
+    return evaluation.run_integrity(labels.select((n % 300).alias("case_id")), cases, judged, "0" * 64)
 
 
 @query("E10_selected_cases", "SELECT item_id AS case_id, 'c' || (item_id % 3) AS category FROM benchmark WHERE item_id % 3 = 1 ORDER BY item_id LIMIT 10")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundtable.operators import chunking, publication, vectors
 from groundtable.plans.registry import query, table
+from groundtable.plans.shared import shared_path
 from groundtable.sources import corpus, pages
 
 _SEC, _CH, _REG = corpus.SECTIONS_SQL, corpus.CHUNKS_SQL, corpus.REGISTRY_SQL
@@ -32,7 +33,7 @@ _STRIP_SQL = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(reg
 _TEXT_SQL = f"trim(replace(replace(replace(replace(replace({_STRIP_SQL}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), chr(32) || chr(10))"
 
 
-@query("S2_page_articles", f"SELECT page_id, url, substr(t, 1, 30000) AS text FROM (SELECT page_id, url, {_TEXT_SQL} AS t FROM pages) WHERE length(t) >= 120")
+@query("S2_page_articles", f"SELECT page_id, url, t AS text FROM (SELECT page_id, url, {_TEXT_SQL} AS t FROM pages) WHERE length(t) >= 120")
 def s2(spark, sf_dir):
     return pages.articles(table(spark, sf_dir, "pages"))
 
@@ -47,9 +48,104 @@ def s3_headings(spark, sf_dir):
     return pages.headings(table(spark, sf_dir, "pages")).select("page_id", "place", "title")
 
 
-@query("S4_path_filter", r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '(?i)\.(png|jpe?g|css|js)$') AND NOT regexp_matches(url, '/(de|es)/') AND NOT contains(url, '?')")
+@query("S3_page_sections", r"""WITH t AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<nav\b[^>]*>.*?</nav>|<footer\b[^>]*>.*?</footer>|<!--.*?-->', '', 'g') AS h FROM pages),
+  p AS (SELECT page_id, list_slice(string_split(regexp_replace(h, '(?i)(<h[1-6][\s>])', chr(2) || '\1', 'g'), chr(2)), 2, 1000000) AS parts FROM t),
+  r AS (SELECT page_id, i - 1 AS ord, parts[i] AS part FROM p, unnest(range(1, len(parts) + 1)) u(i)),
+  s AS (SELECT page_id, ord, CAST(regexp_extract(part, '(?is)^<h([1-6])', 1) AS INTEGER) AS level, regexp_extract(part, '(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS title,
+    string_split(regexp_replace(regexp_extract(part, '(?is)^<h[1-6][^>]*>.*?</h[1-6]>(.*)$', 1), '(?i)</(?:p|div|li|section|article)>|<br */?>|<p[\s>]', chr(1), 'g'), chr(1)) AS blocks
+    FROM r WHERE regexp_matches(part, '(?is)^<h[1-6][^>]*>.*?</h[1-6]>'))
+  SELECT page_id, CAST(ord AS INTEGER) AS ord, level, PLAIN(title) AS title, '' AS anchor, array_to_string(list_filter(list_transform(blocks, lambda b: PLAINB), lambda b: b <> ''), chr(10) || chr(10)) AS body FROM s"""
+  .replace("PLAIN(title)", r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(title, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))""")
+  .replace("PLAINB", r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '^[^<>]*>', ''), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"""))
+def s3_bodies(spark, sf_dir):
+    return pages.page_sections(table(spark, sf_dir, "pages"))
+
+
+@query("S4_path_filter", r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '/(de|es)/') AND NOT contains(url, '?') AND regexp_matches(url, '/(en|fr)/') AND NOT regexp_matches(regexp_extract(url, '([^/]*)$', 1), '^(1|2)')")
 def s4(spark, sf_dir):
-    return pages.path_filter(table(spark, sf_dir, "pages")).select("page_id", "url")
+    return pages.path_filter(table(spark, sf_dir, "pages"), skip=("/(de|es)/", r"\?"), only="/(en|fr)/", names="^(1|2)").select("page_id", "url")
+
+
+_BOARD = """<script type="application/json">{"board":{"name":"b","config":{"isPublic":%s}},"questions":[{"number":%d,"questionId":"q","status":"%s","title":"t","content":"%s","answer":{"questionId":"%s","content":"a","modifiedAt":%d}},{"number":1,"questionId":"r","status":"ANSWERED","answer":{"questionId":"r","content":"b","modifiedAt":0}}]}</script>"""
+
+
+def _boards(spark, sf_dir):
+    """Every page of the page table as a board: some are private, some questions open, misplaced or repeated."""
+    n = F.col("page_id")
+    body = F.format_string(_BOARD, F.when(n % 7 == 0, "false").otherwise("true"), (n % 5).cast("int"), F.when(n % 3 == 0, "OPEN").otherwise("ANSWERED"), "url", F.when(n % 11 == 0, "x").otherwise("q"), n * 1000)
+    return table(spark, sf_dir, "pages").select("page_id", body.alias("html"))
+
+
+_BOARD_SQL = """b AS (SELECT page_id, CAST(page_id % 5 AS INTEGER) AS number, url AS content, 'a' AS answer, page_id AS second FROM pages WHERE page_id % 7 <> 0 AND page_id % 3 <> 0 AND page_id % 11 <> 0
+  UNION ALL SELECT page_id, 1, NULL, 'b', 0 FROM pages WHERE page_id % 7 <> 0), c AS (SELECT *, count(*) OVER (PARTITION BY page_id, number) AS copies FROM b)"""
+
+
+@query("S5_board_answers", f"WITH {_BOARD_SQL} SELECT page_id, number, content, answer, second FROM c WHERE copies = 1")
+def s5(spark, sf_dir):
+    return pages.board_answers(_boards(spark, sf_dir)).select("page_id", "number", "content", "answer", F.unix_seconds("modified_at").alias("second"))
+
+
+@query("S5_board_rejects", f"WITH {_BOARD_SQL} SELECT DISTINCT page_id, number, copies FROM c WHERE copies > 1")
+def s5_rejects(spark, sf_dir):
+    return pages.board_rejects(_boards(spark, sf_dir))
+
+
+@query("S6_outline", r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord, CAST((i - 1) % 3 + 1 AS INTEGER) AS level, trim(regexp_replace(l[i], '^\s*[-*]\s*', '')) AS title
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) t(i) WHERE trim(l[i], ' ') <> ''""")
+def s6(spark, sf_dir):
+    """Documents as outlines: line by line the indent grows by two, up to four."""
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.when(F.trim(line) == "", "").otherwise(F.concat(F.repeat(F.lit("  "), i % 3), F.lit("- "), F.ltrim(line))))
+    docs = _docs(spark, sf_dir).where("text IS NOT NULL")
+    return pages.outline(docs.select("doc_id", F.array_join(lines, "\n").alias("text")))
+
+
+@query("S7_sitemap", "SELECT page_id, CAST(i AS INTEGER) AS place, CASE i WHEN 0 THEN url ELSE url || '/next' END AS loc, page_id % 4 = 0 AS is_index FROM pages, (SELECT unnest([0, 1]) AS i)")
+def s7_sitemap(spark, sf_dir):
+    root = F.when(F.col("page_id") % 4 == 0, "sitemapindex").otherwise("urlset")
+    body = F.format_string("<%s><url><loc> %s </loc></url><url><loc>%s/next</loc></url></%s>", root, "url", "url", root)
+    return pages.sitemap(table(spark, sf_dir, "pages").select("page_id", body.alias("html")))
+
+
+_CODE_HEAD = "/* Copyright. Redistribution and use in source are permitted. */\n"
+
+
+@query("S9_code_chunks", """WITH f AS (SELECT doc_id, ['Concept', 'Robot', 'Sensor', 'Basic'][doc_id % 4 + 1] || doc_id AS name, ['concept', 'robot', 'sensor', 'basic'][doc_id % 4 + 1] AS kind,
+    array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 6), ' ') AS d, 'class A {' || chr(10) || '// ' || replace(text, '*/', '* /') || chr(10) || '}' AS c FROM documents WHERE text IS NOT NULL AND NOT contains(text, '/*')),
+  g AS (SELECT *, replace(d, '*/', '* /') AS description, '/** ' || replace(d, '*/', '* /') || chr(10) || ' */' || chr(10) || c AS code FROM f)
+  SELECT name, kind, CASE WHEN doc_id % 5 = 0 THEN 'electronics' ELSE 'programming' END AS category, trim(description) AS description,
+    '# SDK Samples' || chr(10) || '## ' || name || ' (official sample OpMode, ' || kind || ')' || chr(10) || chr(10) || trim(description) || chr(10) || chr(10) || '```java' || chr(10) || substr(code, 1, 6000) || chr(10) || '```' AS text FROM g""")
+def s9(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where(F.col("text").isNotNull() & ~F.contains("text", F.lit("/*")))
+    name = F.concat(F.element_at(F.array(*[F.lit(k) for k in ("Concept", "Robot", "Sensor", "Basic")]), (F.col("doc_id") % 4 + 1).cast("int")), F.col("doc_id").cast("string"))
+    safe = lambda c: F.replace(c, F.lit("*/"), F.lit("* /"))
+    body = F.concat(F.lit(_CODE_HEAD + "/** "), safe(corpus.first_words("text", 6)), F.lit("\n */\nclass A {\n// "), safe(F.col("text")), F.lit("\n}"))
+    files = docs.select(name.alias("name"), body.alias("text"))
+    categories = docs.where("doc_id % 5 = 0").select(name.alias("name"), F.lit("electronics").alias("category"))
+    return pages.code_chunks(files, categories=categories)
+
+
+@query("S10_api_chunks", """WITH d AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 6), ' '), '\\s+', ' ', 'g')) AS d, doc_id % 3 AS m FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[<>&]'))
+  SELECT doc_id AS page_id, 'com.x' || doc_id % 7 AS package, 'C' || doc_id AS name, '# SDK API' || chr(10) || '## com.x' || doc_id % 7 || '.C' || doc_id || chr(10) || chr(10) || d || chr(10) || chr(10)
+    || CASE WHEN m > 0 THEN 'Methods:' || chr(10) || array_to_string(list_transform(range(m), lambda i: '- get' || i || '(int a) — Returns it.'), chr(10)) ELSE '' END AS text FROM d WHERE length(d) >= 40 OR m > 0""")
+def s10(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where(F.col("text").isNotNull() & ~F.col("text").rlike("[<>&]"))
+    method = lambda i: F.format_string('<code><a href="#">get%d</a>(<i>int</i> a)</code> <td> <div class="block">Returns it.</div>', i)
+    listed = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3 - 1).cast("int")), method), ""))
+    body = F.concat(F.lit('<section class="class-description"><p>'), corpus.first_words("text", 6), F.lit("</p></section>"), listed)
+    path = F.format_string("Core/com/x%d/C%d.html", F.col("doc_id") % 7, F.col("doc_id"))
+    return pages.api_chunks(docs.select(F.col("doc_id").alias("page_id"), path.alias("path"), body.alias("html")))
+
+
+@query("S12_staged_publication", None)
+def s12(spark, sf_dir):
+    """Forward and rollback changes of two snapshots staged with checksums; chunks written by source, then one source replaced."""
+    before, after = _snapshots(spark, sf_dir)
+    path = shared_path(spark, "s12")
+    pages.write_chunks(before, f"{path}/chunks")
+    pages.write_chunks(after.where("source_id = 'src1'"), f"{path}/chunks")
+    staged = pages.stage_publication(publication.delta(before, after), publication.delta(after, before), path)
+    kept = spark.read.schema(before.schema).json(f"{path}/chunks").groupBy("source_id").agg(F.count("*").alias("rows"))
+    return staged.unionByName(kept.select(F.concat(F.lit("chunks/"), "source_id").alias("artefact"), "rows", F.lit(None).cast("string").alias("checksum")))
 
 
 @query("S7_page_links", r"""WITH l AS (SELECT page_id, i, a[i] AS href, b[i] AS title FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1) AS a,
@@ -77,10 +173,12 @@ def s11(spark, sf_dir):
     return pages.symbols(_docs(spark, sf_dir))
 
 
-@query("S13_missing_sources", f"WITH {_CH}, {_REG} SELECT source_id FROM registry WHERE source_id NOT IN (SELECT source_id FROM chunks WHERE char_len > 30000)")
+@query("S13_missing_sources", f"""WITH {_CH}, {_REG} SELECT source_id, 'no chunks' AS problem FROM (SELECT source_id FROM registry UNION ALL SELECT 'src-unused') WHERE source_id NOT IN (SELECT source_id FROM chunks)
+  UNION ALL SELECT NULL, 'incomplete corpus' FROM chunks HAVING count(*) < 1000000000""")
 def s13(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return pages.missing_sources(corpus.source_registry(docs), corpus.chunks(docs).where("char_len > 30000"))
+    registry = corpus.source_registry(docs).select("source_id")
+    return pages.missing_sources(registry.unionByName(registry.limit(1).select(F.lit("src-unused").alias("source_id"))), corpus.chunks(docs), minimum=1_000_000_000)
 
 
 _LEVELS = range(1, 6)
@@ -113,36 +211,25 @@ def c3(spark, sf_dir):
     return chunking.keep_units(_sections(spark, sf_dir)).select("doc_id", "ord")
 
 
-@query("C4_atoms", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda p: regexp_replace(p, '[ \\t\\n\\r\\f\\v]', '', 'g') <> '')) AS INTEGER) AS atoms FROM documents WHERE text IS NOT NULL")
+@query("C4_atoms", r"""WITH a AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda p: regexp_replace(p, '[ \t\n\r\f\v]', '', 'g') <> ''), lambda p: regexp_replace(p, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) AS a FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10) || '```') AND NOT starts_with(text, '```'))
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, a[i] AS atom FROM a, unnest(range(1, len(a) + 1)) t(i)
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE text IS NOT NULL AND (contains(text, chr(10) || '```') OR starts_with(text, '```'))""")
 def c4(spark, sf_dir):
+    """Texts without fences; C5_split_whole takes those with fences through the same atoms."""
     docs = _docs(spark, sf_dir).where("text IS NOT NULL")
-    return docs.select("doc_id", F.size(chunking.atoms(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("atoms"))
+    fenced = F.contains("text", F.lit("\n```")) | F.col("text").startswith("```")
+    lines = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return docs.select("doc_id", F.posexplode(F.when(fenced, F.array("text")).otherwise(chunking.atoms(lines))).alias("place", "atom"))
 
 
-@query("C5_split_oversize", """WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS body, list_transform(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> ''), lambda p: trim(p)) AS a
-    FROM documents WHERE text IS NOT NULL AND length(replace(text, chr(10), chr(10) || chr(10))) > 3600 AND NOT contains(text, '```')),
-  fold AS (SELECT doc_id, 1 AS i, 1 AS part, length(a[1]) + 2 AS len FROM d
-    UNION ALL SELECT d.doc_id, i + 1, CASE WHEN len + length(a[i + 1]) + 2 > 2400 THEN part + 1 ELSE part END,
-      CASE WHEN len + length(a[i + 1]) + 2 > 2400 THEN length(a[i + 1]) + 2 ELSE len + length(a[i + 1]) + 2 END FROM fold JOIN d USING (doc_id) WHERE i < len(a))
-  SELECT doc_id, part, CAST(max(len) - 2 AS INTEGER) AS chars FROM fold GROUP BY ALL""")
+@query("C5_split_oversize")
 def c5(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where("text IS NOT NULL").withColumn("body", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    long = docs.where((F.length("body") > 3600) & ~F.contains("text", F.lit("```")))
-    return long.select("doc_id", F.posexplode(chunking.split_oversize(F.col("body"))).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("part"), F.length("p").alias("chars"))
-
-
-# The SQL of C5_split_oversize keeps long texts without fences, that of C8_rendered_chunks lines of 80 to 3,600
-# characters; these two leave nothing out.  Their folds over fenced atoms have no SQL form.
-
-
-@query("C5_split_whole")
-def c5_whole(spark, sf_dir):
     docs = _docs(spark, sf_dir).where("text IS NOT NULL").withColumn("body", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return docs.select("doc_id", F.posexplode(chunking.split_oversize(F.col("body"))).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("part"), F.length("p").alias("chars"))
 
 
-@query("C8_rendered_whole")
-def c8_whole(spark, sf_dir):
+@query("C8_rendered_chunks")
+def c8(spark, sf_dir):
     """Units begin at every sixteenth line outside fences and hold their lines as paragraphs; C3's least is their only bound."""
     docs = _docs(spark, sf_dir)
     order = Window.partitionBy("doc_id").orderBy("ord")
@@ -152,7 +239,8 @@ def c8_whole(spark, sf_dir):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "body"))), lambda line: line["body"])
     units = placed.groupBy("doc_id", F.col("unit").alias("ord")).agg(F.min_by("title", "ord").alias("title"), F.array_join(lines, "\n\n").alias("body"))
     kept = chunking.keep_units(chunking.heading_paths(units.withColumn("level", F.col("ord") % 4 + 1)))
-    return chunking.rendered_chunks(kept.join(docs.select("doc_id", corpus.first_words("text", 6).alias("page_title")), "doc_id"))
+    named = docs.select("doc_id", corpus.first_words("text", 6).alias("page_title"), F.format_string("https://docs.example.org/%d", F.col("doc_id")).alias("page_url"))
+    return chunking.rendered_chunks(kept.join(named, "doc_id").withColumn("anchor", chunking.anchor_id(F.col("title"))))
 
 
 @query("C9_tidy_title")
@@ -172,6 +260,30 @@ def c6_parts(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(chunking.rule_parts(F.col("text"))).alias("place", "part"))
 
 
+def _manuals(spark, sf_dir):
+    """Documents as manuals: every fifth line opens a numbered section, every seventh is a row of contents, and some lines a rule."""
+    number = lambda i: F.concat(F.lit(" "), (10 + i % 80).cast("string"), F.lit("  Section "), i.cast("string"))
+    line = lambda x, i: F.when(i % 7 == 6, F.lit("12  Contents ........ 5")).when(i % 5 == 0, number(i)).when(i % 3 == 0, F.concat(F.lit("R"), (100 + i % 900).cast("string"), F.lit(" "), x)).otherwise(x)
+    docs = _docs(spark, sf_dir).where("text IS NOT NULL")
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+@query("C7_manual_sections", r"""WITH l AS (SELECT doc_id, i - 1 AS i, x[i] AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) t(i)),
+  k AS (SELECT *, i % 5 = 0 AS head, CASE WHEN i % 3 = 0 THEN 'R' || (100 + i % 900) || ' ' || x ELSE x END AS t FROM l WHERE i % 7 <> 6),
+  o AS (SELECT doc_id, i, head, regexp_replace(t, '\s+$', '') AS t FROM k WHERE head OR NOT regexp_matches(t, '\.{5,}\s*\d+\s*$')),
+  p AS (SELECT *, head OR regexp_matches(t, '^\s{0,6}(?:(\d{2}(?:\.\d{1,2}){0,2})\s+|(\d(?:\.\d{1,2}){0,2})\s{2,})([A-Z][^\n]{2,80}?)\s*$') AS h FROM o),
+  q AS (SELECT *, CAST(count(*) FILTER (h) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS place FROM p),
+  s AS (SELECT doc_id, place, bool_or(h AND NOT head) AS strange, max(i) FILTER (head) AS i, regexp_replace(coalesce(string_agg(regexp_replace(t, '^\s{0,12}', ''), chr(10) ORDER BY i) FILTER (NOT h AND trim(t, ' ') <> ''), ''), '^\s+|\s+$', '', 'g') AS body FROM q WHERE place > 0 GROUP BY ALL)
+  SELECT doc_id, place, CAST(10 + i % 80 AS VARCHAR) AS number, 'Section ' || i AS title, body FROM s WHERE length(body) >= 200 AND NOT strange""")
+def c7(spark, sf_dir):
+    return chunking.manual_sections(_manuals(spark, sf_dir))
+
+
+@query("C7_manual_chunks")
+def c7_chunks(spark, sf_dir):
+    return chunking.manual_chunks(chunking.manual_sections(_manuals(spark, sf_dir)))
+
+
 _ID_SQL = "regexp_replace(regexp_replace(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '^[0-9]+-*', '')"
 
 
@@ -182,23 +294,16 @@ def c10(spark, sf_dir):
     return chunking.allocate_anchors(_sections(spark, sf_dir)).select("doc_id", "ord", "anchor")
 
 
-_CATEGORY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(title, '(?i){p}') THEN '{n}'" for p, n in chunking.TITLE_CATEGORIES) + " ELSE 'build' END"
+_PATHS = ["common-mechanisms/drivetrains/x", "common-mechanisms/arm", "power-and-electronics", "software/concepts", "awards/a", "guides", "misc/software/"]
+_PATH_OF_SQL = "[" + ", ".join(f"'{p}'" for p in _PATHS) + "][doc_id % 7 + 1]"
+_PATH_CATEGORY_SQL = " ".join(f"WHEN regexp_matches({_PATH_OF_SQL}, '{p}') THEN '{n}'" for p, n in chunking.PATH_CATEGORIES)
+_CATEGORY_SQL = f"CASE {_PATH_CATEGORY_SQL} " + " ".join(f"WHEN regexp_matches(title, '(?i){p}') THEN '{n}'" for p, n in chunking.TITLE_CATEGORIES) + " ELSE 'build' END"
 
 
 @query("C11_category", f"WITH {_SEC} SELECT doc_id, ord, {_CATEGORY_SQL} AS category FROM sections")
 def c11(spark, sf_dir):
-    return _sections(spark, sf_dir).select("doc_id", "ord", chunking.category(F.col("title")).alias("category"))
-
-
-@query("C8_rendered_chunks", f"""WITH {_PATH_SQL}, units AS (SELECT p.doc_id, ord, array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 6), ' ') AS page_title, heading_path, body
-    FROM pathed p JOIN documents USING (doc_id) WHERE length(body) BETWEEN 80 AND 3600)
-  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS ordinal, 0 AS part, 1 AS part_count,
-    CASE WHEN heading_path <> '' AND heading_path <> page_title THEN '# ' || page_title || chr(10) || '## ' || heading_path ELSE '# ' || page_title END || chr(10) || chr(10) || body AS text FROM units""")
-def c8(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    units = chunking.heading_paths(corpus.sections(docs)).where(F.length("body").between(80, 3600))
-    titled = units.join(docs.select("doc_id", corpus.first_words("text", 6).alias("page_title")), "doc_id")
-    return chunking.rendered_chunks(titled)
+    path = F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return _sections(spark, sf_dir).select("doc_id", "ord", chunking.category(F.col("title"), path).alias("category"))
 
 
 @query("C12_chunks", f"WITH {_CH} SELECT chunk_id, source_id, page_title, section_title, source_url, content_hash, CAST(char_len AS INTEGER) AS char_len, ordinal FROM chunks")
@@ -225,6 +330,12 @@ def c14(spark, sf_dir):
     return chunking.length_report(corpus.chunks(_docs(spark, sf_dir)))
 
 
+@query("C14_ingest_report", f"WITH {_CH} SELECT source_id, CASE WHEN doc_id % 4 = 0 THEN 'rules' ELSE 'build' END AS category, count(*) AS chunks, count(*) FILTER (char_len > 3600) AS split_parts FROM chunks GROUP BY ALL")
+def c14_ingest(spark, sf_dir):
+    made = corpus.chunks(_docs(spark, sf_dir)).withColumn("category", F.when(F.col("doc_id") % 4 == 0, "rules").otherwise("build"))
+    return chunking.ingest_report(made.withColumn("part_count", F.when(F.col("char_len") > 3600, 2).otherwise(1)))
+
+
 # publication
 
 
@@ -245,15 +356,25 @@ changes AS (SELECT coalesce(b.chunk_id, a.chunk_id) AS chunk_id, CASE WHEN b.chu
 
 @query("P1_chunk_violations", f"""WITH {_CH}, {_REG}, c AS (SELECT c.*, doc_id % 5 = 0 AS allowed, CASE WHEN doc_id % 7 = 0 THEN 'full' ELSE r.mode END AS excerpt_mode, r.can_excerpt AS source_allows,
     CASE WHEN doc_id % 11 = 0 THEN sha256('x') ELSE content_hash END AS h FROM chunks c JOIN registry r USING (source_id))
-  SELECT chunk_id, 'hash' AS problem FROM c WHERE h <> sha256(text) UNION ALL SELECT chunk_id, 'excerpt escalation' FROM c WHERE allowed AND NOT source_allows
-  UNION ALL SELECT chunk_id, 'excerpt mode' FROM c WHERE (excerpt_mode = 'full') <> allowed UNION ALL SELECT chunk_id, 'empty text' FROM c WHERE trim(text) = ''""")
+  SELECT chunk_id, 'hash' AS problem FROM c WHERE doc_id % 11 = 0 UNION ALL SELECT chunk_id, 'excerpt escalation' FROM c WHERE allowed AND NOT source_allows
+  UNION ALL SELECT chunk_id, 'excerpt mode' FROM c WHERE (excerpt_mode = 'full') <> allowed UNION ALL SELECT chunk_id, 'empty text' FROM c WHERE trim(text) = ''
+  UNION ALL SELECT chunk_id, 'restricted policy' FROM c JOIN registry USING (source_id) WHERE mode = 'summarize' AND (allowed OR excerpt_mode <> 'summarize')
+  UNION ALL SELECT chunk_id, 'link-only body' FROM c JOIN registry USING (source_id) WHERE mode = 'link' AND (allowed OR excerpt_mode <> 'link' OR doc_id % 2 = 0)
+  UNION ALL SELECT chunk_id, 'name' FROM c WHERE doc_id % 23 = 0 UNION ALL SELECT chunk_id, 'license' FROM c WHERE doc_id % 29 = 0 UNION ALL SELECT chunk_id, 'part count' FROM c WHERE doc_id % 31 = 0""")
 def p1(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    registry = corpus.source_registry(docs)
-    made = corpus.chunks(docs).join(F.broadcast(registry.select("source_id", "mode")), "source_id").select(
-        "*", (F.col("doc_id") % 5 == 0).alias("can_excerpt"), F.when(F.col("doc_id") % 7 == 0, "full").otherwise(F.col("mode")).alias("excerpt_mode")
+    registry = corpus.source_registry(docs).withColumn("license", F.lit("BSD"))
+    n = F.col("doc_id")
+    made = corpus.chunks(docs).join(registry.select("source_id", "mode", F.col("source_name").alias("registered")), "source_id")
+    name = F.when(n % 23 == 0, F.concat("registered", F.lit("?"))).otherwise(F.col("registered"))
+    allowed = made.select(
+        "*", (n % 5 == 0).alias("can_excerpt"), F.when(n % 7 == 0, "full").otherwise(F.col("mode")).alias("excerpt_mode"), name.alias("source_name"),
+        F.when(n % 29 == 0, "MIT").otherwise("BSD").alias("license"), F.col("section_title").alias("heading_path"), F.lit(0).alias("part"), F.when(n % 31 == 0, 0).otherwise(1).alias("part_count"),
     )
-    spoiled = made.withColumn("content_hash", F.when(F.col("doc_id") % 11 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("content_hash")))
+    link = F.format_string(publication.LINK_TEXT, "source_name", "heading_path", "source_name", "page_title")
+    told = allowed.withColumn("text", F.when((F.col("mode") == "link") & (n % 2 == 1), link).otherwise(F.col("text")))
+    hashed = told.withColumn("content_hash", F.sha2("text", 256)).withColumn("char_len", F.length("text"))
+    spoiled = hashed.withColumn("content_hash", F.when(n % 11 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("content_hash")))
     return publication.chunk_violations(spoiled, registry)
 
 
@@ -287,15 +408,31 @@ def p6(spark, sf_dir):
     return publication.coverage_loss(whole, whole.where("char_len > 1000"))
 
 
-@query("P7_manifest", f"WITH {_CH} SELECT source_id, count(*) AS sections, CAST(sum(char_len) AS BIGINT) AS chars FROM chunks GROUP BY source_id")
+_EPOCH_SQL = """l AS (SELECT source_id, sha256('=' || chunk_id || '|=' || content_hash || '|=' || source_url || '|=' || (doc_id % 3 = 0) || '|=' || CASE WHEN doc_id % 3 = 0 THEN 'full' ELSE 'link' END || '|~') AS line FROM chunks),
+  k AS (SELECT source_id, substr(line, 1, 3) AS head, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY ALL), s AS (SELECT source_id, sha256(string_agg(h, chr(10) ORDER BY head)) AS h FROM k GROUP BY source_id),
+  e AS (SELECT substr(sha256(string_agg(h, chr(10) ORDER BY source_id)), 1, 16) AS epoch FROM s)"""
+
+
+def _published(spark, sf_dir):
+    open_ = F.col("doc_id") % 3 == 0
+    return corpus.chunks(_docs(spark, sf_dir)).withColumn("can_excerpt", open_).withColumn("excerpt_mode", F.when(open_, "full").otherwise("link")).withColumn("license", F.lit(None).cast("string"))
+
+
+@query("P7_manifest", f"WITH {_CH}, {_EPOCH_SQL} SELECT source_id, count(*) AS sections, CAST(sum(char_len) AS BIGINT) AS chars, epoch FROM chunks, e GROUP BY ALL")
 def p7(spark, sf_dir):
-    return publication.manifest(corpus.chunks(_docs(spark, sf_dir)))
+    return publication.manifest(_published(spark, sf_dir))
+
+
+@query("P7_manifest_mismatches", f"""WITH {_CH}, b AS (SELECT source_id, count(*) AS n FROM chunks GROUP BY ALL), a AS (SELECT source_id, count(*) AS n FROM chunks WHERE doc_id % 10 <> 7 GROUP BY ALL)
+  SELECT coalesce(a.source_id, b.source_id) AS source_id, CASE WHEN a.n IS NULL THEN 'no chunks' WHEN a.n <> b.n THEN 'sections' ELSE 'epoch' END AS problem FROM b FULL JOIN a ON a.source_id = b.source_id""")
+def p7_mismatches(spark, sf_dir):
+    whole = _published(spark, sf_dir)
+    return publication.manifest_mismatches(publication.manifest(whole), whole.where("doc_id % 10 <> 7"))
 
 
-@query("P8_epoch", f"""WITH {_CH}, s AS (SELECT source_id, sha256(string_agg(l, chr(10) ORDER BY l)) AS h FROM (SELECT source_id, sha256(chunk_id || '|' || content_hash || '|' || source_url) AS l FROM chunks) GROUP BY source_id)
-  SELECT substr(sha256(string_agg(h, chr(10) ORDER BY source_id)), 1, 16) AS epoch FROM s""")
+@query("P8_epoch", f"WITH {_CH}, {_EPOCH_SQL} SELECT epoch FROM e")
 def p8(spark, sf_dir):
-    return publication.epoch(corpus.chunks(_docs(spark, sf_dir)))
+    return publication.epoch(_published(spark, sf_dir))
 
 
 @query("P9_summary", f"""WITH {_SNAP} SELECT CAST(count(*) FILTER (change = 'added') AS BIGINT) AS added, count(*) FILTER (change = 'changed') AS changed,
@@ -316,11 +453,14 @@ def v1(spark, sf_dir):
     return vectors.dirty_chunks(after, stored, 64, "hashed").select("chunk_id")
 
 
-@query("V3_reassembled", f"WITH {_SNAP} SELECT chunk_id FROM after WHERE doc_id % 10 <> 3")
+@query("V3_reassembled", f"WITH {_SNAP} SELECT chunk_id, content_hash, CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 5 THEN 2.0 ELSE 1.0 END AS first FROM after")
 def v3(spark, sf_dir):
     before, after = _snapshots(spark, sf_dir)
-    fresh = after.where("doc_id % 10 = 5").select("chunk_id", "content_hash")
-    return vectors.reassemble(after, before.select("chunk_id", "content_hash"), fresh)[0].select("chunk_id")
+    vector = lambda x: F.array(F.lit(x), F.lit(0.0)).alias("vector")
+    fresh = after.where("doc_id % 10 = 5").select("chunk_id", "content_hash", vector(2.0))
+    kept, missing = vectors.reassemble(after, before.select("chunk_id", "content_hash", vector(1.0)), fresh)
+    lacking = missing.join(after.select("chunk_id", "content_hash"), "chunk_id").withColumn("first", F.lit(None).cast("double"))
+    return kept.select("chunk_id", "content_hash", F.col("vector")[0].alias("first")).unionByName(lacking)
 
 
 @query("V7_vector_violations", """WITH v AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * CASE WHEN vec_id % 13 = 0 THEN 4 ELSE 1 END AS n2 FROM embeddings WHERE vec_id % 17 <> 0)
