@@ -72,10 +72,14 @@ FIELD_LOWER_CODES[:, 65:91] = FIELD_CODES[:, 97:123]
 _ladders: dict[int, list[np.ndarray]] = {}
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same residue: below 2**34 for any, below 2**32 for values below 2**62."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
 def _reduce(x: np.ndarray) -> np.ndarray:
-    """Values below 2**62 modulo the prime."""
-    x = (x & _PRIME) + (x >> np.uint64(31))
-    x = (x & _PRIME) + (x >> np.uint64(31))
+    """The residue modulo the prime."""
+    x = _fold(_fold(x))
     return np.where(x >= _PRIME, x - _PRIME, x)
 
 
@@ -86,26 +90,26 @@ def _field_powers(n: int) -> list[np.ndarray]:
         _ladders.clear()
         made = []
         for base in _points + [pow(p, -1, int(_PRIME)) for p in _points]:
-            powers = np.ones(1, dtype=np.uint64)
+            powers = np.ones(1, dtype=np.uint32)
             while len(powers) < size:
-                powers = np.concatenate([powers, _reduce(powers * np.uint64(pow(base, len(powers), int(_PRIME))))])
+                powers = np.concatenate([powers, _reduce(powers * np.uint64(pow(base, len(powers), int(_PRIME)))).astype(np.uint32)])
             made.append(powers)
         _ladders[size] = made
     return _ladders[size]
 
 
 class FieldHasher:
-    """As SpanHasher, for spans of at most some 2**24 bytes, with hashes that only chance lets collide."""
+    """As SpanHasher, for at most some 2**24 bytes, with hashes that only chance lets collide."""
 
     def __init__(self, data: np.ndarray, codes: np.ndarray = FIELD_CODES):
         ladders = _field_powers(len(data) + 1)
         self._inverses = ladders[2:]
         self._sums = np.zeros((2, len(data) + 1), dtype=np.uint64)
         for k in (0, 1):
-            np.cumsum(_reduce(codes[k][data] * ladders[k][: len(data)]), out=self._sums[k, 1:])
+            np.cumsum(_fold(codes[k][data] * ladders[k][: len(data)]), out=self._sums[k, 1:])
 
     def halves(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first, second = (_reduce(_reduce(s[ends] - s[starts]) * i[starts]) for s, i in zip(self._sums, self._inverses))
+        first, second = (_reduce(_fold(s[ends] - s[starts]) * i[starts]) for s, i in zip(self._sums, self._inverses))
         return first, second
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -125,7 +129,7 @@ def _long_span(data: np.ndarray, codes: np.ndarray, step: int) -> np.uint64:
     return mix(np.array([total[0] << 32 | total[1]], dtype=np.uint64))[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, codes: np.ndarray, step: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, codes: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(field hash, row) of each maximal run of ``member`` bytes.
 
     A row of more than ``step`` bytes comes alone and is read in parts that end between two words, so

@@ -12,7 +12,7 @@ link when ``den * intersection >= num * union``.  Links are found in this order:
    band, the one that it meets most often.  This joins large groups of near copies with one
    comparison each instead of all pairs.
 4. In tiles that still hold several components, each document outside the largest component is
-   compared with all documents of other components in its own and the two adjacent size bands.  Nothing is capped, so no component is split.
+   compared with all documents of other components whose sizes allow a link.  Nothing is capped, so no component is split.
 
 A comparison first checks sizes and the places of a shared entry in both lists, then parity
 signatures, folded to 1024 bits and then whole, of half as many bits as entries for large sets: bits in which two signatures differ come from shingles
@@ -50,6 +50,7 @@ from groundtable.plans.shared import short_batches, spill
 
 SIGNATURE_BITS = 1024
 SKETCH_WORDS = 16  # of 64 bits
+_PART = 1 << 19  # bytes of texts that are hashed at once
 
 
 @dataclass(frozen=True)
@@ -138,7 +139,7 @@ def _profile(words: int):
         size = 0
         for batch in batches:
             ids, sets = batch.column("id"), []
-            for _, _, data, offsets in utf8_parts(batch.column("text")):
+            for _, _, data, offsets in utf8_parts(batch.column("text"), _PART):
                 sets += _shingles(data, offsets, words)
             prints = _prints(sets)
             yield pa.RecordBatch.from_arrays(
@@ -163,7 +164,7 @@ def _entries(params: JaccardParams, rarity: Broadcast):
         table = rarity.value
         for batch in batches:
             sets = []
-            for _, _, data, offsets in utf8_parts(batch.column("text")):
+            for _, _, data, offsets in utf8_parts(batch.column("text"), _PART):
                 sets += _shingles(data, offsets, params.words)
             listed = []
             for s in sets:
@@ -196,7 +197,7 @@ def _whole_sets(words: int, wanted: Broadcast):
             rows = pa.array(marked(batch.column("id"), wanted.value))
             texts = batch.column("text").take(rows)
             sets = []
-            for _, _, data, offsets in utf8_parts(texts):
+            for _, _, data, offsets in utf8_parts(texts, _PART):
                 sets += _shingles(data, offsets, words)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
@@ -270,7 +271,7 @@ class _Links:
         ids = spill(near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.nodes.select("id", "high"), "id"), "near-ids")
         wanted = self.texts.sparkSession.sparkContext.broadcast(mark_ids(ids, self.params.candidate_bits))
         whole = self.texts.mapInArrow(_whole_sets(self.params.words, wanted), "id long, high long, entries array<long>")
-        sets = spill(whole.join(ids, ["id", "high"], "left_semi").dropDuplicates(["id"]), "sets")
+        sets = spill(whole.join(ids, ["id", "high"], "left_semi").dropDuplicates(["id", "high"]), "sets")
         checked = (
             near.join(sets.select(F.col("id").alias("a"), F.col("entries").alias("ea")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("entries").alias("eb")), "b")
@@ -311,11 +312,10 @@ def jaccard_components(
         "id long, high long, n long, signature binary, sketch array<long>, entries array<long>",
     )
     representatives = classes.select(F.col("class_id").alias("id"), "high")
-    nodes = spill(listed.join(representatives, ["id", "high"], "left_semi").dropDuplicates(["id"]), "nodes")
+    nodes = spill(listed.join(representatives, ["id", "high"], "left_semi").dropDuplicates(["id", "high"]), "nodes")
     links = _Links(texts, nodes, params)
 
-    # a little wider than the ratio of linked sizes, so rounding never puts them more than one band apart
-    band = F.floor(F.log(F.col("n")) / float(np.log(params.den / params.num) * (1 + 1e-9) + 1e-12))
+    band = F.floor(F.log(F.col("n")) / float(max(np.log(params.den / params.num), 1e-6))).cast("int")
     tiles = nodes.select("id", "n", band.alias("band"), F.posexplode("entries").alias("place", "entry"))
     seen = tiles.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1")
     tiles = spill(tiles.join(seen.select("entry"), "entry", "left_semi"), "tiles")
@@ -341,14 +341,13 @@ def jaccard_components(
     )
     open_tiles = placed.join(mixed.select("entry", "main"), "entry").join(nodes.select("id", "sketch"), "id")
     outer = open_tiles.where("component != main").select(
-        "entry", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
-        F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("sketch").alias("sa"), F.col("component").alias("ca"),
+        "entry", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("sketch").alias("sa"), F.col("component").alias("ca")
     )
     inner = open_tiles.select(
-        "entry", "band", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("sketch").alias("sb"), F.col("component").alias("cb")
+        "entry", "main", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("sketch").alias("sb"), F.col("component").alias("cb")
     )
     rest = (
-        outer.join(inner, ["entry", "band"])
+        outer.join(inner, "entry")
         .where("ca != cb AND (cb = main OR a < b)")
         .where(links.may_link("na", "pa", "nb", "pb") & links.near_sketches("na", "sa", "nb", "sb"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
