@@ -222,13 +222,43 @@ def c4(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(F.when(fenced, F.array("text")).otherwise(chunking.atoms(lines))).alias("place", "atom"))
 
 
-@query("C5_split_oversize")
+_ID_SQL = "regexp_replace(regexp_replace(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '^[0-9]+-*', '')"
+
+
+def _split_sql(rows: str) -> str:
+    """CTEs from ``rows`` (key, body) to pieces (key, part, piece): atoms, fences whole, and the fold that packs them."""
+    return rf"""fences AS (SELECT key, body, string_split_regex(body, '(?m)^```') AS f FROM {rows}),
+  atoms AS (SELECT key, body, flatten([CASE WHEN i % 2 = 0 THEN ['```' || f[i] || '```'] ELSE list_filter(list_transform(string_split_regex(f[i], '\n[ \t]*(?:\n[ \t]*)+'),
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') END FOR i IN range(1, len(f) + 1)]) AS a FROM fences WHERE length(body) > 3600),
+  fold AS (SELECT key, 1 AS i, 1 AS part, length(a[1]) + 2 AS len FROM atoms WHERE len(a) > 0
+    UNION ALL SELECT t.key, i + 1, CASE WHEN len + length(a[i + 1]) + 2 > 2400 THEN part + 1 ELSE part END,
+      CASE WHEN len + length(a[i + 1]) + 2 > 2400 THEN length(a[i + 1]) + 2 ELSE len + length(a[i + 1]) + 2 END FROM fold JOIN atoms t USING (key) WHERE i < len(a)),
+  pieces AS (SELECT key, part, string_agg(a[i], chr(10) || chr(10) ORDER BY i) AS piece FROM fold JOIN atoms USING (key) GROUP BY key, part
+    UNION ALL SELECT key, 1, body FROM {rows} WHERE length(body) <= 3600)"""
+
+
+@query("C5_split_oversize", f"""WITH RECURSIVE b AS (SELECT doc_id AS key, replace(text, chr(10), chr(10) || chr(10)) AS body FROM documents WHERE text IS NOT NULL), {_split_sql('b')}
+  SELECT key AS doc_id, part, length(piece) AS chars FROM pieces""")
 def c5(spark, sf_dir):
     docs = _docs(spark, sf_dir).where("text IS NOT NULL").withColumn("body", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return docs.select("doc_id", F.posexplode(chunking.split_oversize(F.col("body"))).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("part"), F.length("p").alias("chars"))
 
 
-@query("C8_rendered_chunks")
+_UNITS_SQL = rf"""{_SEC}, fenced AS (SELECT *, coalesce(count(*) FILTER (starts_with(body, '```')) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 0 AS open FROM sections),
+  cut AS (SELECT *, count(*) FILTER (ord % 16 = 0 AND open) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS unit FROM fenced),
+  units AS (SELECT doc_id, CAST(unit AS INTEGER) AS ord, CAST(unit % 4 + 1 AS INTEGER) AS level, arg_min(title, ord) AS title, string_agg(body, chr(10) || chr(10) ORDER BY ord) AS body FROM cut GROUP BY doc_id, unit),
+  {_PATH_SQL.split(_SEC + ', ', 1)[1].replace('FROM sections', 'FROM units')},
+  kept AS (SELECT doc_id * 10000 + ord AS key, * FROM pathed WHERE length(trim(regexp_replace(body, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) >= 80)"""
+
+
+@query("C8_rendered_chunks", f"""WITH RECURSIVE {_UNITS_SQL}, {_split_sql('kept')},
+  counted AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM pieces),
+  named AS (SELECT k.doc_id, k.ord, c.part, c.n, c.piece, k.heading_path, k.title, array_to_string(list_slice(regexp_split_to_array(d.text, '[ \\n]+'), 1, 6), ' ') AS page_title FROM counted c JOIN kept k USING (key) JOIN documents d ON d.doc_id = k.doc_id),
+  a AS (SELECT *, {_ID_SQL} AS anchor FROM named)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, part) - 1 AS INTEGER) AS ordinal, CAST(CASE WHEN n > 1 THEN part ELSE 0 END AS INTEGER) AS part, CAST(n AS INTEGER) AS part_count,
+    CASE WHEN heading_path <> '' AND heading_path <> page_title THEN '# ' || page_title || chr(10) || '## ' || heading_path ELSE '# ' || page_title END
+      || CASE WHEN n > 1 THEN ' (part ' || part || ' of ' || n || ')' ELSE '' END || chr(10) || chr(10) || piece AS text,
+    'https://docs.example.org/' || doc_id || CASE WHEN anchor <> '' THEN '#' || anchor ELSE '' END AS source_url FROM a""")
 def c8(spark, sf_dir):
     """Units begin at every sixteenth line outside fences and hold their lines as paragraphs; C3's least is their only bound."""
     docs = _docs(spark, sf_dir)
@@ -284,7 +314,6 @@ def c7_chunks(spark, sf_dir):
     return chunking.manual_chunks(chunking.manual_sections(_manuals(spark, sf_dir)))
 
 
-_ID_SQL = "regexp_replace(regexp_replace(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '^[0-9]+-*', '')"
 
 
 @query("C10_anchors", f"""WITH {_SEC}, b AS (SELECT doc_id, ord, {_ID_SQL} AS base FROM sections),
@@ -453,7 +482,7 @@ def v1(spark, sf_dir):
     return vectors.dirty_chunks(after, stored, 64, "hashed").select("chunk_id")
 
 
-@query("V3_reassembled", f"WITH {_SNAP} SELECT chunk_id, content_hash, CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 5 THEN 2.0 ELSE 1.0 END AS first FROM after")
+@query("V3_reassembled", f"WITH {_SNAP} SELECT chunk_id, content_hash, CAST(CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 5 THEN 2 ELSE 1 END AS DOUBLE) AS first FROM after")
 def v3(spark, sf_dir):
     before, after = _snapshots(spark, sf_dir)
     vector = lambda x: F.array(F.lit(x), F.lit(0.0)).alias("vector")

@@ -1,8 +1,10 @@
 """Operators on small inline rows: the cases that the test tables do not show."""
 
+import random
 import re
+import unicodedata
+from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -71,11 +73,32 @@ def test_titles_anchors_rules(spark):
     assert [r.anchor for r in chunking.allocate_anchors(df).orderBy("ord").collect()] == ["uber-uns", "setup", "id1", "id2", "id3"]
 
 
-def test_admission_counts_only_admitted():
-    ts = [pd.Timestamp("2024-01-01 00:00:00") + pd.Timedelta(seconds=4 * i) for i in range(40)]
-    rows = pd.DataFrame({"log_id": range(40), "caller": 1, "ts": ts, "signed_in": False})
-    out = logs.admit_in_order(rows)
-    assert out["admitted"].sum() == 25 and list(out["scope"][10:15]) == ["minute"] * 5 and out["scope"].iloc[-1] == "day"
+def admit_by_hand(rows):
+    """L11 as a walk: (log_id, caller, ts, signed_in) in time order to {log_id: (admitted, scope)}."""
+    state, out = {}, {}
+    for log_id, caller, ts, signed_in in sorted(rows, key=lambda r: (r[2], r[0])):
+        minute, day = (caller, ts.strftime("%Y%m%d%H%M")), (caller, ts.strftime("%Y%m%d"))
+        scope = "minute" if state.get(minute, 0) >= 10 else "day" if state.get(day, 0) >= (60 if signed_in else 25) else None
+        out[log_id] = (scope is None, scope)
+        for key in (minute, day) if scope is None else ():
+            state[key] = state.get(key, 0) + 1
+    return out
+
+
+def crowded_requests():
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1, 23, 40)
+    return [(i, c := rng.randint(1, 4), start + timedelta(seconds=rng.randint(0, 2400) // 7 * 3, microseconds=rng.choice([0, 5])), c % 2 == 0) for i in range(600)]
+
+
+REQUESTS = "log_id long, caller long, ts timestamp, signed_in boolean"
+
+
+def test_admission_counts_only_admitted(spark):
+    rows = crowded_requests()
+    want = admit_by_hand(rows)
+    got = {r.log_id: (r.admitted, r.scope) for r in logs.admission(spark.createDataFrame(rows, REQUESTS)).collect()}
+    assert got == want and {s for _, s in want.values()} == {None, "minute", "day"}
 
 
 def test_delta_and_rollback_round_trip(spark):
@@ -95,9 +118,14 @@ def test_audit_texts(spark):
     grounded, beyond = audit.split_beyond(F.lit("==GROUNDED==\nFrom the page [1].\n==BEYOND==\nFrom experience."))
     assert (one(grounded), one(beyond)) == ("From the page [1].", "From experience.")
     assert one(audit.split_beyond(F.lit("no mark"))[1]) == ""
-    assert one(audit.drop_deflection(F.lit("The sources do not say. Use a belt."))) == "Use a belt."
-    assert one(audit.drop_deflection(F.lit("The sources do not say, but belts work. Use one."))).startswith("The sources")
-    assert one(audit.strip_marks(F.lit("a [1] b\n```x[1]```\nc [2, 3]."))) == "a b\n```x[1]```\nc."
+    drop = lambda t, more=False: one(audit.drop_deflection(F.lit(t), F.lit(more)))
+    assert drop("The provided documentation does not state it.\nUse a belt.") == "Use a belt."
+    assert drop("The docs don't say, but belts work. Use one.").startswith("The docs")
+    assert drop("The index contains no figure.") == "The index contains no figure." and drop("The index contains no figure.", True) == ""
+    assert drop("The robot does not move. Check it.").startswith("The robot")
+    marks = lambda t: one(audit.strip_marks(F.lit(t)))
+    assert marks("a [1] b\n```x\ny [1]\n``` [5]\nc [2, 3]. `z [4]`[4] arr[1] [1][2]") == "a  b\n```x\ny [1]\n``` [5]\nc . `z [4]` arr[1] [2]"
+    assert marks("[7] first\n  ```\n[8]\n  ```\n[9]") == " first\n  ```\n[8]\n  ```\n"
 
 
 def test_passages_and_symbols(spark):
@@ -109,22 +137,36 @@ def test_passages_and_symbols(spark):
 
 
 def test_structural_checks(spark):
+    base = dict(status="done", error=None, complete=True, degraded=False, degrade_reason=None, refused=False, private=True, cached=False, answer="ok [1]", required=True, cited=[1])
     rows = [
-        Row(case_id=1, status="done", error=None, complete=True, degraded=False, refused=False, answer="ok [1]", required=True, cited=[1]),
-        Row(case_id=2, status="done", error="boom", complete=False, degraded=False, refused=False, answer=" ", required=True, cited=[]),
-        Row(case_id=3, status="done", error=None, complete=True, degraded=False, refused=False, answer="x][7] `[8]`", required=False, cited=[1]),
-        Row(case_id=4, status="not-run", error=None, complete=False, degraded=False, refused=False, answer=None, required=False, cited=None),
+        Row(case_id=1, **base),
+        Row(case_id=2, **{**base, "error": "boom", "complete": False, "answer": " ", "cited": []}),
+        Row(case_id=3, **{**base, "answer": "x][7] [7] `[8]`", "required": False}),
+        Row(case_id=4, **{**base, "status": "not-run", "complete": False, "answer": None, "required": False, "cited": None}),
+        Row(case_id=5, **{**base, "private": False, "degraded": True, "degrade_reason": "ceiling", "refused": True}),
+        Row(case_id=6, **{**base, "cached": True, "degraded": True}),
     ]
-    schema = "case_id int, status string, error string, complete boolean, degraded boolean, refused boolean, answer string, required boolean, cited array<int>"
+    schema = "case_id int, status string, error string, complete boolean, degraded boolean, degrade_reason string, refused boolean, private boolean, cached boolean, answer string, required boolean, cited array<int>"
     got = {r.case_id: r for r in evaluation.structural_checks(spark.createDataFrame(rows, schema)).collect()}
-    assert [got[i].status for i in (1, 2, 3, 4)] == ["ready-for-review", "failed", "failed", "not-run"]
+    assert [got[i].status for i in (1, 2, 3, 4, 5)] == ["ready-for-review", "failed", "failed", "not-run", "failed"]
     assert len(got[2].failures) == 4 and got[3].failures == ["Citation [7] has no source record."]
+    assert got[5].failures[0].startswith("Worker response") and got[5].failures[1] == "Source-only fallback (ceiling)." and len(got[5].failures) == 3
+    assert got[6].failures[1] == "Source-only fallback (unknown)."
 
 
 def test_page_sources(spark):
     board = '<script type="application/json">{"board":{"name":"b","config":{"isPublic":true}},"questions":[{"number":1,"questionId":"q1","status":"ANSWERED","title":"t","content":"c","answer":{"questionId":"q1","content":"a","modifiedAt":0}},{"number":2,"questionId":"q2","status":"OPEN"},{"number":3,"questionId":"q3","status":"ANSWERED","answer":{"questionId":"other"}}]}</script>'
     got = pages.board_answers(spark.createDataFrame([(1, board)], "page_id int, html string")).collect()
     assert [(r.number, r.answer) for r in got] == [(1, "a")]
+    twice = spark.createDataFrame([(1, board.replace('"number":3,"questionId":"q3","status":"ANSWERED","answer":{"questionId":"other"}', '"number":1,"questionId":"q3","status":"ANSWERED","answer":{"questionId":"q3","content":"z","modifiedAt":0}'))], "page_id int, html string")
+    assert pages.board_answers(twice).count() == 0 and [tuple(r) for r in pages.board_rejects(twice).collect()] == [(1, 1, 2)]
+    page = '<title>x</title><p>before</p><h1 id="top">Head &amp; one</h1><p>a<b>b</b></p><div>c</div><nav><h2>menu</h2></nav><h2>Two</h2>tail<script>if (a<b) x</script>'
+    found = pages.page_sections(spark.createDataFrame([(1, page), (2, "<p>no heading</p>")], "page_id int, html string")).collect()
+    assert [tuple(r) for r in found] == [(1, 0, 1, "Head & one", "top", "a b\n\nc"), (1, 1, 2, "Two", "", "tail")]
+    code = "/* Redistribution and use in any form */\npackage a;\n/*\n * Shows it.\n * Twice.\n */\nclass A {}\n" + "x" * 7000
+    made = pages.code_chunks(spark.createDataFrame([("SensorIMU", code), ("Other", "class B {}")], "name string, text string")).orderBy("name").collect()
+    assert made[1].description == "Shows it.\nTwice." and made[1].kind == "sensor" and made[0].kind == "basic" and made[0].description == ""
+    assert "Redistribution" not in made[1].text and made[1].text.split("```java\n")[1].startswith("package a;") and len(made[1].text.split("```java\n")[1]) == 6000 + 4
     lines = pages.outline(spark.createDataFrame([(1, "- Top\n  - Sub\n    - Leaf\n- Next")], "doc_id int, text string"))
     assert [r.heading_path for r in chunking.heading_paths(lines).orderBy("ord").collect()] == ["Top", "Top > Sub", "Top > Sub > Leaf", "Next"]
 
@@ -135,16 +177,100 @@ def test_encoders_and_phrases(spark):
     assert [(r.chunk_id, r.tf) for r in found.collect()] == [("c1", 1)]
     encoded = vectors.encode_batches(chunks, lambda texts: [[float(len(t)), 1.0] for t in texts], "chunk_id", "text").collect()
     assert {r.chunk_id: r.vector for r in encoded} == {"c1": [27.0, 1.0], "c2": [16.0, 1.0]}
-    v = chunks.select(vectors.hashed_encoder(F.col("text"), 8).alias("v")).first().v
-    assert len(v) == 8 and sum(v) == 6.0
+    v = {r.chunk_id: r.vector for r in vectors.hashed_vectors(chunks.unionByName(spark.createDataFrame([("c3", "!")], "chunk_id string, text string")), "chunk_id", "text", 8).collect()}
+    assert len(v["c1"]) == 8 and abs(sum(x * x for x in v["c1"]) - 1) < 1e-12 and v["c3"] == [0.0] * 8
+    full = chunks.withColumn("source_id", F.lit("s")).withColumn("page_title", F.lit("p")).withColumn("section_title", F.lit("s"))
+    asked = spark.createDataFrame([(1, "gamepad1.left")], "question_id int, question string")
+    posted = keyword.postings(full)
+    assert {r.chunk_id for r in keyword.bm25(asked, posted).collect()} == {"c1", "c2"}  # parts of the identifier are terms of their own
+    dotted = {r.chunk_id: r.score for r in keyword.bm25(asked, posted, phrases_of=full).collect()}
+    assert dotted["c1"] > dotted["c2"]
+    other = spark.createDataFrame([(1, "t")], "question_id int, source_id string")
+    assert keyword.bm25(asked, posted, sources=other).count() == 0
+
+
+def test_approximate_search_recall(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(1500)]
+    table = spark.createDataFrame(rows, "id long, raw array<double>").select("id", vectors.unit(F.col("raw")).alias("vector"))
+    asked = table.where("id % 100 = 0")
+    exact = {(r.query_id, r.id) for r in vectors.cosine_top(asked, table, 10, block_bytes=1024).collect()}
+    found = {(r.query_id, r.id) for r in vectors.approximate_top(asked, table, 10).collect()}
+    assert len(exact) == len(found) == 150 and len(exact & found) >= 0.9 * len(exact)
+    unit = {r.id: r.vector for r in table.collect()}
+    for q in range(0, 1500, 100):
+        order = sorted(unit, key=lambda i: (-round(sum(a * b for a, b in zip(unit[q], unit[i])), 9), i))[:10]
+        assert {i for query, i in exact if query == q} == set(order)
+
+
+def test_stems(spark):
+    """Known pairs of the public suffix-stripping algorithm."""
+    pairs = dict(
+        caresses="caress", ponies="poni", ties="ti", cats="cat", feed="feed", agreed="agre", plastered="plaster", motoring="motor", sing="sing", conflated="conflat", troubled="troubl", sized="size",
+        hopping="hop", falling="fall", hissing="hiss", failing="fail", filing="file", happy="happi", sky="sky", relational="relat", conditional="condit", rational="ration", valenci="valenc",
+        digitizer="digit", radicalli="radic", vietnamization="vietnam", operator="oper", feudalism="feudal", decisiveness="decis", hopefulness="hope", formaliti="formal", sensibiliti="sensibl",
+        triplicate="triplic", formative="form", formalize="formal", electrical="electr", hopeful="hope", goodness="good", revival="reviv", allowance="allow", airliner="airlin", adjustable="adjust",
+        replacement="replac", adjustment="adjust", dependent="depend", adoption="adopt", communism="commun", activate="activ", effective="effect", rate="rate", cease="ceas", controll="control", roll="roll",
+    )
+    words = spark.createDataFrame([(w,) for w in [*pairs, "café", "rev-45", "ab"]], "term string")
+    got = {r.term: r.stem for r in keyword.vocabulary(words).collect()}
+    assert {w: got[w] for w in pairs} == pairs and got["café"] == "cafe" and got["rev-45"] == "rev-45"
+
+
+def test_questions_lose_marks_and_compatibility_forms(spark):
+    texts = ["Ａ ﬁne Ünïcode ½", "plain", "ŝ ǆ"]
+    plain = lambda t: re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))).strip()
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.k for r in df.select(T.normalize_question(F.col("t")).alias("k")).collect()] == [plain(t) for t in texts]
+
+
+def test_flags(spark):
+    rows = [("Should I use a belt?", 0), ("what is the motor", 0), ("what is a belt", 4), ("show me a sample opmode", 0), ("Hi there", 0), ("howdy!", 0), ("does meepmeep work", 0), ("is R201 legal", 0), ("x " * 91, 0)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    manual = F.array(F.lit("Competition Manual"))
+    got = df.select(T.needs_depth(F.col("t"), F.col("n"), T.code_request(F.col("t"))).alias("deep"), T.is_greeting(F.col("t")).alias("hi"), T.unindexed_library(F.col("t")).alias("lib"), T.regulatory_question(F.col("t"), F.array(F.lit("x")), manual).alias("reg")).collect()
+    assert [r.deep for r in got[:4]] == [True, False, True, True] and got[8].deep
+    assert [i for i, r in enumerate(got) if r.hi] == [5] and [i for i, r in enumerate(got) if r.lib] == [6] and [i for i, r in enumerate(got) if r.reg] == [7]
+
+
+def test_missing_version(spark):
+    cases = {
+        "why does the Follower of pedro pathing fail": "Pedro Pathing", "pedro 2 Follower fails": None, "road runner code": "Road Runner", "roadrunner upgrade version 1.0": None,
+        "how can I find the ftclib version to import": None, "ftclib import": "FTCLib", "com.pedropathing:ftc:2.0 import": None, "pedro is fun": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.v for r in df.select("t", T.missing_version(F.col("t")).alias("v")).collect()} == cases
+
+
+def test_manual_sections(spark):
+    text = "front\n3.1  Contents ........ 7\n3.1  Team   Rules\n   R101 be fair " + "a" * 210 + "\n\n  RE14 more\n10.2 Next One\nshort\n"
+    found = chunking.manual_sections(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    assert [(r.number, r.title) for r in found.collect()] == [("3.1", "Team Rules")]
+    chunk = chunking.manual_chunks(found).first()
+    assert chunk.heading_path == "Competition Manual > 3.1 Team Rules > R101, RE14" and chunk.doc_path == "manual/3.1"
+
+
+def test_anchors_pass_over_natural_ids(spark):
+    rows = [(1, i, t, l) for i, (t, l) in enumerate([("A", None), ("A", None), ("id1", None), ("A", "own"), ("", None), ("id3", None)])]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, title string, label string")
+    assert [r.anchor for r in chunking.allocate_anchors(df).orderBy("ord").collect()] == ["a", "id2", "id1", "own", "id4", "id3"]
+
+
+def test_passages_are_found_whatever_their_words(spark):
+    questions = spark.createDataFrame([(1, "one"), (2, "two words"), (3, "cut in the mid"), (4, "not there at all"), (5, "a.b c-d e_f")], "question_id long, question string")
+    chunks = spark.createDataFrame([("a", "stone two words"), ("b", "xcut in the middle"), ("c", "see a.b c-d e_f.")], "chunk_id string, text string")
+    got = {tuple(r) for r in evaluation.passage_truth(questions, chunks, block=1).collect()}
+    assert got == {(1, "a"), (2, "a"), (3, "b"), (5, "c")}
 
 
-def test_missing_version_reads_whole_texts(spark, tmp_path):
-    far = "word " * 100
-    rows = [(1, far + "since 2.14"), (2, far), (4, far), (5, far), (8, "limelight " + far), (10, far + " import it")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    ask = {r.doc_id: r.ask for r in all_queries()[0]["X15_missing_version_whole"](spark, str(tmp_path)).collect()}
-    assert ask == {1: False, 2: True, 4: False, 5: False, 8: True, 10: True}
+def test_sinks(spark, tmp_path):
+    df = lambda rows: spark.createDataFrame(rows, "source_id string, chunk_id string, text string")
+    pages.write_chunks(df([("a", "a:1", "x"), ("b", "b:1", "y")]), f"{tmp_path}/c")
+    pages.write_chunks(df([("a", "a:2", "z")]), f"{tmp_path}/c")
+    assert {(r.source_id, r.chunk_id) for r in spark.read.json(f"{tmp_path}/c").collect()} == {("a", "a:2"), ("b", "b:1")}
+    one = pages.stage_publication(df([("a", "1", "x"), ("b", "2", None)]), df([]), f"{tmp_path}/p").collect()
+    two = pages.stage_publication(df([("b", "2", None), ("a", "1", "x")]).repartition(2), df([]), f"{tmp_path}/q").collect()
+    assert {tuple(r) for r in one} == {tuple(r) for r in two} and {(r.artefact, r.rows) for r in one} == {("forward", 2), ("rollback", 0)}
 
 
 def pack_lines(pieces, joint, target):
@@ -226,11 +352,11 @@ def test_split_and_render_leave_nothing_out(spark, tmp_path):
     spark.createDataFrame([(i, t, "src1") for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     queries = all_queries()[0]
     got = {i: [] for i in texts}
-    for r in queries["C5_split_whole"](spark, str(tmp_path)).orderBy("doc_id", "part").collect():
+    for r in queries["C5_split_oversize"](spark, str(tmp_path)).orderBy("doc_id", "part").collect():
         got[r.doc_id].append(r.chars)
     assert got == {i: [len(p) for p in split_by_hand(t.replace("\n", "\n\n"))] for i, t in texts.items()}
 
-    chunks = queries["C8_rendered_whole"](spark, str(tmp_path)).orderBy("doc_id", "ordinal").collect()
+    chunks = queries["C8_rendered_chunks"](spark, str(tmp_path)).orderBy("doc_id", "ordinal").collect()
     for i, text in texts.items():
         units, expected, inside = [], [], False
         for n, line in enumerate(text.split("\n")):
