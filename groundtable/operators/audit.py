@@ -126,7 +126,7 @@ def unknown_symbols(answers: DataFrame, known: DataFrame) -> DataFrame:
     bare = F.regexp_replace(code, r'(?s)/\*.*?\*/|//[^\n]*|"[^"\n]*"|(?m)^\s*(?:package|import)[^\n]*$', " ")
     rows = answers.select("answer_id", bare.alias("code")).where("code <> ''")
     names = lambda p: F.array_distinct(F.regexp_extract_all("code", F.lit(p), F.lit(1)))
-    used = rows.select("answer_id", F.explode(F.array_union(names(r"\b([A-Z][A-Za-z0-9]+)\b"), names(r"\.([a-z][A-Za-z0-9]*)\s*\("))).alias("name"))
+    used = rows.select("answer_id", F.explode(F.array_union(names(r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9]+)(?![A-Za-z0-9_])"), names(r"\.([a-z][A-Za-z0-9]*)\s*\("))).alias("name"))
     local = rows.select("answer_id", F.explode(names(r"(?:class|interface|enum|void|int|double|boolean|String|[A-Z]\w*)\s+([A-Za-z_]\w*)\s*[({=;]")).alias("name"))
     return used.join(local, ["answer_id", "name"], "left_anti").join(known.select("name"), "name", "left_anti").select("answer_id", "name")
 

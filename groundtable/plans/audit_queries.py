@@ -83,10 +83,19 @@ def a4(spark, sf_dir):
     return audit.evidence(answers(spark, sf_dir), citations(spark, sf_dir), corpus(spark, sf_dir)).withColumn("passage", F.sha2("passage", 256))
 
 
-@query("A5_unknown_symbols")
+@query("A5_unknown_symbols", r"""WITH t AS (SELECT conv_id * 100 + turn AS answer_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: p <> '') AS paras FROM conversations WHERE role = 'assistant'),
+  m AS (SELECT answer_id, array_to_string([paras[i] || CASE WHEN i % 2 = 1 THEN ' [1]' ELSE ' [2, 9]' END || '; ; class L' || i || ' { x.set' || i || '(); }' FOR i IN range(1, len(paras) + 1)], '; ; ') AS code FROM t),
+  b AS (SELECT answer_id, regexp_replace(code || ' // Ghost.x()', '//[^\n]*|"[^"\n]*"', ' ', 'g') AS code FROM m),
+  u AS (SELECT DISTINCT answer_id, unnest(list_concat(regexp_extract_all(code, '\b([A-Z][A-Za-z0-9]+)\b', 1), regexp_extract_all(code, '\.([a-z][A-Za-z0-9]*)\s*\(', 1))) AS name FROM b),
+  l AS (SELECT DISTINCT answer_id, unnest(regexp_extract_all(code, '(?:class|interface|enum|void|int|double|boolean|String|[A-Z][A-Za-z0-9_]*)\s+([A-Za-z_][A-Za-z0-9_]*)\s*[({=;]', 1)) AS name FROM b),
+  k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\b([A-Z][a-z]+)\b', 1)) AS name FROM documents WHERE source IS NOT NULL)
+  SELECT answer_id, name FROM u WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.answer_id = u.answer_id AND l.name = u.name) AND name NOT IN (SELECT name FROM k)""")
 def a5(spark, sf_dir):
-    code = answers(spark, sf_dir).withColumn("answer_md", F.concat(F.lit("```java\n"), F.replace("answer_md", F.lit("\n"), F.lit("; ")), F.lit("\n```")))
-    known = corpus(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1))).alias("name")).distinct()
+    """Each paragraph declares a class and calls a method; the last line is a comment."""
+    parts = F.transform(F.split("answer_md", "\n\n"), lambda p, i: F.concat(p, F.format_string("; ; class L%d { x.set%d(); }", i + 1, i + 1)))
+    made = F.when(F.col("answer_md") == "", F.lit("")).otherwise(F.array_join(parts, "; ; "))
+    code = answers(spark, sf_dir).withColumn("answer_md", F.concat(F.lit("```java\n"), made, F.lit(" // Ghost.x()\n```")))
+    known = corpus(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]+)(?![A-Za-z0-9_])"), F.lit(1))).alias("name")).distinct()
     return audit.unknown_symbols(code, known)
 
 

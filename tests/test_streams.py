@@ -1,5 +1,9 @@
 """Streams over more than one batch."""
 
+from datetime import datetime, timedelta
+
+from test_operators import REQUESTS, admit_by_hand, crowded_requests
+
 from groundtable.operators import keyword
 from groundtable.sources import corpus
 from groundtable.streaming import log_streams as streams
@@ -22,3 +26,26 @@ def test_corpus_updates_replace_and_withdraw(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     ids = {r.doc_id: r.chunk_id for r in whole.collect()}
     assert len(dirty[0]) == 5 and dirty[1] == {ids[1], ids[5], ids[6]}
+
+
+def in_batches(spark, rows, schema, path):
+    """Rows as a stream of two batches, the earlier half first."""
+    rows = sorted(rows, key=lambda r: (r[2], r[0]))
+    for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_admission_stream_keeps_its_counts(spark, tmp_path):
+    rows = crowded_requests()
+    stream = in_batches(spark, rows, REQUESTS, f"{tmp_path}/in")
+    got = {r.log_id: r.admitted for r in streams.drain(streams.admission_stream(stream), "t2").collect()}
+    assert got == {i: ok for i, (ok, _) in admit_by_hand(rows).items()}
+
+
+def test_cache_stream_forgets_after_its_days(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    asked = [(0, "a", 0), (1, "a", 1), (2, "b", 2), (3, "a", 29), (4, "a", 31), (5, "b", 33), (6, "a", 60), (7, "a", 62)]
+    stream = in_batches(spark, [(i, q, start + timedelta(days=d)) for i, q, d in asked], "log_id long, question string, ts timestamp", f"{tmp_path}/in")
+    got = {r.log_id: r.hit for r in streams.drain(streams.cache_stream(stream), "t3").collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False}
