@@ -40,7 +40,7 @@ def answers(spark, sf_dir):
 def citations(spark, sf_dir):
     registry = source_registry(table(spark, sf_dir, "documents"))
     listed = answers(spark, sf_dir).select("answer_id", "conv_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).withColumn("doc_id", F.col("conv_id") * 3 + F.col("n"))
-    found = listed.join(corpus(spark, sf_dir), "doc_id").join(F.broadcast(registry), "source_id")
+    found = listed.join(corpus(spark, sf_dir), "doc_id").join(registry, "source_id")
     return found.select("answer_id", "n", "chunk_id", "source_id", "text", "page_title", "mode", "can_excerpt")
 
 

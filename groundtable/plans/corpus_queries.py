@@ -278,13 +278,30 @@ def c9(spark, sf_dir):
     return _sections(spark, sf_dir).select("doc_id", "ord", chunking.tidy_title(F.col("title")).alias("title"))
 
 
-@query("C6_rule_units")
+def _pack_sql(name: str, rows: str, joint: int) -> str:
+    """CTEs from ``rows`` (key, a: pieces in order) to ``name`` (key, part, piece): packed to 2,600 characters, a piece never cut."""
+    return f"""{name}_fold AS (SELECT key, 1 AS i, 1 AS part, length(a[1]) + {joint} AS len FROM {rows} WHERE len(a) > 0
+    UNION ALL SELECT t.key, i + 1, CASE WHEN len + length(a[i + 1]) > 2600 THEN part + 1 ELSE part END, CASE WHEN len + length(a[i + 1]) > 2600 THEN 0 ELSE len END + length(a[i + 1]) + {joint}
+      FROM {name}_fold JOIN {rows} t USING (key) WHERE i < len(a)),
+  {name} AS (SELECT key, part, string_agg(a[i], repeat(chr(10), {joint}) ORDER BY i) AS piece FROM {name}_fold JOIN {rows} USING (key) GROUP BY key, part)"""
+
+
+_RULE_UNITS_SQL = rf"""whole AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^[A-Z]{{1,2}}\d{{2,3}}\s') THEN string_split(regexp_replace(text, '\n([A-Z]{{1,2}}\d{{2,3}}\s)', chr(2) || '\1', 'g'), chr(2))
+    ELSE string_split_regex(text, '\n\s*\n') END AS u FROM documents WHERE text IS NOT NULL),
+  units AS (SELECT doc_id, i, u[i] AS unit FROM whole, unnest(range(1, len(u) + 1)) t(i)),
+  long AS (SELECT doc_id * 1000000 + i AS key, string_split(unit, chr(10)) AS a FROM units WHERE length(unit) > 3600), {_pack_sql('repacked', 'long', 1)},
+  rule_units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1 AS place, unit FROM (SELECT doc_id, i, 1 AS part, unit FROM units WHERE length(unit) <= 3600
+    UNION ALL SELECT key // 1000000, key % 1000000, part, piece FROM repacked))"""
+
+
+@query("C6_rule_units", f"WITH RECURSIVE {_RULE_UNITS_SQL} SELECT doc_id, CAST(place AS INTEGER) AS place, unit FROM rule_units")
 def c6(spark, sf_dir):
     docs = _docs(spark, sf_dir).where("text IS NOT NULL")
     return docs.select("doc_id", F.posexplode(chunking.rule_units(F.col("text"))).alias("place", "unit"))
 
 
-@query("C6_rule_parts")
+@query("C6_rule_parts", f"""WITH RECURSIVE {_RULE_UNITS_SQL}, ordered AS (SELECT doc_id AS key, list(unit ORDER BY place) AS a FROM rule_units GROUP BY doc_id), {_pack_sql('packed', 'ordered', 2)}
+  SELECT key AS doc_id, CAST(part - 1 AS INTEGER) AS place, piece AS part FROM packed""")
 def c6_parts(spark, sf_dir):
     docs = _docs(spark, sf_dir).where("text IS NOT NULL")
     return docs.select("doc_id", F.posexplode(chunking.rule_parts(F.col("text"))).alias("place", "part"))
