@@ -26,6 +26,28 @@ def s1(spark, sf_dir):
     return corpus.source_registry(_docs(spark, sf_dir))
 
 
+ADAPTERS = corpus.SourceAdapters()
+
+
+@ADAPTERS.add("prose")
+def prose(spark, path):
+    docs = table(spark, path, "documents")
+    return docs.select(F.format_string("docs/%d", F.col("doc_id")).alias("doc_path"), corpus.first_words("text", 6).alias("page_title"), "text")
+
+
+@ADAPTERS.add("talks")
+def talks(spark, path):
+    turns = table(spark, path, "conversations")
+    return turns.select(F.format_string("talks/%d/%d", F.col("conv_id"), F.col("turn")).alias("doc_path"), F.col("role").alias("page_title"), "text")
+
+
+@query("U1_source_adapters", r"""WITH r AS (SELECT 'prose' AS source_id, 'docs/' || doc_id AS doc_path, array_to_string(list_slice(regexp_split_to_array(text, '[ \n]+'), 1, 6), ' ') AS page_title, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'talks', 'talks/' || conv_id || '/' || turn, role, text FROM conversations WHERE text IS NOT NULL)
+  SELECT source_id || ':' || substr(sha256(doc_path || '#root:1'), 1, 16) AS chunk_id, source_id, doc_path, page_title, sha256(text) AS content_hash, CAST(length(text) AS INTEGER) AS char_len FROM r""")
+def u1(spark, sf_dir):
+    return ADAPTERS.load(spark, sf_dir).drop("text")
+
+
 _ARTICLE_SQL = r"regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)"
 _STRIP_SQL = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_ARTICLE_SQL},
   '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<nav[^>]*>.*?</nav>|<header[^>]*>.*?</header>|<footer[^>]*>.*?</footer>', '', 'g'),

@@ -2,9 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Adapter = Callable[[SparkSession, str], DataFrame]
+
+
+class SourceAdapters:
+    """Callables (spark, path) -> DataFrame with doc_path, page_title and text, by the id of their source."""
+
+    def __init__(self) -> None:
+        self._known: dict[str, Adapter] = {}
+
+    def add(self, source_id: str) -> Callable[[Adapter], Adapter]:
+        """Register a loader; an id is taken once."""
+
+        def register(loader: Adapter) -> Adapter:
+            if source_id in self._known:
+                raise ValueError(f"source {source_id} has an adapter already")
+            self._known[source_id] = loader
+            return loader
+
+        return register
+
+    def load(self, spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
+        """Chunks (chunk_id, source_id, doc_path, page_title, text, content_hash, char_len) of all sources, or of ``only`` some."""
+        whole = None
+        for source_id in self._known if only is None else only:
+            rows = self._known[source_id](spark, path).where("text IS NOT NULL")
+            made = rows.select(
+                F.concat(F.lit(f"{source_id}:"), F.substring(F.sha2(F.concat("doc_path", F.lit("#root:1")), 256), 1, 16)).alias("chunk_id"), F.lit(source_id).alias("source_id"),
+                "doc_path", "page_title", "text", F.sha2("text", 256).alias("content_hash"), F.length("text").alias("char_len"),
+            )
+            whole = made if whole is None else whole.unionByName(made)
+        if whole is None:
+            raise ValueError("no source has an adapter")
+        return whole
+
 
 def source_registry(documents: DataFrame) -> DataFrame:
     """One row per source with licence policy; mode is full if excerpts are allowed, else summarize or link."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from groundtable.functions import text as T
 from groundtable.operators import audit, chunking, evaluation, fusion, keyword, logs, publication, vectors
 from groundtable.plans import all_queries
-from groundtable.sources import pages
+from groundtable.sources import corpus, pages
 
 
 @pytest.mark.parametrize(
@@ -373,3 +373,16 @@ def test_split_and_render_leave_nothing_out(spark, tmp_path):
         assert [r.ordinal for r in found] == list(range(len(expected)))
         assert all((f" (part {r.part} of {r.part_count})" in r.text.split("\n\n")[0]) is (r.part > 0) for r in found)
     assert {r.doc_id for r in chunks if r.part_count > 1} == {2, 3}
+
+
+def test_source_adapters(spark):
+    adapters = corpus.SourceAdapters()
+    with pytest.raises(ValueError):
+        adapters.load(spark, "")
+    load = lambda session, path: session.createDataFrame([(path, "t", "x"), ("b", "t", None)], "doc_path string, page_title string, text string")
+    adapters.add("one")(load)
+    adapters.add("two")(load)
+    with pytest.raises(ValueError):
+        adapters.add("one")(load)
+    assert [r.source_id for r in adapters.load(spark, "p").collect()] == ["one", "two"]
+    assert [r.doc_path for r in adapters.load(spark, "p", ["two"]).collect()] == ["p"]
