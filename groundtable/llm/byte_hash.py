@@ -132,10 +132,10 @@ def _long_span(data: np.ndarray, codes: np.ndarray, step: int) -> np.uint64:
 def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, codes: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(field hash, row) of each maximal run of ``member`` bytes.
 
-    A row of more than ``step`` bytes comes alone and is read in parts that end between two words, so
-    the arrays stay small however long the row is.
+    A row of more than ``step`` bytes that comes alone is read in parts that end between two words, so the
+    arrays stay small however long the row is; several rows are read at once, as the caller cut them.
     """
-    if len(data) <= step:
+    if len(data) <= step or len(offsets) > 2:
         starts, ends, rows = runs(member[data], offsets)
         return FieldHasher(data, codes).spans(starts, ends), rows
     found, at = [], 0
