@@ -17,7 +17,7 @@ from groundtable.llm.mixing import mix_sources
 from groundtable.llm.packing import PackingParams, pack_documents, plan_cuts
 from groundtable.llm.repeat_removal import RepeatParams, remove_repeats
 from groundtable.llm.run_index import _symbols, build, repeated_windows
-from groundtable.llm.toxicity import FtrlParams, _features, score_toxicity, train_toxicity
+from groundtable.llm.toxicity import FtrlParams, _features, score_toxicity, toxicity_score, train_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, body string, key string, rank int, copies int"
 
@@ -123,6 +123,32 @@ def test_word_hashes_in_parts():
         assert word_hashes(data, np.array([0, len(data)]), ~IS_SPACE, FIELD_LOWER_CODES, 16)[0].tolist() == whole.tolist()
 
 
+def test_word_hashes_of_several_rows():
+    """Rows that together exceed the step keep their own words."""
+    rows = [b"ab cd " * n + b"x" * n for n in (5, 300, 1, 0, 40)]
+    data, offsets = np.frombuffer(b"".join(rows), dtype=np.uint8), np.cumsum([0] + [len(r) for r in rows])
+    hashes, owner = word_hashes(data, offsets, ~IS_SPACE, FIELD_LOWER_CODES, 64)
+    assert np.bincount(owner, minlength=5).tolist() == [len(r.split()) for r in rows]
+    for i, row in enumerate(rows):
+        alone = word_hashes(np.frombuffer(row, dtype=np.uint8), np.array([0, len(row)]), ~IS_SPACE, FIELD_LOWER_CODES, 64)[0]
+        assert alone.tolist() == hashes[owner == i].tolist()
+
+
+def test_toxicity_in_large_batches(spark):
+    """Batches of several megabytes: toxic rows are told from clean ones, and every score is that of the row alone."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(500)]
+    rows = [(i, " ".join(rng.choices(words, k=500) + (["vile", "nasty"] if i % 5 == 0 else []))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = train_toxicity(df, labels)
+    together = {r.doc_id: r.s for r in df.select("doc_id", toxicity_score(df, model).alias("s")).collect()}
+    apart = {r.doc_id: r.s for r in df.where("doc_id < 40").repartition(40).select("doc_id", toxicity_score(df, model).alias("s")).collect()}
+    assert all(abs(together[i] - s) < 1e-12 for i, s in apart.items())
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((together[i] >= 0.5) == (i % 5 == 0) for i in held) >= 0.97 * len(held)
+
+
 def test_jaccard_empty(nothing):
     assert jaccard_components(nothing).count() == 0
 
