@@ -3,8 +3,10 @@
 The ids are those of ``Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False)``, so a
 special token's own string in a text becomes that token.  A text in Latin script is cut into
 pre-tokens by array operations on its code points, each distinct pre-token is encoded once and
-remembered, and the ids are gathered.  Texts with other code points or with a special token's string
-go through the tokenizer as they are.
+remembered by its characters, and the ids are gathered.  Pre-tokens of a batch are told apart by a
+hash, and each is then compared with the first of its hash, character by character; the texts of a
+batch where two differ, as special strings do, go through the tokenizer as they are, and so do texts
+with other code points or with a special token's string.
 
 Long texts are encoded in slices.  A slice ends before a white space that follows something else, or
 between a letter and a number; no pre-token spans such a place and none looks back beyond it, so the
@@ -71,7 +73,7 @@ class WordTokens:
         self._forget()
 
     def _forget(self) -> None:
-        self._places: dict[int, int] = {}
+        self._places: dict[str, int] = {}
         self._ids = array("I")
         self._starts = array("q", [0])
 
@@ -105,11 +107,13 @@ class WordTokens:
         if len(rows):
             if len(rows) < len(texts):
                 points = points[np.repeat(latin, lengths)]
-            for i, ids in zip(rows, self._latin(points, lengths[rows])):
+            found = self._latin(points, lengths[rows])
+            for i, ids in zip(rows, found or (np.array(self._whole(texts[i]), dtype=np.uint32) for i in rows)):
                 out[i] = ids
         return out  # type: ignore[return-value]
 
-    def _latin(self, points: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    def _latin(self, points: np.ndarray, lengths: np.ndarray) -> list[np.ndarray] | None:
+        """Ids of texts of Latin code points; None where two pre-tokens have one hash."""
         starts = _pre_tokens(points, lengths)
         ends = np.append(starts[1:], len(points))
         steps = np.full(len(points) + 1, _BASE, dtype=np.uint64)
@@ -119,16 +123,19 @@ class WordTokens:
         steps[1:] = _BASE_INVERSE
         keys = mix((sums[ends] - sums[starts]) * np.multiply.accumulate(steps)[starts])
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        sizes = ends - starts
+        like = np.repeat((starts[first][which] - starts), sizes) + np.arange(len(points))  # the same place in the first of a hash
+        if (sizes[first][which] != sizes).any() or (points[like] != points).any():
+            return None
         if len(self._places) + len(distinct) > self._limit:
             self._forget()
-        found = list(map(self._places.get, distinct.tolist()))
-        new = [i for i, place in enumerate(found) if place is None]
-        if new:
-            text = points.astype("<u4").tobytes().decode("utf-32-le")
-            low, high = starts[first[new]].tolist(), ends[first[new]].tolist()
-            for i, key, start, end in zip(new, distinct[new].tolist(), low, high):
-                self._ids.extend(self._whole(text[start:end]))
-                found[i] = self._places[key] = len(self._starts) - 1
+        text = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        pieces = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        found = list(map(self._places.get, pieces))
+        for i, place in enumerate(found):
+            if place is None:
+                self._ids.extend(self._whole(pieces[i]))
+                found[i] = self._places[pieces[i]] = len(self._starts) - 1
                 self._starts.append(len(self._ids))
         places = np.array(found, dtype=np.int64)
         flat = np.array(self._ids, dtype=np.uint32)

@@ -257,6 +257,23 @@ def test_token_slices_change_no_id():
         assert "".join(parts) == text and np.concatenate(own.encode(parts)).tolist() == want
 
 
+def test_tokens_of_words_with_one_hash():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from groundtable.llm.word_tokens import WordTokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool, own = Tokenizer.from_file(path), WordTokens(path)
+    for size in (512, 1024, 2048, 4096):  # Thue-Morse words: a sum of powers modulo 2**64 doesn't tell them from their complements
+        word = "a"
+        while len(word) < size:
+            word += word.translate(str.maketrans("ab", "ba"))
+        texts = [word, word.translate(str.maketrans("ab", "ba")), "plain text " + word]
+        for _ in range(2):
+            assert [list(ids) for ids in own.encode(texts)] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plan_cuts_is_least():
     rng = random.Random(1)
     p = PackingParams(width=64)
