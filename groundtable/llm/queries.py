@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundtable.llm.embedding_dedup import near_vectors
 from groundtable.llm.exact_dedup import exact_dedup
+from groundtable.llm.fill_middle import fill_middle, restore_text
 from groundtable.llm.html_extract import extract_pages
 from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
 from groundtable.llm.language_id import identify_languages
@@ -180,6 +181,43 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM chars
 """
 
+
+
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in fill-in-the-middle form, and rebuilt from it."""
+    made = fill_middle(_read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restore_text(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH draws AS (
+  SELECT doc_id, coalesce(text, '') AS body, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents
+), cuts AS (
+  SELECT doc_id, body, n,
+         ('0x' || substr(hex, 1, 8))::BIGINT % (n + 1) AS p, ('0x' || substr(hex, 9, 8))::BIGINT % (n + 1) AS q,
+         CASE WHEN n = 0 OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR ('0x' || substr(hex, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(hex, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM draws
+), pieces AS (
+  SELECT *, substr(body, 1, least(p, q)) AS prefix, substr(body, least(p, q) + 1, abs(p - q)) AS middle, substr(body, greatest(p, q) + 1) AS suffix FROM cuts
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN least(p, q) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN abs(p - q) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE body END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM pieces
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeat_removal": op1_repeat_removal,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -191,6 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -198,4 +237,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_jaccard_join": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op11_fill_middle": OP11_SQL,
 }
