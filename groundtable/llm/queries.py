@@ -11,6 +11,7 @@ from groundtable.llm.embedding_dedup import near_vectors
 from groundtable.llm.exact_dedup import exact_dedup
 from groundtable.llm.fill_middle import fill_middle, restore_text
 from groundtable.llm.html_extract import extract_pages
+from groundtable.llm.importance import importance_sample
 from groundtable.llm.jaccard_join import JaccardParams, jaccard_components
 from groundtable.llm.language_id import identify_languages
 from groundtable.llm.mixing import mix_sources
@@ -218,6 +219,44 @@ SELECT doc_id, n, form,
 FROM pieces
 """
 
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents, drawn towards the texts of the benchmark."""
+    found = importance_sample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT [list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) FOR i IN range(256)] AS step
+), texts AS (
+  SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+  SELECT kind, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+), features AS (
+  SELECT kind, doc_id, word, count(*) AS n FROM words GROUP BY ALL
+), buckets AS (
+  SELECT word, xor(list_reduce([('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(len(h) // 2)],
+                               lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM features), crc
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::DOUBLE AS t
+  FROM features JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000.0::DOUBLE * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000)))) AS BIGINT) AS gain FROM counts
+), weights AS (
+  SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM features JOIN buckets USING (word) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY doc_id
+), scores AS (
+  SELECT d.doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights w USING (doc_id)
+), places AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scores WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM places) THEN place END AS rank
+FROM scores s LEFT JOIN places USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeat_removal": op1_repeat_removal,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -230,6 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
     "op11_fill_middle": op11_fill_middle,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -238,4 +278,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": OP7_SQL,
     "op10_warc": OP10_SQL,
     "op11_fill_middle": OP11_SQL,
+    "op13_importance": OP13_SQL,
 }
