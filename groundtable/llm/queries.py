@@ -17,6 +17,7 @@ from groundtable.llm.language_id import identify_languages
 from groundtable.llm.mixing import mix_sources
 from groundtable.llm.packing import pack_documents
 from groundtable.llm.repeat_removal import remove_repeats
+from groundtable.llm.token_files import coded_documents
 from groundtable.llm.toxicity import score_toxicity
 from groundtable.llm.warc import archive_pages, payload_sha1
 
@@ -220,6 +221,12 @@ FROM pieces
 """
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, written to coded files in order and read back."""
+    found = coded_documents(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of all documents, drawn towards the texts of the benchmark."""
     found = importance_sample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -269,6 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
     "op11_fill_middle": op11_fill_middle,
+    "op12_token_files": op12_token_files,
     "op13_importance": op13_importance,
 }
 
