@@ -6,6 +6,8 @@ one after another; each distinct chunk is encoded once by the tokenizer and reme
 
 * Python's ``split`` also cuts at the four separators U+001C to U+001F, which are no white space to the
   tokenizer; a text with one of them is cut by a pattern instead.
+* A chunk that ends in a Latin letter and then one of ``.,;:!?`` has the ids of both parts, and one of ASCII letters
+  those of its lower case, so such chunks need no call.
 * Chunks of more than 64 characters are not remembered beyond a call.
 """
 
@@ -20,19 +22,34 @@ import numpy as np
 _OTHER_CUTS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")
 _LONG = 64
+_LATIN_END = "\u0250"  # letters below it stay one letter each under composition, and in lower case but for one
 
 
 class _Places(dict):
-    """The place of each chunk's ids; a chunk not yet known is encoded."""
+    """The place of each chunk's ids; a chunk that neither this nor the generation before knows is encoded."""
 
-    def __init__(self, tool):
+    def __init__(self, tool, before: "_Places | None" = None):
         super().__init__()
-        self._tool = tool
+        self._tool, self._before = tool, before
         self.ids, self.starts, self.long = array("I"), array("q", [0]), []
+        if before is not None:
+            before._before = None
+
+    def of(self, chunk: str) -> array:
+        place = self[chunk]
+        return self.ids[self.starts[place] : self.starts[place + 1]]
 
     def __missing__(self, chunk: str) -> int:
+        if self._before is not None and chunk in self._before:
+            found = self._before.of(chunk)
+        elif chunk[-1] in ".,;:!?" and chunk[-2:-1].lower().isalpha() and chunk[-2] < _LATIN_END:
+            found = self.of(chunk[:-1]) + self.of(chunk[-1])
+        elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
+            found = self.of(chunk.lower())
+        else:
+            found = self._tool.encode(chunk, add_special_tokens=False).ids
         place = self[chunk] = len(self.starts) - 1
-        self.ids.extend(self._tool.encode(chunk, add_special_tokens=False).ids)
+        self.ids.extend(found)
         self.starts.append(len(self.ids))
         if len(chunk) > _LONG:
             self.long.append(chunk)
@@ -40,9 +57,9 @@ class _Places(dict):
 
 
 class ChunkTokens:
-    """Encodes texts; remembers at most some ``limit`` distinct chunks between batches."""
+    """Encodes texts; remembers some ``limit`` distinct chunks between batches and those of a generation before."""
 
-    def __init__(self, vocabulary: str, limit: int = 600_000):
+    def __init__(self, vocabulary: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
@@ -54,12 +71,11 @@ class ChunkTokens:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after another; number of ids of each)."""
         known = self._known
-        if len(known) > self._limit or known.long:
-            if len(known) > self._limit or len(known.ids) > 16 * self._limit:
-                known = self._known = _Places(self._tool)
-            for chunk in known.long:
-                del known[chunk]
-            known.long = []
+        for chunk in known.long:
+            del known[chunk]
+        known.long = []
+        if len(known) > self._limit or len(known.ids) > 16 * self._limit:
+            known = self._known = _Places(self._tool, known)
         chunks: list[str] = []
         sizes = [0]
         for text in texts:

@@ -140,6 +140,18 @@ class Segment:
         return np.concatenate(out)
 
 
+_encoders: dict[str, ChunkTokens] = {}
+
+
+def _encoder(vocabulary: str) -> ChunkTokens:
+    """One encoder per Python worker, so remembered chunks serve all its tasks."""
+    if vocabulary not in _encoders:
+        import public_tokenizers
+
+        _encoders[vocabulary] = ChunkTokens(public_tokenizers.path(vocabulary))
+    return _encoders[vocabulary]
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     partition: int
@@ -153,10 +165,8 @@ class TokenWriter(DataSourceArrowWriter):
         self.path, self.params, self.job = path, params, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        import public_tokenizers
-
         system, root = _filesystem(self.path)
-        encoder = ChunkTokens(public_tokenizers.path(self.params.vocabulary))
+        encoder = _encoder(self.params.vocabulary)
         if encoder.size > LIMIT:
             raise ValueError(f"a vocabulary of at most {LIMIT} ids is wanted")
         files: list[tuple[str, int]] = []
