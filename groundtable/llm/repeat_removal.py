@@ -21,9 +21,9 @@ indexes that together see every repeat:
    instead, by 128-bit digests, summed on the map side, so no task gets them all.
 
 * Text is taken as UTF-8 bytes, null as empty; matches never cross texts.
-* Ids are taken to be unique; rows that repeat id and text count as two texts, each a repeat of the
-  other.  Rows that repeat an id with different texts must be given ids of their own first.
-* Rows without an id are texts like others, but share their removed spans with all rows without an id.
+* A row goes by its id; a row without one, or whose id another row has too, goes by 62 bits of a SHA-256 of
+  id and text, so it keeps spans of its own.  Rows that repeat id and text count as two texts, each a repeat
+  of the other.
 * An empty table gives an empty result; texts shorter than the window stay whole.
 * Input columns beside id and text are ignored, whatever their names.
 """
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundtable.llm.byte_hash import SpanHasher, utf8_parts
-from groundtable.llm.id_filter import mark_ids, marked
+from groundtable.llm.id_filter import mark_ids, marked, passes
 from groundtable.llm.run_index import repeated_windows
 from groundtable.plans.shared import short_batches, shuffle_width, spill
 
@@ -239,16 +239,31 @@ def _count_windows(params: RepeatParams):
     return windows
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: RepeatParams = RepeatParams()) -> DataFrame:
-    """(id, start, end) byte ranges that repeat; ranges of a text may overlap and come in any order."""
-    spark = docs.sparkSession
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: RepeatParams = RepeatParams()) -> DataFrame:
+    """(own_id, id, text): the id as given, a key that tells different rows apart, and the bytes."""
+    texts = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    shared = spill(docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "shared-ids")
+    again = F.col("own_id").isNull()
+    if not shared.isEmpty():
+        bitmap = docs.sparkSession.sparkContext.broadcast(mark_ids(shared, params.filter_bits))
+
+        @F.arrow_udf("boolean")
+        def may_be_shared(ids: pa.Array) -> pa.Array:
+            return pa.array(passes(ids, bitmap.value))
+
+        again = again | may_be_shared("own_id")
+    name = F.concat(F.coalesce(F.col("own_id").cast("string"), F.lit("")).cast("binary"), F.lit(":").cast("binary"), F.col("text"))
+    far = F.lit(1 << 62) + F.conv(F.substring(F.sha2(name, 256), 1, 15), 16, 10).cast("long")
+    return texts.select("own_id", F.when(again, far).otherwise(F.col("own_id")).alias("id"), "text")
+
+
+def repeated_spans(texts: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
+    """(id, start, end) byte ranges of ``texts`` (id, text) that repeat; ranges of a text may overlap and come in any order."""
+    spark = texts.sparkSession
     short_batches(spark)
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
-    )
     # stored first, so that the join has exchanges of its own and a very frequent anchor can be split
     anchors = texts.select("text").mapInArrow(_anchors(params), "anchor long")
-    scanned = texts.mapInArrow(_scan(params), OCCURRENCE)
+    scanned = texts.select("id", "text").mapInArrow(_scan(params), OCCURRENCE)
     repeated = spill(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     again = spill(scanned.join(repeated, "anchor", "left_semi"), "occurrences")
 
@@ -270,7 +285,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def contexts(rows: DataFrame) -> DataFrame:
         by_text = rows.groupBy("id").agg(F.collect_list(F.struct("anchor", "many", "low", "high")).alias("wanted"))
-        holders = texts.mapInArrow(_pass_marked(bitmap), "id long, text binary").join(by_text, "id").dropDuplicates(["id"])
+        holders = texts.select("id", "text").mapInArrow(_pass_marked(bitmap), "id long, text binary").join(by_text, "id").dropDuplicates(["id"])
         return holders.select("id", "text", "wanted").mapInArrow(
             _cut_contexts(params), "anchor long, many boolean, id long, low long, bytes binary, left long, right long"
         )
@@ -331,10 +346,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: RepeatParams = RepeatParams()) -> DataFrame:
     """One row per text: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
-    spans = repeated_spans(docs, id_col, text_col, params)
+    texts = keyed_texts(docs, id_col, text_col, params)
+    spans = repeated_spans(texts.select("id", "text"), params)
     by_text = spans.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
-    )
-    found = texts.join(by_text, "id", "left").select("id", "text", "starts", "ends")
+    found = texts.join(by_text, "id", "left").select(F.col("own_id").alias("id"), "text", "starts", "ends")
     return found.mapInArrow(_merge, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)

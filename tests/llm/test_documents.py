@@ -171,6 +171,20 @@ def test_remove_repeats(docs, nothing, rows, window, gram, swarm):
     assert remove_repeats(nothing).count() == 0
 
 
+def test_remove_repeats_of_awkward_ids(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    shared = text(400)
+    cut = lambda edge: text(149) + edge + shared + edge + text(169)
+    for ids in ((1, 2), (None, 2), (None, None), (3, 3)):
+        rows = [(ids[0], cut("A")), (ids[1], cut("B")), (ids[0], text(900)), (ids[1], text(800)), (9, text(700))]
+        got = sorted((r[1], r[2], r[3]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == [(700, 0, 0), (720, 400, 1), (720, 400, 1), (800, 0, 0), (900, 0, 0)], ids
+    twice = [(5, shared), (5, shared), (None, shared[:250]), (5, text(300))]
+    got = sorted((r[1], r[2]) for r in remove_repeats(spark.createDataFrame(twice, "doc_id long, text string")).collect())
+    assert got == [(250, 250), (300, 0), (400, 400), (400, 400)]
+
+
 def test_run_index():
     """Intervals against counting all windows; the index holds runs, far fewer than bytes in repetitive text."""
     rng = random.Random(12)
