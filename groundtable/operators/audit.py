@@ -131,11 +131,25 @@ def unknown_symbols(answers: DataFrame, known: DataFrame) -> DataFrame:
     return used.join(local, ["answer_id", "name"], "left_anti").join(known.select("name"), "name", "left_anti").select("answer_id", "name")
 
 
+# The marks before the two halves of an answer, in the spellings that answers have, and the length of an opener.
+GROUNDED_MARK = r"={2,}GROUNDED\+?={2,}"
+BEYOND_MARK = r"={2,}BEYOND={2,}"
+OPENER_LENGTH = 400
+
+
 def split_beyond(text: Column) -> tuple[Column, Column]:
-    """The grounded half and what follows the ``==BEYOND==`` mark."""
-    clean = F.regexp_replace(text, r"^\s*==\s*GROUNDED\s*==\s*", "")
-    parts = F.split(clean, r"\s*==\s*BEYOND\s*==\s*", 2)
-    return strip(F.element_at(parts, 1)), F.when(F.size(parts) > 1, strip(F.element_at(parts, -1))).otherwise("")
+    """The grounded half and what follows the mark of the other half, empty where there is none.
+
+    A grounded mark at the start goes with one line end after it, later ones go alone.  The grounded half's
+    opener is dropped by A7's rule if it is at most 400 characters long.
+    """
+    lead = F.regexp_replace(text, r"^\s+", "")
+    mark = F.regexp_extract(lead, f"^{GROUNDED_MARK}", 0)
+    body = F.when(mark != "", F.regexp_replace(F.substring(lead, F.length(mark) + 1, F.length(lead)), r"^\r?\n", "")).otherwise(text)
+    parts = F.split(body, BEYOND_MARK, 2)
+    grounded = F.regexp_replace(F.element_at(parts, 1), GROUNDED_MARK, "")
+    more = F.size(parts) > 1
+    return drop_deflection(grounded, more, OPENER_LENGTH), F.when(more, F.element_at(parts, -1)).otherwise("")
 
 
 # An opener that only says what the documentation lacks, and words by which a sentence turns.
@@ -147,15 +161,18 @@ CONTRAST = r"\b(but|however|though|whereas)\b"
 MARK = r"\[\d{1,2}(?:\s*,\s*\d{1,2})*\]"
 
 
-def drop_deflection(text: Column, more_follows: Column | None = None) -> Column:
+def drop_deflection(text: Column, more_follows: Column | None = None, longest: int | None = None) -> Column:
     """A first sentence that only says what the documentation lacks goes, if it turns nothing and something is left.
 
-    ``more_follows`` says that the rest of the answer stands elsewhere, past the mark of its other half.
+    ``more_follows`` says that the rest of the answer stands elsewhere, past the mark of its other half; sentences
+    of more than ``longest`` characters stay.
     """
     pattern = r"(?s)^(\s*[^.!?]*[.!?])(.*)$"
     first, rest = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     left = (strip(rest) != "") | (F.lit(False) if more_follows is None else more_follows)
     deflects = strip(first).rlike(f"(?i){DEFLECTION}") & ~first.rlike(f"(?i){CONTRAST}")
+    if longest is not None:
+        deflects = deflects & (F.length(first) <= longest)
     return F.when((first != "") & left & deflects, F.regexp_replace(rest, r"^\s+", "")).otherwise(text)
 
 

@@ -11,8 +11,9 @@ from groundtable.sources.corpus import CHUNKS_SQL, REGISTRY_SQL, source_registry
 from groundtable.operators.fusion import hydrate
 
 _ID = "conv_id * 100 + turn"
-ANSWERS_SQL = f"""answers AS (SELECT {_ID} AS answer_id, conv_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: p <> '') AS paras
-  FROM conversations WHERE role = 'assistant'),
+LINES_SQL = f"""answers AS (SELECT {_ID} AS answer_id, conv_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: p <> '') AS paras
+  FROM conversations WHERE role = 'assistant')"""
+ANSWERS_SQL = f"""{LINES_SQL},
 paragraphs AS (SELECT answer_id, conv_id, i - 1 AS para, paras[i] AS claim_text, CASE WHEN i % 2 = 1 THEN ' [1]' ELSE ' [2, 9]' END AS marker FROM answers, unnest(range(1, len(paras) + 1)) t(i)),
 marks AS (SELECT answer_id, conv_id, para, claim_text, unnest(CASE WHEN marker = ' [1]' THEN [1] ELSE [2, 9] END) AS n FROM paragraphs),
 citations AS (SELECT answer_id, n, chunk_id, source_id, text, page_title, mode, can_excerpt FROM answers, (SELECT unnest([1, 2, 3]) AS n), chunks JOIN registry USING (source_id) WHERE chunks.doc_id = conv_id * 3 + n)"""
@@ -99,21 +100,48 @@ def a5(spark, sf_dir):
     return audit.unknown_symbols(code, known)
 
 
-@query("A6_split_beyond", f"""WITH {_BASE} SELECT answer_id, array_to_string(list_slice(paras, 1, 1), '') AS grounded, array_to_string(list_slice(paras, 2, len(paras)), chr(10)) AS beyond FROM answers""")
-def a6(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
-    raw = F.concat(F.lit("==GROUNDED== "), F.array_join(F.slice(lines, 1, 1), ""), F.lit("\n==BEYOND==\n"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n"))
-    grounded, beyond = audit.split_beyond(raw)
-    return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), grounded.alias("grounded"), beyond.alias("beyond"))
-
-
 _OPENERS = ["The provided documentation does not cover this. ", "The docs don't say, but belts work. ", "Sources vary. ", "While the index lacks a figure!"]
 _OPENERS_SQL = "[" + ", ".join("'" + o.replace("'", "''") + "'" for o in _OPENERS) + "][conv_id % 4 + 1]"
 _OPENED_SQL = f"SELECT answer_id, conv_id % 8 = 7 AS more, {_OPENERS_SQL} || CASE WHEN conv_id % 4 = 3 THEN '' ELSE coalesce(paras[1], '') END AS t FROM answers"
 _DEFLECTION_SQL = "(?i)" + audit.DEFLECTION.replace("'", "''")
 
 
+# Answers with the marks that answers have: spellings, strays, one half alone; and what is no mark.
+_LEADS = ["", "===GROUNDED===\n", "  ==GROUNDED+====\r\n", "=GROUNDED=\n", "\n===GROUNDED==="]
+_TURNINGS = ["\n===BEYOND===\n", " ==BEYOND==== ", "\n===GROUNDED===\n", "=BEYOND=", "==BEYOND======BEYOND==="]
+
+
+def _texts_sql(texts: list[str]) -> str:
+    """A DuckDB list of texts, line ends as chr(10) and chr(13)."""
+    return "[" + ", ".join("'" + t.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'" for t in texts) + "]"
+
+
+MARKED_SQL = rf"""marked AS (SELECT answer_id, {_texts_sql(_LEADS)}[answer_id % 5 + 1] || {_OPENERS_SQL} || coalesce(paras[1], '') || {_texts_sql(_TURNINGS)}[answer_id % 7 % 5 + 1] || array_to_string(list_slice(paras, 2, len(paras)), chr(10)) AS t FROM answers),
+headed AS (SELECT answer_id, CASE WHEN m <> '' THEN regexp_replace(substr(l, length(m) + 1), '^\r?\n', '') ELSE t END AS body
+  FROM (SELECT *, regexp_extract(l, '^{audit.GROUNDED_MARK}') AS m FROM (SELECT *, regexp_replace(t, '^\s+', '') AS l FROM marked))),
+halves AS (SELECT answer_id, regexp_matches(body, '{audit.BEYOND_MARK}') AS more, regexp_replace(CASE WHEN more THEN regexp_extract(body, '(?s)^(.*?){audit.BEYOND_MARK}', 1) ELSE body END, '{audit.GROUNDED_MARK}', '', 'g') AS g,
+  CASE WHEN more THEN regexp_extract(body, '(?s)^.*?{audit.BEYOND_MARK}(.*)$', 1) ELSE '' END AS beyond FROM headed),
+opened AS (SELECT *, regexp_extract(g, '(?s)^(\s*[^.!?]*[.!?])(.*)$', 1) AS f, regexp_extract(g, '(?s)^(\s*[^.!?]*[.!?])(.*)$', 2) AS r FROM halves),
+split AS (SELECT answer_id, CASE WHEN f <> '' AND length(f) <= 400 AND (trim(r, ' ' || chr(10) || chr(13) || chr(9)) <> '' OR more) AND regexp_matches(trim(f, ' ' || chr(10) || chr(13) || chr(9)), '{_DEFLECTION_SQL}')
+  AND NOT regexp_matches(f, '(?i){audit.CONTRAST}') THEN regexp_replace(r, '^\s+', '') ELSE g END AS grounded, beyond FROM opened)"""
+
+
+def marked_answers(turns):
+    """(answer_id, text) of assistant turns with an opener and marks around their first line."""
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
+    answer = F.col("conv_id") * 100 + F.col("turn")
+    of = lambda texts, n: F.element_at(F.array(*[F.lit(t) for t in texts]), (n + 1).cast("int"))
+    rest = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
+    text = F.concat(of(_LEADS, answer % 5), of(_OPENERS, F.col("conv_id") % 4), F.coalesce(F.get(lines, 0), F.lit("")), of(_TURNINGS, answer % 7 % 5), rest)
+    return turns.where("role = 'assistant'").select(answer.alias("answer_id"), text.alias("text"))
+
+
+@query("A6_split_beyond", f"WITH {_BASE}, {MARKED_SQL} SELECT answer_id, grounded, beyond FROM split")
+def a6(spark, sf_dir):
+    grounded, beyond = audit.split_beyond(F.col("text"))
+    return marked_answers(table(spark, sf_dir, "conversations")).select("answer_id", grounded.alias("grounded"), beyond.alias("beyond"))
+
+
 @query("A7_deflection", f"""WITH {_BASE}, o AS ({_OPENED_SQL}), m AS (SELECT *, regexp_extract(t, '(?s)^(\\s*[^.!?]*[.!?])(.*)$', 1) AS f, regexp_extract(t, '(?s)^(\\s*[^.!?]*[.!?])(.*)$', 2) AS r FROM o)
   SELECT answer_id, CASE WHEN f <> '' AND (trim(r) <> '' OR more) AND regexp_matches(trim(f), '{_DEFLECTION_SQL}') AND NOT regexp_matches(f, '(?i){audit.CONTRAST}')
     THEN regexp_replace(r, '^\\s+', '') ELSE t END AS text FROM m""")

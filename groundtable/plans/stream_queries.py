@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundtable.operators import keyword, logs
+from groundtable.plans.audit_queries import LINES_SQL, MARKED_SQL, marked_answers
 from groundtable.plans.log_queries import ADMISSION_SQL, _LEDGER_SQL, _day, _moment, _usage_columns
 from groundtable.plans.registry import query, table
 from groundtable.plans.shared import shared_path
 from groundtable.sources import corpus
 from groundtable.sources.usage_log import LOG_SQL, query_log
 from groundtable.streaming import log_streams as streams
+from groundtable.streaming.answer_split import split_stream
 
 
 def _log(spark, sf_dir):
@@ -62,6 +64,17 @@ def t6(spark, sf_dir):
     return streams.drain(streams.frame_assembly(frames), "t6").where("complete")
 
 
+@query("T6_split_stream", f"WITH {LINES_SQL}, {MARKED_SQL} SELECT answer_id AS response_id, grounded, beyond FROM split")
+def t6_split(spark, sf_dir):
+    """Answers cut into pieces of 23 characters, split while they arrive, and put together again."""
+    answers = marked_answers(streams.read_stream(spark, sf_dir, "conversations")).withColumn("ts", F.timestamp_seconds(F.col("answer_id")))
+    pieces = F.concat(F.regexp_extract_all("text", F.lit("(?s).{1,23}"), F.lit(0)), F.array(F.lit(None).cast("string")))
+    frames = answers.select(F.col("answer_id").alias("response_id"), "ts", F.posexplode(pieces).alias("seq", "data"))
+    made = streams.drain(split_stream(frames.withColumn("event", F.when(F.col("data").isNull(), "done").otherwise("token"))), "t6-split")
+    part = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("seq", "text")))), lambda x: x["text"]), "")
+    return made.groupBy("response_id").agg(part("grounded").alias("grounded"), part("beyond").alias("beyond"))
+
+
 @query("T7_corpus_updates", f"WITH {corpus.CHUNKS_SQL} SELECT chunk_id, content_hash FROM chunks")
 def t7(spark, sf_dir):
     """Two batches: the first lacks pages, has others with an older text and some that the second withdraws."""

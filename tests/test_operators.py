@@ -115,8 +115,8 @@ def test_delta_and_rollback_round_trip(spark):
 
 def test_audit_texts(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
-    grounded, beyond = audit.split_beyond(F.lit("==GROUNDED==\nFrom the page [1].\n==BEYOND==\nFrom experience."))
-    assert (one(grounded), one(beyond)) == ("From the page [1].", "From experience.")
+    grounded, beyond = audit.split_beyond(F.lit("===GROUNDED===\nFrom the page [1].\n===BEYOND===\nFrom experience."))
+    assert (one(grounded), one(beyond)) == ("From the page [1].\n", "\nFrom experience.")
     assert one(audit.split_beyond(F.lit("no mark"))[1]) == ""
     drop = lambda t, more=False: one(audit.drop_deflection(F.lit(t), F.lit(more)))
     assert drop("The provided documentation does not state it.\nUse a belt.") == "Use a belt."

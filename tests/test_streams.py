@@ -2,11 +2,13 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
 from test_operators import REQUESTS, admit_by_hand, crowded_requests
 
-from groundtable.operators import keyword
+from groundtable.operators import audit, keyword
 from groundtable.sources import corpus
 from groundtable.streaming import log_streams as streams
+from groundtable.streaming.answer_split import AnswerSplitter, split_stream
 
 
 def test_corpus_updates_replace_and_withdraw(spark, tmp_path):
@@ -49,3 +51,58 @@ def test_cache_stream_forgets_after_its_days(spark, tmp_path):
     stream = in_batches(spark, [(i, q, start + timedelta(days=d)) for i, q, d in asked], "log_id long, question string, ts timestamp", f"{tmp_path}/in")
     got = {r.log_id: r.hit for r in streams.drain(streams.cache_stream(stream), "t3").collect()}
     assert got == {0: False, 1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False}
+
+
+MARKED = [
+    "", "   ", "plain text without marks", "===GROUNDED===\nFrom the page [1].\n===BEYOND===\nFrom experience.", "==GROUNDED+==x==BEYOND==y", "  ===GROUNDED===\r\nA. B",
+    "===BEYOND===only this", "no lead ===BEYOND===", "=GROUNDED= one sign is no mark =BEYOND= none", "a ===GROUNDED=== stray ====GROUNDED+=== b ===BEYOND=== c ===BEYOND=== d",
+    "The provided documentation does not state it.\nUse a belt.", "===GROUNDED===\nThe docs lack this.===BEYOND===\nUse two.", "The index contains no figure.", "The docs don't say, but belts work. Use one.",
+    "The docs do not say " + "x" * 400 + ". And more.", "The docs do not say " + "y" * 370 + ". And more.", "x" * 900 + ". The end", "The corpus lacks v1.2 notes. See the page.", "a == b and c === d ==GROUND ===BEYON== end=", "The docs lack it.   \n  ", "===GROUNDED===", "===GROUNDED===\r", "text ===BEYOND",
+    "=======GROUNDED=======\n\n  Lead.\n=====BEYOND=====\n=BEYOND= rest", "==GROUNDED==\n==GROUNDED==\nTwice ==BEYOND==", "=GROUNDED=\nOf. ==BEYOND======BEYOND===", "==BEYOND==GROUNDED==", "a ==GROUNDED==BEYOND== b",
+]
+
+
+def test_answers_split_alike_however_cut(spark):
+    """A6 on whole texts and on pieces of every size, and on cuts at each place."""
+    texts = spark.createDataFrame(list(enumerate(MARKED)), "i int, t string")
+    grounded, beyond = audit.split_beyond(F.col("t"))
+    whole = {r.i: (r.g, r.b) for r in texts.select("i", grounded.alias("g"), beyond.alias("b")).collect()}
+
+    def joined(pieces):
+        splitter, out = AnswerSplitter(), []
+        for piece in pieces:
+            out += splitter.push(piece)
+            splitter = AnswerSplitter(*splitter.state())
+        out += splitter.push("", True)
+        return tuple("".join(t for part, t in out if part == name) for name in ("grounded", "beyond"))
+
+    for i, text in enumerate(MARKED):
+        assert joined([text]) == whole[i], text
+        for size in range(1, 40):
+            assert joined([text[at : at + size] for at in range(0, len(text), size)]) == whole[i], (size, text)
+        for at in range(min(len(text), 120)):
+            assert joined([text[:at], text[at:]]) == whole[i], (at, text)
+    assert whole[3] == ("From the page [1].\n", "\nFrom experience.") and whole[11] == ("", "\nUse two.")
+
+
+def test_split_stream_over_batches(spark, tmp_path):
+    """Frames of a response come in several batches; one response never ends and lapses."""
+    start, rows = datetime(2024, 1, 1), []
+    for i, text in enumerate(MARKED[:12]):
+        pieces = [text[at : at + 9] for at in range(0, len(text), 9)]
+        rows += [(i, seq, "token", piece, start + timedelta(seconds=seq)) for seq, piece in enumerate(pieces)]
+        rows += [] if i == 3 else [(i, len(pieces), "done", None, start + timedelta(seconds=len(pieces)))]
+    rows.sort(key=lambda r: (r[4], r[0]))
+    late = [(99, 0, "token", "later", start + timedelta(hours=2)), (99, 1, "done", None, start + timedelta(hours=2))]
+    schema = "response_id long, seq long, event string, data string, ts timestamp"
+    for part in (rows[:20], rows[20:], late, [(100, 0, "done", None, start + timedelta(hours=5))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {}
+    for r in sorted(streams.drain(split_stream(stream), "split").collect(), key=lambda r: r.seq):
+        got.setdefault(r.response_id, {"grounded": "", "beyond": ""})[r.part] += r.text
+    splitter = lambda text: AnswerSplitter().push(text, True)
+    for i, text in enumerate(MARKED[:12]):
+        want = {"grounded": "", "beyond": ""} | dict(splitter(text))
+        assert got.get(i, {"grounded": "", "beyond": ""}) == want, text
+    assert got[99]["grounded"] == "later"
