@@ -99,14 +99,38 @@ def gate(signal: DataFrame, params: GateParams = DEFAULTS) -> DataFrame:
     return signal.withColumn("pass", semantic | together).withColumn("reason", reason)
 
 
-def multi_query(fused: DataFrame, k: int = 6) -> DataFrame:
-    """questions split in several queries: the best score per chunk, a shortlist of max(2k, 12).
+def multi_query(ranked: DataFrame, k: int = 6, params: GateParams = DEFAULTS) -> DataFrame:
+    """the lists of all of a question's phrasings in one fusion, cut to a shortlist of max(2k, 12).
 
-    ``fused`` has (parent_id, question_id, chunk_id, rrf).
+    ``ranked`` is the long form of :func:`legs` with the column parent_id.  Every phrasing adds two lists; a
+    chunk's score is the sum over all lists that hold it, so one that several phrasings find rises.  ``ranks``
+    maps lists (``keyword:7``) to its rank there; bm25 and cosine are the best of their kind.  Ties go by
+    cosine, then by the first list that holds the chunk.
     """
-    best = fused.groupBy("parent_id", "chunk_id").agg(F.max("rrf").alias("rrf"), F.count("*").alias("queries"))
-    order = Window.partitionBy("parent_id").orderBy(F.desc(F.round("rrf", 9)), "chunk_id")
-    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(2 * k, 12))
+    name = F.concat_ws(":", "leg", F.col("question_id").cast("string"))
+    best = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("score")))
+    merged = ranked.groupBy("parent_id", "chunk_id").agg(
+        F.sum(1.0 / (params.rrf_k + F.col("rank"))).alias("rrf"),
+        best("keyword").alias("bm25"),
+        best("semantic").alias("cosine"),
+        F.map_from_entries(F.collect_list(F.struct(name, "rank"))).alias("ranks"),
+        F.min(F.struct("question_id", "leg_place", "rank")).alias("seen"),
+    )
+    order = Window.partitionBy("parent_id").orderBy(F.desc(F.round("rrf", 9)), F.desc(F.round(F.coalesce("cosine", F.lit(0.0)), 9)), "seen", "chunk_id")
+    return merged.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(2 * k, 12)).drop("seen")
+
+
+def multi_query_stats(phrasings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """per question the number of its phrasings (parent_id, question_id), hits by kind and best scores; none is lost."""
+    kind = lambda leg: F.when(F.col("leg") == leg, F.col("score"))
+    found = ranked.groupBy("parent_id").agg(
+        F.count(F.when(F.col("leg") == "keyword", 1)).alias("keyword_hits"),
+        F.count(F.when(F.col("leg") == "semantic", 1)).alias("semantic_hits"),
+        F.max(kind("keyword")).alias("best_bm25"),
+        F.max(kind("semantic")).alias("best_cosine"),
+    )
+    joined = phrasings.groupBy("parent_id").agg(F.count_distinct("question_id").alias("queries")).join(found, "parent_id", "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("keyword_hits", "semantic_hits")})
 
 
 def hydrate(results: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -115,11 +139,16 @@ def hydrate(results: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def page_chunks(requests: DataFrame, chunks: DataFrame, limit: int = 12) -> DataFrame:
-    """F8: the chunks of the page at a URL, whatever its anchor, in reading order."""
+    """F8: the chunks of the page at a URL, whatever its anchor, in reading order.
+
+    Chunks are ranked within their page once and cut before any request is joined, so a page that is asked for
+    often is not multiplied beyond ``limit``.
+    """
     base = lambda c: F.substring_index(c, "#", 1)
-    joined = requests.withColumn("page", base(F.col("url"))).join(chunks.withColumn("page", base(F.col("source_url"))), "page")
-    order = Window.partitionBy("request_id").orderBy("ordinal", "chunk_id")
-    return joined.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    asked = requests.withColumn("page", base(F.col("url")))
+    order = Window.partitionBy("page").orderBy("ordinal", "chunk_id")
+    first = chunks.withColumn("page", base(F.col("source_url"))).join(asked.select("page").distinct(), "page", "left_semi")
+    return asked.join(first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit), "page")
 
 
 def pin_page(pinned: DataFrame, results: DataFrame, k: int = 6) -> DataFrame:

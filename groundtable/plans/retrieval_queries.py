@@ -436,11 +436,30 @@ def f5(spark, sf_dir):
     return _round(gated(spark, sf_dir), "coverage").select("question_id", "coverage", "pass", "reason")
 
 
-@query("F6_multi_query", f"""WITH {FUSED_SQL}, best AS (SELECT question_id // 3 AS parent_id, chunk_id, max(rrf) AS rrf, count(*) AS queries FROM fused GROUP BY ALL)
-  SELECT parent_id, chunk_id, round(rrf, 6) AS rrf, queries, row_number() OVER (PARTITION BY parent_id ORDER BY round(rrf, 9) DESC, chunk_id) AS place FROM best QUALIFY place <= 12""")
+_PHRASED_SQL = """phrased AS (SELECT *, question_id // 3 AS parent_id FROM ranked)"""
+
+
+def phrased(spark, sf_dir):
+    """Three questions that follow one another are phrasings of one."""
+    return ranked(spark, sf_dir).withColumn("parent_id", F.floor(F.col("question_id") / 3))
+
+
+@query("F6_multi_query", f"""WITH {FUSED_SQL}, {_PHRASED_SQL}, summed AS (SELECT parent_id, chunk_id, sum(1.0::DOUBLE / (20 + rank)) AS rrf, max(score) FILTER (leg = 'keyword') AS bm25,
+    max(score) FILTER (leg = 'semantic') AS cosine, count(*) AS lists, min(rank) AS best_rank, min((question_id * 2 + leg_place) * 1000 + rank) AS seen FROM phrased GROUP BY ALL)
+  SELECT parent_id, chunk_id, round(rrf, 6) AS rrf, round(bm25, 6) AS bm25, round(cosine, 6) AS cosine, lists, best_rank,
+    row_number() OVER (PARTITION BY parent_id ORDER BY round(rrf, 9) DESC, round(coalesce(cosine, 0), 9) DESC, seen, chunk_id) AS place FROM summed QUALIFY place <= 12""")
 def f6(spark, sf_dir):
-    fused = fusion.fuse_ranks(ranked(spark, sf_dir)).withColumn("parent_id", F.floor(F.col("question_id") / 3))
-    return _round(fusion.multi_query(fused), "rrf")
+    made = fusion.multi_query(phrased(spark, sf_dir)).withColumns({"lists": F.size("ranks").cast("long"), "best_rank": F.array_min(F.map_values("ranks"))})
+    return _round(made.drop("ranks"), "rrf", "bm25", "cosine")
+
+
+@query("F6_stats", f"""WITH {FUSED_SQL}, {_PHRASED_SQL}, asked_for AS (SELECT question_id // 3 AS parent_id, count(*) AS queries FROM questions GROUP BY ALL)
+  SELECT a.parent_id, queries, count(leg) FILTER (leg = 'keyword') AS keyword_hits, count(leg) FILTER (leg = 'semantic') AS semantic_hits,
+    round(max(score) FILTER (leg = 'keyword'), 6) AS best_bm25, round(max(score) FILTER (leg = 'semantic'), 6) AS best_cosine
+  FROM asked_for a LEFT JOIN phrased USING (parent_id) GROUP BY a.parent_id, queries""")
+def f6_stats(spark, sf_dir):
+    asked = questions(spark, sf_dir).withColumn("parent_id", F.floor(F.col("question_id") / 3))
+    return _round(fusion.multi_query_stats(asked, phrased(spark, sf_dir)), "best_bm25", "best_cosine")
 
 
 @query("F7_hydrated", f"WITH {FUSED_SQL} SELECT question_id, final, source_id, source_url FROM results JOIN chunks USING (chunk_id)")

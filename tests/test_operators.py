@@ -113,6 +113,22 @@ def test_delta_and_rollback_round_trip(spark):
     assert again.exceptAll(before).isEmpty() and before.exceptAll(again).isEmpty()
 
 
+def test_multi_query_sums_over_all_lists(spark):
+    """A chunk that three phrasings find (0.04 each) beats one that a single phrasing finds higher."""
+    rows = [(1, q, leg, place, rank, c, s) for q, leg, place, rank, c, s in (
+        (10, "keyword", 0, 5, "often", 3.0), (11, "keyword", 0, 5, "often", 7.0), (12, "semantic", 1, 5, "often", 0.4),
+        (10, "semantic", 1, 1, "once", 0.9), (11, "semantic", 1, 5, "tied", 0.3), (12, "keyword", 0, 5, "tied2", 1.0))]
+    ranked = spark.createDataFrame(rows, "parent_id int, question_id int, leg string, leg_place int, rank int, chunk_id string, score double")
+    got = [(r.chunk_id, round(r.rrf, 4), r.bm25, r.cosine, r.ranks) for r in fusion.multi_query(ranked).orderBy("place").collect()]
+    assert got == [
+        ("often", 0.12, 7.0, 0.4, {"keyword:10": 5, "keyword:11": 5, "semantic:12": 5}), ("once", 0.0476, None, 0.9, {"semantic:10": 1}),
+        ("tied", 0.04, None, 0.3, {"semantic:11": 5}), ("tied2", 0.04, 1.0, None, {"keyword:12": 5}),
+    ]
+    asked = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 13)], "parent_id int, question_id int")
+    stats = sorted(map(tuple, fusion.multi_query_stats(asked, ranked).collect()))
+    assert stats == [(1, 3, 3, 3, 7.0, 0.9), (2, 1, 0, 0, None, None)]
+
+
 def test_audit_texts(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     grounded, beyond = audit.split_beyond(F.lit("===GROUNDED===\nFrom the page [1].\n===BEYOND===\nFrom experience."))
