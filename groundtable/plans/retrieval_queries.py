@@ -125,9 +125,15 @@ def corpus(spark, sf_dir):
     return chunks(table(spark, sf_dir, "documents"))
 
 
+_stored: dict[tuple[str, str, str], object] = {}
+
+
 def stored_postings(spark, sf_dir):
-    """The index as a stored table, so that the legs and their statistics don't tokenise the corpus again."""
-    return spill(keyword.postings(corpus(spark, sf_dir)), "postings")
+    """The index with positions as a stored table, made once per session and corpus folder; legs and statistics read it."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir)
+    if key not in _stored:
+        _stored[key] = spill(keyword.postings(corpus(spark, sf_dir), positions=True), "postings")
+    return _stored[key]
 
 
 def keyword_leg(spark, sf_dir, posted=None):
@@ -138,7 +144,7 @@ def keyword_leg(spark, sf_dir, posted=None):
 def semantic_leg(spark, sf_dir, posted):
     """Cosine of term counts, questions broadcast block by block."""
     asked = T.token_rows(questions(spark, sf_dir), "question", ["question_id"]).groupBy("question_id", "term").agg(F.count("*").alias("qc"))
-    chunk = posted.where("field = 'text'").select("chunk_id", "term", F.col("tf").alias("cc"))
+    chunk = posted.where("field = 'text' AND tf > 0").select("chunk_id", "term", F.col("tf").alias("cc"), "norm")
     return vectors.term_cosine_top(asked, chunk, keyword.DEFAULTS.candidates)
 
 
@@ -281,12 +287,12 @@ _PLACED_SQL = r"""{chunks}, runs AS (
   FROM placed WHERE length(term) BETWEEN 2 AND 64 GROUP BY ALL""")
 def k1(spark, sf_dir):
     made = keyword.postings(corpus(spark, sf_dir), positions=True)
-    return made.select("term", "chunk_id", "field", "tf", F.array_join("positions", " ").alias("positions"))
+    return made.where("tf > 0").select("term", "chunk_id", "field", "tf", F.array_join("positions", " ").alias("positions"))
 
 
 @query("K2_vocabulary")
 def k2(spark, sf_dir):
-    return keyword.vocabulary(stored_postings(spark, sf_dir))
+    return keyword.vocabulary(stored_postings(spark, sf_dir).where("tf > 0"))
 
 
 @query("K2_stemmed_postings")
@@ -294,13 +300,29 @@ def k2_postings(spark, sf_dir):
     return keyword.stemmed_postings(stored_postings(spark, sf_dir)).select("term", "chunk_id", "field", "tf")
 
 
-@query("K5_phrase_search")
+_PHRASE_SEARCH_SQL = BM25_SQL.replace("text AS question", "regexp_replace(text, '^([a-zA-Z0-9_]+)[^a-zA-Z0-9_]+([a-zA-Z0-9_]+)', '\\1-\\2') AS question").replace(
+    tokens_sql("text") + " AS tokens", tokens_sql("regexp_replace(text, '^([a-zA-Z0-9_]+)[^a-zA-Z0-9_]+([a-zA-Z0-9_]+)', '\\1-\\2')") + " AS tokens", 1
+).replace("  FROM postings WHERE term IN (SELECT term FROM wanted) GROUP BY ALL", """  FROM (SELECT * FROM postings WHERE term IN (SELECT term FROM wanted) AND NOT regexp_matches(term, '[._-]') UNION ALL SELECT * FROM found) GROUP BY ALL""").replace(
+    "), weighed AS (", """), phrases AS (
+  SELECT DISTINCT term, list_filter(regexp_split_to_array(term, '[^a-z0-9]+'), lambda w: w <> '') AS w FROM wanted WHERE regexp_matches(term, '[._-]')
+), bodies AS (
+  SELECT chunk_id, source_id, field, list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda w: w <> '') AS w
+  FROM (SELECT chunk_id, source_id, 'page_title' AS field, page_title AS body FROM chunks UNION ALL SELECT chunk_id, source_id, 'section_title', section_title FROM chunks UNION ALL SELECT chunk_id, source_id, 'text', text FROM chunks)
+), places AS (
+  SELECT chunk_id, source_id, field, i, w[i] AS word FROM bodies, unnest(range(1, len(w) + 1)) t(i) WHERE w[i] IN (SELECT unnest(w) FROM phrases)
+), met AS (
+  SELECT term, len(p.w) AS need, chunk_id, source_id, field, i - j AS start, count(DISTINCT j) AS n FROM (SELECT term, w, unnest(range(1, len(w) + 1)) AS j FROM phrases) p JOIN places ON word = p.w[j] GROUP BY ALL
+), found AS (
+  SELECT term, chunk_id, source_id, field, count(*) AS tf FROM met WHERE n = need GROUP BY ALL
+), weighed AS (""", 1)
+
+
+@query("K5_phrase_search", f"WITH {_PHRASE_SEARCH_SQL} SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM keyword")
 def k5_search(spark, sf_dir):
     """Questions whose first two words are one hyphenated term, which the index takes as adjacent words."""
     text = F.regexp_replace("question", r"^(\w+)\W+(\w+)", "$1-$2")
     asked = questions(spark, sf_dir).withColumn("question", text)
-    scored = keyword.bm25(asked, stored_postings(spark, sf_dir), phrases_of=corpus(spark, sf_dir))
-    return _round(keyword.top_candidates(scored), "score")
+    return _round(keyword.top_candidates(keyword.bm25(asked, stored_postings(spark, sf_dir))), "score")
 
 
 @query("K8_snippets", f"WITH {CHUNKS_SQL} SELECT chunk_id, sha256(text) AS snippet_hash FROM chunks")
@@ -333,9 +355,8 @@ def k4(spark, sf_dir):
 def k5(spark, sf_dir):
     words = F.filter(F.split(F.lower("question"), "[^a-z0-9]+"), lambda w: w != "")
     phrases = questions(spark, sf_dir).where(F.size(words) >= 2).select(F.array_join(F.slice(words, 1, 2), "-").alias("phrase")).distinct()
-    texts = corpus(spark, sf_dir)
-    found = keyword.phrase_matches(texts, phrases)
-    return found.join(texts.select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "phrase", "tf")
+    found = keyword.posted_phrases(stored_postings(spark, sf_dir).where("field = 'text'"), phrases)
+    return found.join(corpus(spark, sf_dir).select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "phrase", "tf")
 
 
 @query("K6_source_filter", f"WITH {BM25_SQL} SELECT question_id, chunk_id, round(score, 6) AS score FROM scored JOIN chunks USING (chunk_id) WHERE source_id = 'src' || (question_id % 20)")
@@ -350,13 +371,20 @@ def k7(spark, sf_dir):
     return _round(keyword_leg(spark, sf_dir), "score")
 
 
-@query("K9_refresh_postings", f"""WITH {CHUNKS_SQL}, after AS (SELECT chunk_id, CASE WHEN doc_id % 10 = 5 THEN text || ' amended' ELSE text END AS text FROM chunks WHERE doc_id % 10 <> 7),
-  t AS (SELECT chunk_id, unnest({tokens_sql('text')}) AS term FROM after) SELECT chunk_id, term, count(*) AS tf FROM t GROUP BY ALL""")
+_CHANGED_SQL = """SELECT chunk_id, CASE WHEN doc_id % 10 = 5 THEN text || ' amended' ELSE text END AS text, CASE WHEN doc_id % 10 = 5 THEN page_title || ' v2.beta' ELSE page_title END AS page_title,
+  section_title FROM chunks WHERE doc_id % 10 <> 7"""
+
+
+@query("K9_refresh_postings", f"""WITH {CHUNKS_SQL}, after AS ({_CHANGED_SQL}), t AS (SELECT chunk_id, 'text' AS field, unnest({tokens_sql('text')}) AS term FROM after
+    UNION ALL SELECT chunk_id, 'page_title', unnest({tokens_sql('page_title')}) FROM after UNION ALL SELECT chunk_id, 'section_title', unnest({tokens_sql('section_title')}) FROM after),
+  l AS (SELECT chunk_id, count(*) AS len FROM t GROUP BY chunk_id)
+  SELECT chunk_id, field, term, count(*) AS tf, len FROM t JOIN l USING (chunk_id) GROUP BY ALL""")
 def k9(spark, sf_dir):
+    """Of ten chunks one changes in text and title and one goes; all three fields are compared."""
     before = corpus(spark, sf_dir)
-    changed = before.where("doc_id % 10 = 5").withColumn("text", F.concat("text", F.lit(" amended")))
+    changed = before.where("doc_id % 10 = 5").withColumn("text", F.concat("text", F.lit(" amended"))).withColumn("page_title", F.concat("page_title", F.lit(" v2.beta")))
     made = keyword.refresh_postings(keyword.postings(before), changed, before.where("doc_id % 10 = 7"))
-    return made.where("field = 'text'").select("chunk_id", "term", "tf")
+    return made.select("chunk_id", "field", "term", "tf", "len")
 
 
 # vectors

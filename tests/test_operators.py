@@ -189,18 +189,23 @@ def test_page_sources(spark):
 
 def test_encoders_and_phrases(spark):
     chunks = spark.createDataFrame([("c1", "use gamepad1.left stick now"), ("c2", "left of gamepad1")], "chunk_id string, text string")
-    found = keyword.phrase_matches(chunks, spark.createDataFrame([("gamepad1.left",)], "phrase string"))
-    assert [(r.chunk_id, r.tf) for r in found.collect()] == [("c1", 1)]
     encoded = vectors.encode_batches(chunks, lambda texts: [[float(len(t)), 1.0] for t in texts], "chunk_id", "text").collect()
     assert {r.chunk_id: r.vector for r in encoded} == {"c1": [27.0, 1.0], "c2": [16.0, 1.0]}
     v = {r.chunk_id: r.vector for r in vectors.hashed_vectors(chunks.unionByName(spark.createDataFrame([("c3", "!")], "chunk_id string, text string")), "chunk_id", "text", 8).collect()}
     assert len(v["c1"]) == 8 and abs(sum(x * x for x in v["c1"]) - 1) < 1e-12 and v["c3"] == [0.0] * 8
     full = chunks.withColumn("source_id", F.lit("s")).withColumn("page_title", F.lit("p")).withColumn("section_title", F.lit("s"))
     asked = spark.createDataFrame([(1, "gamepad1.left")], "question_id int, question string")
-    posted = keyword.postings(full)
-    assert {r.chunk_id for r in keyword.bm25(asked, posted).collect()} == {"c1", "c2"}  # parts of the identifier are terms of their own
-    dotted = {r.chunk_id: r.score for r in keyword.bm25(asked, posted, phrases_of=full).collect()}
-    assert dotted["c1"] > dotted["c2"]
+    posted, plain = keyword.postings(full, positions=True), keyword.postings(full)
+    found = keyword.posted_phrases(posted, spark.createDataFrame([("gamepad1.left",), ("now-use",), ("use",), ("left_of-gamepad1",)], "phrase string"))
+    assert sorted((r.phrase, r.chunk_id, r.tf) for r in found.collect()) == [("gamepad1.left", "c1", 1), ("left_of-gamepad1", "c2", 1), ("use", "c1", 1)]
+    for index in (posted, plain):  # parts of the identifier are terms of their own
+        dotted = {r.chunk_id: r.score for r in keyword.bm25(asked, index).collect()}
+        assert set(dotted) == {"c1", "c2"} and dotted["c1"] > dotted["c2"]
+    spaced = spark.createDataFrame([("d1", "the gamepad1 left stick"), ("d2", "gamepad1 is left"), ("d3", "x")], "chunk_id string, text string")
+    spaced = spaced.selectExpr("*", "'s' AS source_id", "'p' AS page_title", "'s' AS section_title")
+    hyphen = spark.createDataFrame([(1, "gamepad1-left")], "question_id int, question string")
+    assert [r.chunk_id for r in keyword.bm25(hyphen, keyword.postings(spaced, positions=True)).collect()] == ["d1"]
+    assert keyword.bm25(hyphen, keyword.postings(spaced)).count() == 0
     other = spark.createDataFrame([(1, "t")], "question_id int, source_id string")
     assert keyword.bm25(asked, posted, sources=other).count() == 0
 
