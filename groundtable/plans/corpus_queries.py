@@ -131,29 +131,33 @@ def s7_sitemap(spark, sf_dir):
 _CODE_HEAD = "/* Copyright. Redistribution and use in source are permitted. */\n"
 
 
-@query("S9_code_chunks", """WITH f AS (SELECT doc_id, ['Concept', 'Robot', 'Sensor', 'Basic'][doc_id % 4 + 1] || doc_id AS name, ['concept', 'robot', 'sensor', 'basic'][doc_id % 4 + 1] AS kind,
-    array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 6), ' ') AS d, 'class A {' || chr(10) || '// ' || replace(text, '*/', '* /') || chr(10) || '}' AS c FROM documents WHERE text IS NOT NULL AND NOT contains(text, '/*')),
-  g AS (SELECT *, replace(d, '*/', '* /') AS description, '/** ' || replace(d, '*/', '* /') || chr(10) || ' */' || chr(10) || c AS code FROM f)
-  SELECT name, kind, CASE WHEN doc_id % 5 = 0 THEN 'electronics' ELSE 'programming' END AS category, trim(description) AS description,
-    '# SDK Samples' || chr(10) || '## ' || name || ' (official sample OpMode, ' || kind || ')' || chr(10) || chr(10) || trim(description) || chr(10) || chr(10) || '```java' || chr(10) || substr(code, 1, 6000) || chr(10) || '```' AS text FROM g""")
+@query("S9_code_chunks", r"""WITH f AS (SELECT doc_id, ['Concept', 'Robot', 'Sensor', 'Basic'][doc_id % 4 + 1] || doc_id AS name, ['concept', 'robot', 'sensor', 'basic'][doc_id % 4 + 1] AS kind,
+    replace(string_split(text, chr(10))[1], '*/', '* /') AS d, 'class A {' || chr(10) || '// ' || replace(text, '*/', '* /') || chr(10) || '}' AS c FROM documents WHERE text IS NOT NULL),
+  g AS (SELECT *, regexp_replace(regexp_replace(' ' || d, '^[ \t]*\*[ \t]?', ''), '^\s+|\s+$', '', 'g') AS description, '/** ' || d || chr(10) || ' */' || chr(10) || c AS code FROM f)
+  SELECT name, kind, CASE WHEN doc_id % 5 = 0 THEN 'electronics' ELSE 'programming' END AS category, description,
+    '# SDK Samples' || chr(10) || '## ' || name || ' (official sample OpMode, ' || kind || ')' || chr(10) || chr(10) || description || chr(10) || chr(10) || '```java' || chr(10) || substr(code, 1, 6000) || chr(10) || '```' AS text FROM g""")
 def s9(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(F.col("text").isNotNull() & ~F.contains("text", F.lit("/*")))
+    """A file per document: its first line as the comment, all of its text as code, comment signs in it included."""
+    docs = _docs(spark, sf_dir).where(F.col("text").isNotNull())
     name = F.concat(F.element_at(F.array(*[F.lit(k) for k in ("Concept", "Robot", "Sensor", "Basic")]), (F.col("doc_id") % 4 + 1).cast("int")), F.col("doc_id").cast("string"))
     safe = lambda c: F.replace(c, F.lit("*/"), F.lit("* /"))
-    body = F.concat(F.lit(_CODE_HEAD + "/** "), safe(corpus.first_words("text", 6)), F.lit("\n */\nclass A {\n// "), safe(F.col("text")), F.lit("\n}"))
+    body = F.concat(F.lit(_CODE_HEAD + "/** "), safe(F.get(F.split("text", "\n"), 0)), F.lit("\n */\nclass A {\n// "), safe(F.col("text")), F.lit("\n}"))
     files = docs.select(name.alias("name"), body.alias("text"))
     categories = docs.where("doc_id % 5 = 0").select(name.alias("name"), F.lit("electronics").alias("category"))
     return pages.code_chunks(files, categories=categories)
 
 
-@query("S10_api_chunks", """WITH d AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 6), ' '), '\\s+', ' ', 'g')) AS d, doc_id % 3 AS m FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[<>&]'))
+@query("S10_api_chunks", r"""WITH d AS (SELECT doc_id, substr(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')), 1, 1200) AS d, doc_id % 50 AS m, substr(trim(regexp_replace(substr(text, 1, 60), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 60) AS w FROM documents WHERE text IS NOT NULL)
   SELECT doc_id AS page_id, 'com.x' || doc_id % 7 AS package, 'C' || doc_id AS name, '# SDK API' || chr(10) || '## com.x' || doc_id % 7 || '.C' || doc_id || chr(10) || chr(10) || d || chr(10) || chr(10)
-    || CASE WHEN m > 0 THEN 'Methods:' || chr(10) || array_to_string(list_transform(range(m), lambda i: '- get' || i || '(int a) — Returns it.'), chr(10)) ELSE '' END AS text FROM d WHERE length(d) >= 40 OR m > 0""")
+    || CASE WHEN m > 0 THEN 'Methods:' || chr(10) || array_to_string(list_transform(range(least(m, 40)), lambda i: '- get' || i || '(int a) — ' || w), chr(10)) ELSE '' END AS text FROM d WHERE length(d) >= 40 OR m > 0""")
 def s10(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(F.col("text").isNotNull() & ~F.col("text").rlike("[<>&]"))
-    method = lambda i: F.format_string('<code><a href="#">get%d</a>(<i>int</i> a)</code> <td> <div class="block">Returns it.</div>', i)
-    listed = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3 - 1).cast("int")), method), ""))
-    body = F.concat(F.lit('<section class="class-description"><p>'), corpus.first_words("text", 6), F.lit("</p></section>"), listed)
+    """A class page per document: its whole text, signs of markup escaped, as description and up to 49 methods, so both limits are met."""
+    docs = _docs(spark, sf_dir).where(F.col("text").isNotNull())
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first = F.concat(F.lit('(<i>int</i> a)</code> <td> <div class="block">'), escaped(F.substring("text", 1, 60)), F.lit("</div>"))
+    method = lambda i: F.concat(F.lit('<code><a href="#">get'), i.cast("string"), F.lit("</a>"), first)
+    listed = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 50 - 1).cast("int")), method), ""))
+    body = F.concat(F.lit('<section class="class-description"><p>'), escaped(F.col("text")), F.lit("</p></section>"), listed)
     path = F.format_string("Core/com/x%d/C%d.html", F.col("doc_id") % 7, F.col("doc_id"))
     return pages.api_chunks(docs.select(F.col("doc_id").alias("page_id"), path.alias("path"), body.alias("html")))
 
@@ -233,15 +237,13 @@ def c3(spark, sf_dir):
     return chunking.keep_units(_sections(spark, sf_dir)).select("doc_id", "ord")
 
 
-@query("C4_atoms", r"""WITH a AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda p: regexp_replace(p, '[ \t\n\r\f\v]', '', 'g') <> ''), lambda p: regexp_replace(p, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) AS a FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10) || '```') AND NOT starts_with(text, '```'))
-  SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, a[i] AS atom FROM a, unnest(range(1, len(a) + 1)) t(i)
-  UNION ALL SELECT doc_id, 0, text FROM documents WHERE text IS NOT NULL AND (contains(text, chr(10) || '```') OR starts_with(text, '```'))""")
+@query("C4_atoms", r"""WITH f AS (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '(?m)^```') AS f FROM documents WHERE text IS NOT NULL),
+  a AS (SELECT doc_id, flatten([CASE WHEN i % 2 = 0 THEN ['```' || f[i] || '```'] ELSE list_filter(list_transform(string_split_regex(f[i], '\n[ \t]*(?:\n[ \t]*)+'),
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') END FOR i IN range(1, len(f) + 1)]) AS a FROM f)
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, a[i] AS atom FROM a, unnest(range(1, len(a) + 1)) t(i)""")
 def c4(spark, sf_dir):
-    """Texts without fences; C5_split_whole takes those with fences through the same atoms."""
     docs = _docs(spark, sf_dir).where("text IS NOT NULL")
-    fenced = F.contains("text", F.lit("\n```")) | F.col("text").startswith("```")
-    lines = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    return docs.select("doc_id", F.posexplode(F.when(fenced, F.array("text")).otherwise(chunking.atoms(lines))).alias("place", "atom"))
+    return docs.select("doc_id", F.posexplode(chunking.atoms(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("place", "atom"))
 
 
 _ID_SQL = "regexp_replace(regexp_replace(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '^[0-9]+-*', '')"
