@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = ["chunk_id", "source_id", "page_title", "section_title", "text", "source_url", "content_hash", "char_len", "ordinal"]
+# The columns of the published tables whose change is published; the time of the last update is not among them.
+CHUNK_FIELDS = (
+    "chunk_id source_id source_name doc_path page_title section_title heading_path anchor source_url category license can_excerpt excerpt_mode text char_len ordinal part part_count content_hash"
+).split()
+SOURCE_FIELDS = "source_id source_name homepage license license_url attribution can_excerpt priority".split()
 
 
 # Fixed value: all that a chunk of a link-only source may say.
@@ -48,32 +54,68 @@ def chunk_violations(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     return joined.select("chunk_id", F.explode(F.array_compact(F.array(*rules))).alias("problem"))
 
 
-def fingerprint(columns: list[str] = FIELDS):
-    """A hash over all columns with nulls told from empty strings."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+def fingerprint(columns: list[str]):
+    """A hash over columns; every value has its length before it, and a null is told from an empty string."""
+    text = lambda c: F.col(c).cast("string")
+    parts = [F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit("="), text(c)), F.lit("~")) for c in columns]
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
 
+def delta(before: DataFrame, after: DataFrame, columns: list[str] | None = None, key: str = "chunk_id") -> DataFrame:
+    """(key, change) with change added, changed, removed or unchanged; swapped sides are the rollback.
+
+    By default all published columns that either side has are compared; one that a side lacks is null there.
+    """
+    if columns is None:
+        known = SOURCE_FIELDS if key == "source_id" else CHUNK_FIELDS
+        columns = [c for c in known if c in before.columns or c in after.columns]
+
+    def marked(side: DataFrame, name: str) -> DataFrame:
+        lacking = {c: F.lit(None).cast("string") for c in columns if c not in side.columns}
+        return (side.withColumns(lacking) if lacking else side).select(key, fingerprint(columns).alias(name))
 
-def delta(before: DataFrame, after: DataFrame, columns: list[str] = FIELDS) -> DataFrame:
-    """(chunk_id, change) with change added, changed, removed or unchanged; swapped sides are the rollback."""
-    b = before.select("chunk_id", fingerprint(columns).alias("b"))
-    a = after.select("chunk_id", fingerprint(columns).alias("a"))
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("unchanged")
-    return b.join(a, "chunk_id", "full_outer").select("chunk_id", change.alias("change"))
+    return marked(before, "b").join(marked(after, "a"), key, "full_outer").select(key, change.alias("change"))
 
 
-def apply_delta(before: DataFrame, after: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_delta(before: DataFrame, after: DataFrame, changes: DataFrame, key: str = "chunk_id") -> DataFrame:
     """P5: the old snapshot without what was removed or changed, and the new rows in their place."""
-    gone = changes.where("change IN ('removed', 'changed')").select("chunk_id")
-    new = changes.where("change IN ('added', 'changed')").select("chunk_id")
-    return before.join(gone, "chunk_id", "left_anti").unionByName(after.join(new, "chunk_id", "left_semi"))
+    gone = changes.where("change IN ('removed', 'changed')").select(key)
+    new = changes.where("change IN ('added', 'changed')").select(key)
+    return before.join(gone, key, "left_anti").unionByName(after.join(new, key, "left_semi"))
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """The two corpus tables that are published together."""
 
+    sources: DataFrame
+    chunks: DataFrame
 
-def coverage_loss(before: DataFrame, after: DataFrame, share: float = 0.8) -> DataFrame:
-    """Sources, and the whole corpus as null, that keep less than ``share`` of their chunks."""
+
+def corpus_delta(before: Snapshot, after: Snapshot) -> DataFrame:
+    """(part, id, change) of both tables, part being sources or chunks; swapped sides are the rollback."""
+    sources = delta(before.sources, after.sources, key="source_id").select(F.lit("sources").alias("part"), F.col("source_id").alias("id"), "change")
+    chunks = delta(before.chunks, after.chunks).select(F.lit("chunks").alias("part"), F.col("chunk_id").alias("id"), "change")
+    return sources.unionByName(chunks)
+
+
+def apply_corpus_delta(before: Snapshot, after: Snapshot, changes: DataFrame) -> Snapshot:
+    """P5: both tables after the changes of :func:`corpus_delta`; no other table is touched."""
+    of = lambda part, key: changes.where(F.col("part") == part).select(F.col("id").alias(key), "change")
+    return Snapshot(
+        apply_delta(before.sources, after.sources, of("sources", "source_id"), "source_id"), apply_delta(before.chunks, after.chunks, of("chunks", "chunk_id"))
+    )
+
+
+def coverage_loss(before: DataFrame, after: DataFrame, share: float = 0.8, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """Sources, and the whole corpus as null, that keep less than ``share`` of their chunks.
+
+    Sources in ``allowed`` may lose; the whole corpus may not, whoever lost.
+    """
     count = lambda df, name: df.groupBy("source_id").agg(F.count("*").alias(name))
-    by_source = count(before, "before").join(count(after, "after"), "source_id", "left").withColumn("after", F.coalesce("after", F.lit(0)))
-    lost = by_source.where(F.col("after") < F.col("before") * share)
+    by_source = count(before, "before").join(count(after, "after"), "source_id", "full_outer").na.fill(0, ["before", "after"])
+    lost = by_source.where((F.col("after") < F.col("before") * share) & ~F.col("source_id").isin(*allowed))
     whole = by_source.agg(F.lit(None).cast("string").alias("source_id"), F.sum("before").alias("before"), F.sum("after").alias("after"))
     return lost.unionByName(whole.where(F.col("after") < F.floor(F.col("before") * share)))
 
@@ -112,9 +154,10 @@ def epoch(chunks: DataFrame, digits: int = 3) -> DataFrame:
 
 
 def publication_summary(changes: DataFrame) -> DataFrame:
-    """How many chunks each kind of change has."""
+    """How many rows each kind of change has, by part where the changes are of both tables."""
     n = lambda kind: F.sum((F.col("change") == kind).cast("long")).alias(kind)
-    return changes.agg(n("added"), n("changed"), n("removed"), n("unchanged"))
+    counts = [n("added"), n("changed"), n("removed"), n("unchanged")]
+    return changes.groupBy("part").agg(*counts) if "part" in changes.columns else changes.agg(*counts)
 
 
 def restore_mismatches(baseline: DataFrame, stored: DataFrame) -> DataFrame:

@@ -113,6 +113,33 @@ def test_delta_and_rollback_round_trip(spark):
     assert again.exceptAll(before).isEmpty() and before.exceptAll(again).isEmpty()
 
 
+def test_corpus_delta_sees_every_column(spark):
+    """Each published column alone makes a row changed, in both tables; forward and rollback restore both."""
+    kinds = {"can_excerpt": True, "char_len": 3, "ordinal": 1, "part": 1, "part_count": 2, "priority": 5}
+    row = lambda fields, key, **other: {c: kinds.get(c, f"{c} of {key}") for c in fields} | {fields[0]: key, "updated_at": "old"} | other
+    chunks = [row(publication.CHUNK_FIELDS, f"c{i}") for i in range(len(publication.CHUNK_FIELDS) + 2)]
+    sources = [row(publication.SOURCE_FIELDS, f"s{i}") for i in range(len(publication.SOURCE_FIELDS) + 1)]
+    spoil = lambda v: (not v) if isinstance(v, bool) else v + 1 if isinstance(v, int) else None
+    new_chunks = [c | {f: spoil(c[f])} for c, f in zip(chunks[1:], publication.CHUNK_FIELDS[1:])] + [chunks[0] | {"updated_at": "new"}, row(publication.CHUNK_FIELDS, "added")]
+    new_sources = [c | {f: spoil(c[f])} for c, f in zip(sources[1:], publication.SOURCE_FIELDS[1:])] + [sources[0] | {"updated_at": "new"}]
+    schema = lambda fields: ", ".join(f"{c} {'boolean' if c == 'can_excerpt' else 'int' if c in kinds else 'string'}" for c in [*fields, "updated_at"])
+    frame = lambda rows, fields: spark.createDataFrame([tuple(r[c] for c in [*fields, "updated_at"]) for r in rows], schema(fields))
+    snapshot = lambda s, c: publication.Snapshot(frame(s, publication.SOURCE_FIELDS), frame(c, publication.CHUNK_FIELDS))
+    before, after = snapshot(sources, chunks), snapshot(new_sources, new_chunks)
+    forward, back = publication.corpus_delta(before, after), publication.corpus_delta(after, before)
+    got = {(r.part, r.id): r.change for r in forward.collect()}
+    fields = len(publication.CHUNK_FIELDS)
+    assert got[("chunks", "c0")] == got[("sources", "s0")] == "unchanged" and got[("chunks", "added")] == "added"
+    assert {got[("chunks", f"c{i}")] for i in range(1, fields)} == {"changed"} == {got[("sources", f"s{i}")] for i in range(1, len(publication.SOURCE_FIELDS))}
+    assert got[("chunks", f"c{fields}")] == "removed" and got[("sources", f"s{len(publication.SOURCE_FIELDS)}")] == "removed"
+    there = publication.apply_corpus_delta(before, after, forward)
+    again = publication.apply_corpus_delta(there, before, back)
+    for made, want in ((again.sources, before.sources), (again.chunks, before.chunks)):
+        assert made.exceptAll(want).isEmpty() and want.exceptAll(made).isEmpty()
+    lost = lambda **k: {r.source_id for r in publication.coverage_loss(before.chunks, before.chunks.limit(1), **k).collect()}
+    assert None in lost() and "source_id of c5" in lost() and "source_id of c5" not in lost(allowed=("source_id of c5",))
+
+
 def test_multi_query_sums_over_all_lists(spark):
     """A chunk that three phrasings find (0.04 each) beats one that a single phrasing finds higher."""
     rows = [(1, q, leg, place, rank, c, s) for q, leg, place, rank, c, s in (
