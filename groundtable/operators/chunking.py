@@ -192,21 +192,32 @@ def anchor_id(title: Column) -> Column:
 
 
 def allocate_anchors(sections: DataFrame) -> DataFrame:
-    """An explicit label is the anchor; else the first of equal ids keeps it and the others take id1, id2, ... in order.
+    """Ids of a document's headings, first come, first served.
 
-    Serial numbers whose id a heading of the document has by itself are passed over.  ``label`` may be absent.
+    A heading's ``label`` (the column may be absent) gives its id if no heading before it has that id, else its
+    title does on the same terms, else it takes the next of id1, id2, ... that is free.  Serial numbers go up
+    through the document.  One fold over the document's headings carries the ids in use, the numbers that
+    headings have by themselves, and the last serial number.
     """
-    label = F.coalesce(F.col("label"), F.lit("")) if "label" in sections.columns else F.lit("")
-    base = sections.withColumn("base", F.when(label != "", label).otherwise(anchor_id(F.col("title")))).withColumn("labelled", label != "")
-    first = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy(F.desc("labelled"), "ord")) == 1
-    marked = base.withColumn("again", ~first | (F.col("base") == ""))
-    natural = F.when(~F.col("again") & F.col("base").rlike("^id[1-9][0-9]{0,8}$"), F.substring("base", 3, 9).cast("int"))
-    document = Window.partitionBy("doc_id")
-    numbered = marked.withColumn("serial", F.sum(F.col("again").cast("int")).over(document.orderBy("ord"))).withColumn("taken", F.array_sort(F.collect_set(natural).over(document)))
-    # each taken number at or below the serial as shifted so far moves it on by one
-    shifted = F.aggregate("taken", F.col("serial").cast("int"), lambda s, t: s + F.when(t <= s, 1).otherwise(0))
-    anchor = F.when(F.col("again"), F.concat(F.lit("id"), shifted.cast("string"))).otherwise(F.col("base"))
-    return numbered.withColumn("anchor", anchor).drop("base", "again", "serial", "taken", "labelled")
+    label = anchor_id(F.coalesce(F.col("label"), F.lit(""))) if "label" in sections.columns else F.lit("")
+    heads = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", label.alias("label"), anchor_id(F.col("title")).alias("base")))).alias("heads"))
+    strings, numbers = F.array().cast("array<string>"), F.array().cast("array<int>")
+    start = F.struct(strings.alias("used"), numbers.alias("taken"), F.lit(0).alias("serial"), strings.alias("anchors"))
+
+    def step(s: Column, h: Column) -> Column:
+        free = lambda c: (c != "") & ~F.array_contains(s["used"], c)
+        own = F.when(free(h["label"]), h["label"]).when(free(h["base"]), h["base"])
+        next_serial = F.aggregate(F.array_sort(s["taken"]), s["serial"] + 1, lambda n, t: F.when(t == n, n + 1).otherwise(n))
+        anchor = F.coalesce(own, F.concat(F.lit("id"), next_serial.cast("string")))
+        number = F.when(own.rlike("^id[1-9][0-9]{0,8}$"), F.array(F.substring(own, 3, 9).cast("int"))).otherwise(numbers)
+        return F.struct(
+            F.concat(s["used"], F.array(anchor)).alias("used"), F.concat(s["taken"], number).alias("taken"),
+            F.when(own.isNull(), next_serial).otherwise(s["serial"]).alias("serial"), F.concat(s["anchors"], F.array(anchor)).alias("anchors"),
+        )
+
+    found = heads.select("doc_id", "heads", F.aggregate("heads", start, step, lambda s: s["anchors"]).alias("anchors"))
+    given = found.select("doc_id", F.explode(F.arrays_zip(F.col("heads.ord").alias("ord"), F.col("anchors").alias("anchor"))).alias("h")).select("doc_id", "h.ord", "h.anchor")
+    return sections.join(given, ["doc_id", "ord"])
 
 
 # Title words by category, first match wins.

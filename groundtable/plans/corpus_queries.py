@@ -357,11 +357,22 @@ def c7_chunks(spark, sf_dir):
 
 
 
-@query("C10_anchors", f"""WITH {_SEC}, b AS (SELECT doc_id, ord, {_ID_SQL} AS base FROM sections),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY ord) > 1 OR base = '' AS again FROM b)
-  SELECT doc_id, ord, CASE WHEN again THEN 'id' || CAST(sum(again::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) ELSE base END AS anchor FROM r""")
+_LABEL_SQL = "CASE WHEN ord % 7 = 3 THEN 'My Label ' || ord % 3 WHEN ord % 7 = 5 THEN 'id' || ord % 4 WHEN ord % 7 = 6 THEN title END"
+
+
+@query("C10_anchors", f"""WITH RECURSIVE {_SEC}, labelled AS (SELECT doc_id, ord, {_ID_SQL} AS base, {_ID_SQL.replace('lower(title)', f"lower(coalesce({_LABEL_SQL}, ''))")} AS label FROM sections),
+  walk AS (SELECT doc_id, -1 AS ord, CAST([] AS VARCHAR[]) AS used, 0 AS serial, '' AS anchor FROM labelled WHERE ord = 0
+    UNION ALL SELECT doc_id, ord, list_append(used, anchor), CASE WHEN own IS NULL THEN n ELSE serial END, anchor FROM (
+      SELECT *, coalesce(own, 'id' || n) AS anchor FROM (SELECT w.doc_id, l.ord, w.used, w.serial,
+        CASE WHEN label <> '' AND NOT list_contains(used, label) THEN label WHEN base <> '' AND NOT list_contains(used, base) THEN base END AS own,
+        CAST(list_min(list_filter(range(serial + 1, serial + len(used) + 2), lambda i: NOT list_contains(used, 'id' || i))) AS INTEGER) AS n
+        FROM walk w JOIN labelled l ON l.doc_id = w.doc_id AND l.ord = w.ord + 1)))
+  SELECT doc_id, ord, anchor FROM walk WHERE ord >= 0""")
 def c10(spark, sf_dir):
-    return chunking.allocate_anchors(_sections(spark, sf_dir)).select("doc_id", "ord", "anchor")
+    """Of seven headings one has a label, one a label like a serial number and one its title as label."""
+    ord = F.col("ord")
+    label = F.when(ord % 7 == 3, F.concat(F.lit("My Label "), (ord % 3).cast("string"))).when(ord % 7 == 5, F.concat(F.lit("id"), (ord % 4).cast("string"))).when(ord % 7 == 6, F.col("title"))
+    return chunking.allocate_anchors(_sections(spark, sf_dir).withColumn("label", label)).select("doc_id", "ord", "anchor")
 
 
 _PATHS = ["common-mechanisms/drivetrains/x", "common-mechanisms/arm", "power-and-electronics", "software/concepts", "awards/a", "guides", "misc/software/"]

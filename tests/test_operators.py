@@ -301,7 +301,22 @@ def test_manual_sections(spark):
 def test_anchors_pass_over_natural_ids(spark):
     rows = [(1, i, t, l) for i, (t, l) in enumerate([("A", None), ("A", None), ("id1", None), ("A", "own"), ("", None), ("id3", None)])]
     df = spark.createDataFrame(rows, "doc_id int, ord int, title string, label string")
-    assert [r.anchor for r in chunking.allocate_anchors(df).orderBy("ord").collect()] == ["a", "id2", "id1", "own", "id4", "id3"]
+    assert [r.anchor for r in chunking.allocate_anchors(df).orderBy("ord").collect()] == ["a", "id1", "id2", "own", "id3", "id4"]
+    rng, docs = random.Random(6), []
+    for doc in range(40):  # against an allocator that goes through the headings one by one
+        docs += [(doc, i, rng.choice(["A", "B!", "id1", "id2", "ID 3", "id7", "", "Again"]), rng.choice([None, None, "My Label", "again", "id5", "??"])) for i in range(rng.randint(1, 25))]
+    want, state = {}, {}
+    for doc, i, title, label in docs:
+        used, serial = state.setdefault(doc, (set(), [0]))
+        plain = lambda t: re.sub("^[0-9]+-*", "", re.sub("[^a-z0-9]+", "-", (t or "").lower()).strip("-"))
+        anchor = next((c for c in (plain(label), plain(title)) if c and c not in used), None)
+        while anchor is None:
+            serial[0] += 1
+            anchor = f"id{serial[0]}" if f"id{serial[0]}" not in used else None
+        used.add(anchor)
+        want[doc, i] = anchor
+    df = spark.createDataFrame(docs, "doc_id int, ord int, title string, label string")
+    assert {(r.doc_id, r.ord): r.anchor for r in chunking.allocate_anchors(df).collect()} == want
 
 
 def test_passages_are_found_whatever_their_words(spark):
