@@ -6,54 +6,70 @@ one after another; each distinct chunk is encoded once by the tokenizer and reme
 
 * Python's ``split`` also cuts at the four separators U+001C to U+001F, which are no white space to the
   tokenizer; a text with one of them is cut by a pattern instead.
-* A chunk that ends in a Latin letter and then one of ``.,;:!?`` has the ids of both parts, and one of ASCII letters
-  those of its lower case, so such chunks need no call.
-* Chunks of more than 64 characters are not remembered beyond a call.
+* A chunk that ends in a Latin letter and then one of ``.,;:!?`` has the ids of both parts, and one of Latin letters
+  those of its lower case, so such chunks need no call.  A lower-case Latin word is one word to the tokenizer, so
+  it goes to its vocabulary model directly, if on probes that gives what the whole tokenizer gives.
+* Chunks of more than 64 characters are not remembered beyond a call.  Vocabularies have at most 65,536 ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 
 import numpy as np
 
 _OTHER_CUTS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")
 _LONG = 64
-_LATIN_END = "\u0250"  # letters below it stay one letter each under composition, and in lower case but for one
+_LATIN_END = "\u0250"  # letters below it stay one letter each under composition, and in lower case but for the next
+_TWO = "\u0130"
 
 
-class _Places(dict):
-    """The place of each chunk's ids; a chunk that neither this nor the generation before knows is encoded."""
+def _latin(chunk: str) -> bool:
+    return chunk.isascii() or max(chunk) < _LATIN_END and _TWO not in chunk
 
-    def __init__(self, tool, before: "_Places | None" = None):
+
+def _model_letters(tool) -> dict[int, str] | None:
+    """How the tokenizer spells Latin letters for its model; None where probes tell that it does more than that."""
+    letters = [chr(c) for c in range(ord(_LATIN_END)) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    table = {ord(c): "".join(part for part, _ in tool.pre_tokenizer.pre_tokenize_str(c)) for c in letters}
+    probes = letters + ["".join(letters[i : i + 9]) for i in range(0, len(letters), 3)] + ["reading", "the", "überstraße", "señores", "œuvre"]
+    for word in probes:
+        if [t.id for t in tool.model.tokenize(word.translate(table))] != tool.encode(word, add_special_tokens=False).ids:
+            return None
+    return table
+
+
+class _Known(dict):
+    """The ids of each chunk as bytes of 16-bit integers; a chunk that neither this nor the generation before knows is encoded."""
+
+    def __init__(self, tool, letters: dict[int, str] | None, before: "_Known | None" = None):
         super().__init__()
-        self._tool, self._before = tool, before
-        self.ids, self.starts, self.long = array("I"), array("q", [0]), []
+        self._tool, self._letters, self._before, self.long, self.size = tool, letters, before, [], 0
         if before is not None:
             before._before = None
 
-    def of(self, chunk: str) -> array:
-        place = self[chunk]
-        return self.ids[self.starts[place] : self.starts[place + 1]]
-
-    def __missing__(self, chunk: str) -> int:
+    def __missing__(self, chunk: str) -> bytes:
         if self._before is not None and chunk in self._before:
-            found = self._before.of(chunk)
+            found = self._before[chunk]
         elif chunk[-1] in ".,;:!?" and chunk[-2:-1].lower().isalpha() and chunk[-2] < _LATIN_END:
-            found = self.of(chunk[:-1]) + self.of(chunk[-1])
-        elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            found = self.of(chunk.lower())
+            found = self[chunk[:-1]] + self[chunk[-1]]
+        elif chunk.isalpha() and _latin(chunk):
+            lower = chunk.lower()
+            if lower != chunk:
+                found = self[lower]
+            elif self._letters is not None:
+                found = np.array([t.id for t in self._tool.model.tokenize(chunk.translate(self._letters))], dtype="<u2").tobytes()
+            else:
+                found = np.array(self._tool.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
         else:
-            found = self._tool.encode(chunk, add_special_tokens=False).ids
-        place = self[chunk] = len(self.starts) - 1
-        self.ids.extend(found)
-        self.starts.append(len(self.ids))
+            found = np.array(self._tool.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        self[chunk] = found
+        self.size += len(found)
         if len(chunk) > _LONG:
             self.long.append(chunk)
-        return place
+        return found
 
 
 class ChunkTokens:
@@ -65,26 +81,21 @@ class ChunkTokens:
 
         self._tool = Tokenizer.from_file(vocabulary)
         self.size = max(self._tool.get_vocab(with_added_tokens=True).values()) + 1
+        if self.size > 1 << 16:
+            raise ValueError("a vocabulary of at most 65,536 ids is wanted")
         self._limit = limit
-        self._known = _Places(self._tool)
+        self._letters = _model_letters(self._tool)
+        self._known = _Known(self._tool, self._letters)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, one after another; number of ids of each)."""
-        known = self._known
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 16-bit integers."""
+        known, out = self._known, []
+        for text in texts:
+            chunks = filter(None, _SPACE.split(text)) if any(c in text for c in _OTHER_CUTS) else text.split()
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype="<u2"))
         for chunk in known.long:
-            del known[chunk]
+            known.pop(chunk, None)
         known.long = []
-        if len(known) > self._limit or len(known.ids) > 16 * self._limit:
-            known = self._known = _Places(self._tool, known)
-        chunks: list[str] = []
-        sizes = [0]
-        for text in texts:
-            chunks += text.split() if not any(c in text for c in _OTHER_CUTS) else filter(None, _SPACE.split(text))
-            sizes.append(len(chunks))
-        places = np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        flat, bounds = np.array(known.ids, dtype=np.uint32), np.array(known.starts, dtype=np.int64)
-        low = bounds[places]
-        counts = bounds[places + 1] - low
-        after = np.concatenate([[0], np.cumsum(counts)])
-        ids = flat[np.repeat(low - after[:-1], counts) + np.arange(after[-1])]
-        return ids, np.diff(after[sizes])
+        if len(known) > self._limit or known.size > 32 * self._limit:
+            self._known = _Known(self._tool, self._letters, known)
+        return out

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import numpy as np
 
-LIMIT = 65_536  # ids are below this
 RENEW = 512
 _EVENT_BITS, _PRIOR_BITS = 16, 18
 _STATES = 32

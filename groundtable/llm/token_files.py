@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from groundtable.llm.chunk_tokens import ChunkTokens
-from groundtable.llm.token_coder import LIMIT, decode, encode, prior_table
+from groundtable.llm.token_coder import decode, encode, prior_table
 from groundtable.plans.shared import shared_path, short_batches, shuffle_width
 
 TOKENS = "id long, start long, n_tokens long, ids binary"
@@ -167,8 +167,6 @@ class TokenWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         system, root = _filesystem(self.path)
         encoder = _encoder(self.params.vocabulary)
-        if encoder.size > LIMIT:
-            raise ValueError(f"a vocabulary of at most {LIMIT} ids is wanted")
         files: list[tuple[str, int]] = []
         sink, in_file = None, 0
         held: list[np.ndarray] = []
@@ -196,15 +194,13 @@ class TokenWriter(DataSourceArrowWriter):
                     while last < batch.num_rows and chars < 4 << 20:
                         chars += len(texts[last].as_buffer())
                         last += 1
-                    ids, counts = encoder.encode(texts.slice(first, last - first).to_pylist())
-                    ends = np.cumsum(counts)
-                    with_end = np.insert(ids, ends, self.params.end_id)
-                    at = 0
-                    for name, count in zip(names[first:last], (counts + 1).tolist()):
+                    for name, ids in zip(names[first:last], encoder.encode(texts.slice(first, last - first).to_pylist())):
+                        ids = np.append(ids, np.uint16(self.params.end_id))
+                        at, count = 0, len(ids)
                         more = False
                         while count:
                             part = min(count, self.params.segment_ids - size)
-                            held.append(with_end[at : at + part])
+                            held.append(ids[at : at + part])
                             docs.append((name, part, more))
                             at, count, size, more = at + part, count - part, size + part, True
                             if size == self.params.segment_ids:
