@@ -54,7 +54,8 @@ def verify_citations(answers: DataFrame, citations: DataFrame, chunks: DataFrame
     ``status`` is out of range, weak or ok; claims of fewer than five terms are not judged.
     """
     marks = citation_marks(answers).withColumn("claim", claim_terms(F.regexp_replace("paragraph", r"\[[\d,\s]+\]", " "))).where(F.size("claim") >= 5)
-    cited = citations.join(chunks.select("chunk_id", claim_terms(F.col("text")).alias("source")), "chunk_id", "left")
+    named = chunks.join(citations.select("chunk_id").distinct(), "chunk_id", "left_semi")  # terms of cited chunks only
+    cited = citations.join(named.select("chunk_id", claim_terms(F.col("text")).alias("source")), "chunk_id", "left")
     joined = marks.join(cited.select("answer_id", "n", F.lit(True).alias("known"), "source"), ["answer_id", "n"], "left")
     overlap = F.size(F.array_intersect("claim", "source")) / F.size("claim")
     status = F.when(F.col("known").isNull(), "out of range").when(F.col("source").isNull(), "no text").when(overlap < bar, "weak").otherwise("ok")
@@ -96,7 +97,7 @@ def evidence(answers: DataFrame, citations: DataFrame, chunks: DataFrame, bar: f
     nth = F.dense_rank().over(Window.partitionBy("answer_id").orderBy("para"))
     marks = citation_marks(answers).withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth").withColumn("words", evidence_words(claim))
     joined = marks.join(citations.select("answer_id", "n", "chunk_id", "can_excerpt"), ["answer_id", "n"], "left")
-    offered = passages(chunks).withColumn("source", evidence_words(F.col("passage")))
+    offered = passages(chunks.join(citations.where("can_excerpt").select("chunk_id").distinct(), "chunk_id", "left_semi")).withColumn("source", evidence_words(F.col("passage")))
     scored = joined.where("can_excerpt").join(offered, "chunk_id").withColumn(
         "score", F.when(F.size("words") > 0, F.size(F.array_intersect("words", "source")) / F.size("words")).otherwise(0.0)
     )

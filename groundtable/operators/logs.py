@@ -158,30 +158,44 @@ def admission(requests: DataFrame, params: LogParams = DEFAULTS) -> DataFrame:
 
 
 def daily_ceiling(log: DataFrame, params: LogParams = DEFAULTS) -> DataFrame:
-    """Model calls numbered within their day; those beyond the ceiling are degraded, and an
-    expensive second pass is allowed only while the minute has spare calls.
+    """(log_id, day, call_of_day, allowed, spent_in_minute, may_escalate) of model calls.
+
+    The first ``daily_calls`` of a day are allowed; a call that is not is degraded and uses up neither day nor
+    minute.  ``spent_in_minute`` counts the minute's allowed calls up to this one, itself included if allowed; an
+    expensive second pass is made only if before it the minute has ``spare_calls`` left, the answer's own among them.
 
     Calls are numbered within their minute, and the minutes' counts are summed over the day, so no task
     gets a whole day of calls.
     """
     day, minute = F.to_date("ts").alias("day"), F.date_trunc("minute", "ts").alias("minute")
     calls = log.where("llm_called").select("log_id", "ts", day, minute)
-    numbered = calls.withColumn("call_of_minute", F.row_number().over(Window.partitionBy("minute").orderBy("ts", "log_id")).cast("long"))
+    numbered = calls.withColumn("in_minute", F.row_number().over(Window.partitionBy("minute").orderBy("ts", "log_id")).cast("long"))
     counts = calls.groupBy("day", "minute").agg(F.count("*").alias("n"))
     before = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("minute", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    spent = F.least("in_minute", F.greatest(F.lit(params.daily_calls) - F.col("before"), F.lit(0)))
     return (
-        numbered.join(offsets, "minute").select("log_id", (F.col("before") + F.col("call_of_minute")).alias("call_of_day"), "call_of_minute")
+        numbered.join(offsets, "minute").select("log_id", "day", (F.col("before") + F.col("in_minute")).alias("call_of_day"), spent.cast("long").alias("spent_in_minute"))
         .withColumn("allowed", F.col("call_of_day") <= params.daily_calls)
-        .withColumn("may_escalate", params.calls_per_minute - F.col("call_of_minute") >= params.spare_calls)
+        .withColumn("may_escalate", F.col("allowed") & (params.calls_per_minute - F.col("spent_in_minute") + 1 >= params.spare_calls))
     )
 
 
-def usage_report(log: DataFrame, params: LogParams = DEFAULTS) -> DataFrame:
-    """Calls used, limit and remainder of each caller and day."""
-    used = log.groupBy("caller", F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
-    limit = F.when(F.col("caller") % 2 == 1, params.per_day_signed_in).otherwise(params.per_day).cast("long")
-    return used.withColumn("limit", limit).withColumn("remaining", F.greatest(F.lit(0), F.col("limit") - F.col("used")).cast("long"))
+def usage_report(admitted: DataFrame, callers: DataFrame, calls: DataFrame, params: LogParams = DEFAULTS) -> DataFrame:
+    """(caller, day, used, limit, remaining): what each caller has used of a day's limit, and the pool of all model calls as a null caller.
+
+    ``admitted`` is L11's result, of which only admitted requests count, ``callers`` says which callers are
+    signed in, and ``calls`` is L12's result, of which only allowed calls count.  Callers and days with
+    refused requests alone have used nothing.
+    """
+    own = admitted.groupBy("caller", F.to_date("ts").alias("day")).agg(F.count_if("admitted").alias("used"))
+    signed_in = F.coalesce("signed_in", F.lit(False))
+    by_caller = own.join(callers.select("caller", "signed_in"), "caller", "left").select(
+        "caller", "day", "used", F.when(signed_in, params.per_day_signed_in).otherwise(params.per_day).cast("long").alias("limit")
+    )
+    pool = calls.groupBy("day").agg(F.count_if("allowed").alias("used"))
+    pooled = pool.select(F.lit(None).cast(dict(admitted.dtypes)["caller"]).alias("caller"), "day", "used", F.lit(params.daily_calls).cast("long").alias("limit"))
+    return by_caller.unionByName(pooled).withColumn("remaining", F.greatest(F.lit(0).cast("long"), F.col("limit") - F.col("used")))
 
 
 def cache_entries(log: DataFrame) -> DataFrame:

@@ -145,19 +145,31 @@ def l11_busy(spark, sf_dir):
     return logs.admission(crowded.withColumn("signed_in", F.col("caller") % 2 == 1)).drop("ts")
 
 
-@query("L12_daily_ceiling", _log_sql(""", numbered AS (
-  SELECT log_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, log_id) AS call_of_day,
-    row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY ts, log_id) AS call_of_minute FROM log WHERE llm_called)
-  SELECT *, call_of_day <= 300 AS allowed, 6 - call_of_minute >= 3 AS may_escalate FROM numbered"""))
+# The pool's use is counted call by call: a call beyond the day's 300 takes nothing from its minute.
+CEILING_SQL = """, granted AS (SELECT log_id, CAST(ts AS DATE) AS day, ts, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, log_id) AS call_of_day FROM log WHERE llm_called),
+  paced AS (SELECT log_id, day, call_of_day, call_of_day <= 300 AS allowed, count(*) FILTER (call_of_day <= 300) OVER (PARTITION BY date_trunc('minute', ts) ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) AS spent_in_minute FROM granted)"""
+_CROWDED_SQL = f"{LOG_SQL.split('log AS (', 1)[0]}plain_log AS ({LOG_SQL.split('log AS (', 1)[1]}, log AS (SELECT * REPLACE (ts - INTERVAL 1 SECOND * (epoch(ts)::BIGINT % 3600 - epoch(ts)::BIGINT % 240) AS ts, caller % 10 AS caller) FROM plain_log)"
+
+
+def _crowded(log):
+    """Requests moved into the first four minutes of their hour, all from ten callers, so that limits are met."""
+    whole = F.round(F.unix_micros("ts") / 1_000_000).cast("long")
+    shift = F.make_dt_interval(secs=(whole % 3600 - whole % 240).cast("decimal(18,6)"))
+    return log.withColumn("ts", F.col("ts") - shift).withColumn("caller", F.col("caller") % 10)
+
+
+@query("L12_daily_ceiling", f"WITH {_CROWDED_SQL}{CEILING_SQL} SELECT *, allowed AND 6 - spent_in_minute + 1 >= 3 AS may_escalate FROM paced".replace("SELECT *, allowed", "SELECT log_id, strftime(day, '%Y-%m-%d') AS day, call_of_day, allowed, spent_in_minute, allowed"))
 def l12(spark, sf_dir):
-    return logs.daily_ceiling(_log(spark, sf_dir))
+    return _day(logs.daily_ceiling(_crowded(_log(spark, sf_dir))))
 
 
-@query("L13_usage_report", _log_sql(""", used AS (SELECT caller, CAST(ts AS DATE) AS day, count(*) AS used FROM log GROUP BY ALL)
-  SELECT * REPLACE (strftime(day, '%Y-%m-%d') AS day), CAST(CASE WHEN caller % 2 = 1 THEN 60 ELSE 25 END AS BIGINT) AS "limit",
-    CAST(greatest(0, CASE WHEN caller % 2 = 1 THEN 60 ELSE 25 END - used) AS BIGINT) AS remaining FROM used"""))
+@query("L13_usage_report", f"""WITH {_CROWDED_SQL}{ADMISSION_SQL}{CEILING_SQL}, used AS (SELECT caller, CAST(ts AS DATE) AS day, count(*) FILTER (admitted) AS used, CASE WHEN caller % 2 = 1 THEN 60 ELSE 25 END AS most
+    FROM admission JOIN (SELECT log_id, ts FROM log) USING (log_id) GROUP BY ALL UNION ALL SELECT NULL, day, count(*) FILTER (allowed), 300 FROM paced GROUP BY day)
+  SELECT caller, strftime(day, '%Y-%m-%d') AS day, used, CAST(most AS BIGINT) AS "limit", CAST(greatest(0, most - used) AS BIGINT) AS remaining FROM used""")
 def l13(spark, sf_dir):
-    return _day(logs.usage_report(_log(spark, sf_dir)))
+    """Odd callers are signed in; requests beyond a limit don't count, and the pool has a row of its own."""
+    log = _crowded(_log(spark, sf_dir)).withColumn("signed_in", F.col("caller") % 2 == 1)
+    return _day(logs.usage_report(logs.admission(log), log.select("caller", "signed_in").distinct(), logs.daily_ceiling(log)))
 
 
 @query("L14_cache_lookup", _log_sql(""", entries AS (SELECT CASE WHEN k % 9 = 0 THEN 'e0:' WHEN k % 4 = 0 THEN 'e1:old ' ELSE 'e1:' END || question AS key, min(ts) AS written_at

@@ -101,6 +101,19 @@ def test_admission_counts_only_admitted(spark):
     assert got == want and {s for _, s in want.values()} == {None, "minute", "day"}
 
 
+def test_pool_counts_allowed_calls_only(spark):
+    """Beyond the day's ceiling a call takes nothing from its minute; the report counts admitted work and has the pool."""
+    start = datetime(2024, 1, 1, 12, 0)
+    rows = [(i, 7, start + timedelta(seconds=20 * i), True) for i in range(8)]  # three calls a minute
+    log = spark.createDataFrame(rows, "log_id long, caller long, ts timestamp, llm_called boolean")
+    params = logs.LogParams(daily_calls=4, calls_per_minute=4, spare_calls=3, per_day=5)
+    got = [(r.log_id, r.allowed, r.spent_in_minute, r.may_escalate) for r in logs.daily_ceiling(log, params).orderBy("log_id").collect()]
+    assert got == [(0, True, 1, True), (1, True, 2, True), (2, True, 3, False), (3, True, 1, True), (4, False, 1, False), (5, False, 1, False), (6, False, 0, False), (7, False, 0, False)]
+    asked = log.withColumn("signed_in", F.lit(False))
+    report = logs.usage_report(logs.admission(asked, params), spark.createDataFrame([(7, False)], "caller long, signed_in boolean"), logs.daily_ceiling(log, params), params)
+    assert sorted(((r.caller or 0, r.used, r.limit, r.remaining) for r in report.collect())) == [(0, 4, 4, 0), (7, 5, 5, 0)]
+
+
 def test_delta_and_rollback_round_trip(spark):
     schema = "chunk_id string, source_id string, text string"
     before = spark.createDataFrame([("a:1", "a", "x"), ("a:2", "a", "y"), ("b:1", "b", None)], schema)
