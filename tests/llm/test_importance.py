@@ -61,7 +61,7 @@ def rows():
 
 @pytest.mark.parametrize("most, part", [(1, None), (3, 1 << 16)])
 def test_importance(spark, rows, most, part, monkeypatch):
-    if part:  # workers start afresh in local mode only when the code they get differs, so the parts are tried here
+    if part:  # workers don't see the patched size, so the parts of a long text are compared with the whole here
         monkeypatch.setattr(importance, "_PART", part)
         data = np.frombuffer(rows[157][1].encode(), dtype=np.uint8)
         cut, whole = [], importance._features(data, np.array([0, len(data)]), 0, ImportanceParams(most=most))
