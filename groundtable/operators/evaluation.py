@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,14 +76,91 @@ def publish_decision(audit: DataFrame, routing: DataFrame) -> DataFrame:
     )
 
 
+def _kind(value: Column) -> Column:
+    """The JSON type of a variant: OBJECT, ARRAY, STRING, BOOLEAN, ...; null where there is no such field."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _field(body: Column, name: str, kind: str) -> Column:
+    """A field of a variant, null where it has another JSON type: "true" is no truth value, 5 no text."""
+    value = F.try_variant_get(body, f"$.{name}", "variant")
+    return F.when(_kind(value) == {"string": "STRING", "boolean": "BOOLEAN"}[kind], F.try_variant_get(body, f"$.{name}", kind))
+
+
+def typed_frames(frames: DataFrame) -> DataFrame:
+    """The frames that count, with ``t``, the text of token and beyond frames, and ``body``, the JSON of the others.
+
+    ``data`` is JSON; a frame counts if that is an object or an array, whatever its event.
+    """
+    body = F.try_parse_json("data")
+    held = frames.withColumn("_body", body).where(_kind(F.col("_body")).isin("OBJECT", "ARRAY"))
+    spoken = F.col("event").isin("token", "beyond")
+    return held.withColumn("t", F.when(spoken, _field(F.col("_body"), "t", "string"))).withColumn(
+        "body", F.when(~spoken, F.to_json("_body"))
+    ).drop("_body", "data")
+
+
+def response_fields(folded: DataFrame) -> DataFrame:
+    """The columns of a response from its last meta and degrade frames' JSON.
+
+    ``folded`` has response_id, answer, beyond, evidence and events (arrays), meta, degrade, error and complete.  Without
+    a meta frame, as with one that lacks the field or has it in another type, lists are empty, ``refused`` is
+    false, and ``private_context`` and ``cached`` are null.
+    """
+    meta, degrade = F.parse_json("meta"), F.parse_json("degrade")
+
+    def listed(name: str) -> Column:
+        return F.coalesce(F.transform(F.when(_kind(F.try_variant_get(meta, f"$.{name}", "variant")) == "ARRAY", F.try_variant_get(meta, f"$.{name}", "array<variant>")), lambda v: F.to_json(v)), F.array().cast("array<string>"))
+
+    reason = F.try_variant_get(degrade, "$.reason", "string")
+    return folded.select(
+        "response_id", "answer", "beyond", listed("citations").alias("citations"), listed("excerpts").alias("excerpts"), "evidence",
+        "complete", F.col("degrade").isNotNull().alias("degraded"),
+        F.when(F.col("degrade").isNotNull(), F.when(F.coalesce(reason, F.lit("")).isin("", "0", "false"), "unknown").otherwise(reason)).alias("degrade_reason"),
+        F.when(F.col("degrade").isNotNull(), F.coalesce(_field(degrade, "answerMd", "string"), F.lit(""))).alias("fallback_answer"),
+        F.coalesce(_field(meta, "refused", "boolean"), F.lit(False)).alias("refused"),
+        _field(meta, "privateContext", "boolean").alias("private_context"), _field(meta, "cached", "boolean").alias("cached"),
+        F.when(_kind(F.try_variant_get(meta, "$.tutor", "variant")).isin("OBJECT", "ARRAY"), F.to_json(F.try_variant_get(meta, "$.tutor", "variant"))).alias("tutor"),
+        "error", "events",
+    )
+
+
+STREAM_ERROR = "stream-error"  # fixed value: what an error frame leaves
+
+
 def assemble_frames(frames: DataFrame) -> DataFrame:
-    """E5: (response_id, seq, event, data) frames to one row per response."""
-    piece = F.when(F.col("event") == "token", F.struct("seq", "data"))
-    return frames.groupBy("response_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["data"]), "").alias("answer"),
-        F.bool_or(F.col("event") == "done").alias("complete"),
-        F.max_by(F.when(F.col("event") == "meta", F.col("data")), F.when(F.col("event") == "meta", F.col("seq"))).alias("meta"),
-        F.count("*").alias("frames"),
+    """E5: (response_id, seq, event, data) frames to one row per response, as :func:`response_fields` lists them.
+
+    Texts and evidence follow ``seq``; of several meta or degrade frames the last one counts.  A response
+    whose frames all lack a JSON object has a row without content.
+    """
+    def joined(event: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event") == event, F.struct("seq", "t")))), lambda p: p["t"]), "")
+
+    def last(event: str) -> Column:
+        return F.max_by(F.when(F.col("event") == event, F.col("body")), F.when(F.col("event") == event, F.col("seq")))
+
+    folded = typed_frames(frames).groupBy("response_id").agg(
+        joined("token").alias("answer"), joined("beyond").alias("beyond"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("event") == "evidence", F.struct("seq", "body")))), lambda p: p["body"]).alias("evidence"),
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "event"))), lambda p: p["event"]).alias("events"),
+        last("meta").alias("meta"), last("degrade").alias("degrade"),
+        F.max(F.when(F.col("event") == "error", STREAM_ERROR)).alias("error"), F.bool_or(F.col("event") == "done").alias("complete"),
+    )
+    blank, none = F.lit(""), F.array().cast("array<string>")
+    whole = frames.select("response_id").distinct().join(folded, "response_id", "left").select(
+        "response_id", F.coalesce("answer", blank).alias("answer"), F.coalesce("beyond", blank).alias("beyond"), F.coalesce("evidence", none).alias("evidence"),
+        F.coalesce("events", none).alias("events"), "meta", "degrade", "error", F.coalesce("complete", F.lit(False)).alias("complete"),
+    )
+    return response_fields(whole)
+
+
+def recorded_responses(responses: DataFrame) -> DataFrame:
+    """Assembled responses as :func:`structural_checks` takes them; each is asked for citations."""
+    return responses.select(
+        F.col("response_id").alias("case_id"), F.lit("done").alias("status"), "error", "complete", "degraded", "degrade_reason", "refused",
+        F.col("private_context").alias("private"), "cached", "answer", F.lit(True).alias("required"),
+        F.transform("citations", lambda c: F.get_json_object(c, "$.n").cast("int")).alias("cited"),
     )
 
 

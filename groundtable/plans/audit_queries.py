@@ -301,16 +301,55 @@ def e4(spark, sf_dir):
     return evaluation.publish_decision(evaluation.gate_audit(gated(spark, sf_dir), _truth(spark, sf_dir)), _routing(spark, sf_dir))
 
 
-def frames(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    event = F.when(F.col("role") == "user", "meta").when(F.col("role") == "assistant", "token").otherwise("done")
-    return turns.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), event.alias("event"), F.col("text").alias("data"))
+def frames(turns):
+    """Frames of conversations: a user's turn is meta, an assistant's text or what lies beyond, and the last turn ends it."""
+    n, turn = F.col("conv_id"), F.col("turn")
+    text = F.to_json(F.struct(F.col("text").alias("t")))
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    flag = lambda c: F.when(c, "true").otherwise("false")
+    cited = F.when(n % 7 == 0, '"none"').otherwise(put('[{"n":', turn + 1, '},{"n":', turn + 2, "}]"))
+    meta = put('{"citations":', cited, ',"excerpts":[', turn, '],"refused":', F.when(n % 5 == 0, '"true"').otherwise(flag(n % 31 == 0)), ',"privateContext":', F.when(n % 3 == 0, "null").otherwise(flag(n % 19 != 0)),
+               ',"cached":', F.when(n % 4 == 0, "0").otherwise(flag(n % 23 == 0)), F.when(n % 6 == 0, put(',"tutor":{"step":', turn, "}")).otherwise(""), "}")
+    frame = lambda event, data: F.struct(F.lit(event).alias("event"), data.alias("data"))
+    made = F.array_compact(F.array(
+        F.when(F.col("role") == "user", frame("meta", meta)),
+        F.when((F.col("role") == "assistant") & (turn % 4 != 3), frame("token", text)), F.when((F.col("role") == "assistant") & (turn % 4 == 3), frame("beyond", text)),
+        F.when(F.col("role") == "system", frame("token", F.lit('{"t":5}'))),
+        F.when(turn % 2 == 1, frame("evidence", put('{"claim":', turn, "}"))),
+        F.when((n % 17 == 0) & (turn == 1), frame("degrade", F.when(n % 2 == 0, '{"reason":"ceiling","answerMd":"Sources."}').otherwise('{"reason":"","answerMd":7}'))),
+        F.when((n % 29 == 0) & (turn == 1), frame("error", F.lit("{}"))), F.when(turn == 1, frame("token", F.lit("not JSON"))),
+        F.when((turn == 1) & (n % 13 != 0), frame("done", F.lit("{}"))),
+    ))
+    at = F.when(F.col("frame.event") == "done", 1_000_000).otherwise(F.col("turn") * 10 + F.col("place"))
+    kept = [c for c in turns.columns if c == "ts"]
+    return turns.select(n.alias("response_id"), turn.alias("turn"), *kept, F.posexplode(made).alias("place", "frame")).select(
+        "response_id", at.cast("long").alias("seq"), *kept, "frame.event", "frame.data"
+    )
+
+
+# The rows of E5 as the frames' rule gives them; ``lapsed`` says that T6 gives the response up unfinished.
+FRAMES_SQL = """turned AS (SELECT conv_id AS n, turn, text, role, max(conv_id * 60 + turn) OVER () - 600 > max(conv_id * 60 + turn) OVER (PARTITION BY conv_id) + 60 AS lapsed,
+    concat_ws(' ', CASE role WHEN 'user' THEN 'meta' WHEN 'assistant' THEN CASE WHEN turn % 4 = 3 THEN 'beyond' ELSE 'token' END WHEN 'system' THEN 'token' END, CASE WHEN turn % 2 = 1 THEN 'evidence' END,
+      CASE WHEN conv_id % 17 = 0 AND turn = 1 THEN 'degrade' END, CASE WHEN conv_id % 29 = 0 AND turn = 1 THEN 'error' END) AS said FROM conversations),
+  heard AS (SELECT n, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant' AND turn % 4 <> 3), '') AS answer, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant' AND turn % 4 = 3), '') AS beyond,
+    coalesce(string_agg('{"claim":' || turn || '}', ' ' ORDER BY turn) FILTER (turn % 2 = 1), '') AS evidence, string_agg(said, ' ' ORDER BY turn) FILTER (said <> '') AS said, max(turn) FILTER (role = 'user') AS meta,
+    bool_or(turn = 1) AS first, bool_or(lapsed) AS lapsed FROM turned GROUP BY n),
+  responses AS (SELECT n AS response_id, answer, beyond, CASE WHEN meta IS NULL OR n % 7 = 0 THEN '' ELSE '{"n":' || (meta + 1) || '} {"n":' || (meta + 2) || '}' END AS citations, coalesce(meta::VARCHAR, '') AS excerpts, evidence,
+    first AND n % 13 <> 0 AS complete, first AND n % 17 = 0 AS degraded, CASE WHEN first AND n % 17 = 0 THEN CASE WHEN n % 2 = 0 THEN 'ceiling' ELSE 'unknown' END END AS degrade_reason,
+    CASE WHEN first AND n % 17 = 0 THEN CASE WHEN n % 2 = 0 THEN 'Sources.' ELSE '' END END AS fallback_answer, meta IS NOT NULL AND n % 5 <> 0 AND n % 31 = 0 AS refused,
+    CASE WHEN meta IS NOT NULL AND n % 3 <> 0 THEN n % 19 <> 0 END AS private_context, CASE WHEN meta IS NOT NULL AND n % 4 <> 0 THEN n % 23 = 0 END AS cached,
+    CASE WHEN meta IS NOT NULL AND n % 6 = 0 THEN '{"step":' || meta || '}' END AS tutor, CASE WHEN first AND n % 29 = 0 THEN 'stream-error' END AS error,
+    concat_ws(' ', said, CASE WHEN first AND n % 13 <> 0 THEN 'done' END) AS events, lapsed FROM heard)"""
+
 
+def plain_lists(responses):
+    """Lists as text, so that results can be compared."""
+    return responses.withColumns({c: F.array_join(c, " ") for c in ("citations", "excerpts", "evidence", "events")})
 
-@query("E5_frames", """SELECT conv_id AS response_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS answer, bool_or(role NOT IN ('user', 'assistant')) AS complete,
-  arg_max(text, turn) FILTER (role = 'user') AS meta, count(*) AS frames FROM conversations GROUP BY conv_id""")
+
+@query("E5_frames", f"WITH {FRAMES_SQL} SELECT * EXCLUDE (lapsed) FROM responses")
 def e5(spark, sf_dir):
-    return evaluation.assemble_frames(frames(spark, sf_dir))
+    return plain_lists(evaluation.assemble_frames(frames(table(spark, sf_dir, "conversations"))))
 
 
 _SAY = {k: v.replace("'", "''") for k, v in evaluation.FAILURES.items()}
@@ -339,6 +378,15 @@ def e6(spark, sf_dir):
     return _checked(spark, sf_dir).withColumn("failures", F.array_join("failures", " "))
 
 
+@query("E6_streamed_checks", rf"""WITH {FRAMES_SQL}, streamed AS (SELECT response_id, list_filter([CASE WHEN NOT coalesce(private_context, true) OR coalesce(cached, false) THEN '{_SAY["shared"]}' END, error,
+    CASE WHEN NOT complete THEN '{_SAY["incomplete"]}' END, CASE WHEN degraded THEN 'Source-only fallback (' || degrade_reason || ').' END, CASE WHEN refused THEN '{_SAY["refused"]}' END,
+    CASE WHEN trim(regexp_replace(answer, '\s+', ' ', 'g')) = '' THEN '{_SAY["empty"]}' END, CASE WHEN citations = '' THEN '{_SAY["uncited"]}' END], lambda x: x IS NOT NULL) AS failures FROM responses)
+  SELECT response_id AS case_id, CASE WHEN len(failures) > 0 THEN 'failed' ELSE 'ready-for-review' END AS status, array_to_string(failures, ' ') AS failures FROM streamed""")
+def e6_streamed(spark, sf_dir):
+    responses = evaluation.assemble_frames(frames(table(spark, sf_dir, "conversations")))
+    return evaluation.structural_checks(evaluation.recorded_responses(responses)).withColumn("failures", F.array_join("failures", " "))
+
+
 _SCORED = f"""{_CHECKED}, judged AS (SELECT doc_id * 10 + 1 AS case_id, CASE WHEN doc_id % 2 = 0 THEN 'human' ELSE 'model' END AS reviewer_type, 1 + quality * 2 + (toxic = 0)::INT AS correctness,
     2 + quality AS usefulness, 3 AS citation_support FROM labels),
 scored AS (SELECT c.case_id, CASE WHEN status <> 'ready-for-review' THEN status WHEN reviewer_type IS NULL THEN 'awaiting-human-review'

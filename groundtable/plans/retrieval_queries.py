@@ -655,6 +655,13 @@ def v8(spark, sf_dir):
     return _round(vectors.approximate_top(all_rows.where("id % 100 = 0"), all_rows, 10), "score")
 
 
+@query("V8_all_lists", _top_sql(False))
+def v8_all(spark, sf_dir):
+    """A store of 16 lists with every list probed finds what the exact search finds."""
+    all_rows = spill(_vectors(spark, sf_dir), "unit-vectors")
+    return _round(vectors.approximate_top(all_rows.where("id % 100 = 0"), all_rows, 10, lists=16, probes=16), "score")
+
+
 @query("L8_section_summary", rf"""WITH {CHUNKS_SQL} SELECT source_id, page_title, count(*) AS sections, CAST(sum(char_len) AS BIGINT) AS chars, min(ordinal) AS first_ordinal,
   bool_or(regexp_matches(page_title, '(?i)\b(game|season)\b')) AS game_published FROM chunks GROUP BY ALL""")
 def l8(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundtable.operators import keyword, logs
-from groundtable.plans.audit_queries import LINES_SQL, MARKED_SQL, marked_answers
+from groundtable.plans.audit_queries import FRAMES_SQL, LINES_SQL, MARKED_SQL, frames, marked_answers, plain_lists
 from groundtable.plans.log_queries import ADMISSION_SQL, _LEDGER_SQL, _day, _moment, _usage_columns
 from groundtable.plans.registry import query, table
 from groundtable.plans.shared import shared_path
@@ -54,14 +54,11 @@ def t5(spark, sf_dir):
     return _moment(streams.drain(streams.live_digest(_log(spark, sf_dir)), "t5"), "start", "end")
 
 
-@query("T6_frame_assembly", """SELECT conv_id AS response_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS answer, true AS complete
-  FROM conversations GROUP BY conv_id HAVING bool_or(role NOT IN ('user', 'assistant'))""")
+@query("T6_frame_assembly", f"WITH {FRAMES_SQL} SELECT * EXCLUDE (lapsed) FROM responses WHERE complete OR lapsed")
 def t6(spark, sf_dir):
-    turns = streams.read_stream(spark, sf_dir, "conversations")
-    event = F.when(F.col("role") == "user", "meta").when(F.col("role") == "assistant", "token").otherwise("done")
-    frames = turns.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), event.alias("event"), F.col("text").alias("data"),
-                          F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")).alias("ts"))
-    return streams.drain(streams.frame_assembly(frames), "t6").where("complete")
+    """Finished responses, and unfinished ones that event time has left behind."""
+    turns = streams.read_stream(spark, sf_dir, "conversations").withColumn("ts", F.timestamp_seconds((F.col("conv_id") + 1) * 60 + F.col("turn")))
+    return plain_lists(streams.drain(streams.frame_assembly(frames(turns)), "t6"))
 
 
 @query("T6_split_stream", f"WITH {LINES_SQL}, {MARKED_SQL} SELECT answer_id AS response_id, grounded, beyond FROM split")

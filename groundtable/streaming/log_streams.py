@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from groundtable.operators.evaluation import STREAM_ERROR, response_fields, typed_frames
 from groundtable.operators.logs import DEFAULTS, LogParams
 from groundtable.operators.publication import delta
 from groundtable.plans.shared import shared_path, spill
@@ -119,29 +120,41 @@ def live_digest(log: DataFrame, width: str = "7 days", slide: str = "1 day", lat
 
 
 def frame_assembly(frames: DataFrame, wait_ms: int = 60_000) -> DataFrame:
-    """A response is emitted when its ``done`` frame comes, or incomplete once event time (``ts``)
+    """E5 live; a response is emitted when its ``done`` frame comes, or incomplete once event time (``ts``)
     is ``wait_ms`` past its last frame.
 
-    State holds the text so far; frames of one response arrive in order of ``seq`` within a batch.
+    Frames are typed by column expressions before the fold, and a response's fields are read after it, by the
+    expressions of E5; state holds the texts, evidence and events so far and the last meta and degrade frames.
+    Frames of one response arrive in order of ``seq`` within a batch.
     """
+    columns = ["answer", "beyond", "evidence", "events", "meta", "degrade", "error", "complete"]
+    kinds = "answer string, beyond string, evidence array<string>, events array<string>, meta string, degrade string, error string, complete boolean"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, done = state.get if state.exists else ("", False)
+        answer, beyond, evidence, events, meta, degrade, error, done = state.get if state.exists else ("", "", [], [], None, None, None, False)
+        evidence, events = list(evidence), list(events)
         if not state.hasTimedOut:
             rows = pd.concat(list(parts)).sort_values("seq")
-            text += "".join(rows.loc[rows["event"] == "token", "data"])
-            done = done or bool((rows["event"] == "done").any())
+            of = {event: found for event, found in rows.groupby("event")}
+            text = lambda event: "".join(of[event]["t"].dropna()) if event in of else ""
+            last = lambda event, before: of[event]["body"].iloc[-1] if event in of else before
+            answer, beyond = answer + text("token"), beyond + text("beyond")
+            evidence += list(of["evidence"]["body"]) if "evidence" in of else []
+            events += list(rows["event"])
+            meta, degrade = last("meta", meta), last("degrade", degrade)
+            error, done = STREAM_ERROR if "error" in of else error, done or "done" in of
+        folded = (answer, beyond, evidence, events, meta, degrade, error, done)
         if done or state.hasTimedOut:
             if state.exists:
                 state.remove()
-            yield pd.DataFrame({"response_id": [key[0]], "answer": [text], "complete": [done]})
+            yield pd.DataFrame([(key[0], *folded)], columns=["response_id", *columns])
         else:
-            state.update((text, done))
+            state.update(folded)
             state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + wait_ms)
 
-    return frames.withWatermark("ts", LATE).groupBy("response_id").applyInPandasWithState(
-        step, "response_id long, answer string, complete boolean", "text string, done boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    typed = typed_frames(frames.withWatermark("ts", LATE)).select("response_id", "ts", "seq", "event", "t", "body")
+    folded = typed.groupBy("response_id").applyInPandasWithState(step, f"response_id long, {kinds}", kinds, "append", GroupStateTimeout.EventTimeTimeout)
+    return response_fields(folded)
 
 
 def current(spark: SparkSession, path: str, kind: str, before: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import unicodedata
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -264,6 +265,45 @@ def test_approximate_search_recall(spark):
         assert {i for query, i in exact if query == q} == set(order)
 
 
+def test_search_reads_probed_lists_only(spark, tmp_path):
+    """Every list that no query probes is made unreadable; the search still gives the same rows."""
+    rng = random.Random(6)
+    rows = [(f"v{i}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "id string, raw array<double>").select("id", vectors.unit(F.col("raw")).alias("vector"))
+    path = str(tmp_path)
+    vectors.store_lists(table, path, lists=10)
+    asked = table.where("id IN ('v7', 'v8')")
+    found = lambda: sorted(map(tuple, vectors.search_lists(asked, path, 5, probes=2).collect()))
+    before = found()
+    centres = {r.list: r.centre for r in spark.read.parquet(f"{path}/centres").collect()}
+    probed = set()
+    for r in asked.collect():
+        probed |= set(sorted(centres, key=lambda i: -sum(a * b for a, b in zip(centres[i], r.vector)))[:2])
+    assert len(before) == 10 and 0 < len(probed) < 10
+    spoilt = [f for i in set(centres) - probed for f in (tmp_path / "lists" / f"list={i}").glob("*.parquet")]
+    for file in spoilt:
+        file.write_bytes(b"spoilt")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert len(spoilt) >= 6 and found() == before
+    with pytest.raises(Exception):
+        vectors.search_lists(asked, path, 5, probes=10).collect()
+
+
+def test_best_of_many_queries_in_bounded_steps(spark, monkeypatch):
+    """Scores made a few at a time, ids of text, and ties that go to the smaller id."""
+    monkeypatch.setattr(vectors, "CELLS", 64)
+    rng = random.Random(7)
+    best, ids = vectors._Best(30, 3), np.array([f"v{i:03d}" for i in range(90)], dtype=object)
+    scores = np.array([[rng.choice([0.1, 0.2, 0.3, 0.3 + 1e-12]) for _ in ids] for _ in range(30)])
+    for first in range(0, 90, 40):
+        best.offer(np.arange(30), scores[:, first : first + 40], ids[first : first + 40])
+    for row in range(30):
+        assert best.ids[row].tolist() == sorted(ids, key=lambda v: (-round(scores[row][int(v[1:])], 9), v))[:3]
+    rows = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.6, 0.8]) for i in range(60)], "id long, vector array<double>")
+    found = vectors.cosine_top(rows, rows, 3, block_bytes=160).collect()
+    assert len(found) == 180 and all(r.id == (2 * r["rank"] - 1 if r.query_id % 2 else 2 * r["rank"] - 2) for r in found)
+
+
 def test_stems(spark):
     """Known pairs of the public suffix-stripping algorithm."""
     pairs = dict(

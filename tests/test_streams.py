@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 from test_operators import REQUESTS, admit_by_hand, crowded_requests
 
-from groundtable.operators import audit, keyword
+from groundtable.operators import audit, evaluation, keyword
 from groundtable.sources import corpus
 from groundtable.streaming import log_streams as streams
 from groundtable.streaming.answer_split import AnswerSplitter, split_stream
@@ -106,3 +106,34 @@ def test_split_stream_over_batches(spark, tmp_path):
         want = {"grounded": "", "beyond": ""} | dict(splitter(text))
         assert got.get(i, {"grounded": "", "beyond": ""}) == want, text
     assert got[99]["grounded"] == "later"
+
+
+FRAMES = [
+    (1, 0, "meta", '{"citations":[{"n":3}],"refused":true,"cached":false}'), (1, 1, "token", '{"t":"a "}'), (1, 2, "token", '{"t":5}'), (1, 3, "beyond", '{"t":"out"}'), (1, 4, "evidence", '{"x":1}'),
+    (1, 5, "meta", '{"citations":"none","privateContext":false,"tutor":{"s":1}}'), (1, 6, "token", '{"t":"b\u00e9"}'), (1, 7, "token", "null"), (1, 8, "token", "broken {"), (1, 9, "note", "[]"), (1, 10, "done", "{}"),
+    (2, 0, "degrade", '{"reason":"","answerMd":3}'), (2, 1, "degrade", '{"reason":"busy","answerMd":"S"}'), (2, 2, "error", "{}"), (2, 3, "evidence", '{"x":2}'), (2, 4, "evidence", '{"x":3}'),
+    (3, 0, "degrade", '{"answerMd":3}'), (3, 1, "done", "0"), (3, 2, "meta", '{"citations":[1,{"n":2}],"excerpts":[],"refused":"true","cached":1,"tutor":null}'),
+]
+
+
+def test_frames_assemble_alike_in_batches_and_at_once(spark, tmp_path):
+    """E5 over all frames, T6 over batches of every third frame; unfinished responses lapse."""
+    start = datetime(2024, 1, 1)
+    schema = "response_id long, seq long, event string, data string, ts timestamp"
+    rows = [(*f, start + timedelta(seconds=f[1])) for f in FRAMES]
+    by_seq = sorted(rows, key=lambda r: r[1])
+    late = [[(9, 0, "done", "{}", start + timedelta(hours=h))] for h in (2, 4)]
+    for part in (by_seq[:5], by_seq[5:12], by_seq[12:], *late):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live = {r.response_id: r for r in streams.drain(streams.frame_assembly(stream), "t6").collect()}
+    whole = {r.response_id: r for r in evaluation.assemble_frames(spark.createDataFrame(rows, schema)).collect()}
+    assert {i: live[i] for i in (1, 2, 3)} == whole
+    one, two, three = whole[1], whole[2], whole[3]
+    assert (one.answer, one.beyond, one.citations, one.evidence, one.tutor) == ("a bé", "out", [], ['{"x":1}'], '{"s":1}')
+    assert (one.complete, one.refused, one.private_context, one.cached, one.degraded, one.degrade_reason) == (True, False, False, None, False, None)
+    assert one.events == ["meta", "token", "token", "beyond", "evidence", "meta", "token", "note", "done"]
+    assert (two.degraded, two.degrade_reason, two.fallback_answer, two.error, two.complete, two.evidence) == (True, "busy", "S", "stream-error", False, ['{"x":2}', '{"x":3}'])
+    assert (three.degrade_reason, three.fallback_answer, three.complete, three.citations, three.refused, three.cached, three.tutor) == ("unknown", "", False, ["1", '{"n":2}'], False, None, None)
+    checks = {r.case_id: r.failures for r in evaluation.structural_checks(evaluation.recorded_responses(evaluation.assemble_frames(spark.createDataFrame(rows, schema)))).collect()}
+    assert "stream-error" in checks[2] and "Source-only fallback (busy)." in checks[2] and "Required citations are absent." not in checks[3]
