@@ -17,7 +17,9 @@ towards prior weights, for marks that the sample does not show.
 Some evidence is not learnt.  An element that is not shown (``hidden``, ``aria-hidden``, an invisible
 style) and a raw-text one is boilerplate with all within it.  An element whose class, id or role as a whole
 names an advert, menu, comment list or the like is so too, unless it is or holds an ``article`` or ``main``
-element.  A word within a longer name (``has-comments``, ``social-science``) is weak evidence only.
+element.  Names of parts that an article may have too (``header``, ``search-text``) say so within an ``article`` or
+``main`` only where the element holds neither a top heading nor sentences outside links.  A word within a longer
+name (``has-comments``, ``social-science``) is weak evidence, and none on an element that so speaks.
 The header of an article is part of it; a page's header is not.
 
 * Null html counts as empty; a page without text gives the empty string.
@@ -67,6 +69,8 @@ PLAIN_WORDS = set(  # say nothing by themselves, so a name made of these and of
     "button buttons icon icons main primary secondary global posts articles stories content body row col column columns group panel region holder thread title heading "
     "google mobile desktop sticky fixed small large big wide and the this to or of on in for us by with s".split()
 )
+# Within an article these name parts of it as well as boilerplate, so what the element holds decides.
+EITHER_WORDS = set("header masthead search social related alert reply replies respond login skip promotion".split())
 CONTENT_WORDS = set("content article post entry body story text prose".split())
 _NAME = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"[.!?。！？]")
@@ -108,6 +112,26 @@ def named(marks: str) -> tuple[bool, bool, bool]:
     return whole and not content, part, content
 
 
+@lru_cache(maxsize=20_000)
+def either(marks: str) -> bool:
+    """Whether all boilerplate words of a name may also name a part of an article."""
+    return set(_NAME.findall(marks)) & BOILERPLATE_WORDS <= EITHER_WORDS
+
+
+def _speaks(tree: Tree) -> np.ndarray:
+    """Elements that hold a top heading, or sentences of which less than half is links."""
+    size = len(tree.tags)
+    stops, whole, linked = np.zeros(size), np.zeros(size), np.array(tree.linked, dtype=float)
+    titled = np.array([t == "h1" for t in tree.tags])
+    for element, _, run in tree.texts:
+        stops[element] += len(_STOP.findall(run))
+        whole[element] += len(run.strip())
+    for i in range(size - 1, 0, -1):
+        p = tree.parents[i]
+        stops[p], whole[p], linked[p], titled[p] = stops[p] + stops[i], whole[p] + whole[i], linked[p] + linked[i], titled[p] | titled[i]
+    return titled | ((stops > 0) & (linked < whole / 2))
+
+
 def _heads(tree: Tree) -> list[bool]:
     """Which elements are the header of an article, so part of it."""
     within = [False] * len(tree.tags)
@@ -124,9 +148,17 @@ def _certain(tree: Tree) -> np.ndarray:
     holds = np.array([t in ("article", "main", "html", "body", "#root") for t in tree.tags])
     for i in range(size - 1, 0, -1):
         holds[tree.parents[i]] |= holds[i]
-    out = np.zeros(size, dtype=bool)
+    out, within, speaks = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool), None
     for i in range(1, size):
-        out[i] = out[tree.parents[i]] or tree.hidden[i] or tree.tags[i] in RAW_TEXT or (not holds[i] and tree.marks[i] != "" and named(tree.marks[i])[0])
+        within[i] = within[tree.parents[i]] or tree.tags[tree.parents[i]] in ("article", "main")
+        out[i] = out[tree.parents[i]] or tree.hidden[i] or tree.tags[i] in RAW_TEXT
+        if out[i] or holds[i] or not tree.marks[i] or not named(tree.marks[i])[0]:
+            continue
+        if within[i] and either(tree.marks[i]):
+            speaks = _speaks(tree) if speaks is None else speaks
+            out[i] = not speaks[i]
+        else:
+            out[i] = True
     return out
 
 
@@ -145,14 +177,15 @@ def _features(tree: Tree) -> np.ndarray:
         whole[p] += whole[i]
         linked[p] += linked[i]
         paragraphs[p] += paragraphs[i]
-    heads = _heads(tree)
+    heads, speaks = _heads(tree), _speaks(tree)
     groups = [GROUP_OF["section"] if head else GROUP_OF.get(t, len(GROUPS) - 1) for t, head in zip(tree.tags, heads)]
     out[np.arange(size), groups] = 1
     at = len(GROUPS)
     for i in range(1, size):
         p, tag = tree.parents[i], tree.tags[i]
         if tree.marks[i] and tag not in ("article", "main", "html", "body"):
-            _, out[i, at], out[i, at + 1] = named(tree.marks[i])
+            whole_name, part, out[i, at + 1] = named(tree.marks[i])
+            out[i, at] = part and (whole_name or not speaks[i])
         over = tree.tags[p]
         out[i, at + 9] = max(out[p, at + 9], over in OUTSIDE or (over == "header" and not heads[p]))
         out[i, at + 10] = max(out[p, at + 10], over in ("article", "main"))

@@ -137,6 +137,23 @@ def test_extraction_cases_and_enumeration(spark):
     assert len(small) >= 6 and [_extract([parse(p)], model)[0] for p in small] == [_plain(p, model) for p in small]
 
 
+def test_names_that_an_article_has_too(spark):
+    """Names that point both ways cost no article text, and still mark boilerplate."""
+    pages = [(i, "u", PAGE.format(tag, i)) for i, tag in enumerate(["article", "main"] * 6)]
+    model = train_extractor(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    body = "<html><body><nav><a href=a>Home</a></nav>%s<footer>&copy; 2024</footer></body></html>"
+    long = "A full paragraph of the article. It has two sentences."
+    cases = {
+        f'<main><p class="search-text">{long}</p><p>Another one, with more. And more.</p></main>': f"{long}\nAnother one, with more. And more.",
+        f'<div class="social-science"><h1>T</h1><p>{long}</p></div>': f"T\n{long}",
+        f'<div class="comment-policy"><h1>T</h1><p>{long}</p></div>': f"T\n{long}",
+        f'<article><div class="header"><h1>Real Title</h1></div><p>{long}</p></article>': f"Real Title\n{long}",
+        f'<article><h1>T</h1><p>{long}</p><div class="social"><a href=b>Share this.</a></div><div class="search"><a href=c>Find</a></div></article>': f"T\n{long}",
+        f'<article><h1>T</h1><p>{long}</p><div class="comments"><p>I agree. It is so.</p></div><p class="advert">Buy now. It is cheap.</p></article>': f"T\n{long}",
+    }
+    assert _extract([parse(body % c) for c in cases], model) == list(cases.values())
+
+
 def test_extraction(spark):
     rows = [(i, f"u{i}", PAGE.format("article", i)) for i in range(40)] + [(90, "u", None), (91, None, ""), (92, "u", "<p>unclosed <i>text")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'y' AS text", "1 AS id")
