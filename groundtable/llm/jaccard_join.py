@@ -124,7 +124,10 @@ def _profile(words: int):
     names = ["kind", "id", "n", "high", "low"]
 
     def common(sets: list[np.ndarray]) -> pa.RecordBatch:
-        entries = np.sort(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
+        """Shingles of at least three of these sets, which are let go."""
+        entries = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+        sets.clear()
+        entries.sort()
         first = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1]])) if len(entries) else np.zeros(0, np.int64)
         counts = np.diff(np.append(first, len(entries)))
         often = counts >= 3
@@ -148,9 +151,10 @@ def _profile(words: int):
             )
             held += sets
             size += sum(len(x) for x in sets)
-            if size >= 4_000_000:
+            del sets
+            if size >= 2_000_000:
                 yield common(held)
-                held, size = [], 0
+                size = 0
         yield common(held)
 
     return profile
