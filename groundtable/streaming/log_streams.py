@@ -45,35 +45,39 @@ def _hours_on(state: GroupState, micros: int, hours: int) -> None:
     state.setTimeoutTimestamp(max(int(micros) // 1000, state.getCurrentWatermarkMs()) + hours * 3_600_000)
 
 
-def admission_stream(requests: DataFrame, params: LogParams = DEFAULTS) -> DataFrame:
-    """Admission with the minute's and the day's counts kept as state per caller and day.
+def admission_stream(requests: DataFrame, params: LogParams = DEFAULTS, buckets: int = 64) -> DataFrame:
+    """Admission with the minute's and the day's counts of each caller kept as state.
 
-    Requests of a batch are taken in time order; those of an earlier batch came first.  A task gathers four
-    values for each request of one caller, day and batch.  The state is dropped when event time is 25 hours
-    past its last request.
+    Requests of a batch are taken in time order; those of an earlier batch came first.  State is kept per day and
+    bucket of callers, because a group costs far more than a request: a task gathers four values for each
+    request of one bucket, day and batch.  The state is dropped when event time is 25 hours past its last request.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        minute, in_minute, in_day = state.get if state.exists else (-1, 0, 0)
+        counts = {c: seen for c, *seen in zip(*state.get)} if state.exists else {}
         rows, admitted = pd.concat(list(frames)).sort_values(["micros", "log_id"]), []
-        for micros, signed_in in zip(rows["micros"], rows["signed_in"]):
+        for caller, micros, signed_in in zip(rows["caller"], rows["micros"].tolist(), rows["signed_in"].tolist()):
+            minute, in_minute, in_day = counts.get(caller, (-1, 0, 0))
             this = int(micros) // 60_000_000
             in_minute = in_minute if this == minute else 0
-            minute = this
             ok = in_minute < params.per_minute and in_day < (params.per_day_signed_in if signed_in else params.per_day)
             admitted.append(ok)
-            in_minute, in_day = in_minute + ok, in_day + ok
-        state.update((minute, in_minute, in_day))
+            counts[caller] = (this, in_minute + ok, in_day + ok)
+        state.update(([*counts], *([*column] for column in zip(*counts.values()))))
         _hours_on(state, rows["micros"].max(), 25)
-        yield pd.DataFrame({"log_id": rows["log_id"], "caller": key[0], "admitted": admitted})
+        yield pd.DataFrame({"log_id": rows["log_id"], "caller": rows["caller"], "admitted": admitted})
 
-    keyed = requests.withWatermark("ts", LATE).select("log_id", "caller", "ts", F.to_date("ts").cast("string").alias("day"), F.unix_micros("ts").alias("micros"), "signed_in")
-    return keyed.groupBy("caller", "day").applyInPandasWithState(
-        step, "log_id long, caller long, admitted boolean", "minute long, in_minute int, in_day int", "append", GroupStateTimeout.EventTimeTimeout
+    bucket = F.pmod(F.xxhash64("caller"), F.lit(buckets)).alias("bucket")
+    keyed = requests.withWatermark("ts", LATE).select(
+        "log_id", F.col("caller").cast("string").alias("caller"), "ts", F.to_date("ts").cast("string").alias("day"), F.unix_micros("ts").alias("micros"), "signed_in", bucket
     )
+    made = keyed.groupBy("day", "bucket").applyInPandasWithState(
+        step, "log_id long, caller string, admitted boolean", "callers array<string>, minutes array<long>, in_minute array<int>, in_day array<int>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return made.withColumn("caller", F.col("caller").cast("long"))
 
 
 def cache_stream(log: DataFrame, days: int = DEFAULTS.cache_days) -> DataFrame:
