@@ -88,14 +88,17 @@ def passages(chunks: DataFrame, width: int = 900, stride: int = 650) -> DataFram
     return cut.select("chunk_id", "p", "start", "passage")
 
 
-def evidence(answers: DataFrame, citations: DataFrame, chunks: DataFrame, bar: float = 0.22, most: int = 12) -> DataFrame:
+def evidence(answers: DataFrame, citations: DataFrame, chunks: DataFrame, bar: float = 0.22, most: int | None = 12) -> DataFrame:
     """A4: for each mark of the first ``most`` cited paragraphs the passage of the cited chunk with most of the claim's words, the earliest on ties.
 
-    ``citations`` has can_excerpt; sources without excerpts are restricted, unknown numbers missing.
+    ``most`` is the length of the list that an answer shows; None takes all cited paragraphs.  ``citations`` has can_excerpt; sources without excerpts are restricted, unknown numbers missing.
     """
     claim = F.substring(F.trim(F.regexp_replace("paragraph", r"(?<![\w\]])\[\d+(?:\s*,\s*\d+)*\]", "")), 1, 1500)
-    nth = F.dense_rank().over(Window.partitionBy("answer_id").orderBy("para"))
-    marks = citation_marks(answers).withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth").withColumn("words", evidence_words(claim))
+    marks = citation_marks(answers)
+    if most is not None:
+        nth = F.dense_rank().over(Window.partitionBy("answer_id").orderBy("para"))
+        marks = marks.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+    marks = marks.withColumn("words", evidence_words(claim))
     joined = marks.join(citations.select("answer_id", "n", "chunk_id", "can_excerpt"), ["answer_id", "n"], "left")
     offered = passages(chunks.join(citations.where("can_excerpt").select("chunk_id").distinct(), "chunk_id", "left_semi")).withColumn("source", evidence_words(F.col("passage")))
     scored = joined.where("can_excerpt").join(offered, "chunk_id").withColumn(
