@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from groundtable.functions import text as T
 from groundtable.operators import fusion, keyword, vectors
 from groundtable.plans.registry import query, table
-from groundtable.plans.shared import spill
+from groundtable.plans.shared import shuffle_width, spill
 from groundtable.sources.corpus import CHUNKS_SQL, REGISTRY_SQL, chunks, source_registry
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(T.STOPWORDS)))
@@ -128,29 +128,32 @@ def corpus(spark, sf_dir):
 _stored: dict[tuple[str, str, str], object] = {}
 
 
-def stored_postings(spark, sf_dir):
-    """The index with positions as a stored table, made once per session and corpus folder; legs and statistics read it."""
+def stored_index(spark, sf_dir):
+    """The index with words as a stored table, made once per session and corpus folder; legs and statistics read it.
+
+    Chunks are dealt out by their ids first, so tasks stay small whatever the files of the corpus.
+    """
     key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir)
     if key not in _stored:
-        _stored[key] = spill(keyword.postings(corpus(spark, sf_dir), positions=True), "postings")
+        dealt = corpus(spark, sf_dir).select("chunk_id", "source_id", *keyword.FIELDS).repartition(shuffle_width(spark), "chunk_id")
+        _stored[key] = spill(keyword.chunk_index(dealt, words=True), "index")
     return _stored[key]
 
 
-def keyword_leg(spark, sf_dir, posted=None):
-    posted = stored_postings(spark, sf_dir) if posted is None else posted
-    return keyword.top_candidates(keyword.bm25(questions(spark, sf_dir), posted))
+def keyword_leg(spark, sf_dir, index=None):
+    index = stored_index(spark, sf_dir) if index is None else index
+    return keyword.top_candidates(keyword.bm25(questions(spark, sf_dir), index, best=keyword.DEFAULTS.candidates))
 
 
-def semantic_leg(spark, sf_dir, posted):
+def semantic_leg(spark, sf_dir, index):
     """Cosine of term counts, questions broadcast block by block."""
     asked = T.token_rows(questions(spark, sf_dir), "question", ["question_id"]).groupBy("question_id", "term").agg(F.count("*").alias("qc"))
-    chunk = posted.where("field = 'text' AND tf > 0").select("chunk_id", "term", F.col("tf").alias("cc"), "norm")
-    return vectors.term_cosine_top(asked, chunk, keyword.DEFAULTS.candidates)
+    return vectors.term_cosine_top(asked, index, keyword.DEFAULTS.candidates)
 
 
 def ranked(spark, sf_dir):
-    posted = stored_postings(spark, sf_dir)
-    return spill(fusion.legs(keyword_leg(spark, sf_dir, posted), semantic_leg(spark, sf_dir, posted)), "ranked")
+    index = stored_index(spark, sf_dir)
+    return spill(fusion.legs(keyword_leg(spark, sf_dir, index), semantic_leg(spark, sf_dir, index)), "ranked")
 
 
 def results(spark, sf_dir, k: int = 6):
@@ -292,12 +295,12 @@ def k1(spark, sf_dir):
 
 @query("K2_vocabulary")
 def k2(spark, sf_dir):
-    return keyword.vocabulary(stored_postings(spark, sf_dir).where("tf > 0"))
+    return keyword.vocabulary(keyword.entries(stored_index(spark, sf_dir), "tf").where("tf > 0"))
 
 
 @query("K2_stemmed_postings")
 def k2_postings(spark, sf_dir):
-    return keyword.stemmed_postings(stored_postings(spark, sf_dir)).select("term", "chunk_id", "field", "tf")
+    return keyword.stemmed_postings(stored_index(spark, sf_dir)).select("term", "chunk_id", "field", "tf")
 
 
 _PHRASE_SEARCH_SQL = BM25_SQL.replace("text AS question", "regexp_replace(text, '^([a-zA-Z0-9_]+)[^a-zA-Z0-9_]+([a-zA-Z0-9_]+)', '\\1-\\2') AS question").replace(
@@ -322,7 +325,7 @@ def k5_search(spark, sf_dir):
     """Questions whose first two words are one hyphenated term, which the index takes as adjacent words."""
     text = F.regexp_replace("question", r"^(\w+)\W+(\w+)", "$1-$2")
     asked = questions(spark, sf_dir).withColumn("question", text)
-    return _round(keyword.top_candidates(keyword.bm25(asked, stored_postings(spark, sf_dir))), "score")
+    return _round(keyword.top_candidates(keyword.bm25(asked, stored_index(spark, sf_dir), best=keyword.DEFAULTS.candidates)), "score")
 
 
 @query("K8_snippets", f"WITH {CHUNKS_SQL} SELECT chunk_id, sha256(text) AS snippet_hash FROM chunks")
@@ -344,7 +347,7 @@ def k3_df(spark, sf_dir):
 
 @query("K4_bm25", f"WITH {BM25_SQL} SELECT question_id, chunk_id, round(score, 6) AS score FROM scored")
 def k4(spark, sf_dir):
-    return _round(keyword.bm25(questions(spark, sf_dir), stored_postings(spark, sf_dir)), "score")
+    return _round(keyword.bm25(questions(spark, sf_dir), stored_index(spark, sf_dir)), "score")
 
 
 @query("K5_phrases", r"""WITH phrases AS (SELECT DISTINCT array_to_string(list_slice(w, 1, 2), '-') AS phrase, list_slice(w, 1, 2) AS words FROM (
@@ -355,7 +358,7 @@ def k4(spark, sf_dir):
 def k5(spark, sf_dir):
     words = F.filter(F.split(F.lower("question"), "[^a-z0-9]+"), lambda w: w != "")
     phrases = questions(spark, sf_dir).where(F.size(words) >= 2).select(F.array_join(F.slice(words, 1, 2), "-").alias("phrase")).distinct()
-    found = keyword.posted_phrases(stored_postings(spark, sf_dir).where("field = 'text'"), phrases)
+    found = keyword.posted_phrases(keyword.entries(stored_index(spark, sf_dir), "fields", "words").where("field = 'text'"), phrases)
     return found.join(corpus(spark, sf_dir).select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "phrase", "tf")
 
 
@@ -363,7 +366,7 @@ def k5(spark, sf_dir):
 def k6(spark, sf_dir):
     asked = questions(spark, sf_dir)
     sources = asked.select("question_id", F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")).alias("source_id"))
-    return _round(keyword.bm25(asked, stored_postings(spark, sf_dir), sources=sources), "score")
+    return _round(keyword.bm25(asked, stored_index(spark, sf_dir), sources=sources), "score")
 
 
 @query("K7_top_candidates", f"WITH {BM25_SQL} SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM keyword")

@@ -63,7 +63,7 @@ REGISTRY_SQL = r"""registry AS (
 
 
 def first_words(text, n: int):
-    return F.array_join(F.slice(F.split(text, r"[ \n]+"), 1, n), " ")
+    return F.array_join(F.slice(F.split(text, r"[ \n]+", n + 1), 1, n), " ")
 
 
 def chunks(documents: DataFrame) -> DataFrame:
