@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundtable.operators.vectors import question_blocks
+from groundtable.plans.shared import short_batches, spill
+
+_WORDS = re.compile("[A-Za-z0-9]+")
+
 
 def passage_truth(questions: DataFrame, chunks: DataFrame, block: int = 256) -> DataFrame:
     """(question_id, chunk_id) where the chunk contains the question's text.
@@ -16,12 +25,14 @@ def passage_truth(questions: DataFrame, chunks: DataFrame, block: int = 256) ->
     runs = F.split(F.col("question"), "[^A-Za-z0-9]+")
     inner = F.array_distinct(F.filter(F.slice(runs, F.lit(2), F.greatest(F.size(runs) - 2, F.lit(0))), lambda w: w != ""))
     words = questions.select("question_id", "question", inner.alias("words"))
-    asked = words.select("question_id", F.explode("words").alias("term"))
-    tokens = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("text", "[^A-Za-z0-9]+"))).alias("term"))
-    wanted = tokens.join(asked.select("term").distinct(), "term", "left_semi")
-    frequency = wanted.groupBy("term").agg(F.count("*").alias("n"))
-    rarest = asked.join(frequency, "term", "left").groupBy("question_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r")).select("question_id", "r.term")
-    pairs = rarest.join(wanted, "term").select("question_id", "chunk_id")
+    pairs = None
+    for asked in question_blocks(words.select("question_id", F.explode("words").alias("term")), block):
+        wanted = spill(_asked_words(chunks, sorted(set(asked.column("term").to_pylist()))), "asked-words")
+        frequency = wanted.groupBy("term").agg(F.count("*").alias("n"))
+        sought = questions.sparkSession.createDataFrame(asked)
+        rarest = sought.join(frequency, "term", "left").groupBy("question_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r")).select("question_id", "r.term")
+        met = rarest.join(wanted, "term").select("question_id", "chunk_id")
+        pairs = met if pairs is None else pairs.unionByName(met)
     joined = pairs.join(questions, "question_id").join(chunks.select("chunk_id", "text"), "chunk_id")
     found = joined.where(F.contains("text", "question")).select("question_id", "chunk_id")
     bare = words.where(F.size("words") == 0).select("question_id", "question")
@@ -33,6 +44,20 @@ def passage_truth(questions: DataFrame, chunks: DataFrame, block: int = 256) ->
     return found
 
 
+def _asked_words(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """(chunk_id, term) of the words of a chunk that are among ``terms``, found where the chunk is read."""
+    held = chunks.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = [sorted(held.value.intersection(_WORDS.findall(text))) for text in batch.column("text").to_pylist()]
+            at = pa.array([i for i, found in enumerate(met) for _ in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(at), pa.array([t for found in met for t in found], pa.string())], ["chunk_id", "term"])
+
+    short_batches(chunks.sparkSession)
+    return chunks.where("text IS NOT NULL").select("chunk_id", "text").mapInArrow(find, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, term string")
+
+
 def retrieval_quality(listed: DataFrame, truth: DataFrame, k: int = 6) -> DataFrame:
     """Recall at k and mean reciprocal rank per kind of list; questions without a hit count as 0."""
     hits = listed.join(truth, ["question_id", "chunk_id"]).groupBy("question_id", "kind").agg(F.min("rank").alias("rank"))

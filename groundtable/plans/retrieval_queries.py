@@ -358,7 +358,7 @@ def k4(spark, sf_dir):
 def k5(spark, sf_dir):
     words = F.filter(F.split(F.lower("question"), "[^a-z0-9]+"), lambda w: w != "")
     phrases = questions(spark, sf_dir).where(F.size(words) >= 2).select(F.array_join(F.slice(words, 1, 2), "-").alias("phrase")).distinct()
-    found = keyword.posted_phrases(keyword.entries(stored_index(spark, sf_dir), "fields", "words").where("field = 'text'"), phrases)
+    found = keyword.posted_phrases(stored_index(spark, sf_dir), phrases).where("field = 'text'")
     return found.join(corpus(spark, sf_dir).select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "phrase", "tf")
 
 
