@@ -184,16 +184,24 @@ def any_match(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
+def _any_word(vocabulary: list[str]) -> str:
+    """A pattern of the words of a vocabulary, which begin after anything but ``a-z0-9_``; alternatives are told by their first letter."""
+    first: dict[str, list[str]] = {}
+    for word in vocabulary:
+        first.setdefault(word[0], []).append(word[1:])
+    return f"(?=[{''.join(first)}])(?<![a-z0-9_])(" + "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in first.items()) + ")"
+
+
 def distinct_hits(text: Column, vocabulary: list[str]) -> Column:
-    """How many different words of a vocabulary a text has; words begin after anything but ``a-z0-9_``."""
-    pattern = "(?<![a-z0-9_])(" + "|".join(vocabulary) + ")"
-    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))))
+    """How many different words of a vocabulary a text has."""
+    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_any_word(vocabulary)), F.lit(1))))
 
 
 def topic_class(text: Column, cosine: Column) -> Column:
     """Meta, ftc (on topic) or off."""
-    strong, weak, cos = distinct_hits(text, STRONG_WORDS), distinct_hits(text, WEAK_WORDS), F.coalesce(cosine, F.lit(0.0))
-    on = (strong >= 1) | (weak >= 2) | ((weak >= 1) & (cos >= 0.25)) | (cos >= 0.62)
+    cos = F.coalesce(cosine, F.lit(0.0))
+    strong, needed = F.lower(text).rlike(_any_word(STRONG_WORDS)), F.when(cos >= 0.25, 1).otherwise(2)
+    on = (cos >= 0.62) | strong | (distinct_hits(text, WEAK_WORDS) >= needed)  # the dearest test last
     return F.when(any_match(text, META_PATTERNS), "meta").when(on, "ftc").otherwise("off")
 
 
