@@ -125,17 +125,20 @@ def corpus(spark, sf_dir):
     return chunks(table(spark, sf_dir, "documents"))
 
 
+CHUNKS_A_TASK = 10_000
 _stored: dict[tuple[str, str, str], object] = {}
 
 
 def stored_index(spark, sf_dir):
     """The index with words as a stored table, made once per session and corpus folder; legs and statistics read it.
 
-    Chunks are dealt out by their ids first, so tasks stay small whatever the files of the corpus.
+    Chunks are dealt out by their ids first, some ``CHUNKS_A_TASK`` each, so tasks stay small whatever the files
+    of the corpus and do not grow with it.
     """
     key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir)
     if key not in _stored:
-        dealt = corpus(spark, sf_dir).select("chunk_id", "source_id", *keyword.FIELDS).repartition(shuffle_width(spark), "chunk_id")
+        width = max(shuffle_width(spark), -(-table(spark, sf_dir, "documents").count() // CHUNKS_A_TASK))
+        dealt = corpus(spark, sf_dir).select("chunk_id", "source_id", *keyword.FIELDS).repartition(width, "chunk_id")
         _stored[key] = spill(keyword.chunk_index(dealt, words=True), "index")
     return _stored[key]
 
