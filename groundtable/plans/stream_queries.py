@@ -84,7 +84,7 @@ def t7(spark, sf_dir):
     second = docs.where(kind.isin(3, 5)).unionByName(extra.withColumn("text", F.lit(None).cast("string")))
     for pages in (first, second):
         pages.write.mode("append").option("compression", "zstd").parquet(f"{path}/pages")
-        streams.corpus_updates(spark.readStream.schema(docs.schema).parquet(f"{path}/pages"), path, corpus.chunks, keyword.postings)
+        streams.corpus_updates(spark.readStream.schema(docs.schema).parquet(f"{path}/pages"), path, corpus.chunks, keyword.chunk_index)
     return streams.current(spark, path, "chunks").select("chunk_id", "content_hash")
 
 
