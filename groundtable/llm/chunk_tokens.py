@@ -4,8 +4,8 @@ Such a tokenizer maps every run of white space to one blank before it cuts words
 or special token reaches across white space.  So a text's ids are those of its white-space-free chunks,
 one after another; each distinct chunk is encoded once by the tokenizer and remembered by its characters.
 
-* Python's ``split`` also cuts at the four separators U+001C to U+001F, which are no white space to the
-  tokenizer; a text with one of them is cut by a pattern instead.
+* Chunks are cut and told apart for a whole batch by array operations, so one is looked up once a batch.  The
+  separators U+001C to U+001F are no white space to the tokenizer, and white space beyond ASCII is made a blank first.
 * A chunk that ends in a Latin letter and then one of ``.,;:!?`` has the ids of both parts, and one of Latin letters
   those of its lower case, so such chunks need no call.  A lower-case Latin word is one word to the tokenizer, so
   it goes to its vocabulary model directly, if on probes that gives what the whole tokenizer gives.
@@ -15,21 +15,18 @@ one after another; each distinct chunk is encoded once by the tokenizer and reme
 from __future__ import annotations
 
 import os
-import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
 
-_OTHER_CUTS = ("\x1c", "\x1d", "\x1e", "\x1f")
-_SPACE = re.compile("[^\\S\x1c-\x1f]+")
+_FAR_SPACES = tuple(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace())
+_IN_CHUNK = np.array([b not in b"\t\n\x0b\x0c\r " for b in range(256)])
 _LONG = 64
 _LATIN_END = "\u0250"  # letters below it stay one letter each under composition, and in lower case but for the next
 _TWO = "\u0130"
 
 
-def _latin(chunk: str) -> bool:
-    return chunk.isascii() or max(chunk) < _LATIN_END and _TWO not in chunk
-
-
 def _model_letters(tool) -> dict[int, str] | None:
     """How the tokenizer spells Latin letters for its model; None where probes tell that it does more than that."""
     letters = [chr(c) for c in range(ord(_LATIN_END)) if chr(c).isalpha() and chr(c).lower() == chr(c)]
@@ -46,31 +43,57 @@ class _Known(dict):
 
     def __init__(self, tool, letters: dict[int, str] | None, before: "_Known | None" = None):
         super().__init__()
-        self._tool, self._letters, self._before, self.long, self.size = tool, letters, before, [], 0
+        self._letters, self._before, self.long, self.size = letters, before, [], 0
+        self._encode, self._model = tool.encode, tool.model.tokenize
+        self._plain = letters is not None and all(chr(c) == spelled for c, spelled in letters.items() if c < 128)
         if before is not None:
             before._before = None
 
     def __missing__(self, chunk: str) -> bytes:
-        if self._before is not None and chunk in self._before:
-            found = self._before[chunk]
-        elif chunk[-1] in ".,;:!?" and chunk[-2:-1].lower().isalpha() and chunk[-2] < _LATIN_END:
-            found = self[chunk[:-1]] + self[chunk[-1]]
-        elif chunk.isalpha() and _latin(chunk):
-            lower = chunk.lower()
-            if lower != chunk:
-                found = self[lower]
-            elif self._letters is not None:
-                found = np.array([t.id for t in self._tool.model.tokenize(chunk.translate(self._letters))], dtype="<u2").tobytes()
+        found = None if self._before is None else self._before.get(chunk)
+        if found is None:
+            if chunk.isalpha():
+                found = self._letters_only(chunk)
+            elif chunk[-1] in ".,;:!?" and chunk[-2:-1].lower().isalpha() and chunk[-2] < _LATIN_END:
+                found = self[chunk[:-1]] + self[chunk[-1]]
             else:
-                found = np.array(self._tool.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        else:
-            found = np.array(self._tool.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
+                found = array("H", self._encode(chunk, add_special_tokens=False).ids).tobytes()
         self[chunk] = found
         self.size += len(found)
         if len(chunk) > _LONG:
             self.long.append(chunk)
         return found
 
+    def _letters_only(self, chunk: str) -> bytes:
+        plain = chunk.isascii()
+        if plain or max(chunk) < _LATIN_END and _TWO not in chunk:
+            lower = chunk.lower()
+            if lower != chunk:
+                return self[lower]
+            if self._letters is not None:
+                return array("H", [t.id for t in self._model(chunk if plain and self._plain else chunk.translate(self._letters))]).tobytes()
+        return array("H", self._encode(chunk, add_special_tokens=False).ids).tobytes()
+
+
+def _near_spaces(text: str) -> str:
+    """``text`` with a blank for each white space beyond ASCII."""
+    if not text.isascii():
+        for space in _FAR_SPACES:
+            if space in text:
+                text = text.replace(space, " ")
+    return text
+
+
+def _chunks(joined: bytes) -> tuple[pa.Array, np.ndarray]:
+    """(the chunks between white space, where each starts)."""
+    read = np.frombuffer(joined, np.uint8)
+    inside = np.zeros(len(read) + 2, bool)
+    inside[1:-1] = _IN_CHUNK[read]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(read[inside[1:-1]])]), starts
+
 
 class ChunkTokens:
     """Encodes texts; remembers some ``limit`` distinct chunks between batches and those of a generation before."""
@@ -89,10 +112,19 @@ class ChunkTokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 16-bit integers."""
-        known, out = self._known, []
-        for text in texts:
-            chunks = filter(None, _SPACE.split(text)) if any(c in text for c in _OTHER_CUTS) else text.split()
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype="<u2"))
+        known = self._known
+        raw = [text.encode() for text in map(_near_spaces, texts)]
+        begin = np.cumsum([0] + [len(text) + 1 for text in raw])
+        chunks, starts = _chunks(b" ".join(raw))
+        coded = chunks.dictionary_encode()
+        found = list(map(known.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        sizes, ids = np.fromiter(map(len, found), np.int64, len(found)) // 2, np.frombuffer(b"".join(found), dtype=np.uint16)
+        codes = coded.indices.to_numpy()
+        many = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], many) + np.arange(ends[-1])]
+        bounds = ends[np.searchsorted(starts, begin)].tolist()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
         for chunk in known.long:
             known.pop(chunk, None)
         known.long = []
