@@ -159,8 +159,8 @@ def ranked(spark, sf_dir):
     return spill(fusion.legs(keyword_leg(spark, sf_dir, index), semantic_leg(spark, sf_dir, index)), "ranked")
 
 
-def results(spark, sf_dir, k: int = 6):
-    return fusion.anchored(fusion.fuse_ranks(ranked(spark, sf_dir)), k)
+def results(spark, sf_dir, k: int = 6, listed=None):
+    return fusion.anchored(fusion.fuse_ranks(ranked(spark, sf_dir) if listed is None else listed), k)
 
 
 def gated(spark, sf_dir, listed=None):
