@@ -6,9 +6,11 @@ one after another; each distinct chunk is encoded once by the tokenizer and reme
 
 * Chunks are cut and told apart for a whole batch by array operations, so one is looked up once a batch.  The
   separators U+001C to U+001F are no white space to the tokenizer, and white space beyond ASCII is made a blank first.
-* A chunk that ends in a Latin letter and then one of ``.,;:!?`` has the ids of both parts, and one of Latin letters
-  those of its lower case, so such chunks need no call.  A lower-case Latin word is one word to the tokenizer, so
-  it goes to its vocabulary model directly, if on probes that gives what the whole tokenizer gives.
+* A run of ASCII signs between Latin letters or white space is a chunk of its own, and letters of ASCII are made lower case
+  beforehand where no mark follows, so words are told apart without their signs and cases.  Only signs are cut off that
+  on probes leave the ids as they are, and none that special tokens have.
+* A lower-case Latin word is one word to the tokenizer, so it goes to its vocabulary model directly, if on probes that
+  gives what the whole tokenizer gives.  One of Latin letters has the ids of its lower case.
 * Chunks of more than 64 characters are not remembered beyond a call.  Vocabularies have at most 65,536 ids.
 """
 
@@ -22,6 +24,9 @@ import pyarrow as pa
 
 _FAR_SPACES = tuple(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace())
 _IN_CHUNK = np.array([b not in b"\t\n\x0b\x0c\r " for b in range(256)])
+_ASCII_LARGE = np.array([chr(b).isascii() and chr(b).isupper() for b in range(256)])
+_ASCII_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+_FAR = 0xC9  # the first byte of letters from U+0240 on; no mark before it joins a letter
 _LONG = 64
 _LATIN_END = "\u0250"  # letters below it stay one letter each under composition, and in lower case but for the next
 _TWO = "\u0130"
@@ -38,6 +43,21 @@ def _model_letters(tool) -> dict[int, str] | None:
     return table
 
 
+def _signs(tool) -> np.ndarray:
+    """For each byte, whether it is a sign that the tokenizer parts from Latin letters; never one of a special token."""
+
+    def ids(text: str) -> list[int]:
+        return tool.encode(text, add_special_tokens=False).ids
+
+    special = "".join(token.content for token in tool.get_added_tokens_decoder().values())
+    out = np.zeros(256, bool)
+    for sign in map(chr, range(33, 127)):
+        if not sign.isalnum() and sign not in special and sign != "'":
+            probes = [("ab", sign, "cd"), ("é", sign * 3, "s"), ("", sign * 2, "ab"), ("don't", sign + "." + sign, "")]
+            out[ord(sign)] = all(ids("".join(parts)) == sum((ids(part) for part in parts), []) for parts in probes)
+    return out
+
+
 class _Known(dict):
     """The ids of each chunk as bytes of 16-bit integers; a chunk that neither this nor the generation before knows is encoded."""
 
@@ -54,8 +74,6 @@ class _Known(dict):
         if found is None:
             if chunk.isalpha():
                 found = self._letters_only(chunk)
-            elif chunk[-1] in ".,;:!?" and chunk[-2:-1].lower().isalpha() and chunk[-2] < _LATIN_END:
-                found = self[chunk[:-1]] + self[chunk[-1]]
             else:
                 found = array("H", self._encode(chunk, add_special_tokens=False).ids).tobytes()
         self[chunk] = found
@@ -84,15 +102,45 @@ def _near_spaces(text: str) -> str:
     return text
 
 
-def _chunks(joined: bytes) -> tuple[pa.Array, np.ndarray]:
-    """(the chunks between white space, where each starts)."""
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where the runs of true values start, where they end)."""
+    edged = np.zeros(len(inside) + 2, bool)
+    edged[1:-1] = inside
+    edges = np.flatnonzero(edged[1:] != edged[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _letter(lead: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the two bytes are a Latin letter below U+0240, of one letter in lower case."""
+    signs = (lead == 0xC3) & ((last == 0x97) | (last == 0xB7))
+    return (lead >= 0xC3) & (lead < _FAR) & (last >= 0x80) & (last < 0xC0) & ~signs & ~((lead == 0xC4) & (last == 0xB0))
+
+
+def _cuts(read: np.ndarray, inside: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Where a run of signs begins after a Latin letter or ends before one; on its other side is such a letter or white space."""
+    begin, end = _runs(signs[read])
+    padded = np.full(len(read) + 4, 32, np.uint8)
+    padded[2:-2] = read
+    before, after = padded[begin + 1], padded[end + 2]
+    letter_before = _ASCII_LETTER[before] | _letter(padded[begin], before)
+    letter_after = _ASCII_LETTER[after] | _letter(after, padded[end + 3])
+    whole = (letter_before | ~_IN_CHUNK[before]) & (letter_after | ~_IN_CHUNK[after])
+    return np.sort(np.concatenate([begin[whole & letter_before], end[whole & letter_after]]))
+
+
+def _chunks(joined: bytes, signs: np.ndarray, small: bool) -> tuple[pa.Array, np.ndarray]:
+    """(the chunks between white space and signs, where each starts); with ``small`` in lower case where that is ASCII and no mark follows."""
     read = np.frombuffer(joined, np.uint8)
-    inside = np.zeros(len(read) + 2, bool)
-    inside[1:-1] = _IN_CHUNK[read]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    if small:
+        large = _ASCII_LARGE[read]
+        large[:-1] &= read[1:] < _FAR
+        read = read + (large.view(np.uint8) << 5)
+    inside = _IN_CHUNK[read]
+    starts, ends = _runs(inside)
+    cuts = _cuts(read, inside, signs)
+    starts, ends = (np.sort(np.concatenate([edges, cuts]), kind="stable") for edges in (starts, ends))
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(read[inside[1:-1]])]), starts
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(read[inside])]), starts
 
 
 class ChunkTokens:
@@ -107,15 +155,22 @@ class ChunkTokens:
         if self.size > 1 << 16:
             raise ValueError("a vocabulary of at most 65,536 ids is wanted")
         self._limit = limit
-        self._letters = _model_letters(self._tool)
+        self._letters, self._signs = _model_letters(self._tool), _signs(self._tool)
+        self._special = [token.content.lower().encode() for token in self._tool.get_added_tokens_decoder().values()]
+        self._small = all(self._same(large) for large in ("A", "IT'S", "ÀZÉ", "Zß", "QX-B"))
         self._known = _Known(self._tool, self._letters)
 
+    def _same(self, word: str) -> bool:
+        return self._tool.encode(word, add_special_tokens=False).ids == self._tool.encode(word.lower(), add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 16-bit integers."""
         known = self._known
         raw = [text.encode() for text in map(_near_spaces, texts)]
         begin = np.cumsum([0] + [len(text) + 1 for text in raw])
-        chunks, starts = _chunks(b" ".join(raw))
+        joined = b" ".join(raw)
+        low = joined.lower()
+        chunks, starts = _chunks(joined, self._signs, self._small and not any(token in low for token in self._special))
         coded = chunks.dictionary_encode()
         found = list(map(known.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
         sizes, ids = np.fromiter(map(len, found), np.int64, len(found)) // 2, np.frombuffer(b"".join(found), dtype=np.uint16)

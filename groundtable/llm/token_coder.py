@@ -153,14 +153,16 @@ def encode(ids: np.ndarray, lengths: np.ndarray, prior: np.ndarray, width: int)
         at += part * np.where(known, 0, before.take(x)).view(np.uint64)
         span = part * np.where(known, _WHOLE, prior.take(x)).view(np.uint64)
         model.learn(n, x, y, np.where(two, 0, 2 - one))
-        while True:
-            short = span < _TOP
-            flat[place[:n]] = at >> np.uint64(32)  # overwritten later unless the place moves on
-            place[:n] += short * lanes
-            at, span = np.where(short, (at & _LOW) << _WORD, at), span << (short * _WORD)
-            if span.min() >= _TOP:
-                break
-        low[:n], size[:n] = at, span
+        short = span < _TOP
+        flat[place[:n]] = at >> np.uint64(32)  # overwritten later unless the place moves on
+        place[:n] += short * lanes
+        low[:n], size[:n] = np.where(short, (at & _LOW) << _WORD, at), span << (short * _WORD)
+        few = np.flatnonzero(size[:n] < _TOP)
+        while len(few):
+            at, span, spot = low[few], size[few] << _WORD, place[few]
+            flat[spot] = at >> np.uint64(32)
+            low[few], size[few], place[few] = (at & _LOW) << _WORD, span, spot + lanes
+            few = few[span < _TOP]
     for shift in (32, 16, 0):
         flat[place] = (low >> np.uint64(shift)) & np.uint64(0x1FFFF if shift == 32 else 0xFFFF)
         place += lanes
@@ -214,12 +216,13 @@ def decode(payloads: list[bytes], lengths: np.ndarray, prior: np.ndarray, width:
         span = part * np.where(rest, prior.take(x), _WHOLE).view(np.uint64)
         out[step, :n] = y
         model.learn(n, x, y, 1 - two + rest)
-        while True:
-            short = span < _TOP
-            here, span = np.where(short, (here << _WORD) | flat.take(place[:n]), here), span << (short * _WORD)
-            place[:n] += short
-            if span.min() >= _TOP:
-                break
+        short = span < _TOP
+        code[:n], size[:n] = np.where(short, (here << _WORD) | flat.take(place[:n]), here), span << (short * _WORD)
+        place[:n] += short
+        few = np.flatnonzero(size[:n] < _TOP)
+        while len(few):
+            spot, span = np.minimum(place[few], stop[few]), size[few] << _WORD
+            code[few], size[few], place[few] = (code[few] << _WORD) | flat[spot], span, spot + 1
+            few = few[span < _TOP]
         np.minimum(place, stop, out=place)
-        code[:n], size[:n] = here, span
     return out
