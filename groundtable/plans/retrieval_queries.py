@@ -345,7 +345,7 @@ def k3(spark, sf_dir):
 
 @query("K3_document_frequency", f"WITH {POSTINGS_SQL} SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term")
 def k3_df(spark, sf_dir):
-    return keyword.document_frequency(keyword.postings(corpus(spark, sf_dir)))
+    return keyword.document_frequency(corpus(spark, sf_dir))
 
 
 @query("K4_bm25", f"WITH {BM25_SQL} SELECT question_id, chunk_id, round(score, 6) AS score FROM scored")
