@@ -116,7 +116,7 @@ def _letter(lead: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (lead >= 0xC3) & (lead < _FAR) & (last >= 0x80) & (last < 0xC0) & ~signs & ~((lead == 0xC4) & (last == 0xB0))
 
 
-def _cuts(read: np.ndarray, inside: np.ndarray, signs: np.ndarray) -> np.ndarray:
+def _cuts(read: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """Where a run of signs begins after a Latin letter or ends before one; on its other side is such a letter or white space."""
     begin, end = _runs(signs[read])
     padded = np.full(len(read) + 4, 32, np.uint8)
@@ -137,7 +137,7 @@ def _chunks(joined: bytes, signs: np.ndarray, small: bool) -> tuple[pa.Array, np
         read = read + (large.view(np.uint8) << 5)
     inside = _IN_CHUNK[read]
     starts, ends = _runs(inside)
-    cuts = _cuts(read, inside, signs)
+    cuts = _cuts(read, signs)
     starts, ends = (np.sort(np.concatenate([edges, cuts]), kind="stable") for edges in (starts, ends))
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
     return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(read[inside])]), starts
