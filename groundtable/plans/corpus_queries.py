@@ -457,13 +457,25 @@ _SOURCE_CHANGES_SQL = f"""{_REG}, source_changes AS (SELECT source_id, CASE n %
   FROM (SELECT source_id, CAST(regexp_extract(source_id, '(\\d+)$', 1) AS INTEGER) AS n FROM registry))"""
 
 
-@query("P1_chunk_violations", f"""WITH {_CH}, {_REG}, c AS (SELECT c.*, doc_id % 5 = 0 AS allowed, CASE WHEN doc_id % 7 = 0 THEN 'full' ELSE r.mode END AS excerpt_mode, r.can_excerpt AS source_allows,
-    CASE WHEN doc_id % 11 = 0 THEN sha256('x') ELSE content_hash END AS h FROM chunks c JOIN registry r USING (source_id))
-  SELECT chunk_id, 'hash' AS problem FROM c WHERE doc_id % 11 = 0 UNION ALL SELECT chunk_id, 'excerpt escalation' FROM c WHERE allowed AND NOT source_allows
-  UNION ALL SELECT chunk_id, 'excerpt mode' FROM c WHERE (excerpt_mode = 'full') <> allowed UNION ALL SELECT chunk_id, 'empty text' FROM c WHERE trim(text) = ''
-  UNION ALL SELECT chunk_id, 'restricted policy' FROM c JOIN registry USING (source_id) WHERE mode = 'summarize' AND (allowed OR excerpt_mode <> 'summarize')
-  UNION ALL SELECT chunk_id, 'link-only body' FROM c JOIN registry USING (source_id) WHERE mode = 'link' AND (allowed OR excerpt_mode <> 'link' OR doc_id % 2 = 0)
-  UNION ALL SELECT chunk_id, 'name' FROM c WHERE doc_id % 23 = 0 UNION ALL SELECT chunk_id, 'license' FROM c WHERE doc_id % 29 = 0 UNION ALL SELECT chunk_id, 'part count' FROM c WHERE doc_id % 31 = 0""")
+_LINK_SQL = f"printf('{publication.LINK_TEXT}', source_name, section_title, source_name, page_title)"
+_BLANKS_SQL = " || ".join(f"chr({ord(c)})" for c in publication.BLANKS)
+
+
+@query("P1_chunk_violations", f"""WITH {_CH}, {_REG}, made AS (SELECT c.* REPLACE (concat_ws(':', source_id, substr(sha256('docs/' || doc_id || '#root:1'), 1, 16)) AS chunk_id), mode, r.can_excerpt AS source_allows,
+    r.source_name AS registered, CASE WHEN doc_id % 23 = 0 THEN r.source_name || '?' ELSE r.source_name END AS source_name, doc_id % 5 = 0 AS can_excerpt, CASE WHEN doc_id % 7 = 0 THEN 'full' ELSE mode END AS excerpt_mode,
+    CASE WHEN doc_id % 29 = 0 THEN 'MIT' ELSE 'BSD' END AS license, 0 AS part, CASE WHEN doc_id % 31 = 0 THEN 0 ELSE 1 END AS part_count FROM chunks c JOIN registry r USING (source_id)),
+  told AS (SELECT * REPLACE (CASE WHEN mode = 'link' AND doc_id % 2 = 1 THEN {_LINK_SQL} ELSE text END AS text) FROM made),
+  spoiled AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 0 THEN sha256('x') ELSE sha256(text) END AS content_hash, length(text) AS char_len) FROM told),
+  judged AS (SELECT chunk_id, [
+    CASE WHEN NOT starts_with(chunk_id, source_id || ':') OR strlen(chunk_id) > 64 THEN 'id shape' END, CASE WHEN mode IS NULL THEN 'unregistered source' END,
+    CASE WHEN ltrim(text, {_BLANKS_SQL}) = '' THEN 'empty text' END, CASE WHEN sha256(text) <> content_hash THEN 'hash' END, CASE WHEN length(text) <> char_len THEN 'length' END,
+    CASE WHEN NOT starts_with(source_url, 'https://') THEN 'url' END, CASE WHEN source_name IS DISTINCT FROM registered THEN 'name' END, CASE WHEN license IS DISTINCT FROM 'BSD' THEN 'license' END,
+    CASE WHEN can_excerpt AND NOT source_allows THEN 'excerpt escalation' END, CASE WHEN mode = 'summarize' AND (can_excerpt OR excerpt_mode <> 'summarize') THEN 'restricted policy' END,
+    CASE WHEN (excerpt_mode = 'full') <> can_excerpt THEN 'excerpt mode' END, CASE WHEN excerpt_mode NOT IN ('full', 'summarize', 'link') THEN 'unknown mode' END,
+    CASE WHEN mode = 'link' AND (can_excerpt OR excerpt_mode <> 'link' OR text <> {_LINK_SQL}) THEN 'link-only body' END,
+    CASE WHEN ordinal IS NULL OR ordinal < 0 THEN 'ordinal' END, CASE WHEN part IS NULL OR part < 0 THEN 'part' END, CASE WHEN part_count IS NULL OR part_count < 1 THEN 'part count' END] AS problems FROM spoiled),
+  counted AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) AS copies FROM judged)
+  SELECT * FROM (SELECT chunk_id, unnest(list_append(problems, CASE WHEN copies > 1 THEN 'duplicate id' END)) AS problem FROM counted) WHERE problem IS NOT NULL""")
 def p1(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     registry = corpus.source_registry(docs).withColumn("license", F.lit("BSD"))
